@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import language_id, licenses, mixing, sharding, token_counts, url_filters
+from tessaline.llm import language_id, licenses, mixing, near_dup, sharding, token_counts, url_filters
 from tessaline.llm.common import table
 
 #: The rules of op7 as (host, path, verdict).
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language_id.fold(F.col("doc_id")) == 2, F.lit(False))
@@ -53,6 +57,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
