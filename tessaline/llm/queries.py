@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import language_id, licenses, mixing, near_dup, sharding, token_counts, url_filters
+from tessaline.llm import (
+    audio_prints,
+    decontaminate,
+    language_id,
+    licenses,
+    mixing,
+    near_dup,
+    quality,
+    sharding,
+    token_counts,
+    url_filters,
+)
 from tessaline.llm.common import table
 
 #: The rules of op7 as (host, path, verdict).
@@ -18,6 +29,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
@@ -30,6 +45,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op5_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is played as a melody; the queries are the rows whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    prints = audio_prints.fingerprints(vectors, "vec_id", "embedding", rate=4000, decode=audio_prints.melody)
+    return audio_prints.align(prints, "vec_id", F.col("vec_id") % 50 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
@@ -55,13 +77,25 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null")
+    ratings = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    rated = quality.rate_quality(table(spark, sf_dir, "documents"), ratings)
+    return rated.select(
+        "doc_id", "expected_grade", F.element_at("tails", 1).alias("p_from_1"), F.element_at("tails", 2).alias("p_from_2"), "grade", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontamination": op2_decontamination,
     "op3_near_dup": op3_near_dup,
     "op4_language_id": op4_language_id,
+    "op5_audio_prints": op5_audio_prints,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
