@@ -229,7 +229,7 @@ def identify_languages(
     training: DataFrame,
     text_col: str = "text",
     id_col: str = "doc_id",
-    most_docs: int = 400,
+    most_docs: int = 160,
     slice_chars: int = 1 << 20,
 ) -> DataFrame:
     """Add ``lang_pred, score, bits_per_char, accepted`` to ``docs``.
