@@ -1,3 +1,10 @@
 """Tessaline: a PySpark-native engine for session-recorded multivariate time series."""
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
