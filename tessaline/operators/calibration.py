@@ -99,7 +99,7 @@ def empirical_p_values(real: DataFrame, expanded: DataFrame) -> DataFrame:
     )
     every = real.withColumn("PseudoCondition", F.explode(F.array(F.lit("A"), F.lit("NA"))))
     keys = [*GROUP, "BoundaryID", "PseudoCondition"]
-    got = every.join(pseudo, keys, "left").groupBy(*keys, "Subject", "BoundaryOrder", F.col("Score").alias("RealScore")).agg(
+    got = every.join(pseudo, keys, "left").withColumnRenamed("Score", "RealScore").groupBy(*keys, "Subject", "BoundaryOrder", "RealScore").agg(
         F.count("ps").alias("PseudoControls"),
         F.median("ps").alias("PseudoMedianScore"),
         quantile_higher(F.col("ps"), 0.95).alias("PseudoQ95Score"),

@@ -15,6 +15,7 @@ from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.operators.windows import window_features
 from tessaline.sources.adapter import samples_from_events
+from tessaline.sources.shared import settle
 
 THRESHOLD = 20.0
 LENGTHS = (30, 45, 60)
@@ -22,9 +23,9 @@ SCORED = HEART_RATE
 
 
 class Study:
-    """Tables of the analysis, made on demand. Tables that many others use are persisted."""
+    """Tables of the analysis, made on demand. Those that others use are written to the shared folder once, which keeps plans short."""
 
-    KEPT = {"master", "long_real", "long_pseudo", "matches", "real_scores", "pseudo_scores", "results"}
+    LAZY = {"samples", "pseudo_obs"}
 
     def __init__(self, spark: SparkSession, events: DataFrame, subjects: int = 10):
         self.spark, self.events, self.subjects, self.made = spark, events, subjects, {}
@@ -35,14 +36,9 @@ class Study:
             raise AttributeError(name)
         if name not in self.made:
             made = maker(self)
-            self.made[name] = made.persist() if name in self.KEPT else made
+            self.made[name] = made if name in self.LAZY else settle(made, f"study-{name}")
         return self.made[name]
 
-    def release(self) -> None:
-        for name in self.KEPT & self.made.keys():
-            self.made[name].unpersist()
-        self.made.clear()
-
     def _samples(self):
         return samples_from_events(self.events, self.subjects)
 
