@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaline.sources.shared import settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that setting is
-    unset (a single-machine session, as in the tests) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessaline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    Cuts the lineage: a lost executor costs the reader nothing but its own tasks,
-    as the rows lie in shared files. Used where a table feeds several later steps.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessaline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "settle", "shared_dir", "small", "table"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -47,3 +23,8 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """Marks a settled table of a few fixed-width columns for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
