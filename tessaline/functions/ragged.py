@@ -140,14 +140,14 @@ def time_features(nn: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def poincare_features(sdnn: np.ndarray, sdsd: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
-    three = lengths >= 3
+    three, tiny = lengths >= 3, 1e-9  # what rounding leaves of equal intervals counts as no spread
     sd1 = np.where(three, sdsd / np.sqrt(2.0), NAN)
     sd2 = np.where(three, np.sqrt(np.maximum(0.0, 2 * sdnn**2 - 0.5 * sdsd**2)), NAN)
     with np.errstate(invalid="ignore", divide="ignore"):
         return {
             "SD1": sd1,
             "SD2": sd2,
-            "SD1_SD2": np.where(sd2 > 0, sd1 / sd2, NAN),
-            "CSI": np.where(sd1 > 0, sd2 / sd1, NAN),
-            "CVI": np.where((sd1 > 0) & (sd2 > 0), np.log10(16 * sd1 * sd2), NAN),
+            "SD1_SD2": np.where(sd2 > tiny, sd1 / sd2, NAN),
+            "CSI": np.where(sd1 > tiny, sd2 / sd1, NAN),
+            "CVI": np.where((sd1 > tiny) & (sd2 > tiny), np.log10(16 * sd1 * sd2), NAN),
         }

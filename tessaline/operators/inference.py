@@ -105,7 +105,7 @@ def sign_flip(per_subject: DataFrame, keys: list[str], value: str, permutations:
     draws = F.broadcast(draw_table(per_subject.sparkSession, permutations, most_subjects, stream))
     flipped = known.join(draws, "slot").groupBy(*keys, "rep").agg(F.avg(F.when(F.col("u") % 2 == 1, F.col("v")).otherwise(-F.col("v"))).alias("perm"))
     judged = flipped.join(observed, keys).groupBy(*keys, "MeanDifference", "Participants").agg(
-        ((1 + F.count_if(F.abs("perm") >= F.abs("MeanDifference") - 1e-12)) / (permutations + 1)).alias("PermutationP")
+        ((1 + F.count_if(F.abs("perm") >= F.abs("MeanDifference") * (1 - 1e-9) - 1e-12)) / (permutations + 1)).alias("PermutationP")
     )
     return judged
 
