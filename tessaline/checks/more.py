@@ -14,6 +14,7 @@ from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.plans.study import THRESHOLD, Study
 from tessaline.sources import sessions as SRC
+from tessaline.sources.shared import settle
 from tessaline.streaming.windows import stream_windows
 
 DOCS = lambda spark, d: SRC.read(spark, d, "documents")
@@ -90,12 +91,15 @@ query(
 
 
 def representations(s: Study):
-    stable = Q.stable_rows(s.master, THRESHOLD, 60.0).filter("WindowLength_sec = 30")
-    scaled = stable.select("Subject", "ConditionCode", "WindowID", *[S.log_feature(c, c).alias(c) for c in ALL23])
-    sample = matrix.balanced_rows(scaled, ALL23).toPandas().sort_values("WindowID")
-    x = sample[ALL23]
-    sample[ALL23] = (x - x.median()) / x.std().replace(0, 1)
-    return matrix.fit_representations(sample, REDUCED_CANDIDATES, {"heart_rate_rr": HEART_RATE})
+    """Fitted once per study, on a balanced sample of bounded size."""
+    if "representations" not in s.made:
+        stable = Q.stable_rows(s.master, THRESHOLD, 60.0).filter("WindowLength_sec = 30")
+        scaled = settle(stable.select("Subject", "ConditionCode", "WindowID", *[S.log_feature(c, c).alias(c) for c in ALL23]), "study-stable")
+        sample = matrix.balanced_rows(scaled, ALL23).toPandas().sort_values("WindowID")
+        x = sample[ALL23]
+        sample[ALL23] = (x - x.median()) / x.std().replace(0, 1)
+        s.made["representations"] = matrix.fit_representations(sample, REDUCED_CANDIDATES, {"heart_rate_rr": HEART_RATE})
+    return s.made["representations"]
 
 
 def heart_rate_space(s: Study):

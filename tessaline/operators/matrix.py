@@ -170,9 +170,11 @@ def pelt(t: np.ndarray, x: np.ndarray, costs: np.ndarray, model: str, multiplier
 
 def wide_series(long: DataFrame, series: list[str], features: list[str]) -> DataFrame:
     """One row per series: its times in order and the feature vectors at them."""
-    wide = long.groupBy(*series, "RelativeCenter_sec").pivot("Feature", features).agg(F.first("z")).dropna()
-    points = F.array_sort(F.collect_list(F.struct(F.col("RelativeCenter_sec").alias("t"), F.array(*features).alias("x"))))
-    return wide.groupBy(*series).agg(points.alias("p")).select(*series, F.transform("p", lambda v: v["t"]).alias("t"), F.transform("p", lambda v: v["x"]).alias("x"))
+    at = long.groupBy(*series, "RelativeCenter_sec").agg(F.collect_list(F.struct("Feature", "z")).alias("v"))
+    whole = at.filter(F.size("v") == len(features))  # a time counts if all features are known there
+    vector = F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.get(F.filter("v", lambda e: e["Feature"] == f), 0)["z"])
+    points = F.array_sort(F.collect_list(F.struct(F.col("RelativeCenter_sec").alias("t"), vector.alias("x"))))
+    return whole.groupBy(*series).agg(points.alias("p")).select(*series, F.transform("p", lambda v: v["t"]).alias("t"), F.transform("p", lambda v: v["x"]).alias("x"))
 
 
 def score_matrix(series: DataFrame, keys: list[str], reps: list[Representation], least: int = 5) -> DataFrame:
@@ -224,7 +226,9 @@ def balanced_rows(stable: DataFrame, features: list[str], most: int = 40, seed:
     from tessaline.functions.scalars import hash64
 
     order = W.partitionBy("Subject", "ConditionCode").orderBy(hash64(F.col("WindowID"), seed), "WindowID")
-    return stable.dropna(subset=features).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).drop("turn")
+    # one opaque condition: as many single ones the optimizer would combine endlessly
+    whole = F.size(F.array_compact(F.array(*features))) == len(features)
+    return stable.filter(whole).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).drop("turn")
 
 
 def fit_representations(sample: pd.DataFrame, candidates: list[str], families: dict[str, list[str]], rho: float = 0.0, limit: float = 0.90, share: float = 0.80) -> tuple[list[Representation], list[dict]]:
