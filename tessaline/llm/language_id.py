@@ -34,10 +34,11 @@ def runs_of_letters(token: str) -> list[str]:
 
 def flat_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words with marks around each, and the place of each word's first letter or end."""
-    text = "".join("\x02" * (ORDER - 1) + w + "\x03" for w in words)
+    # one more mark in front, so that the first word has a whole context as well
+    text = "\x02" + "".join("\x02" * (ORDER - 1) + w + "\x03" for w in words)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.array([len(w) + ORDER for w in words], np.int64)
-    return codes, np.r_[0, np.cumsum(lengths)[:-1]] + ORDER - 1
+    return codes, np.r_[0, np.cumsum(lengths)[:-1]] + ORDER
 
 
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:

@@ -14,6 +14,7 @@ from tessaline.llm import (
     licenses,
     mixing,
     near_dup,
+    oracle,
     quality,
     sharding,
     token_counts,
@@ -98,4 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_license_scan": oracle.license_sql(),
+    "op7_url_filter": oracle.url_sql(URL_RULES),
+    "op9_source_mix": oracle.mix_sql(),
+}
