@@ -7,10 +7,11 @@ buckets; smaller ones would leave many empty, so there every bucket sees the who
 Sizes from which a partner may lie on the other side get both sketches.
 
 Six registers make a band; documents that agree in one of 32 bands meet in a bin. At a similarity of 0.85 the
-chance to meet in no bin is 3e-7. Within a bin, documents are first compared with one of
-them, the leader. Only those that end up in another component than the leader are compared with
-the rest, a growing number of them in each round, until every pair of a bin is in one component or has
-been compared. So a large group of copies costs comparisons in proportion to its size, and no bin is capped.
+chance to meet in no bin is 3e-7. Within a bin, documents are compared with one of them, the leader; where some
+end up in another component, a few of these lead in their turn. So a large group of copies
+costs comparisons in proportion to its size. What is then still outside its leader's component is mostly unlike all
+others of the bin, as texts that share one passage. For these an exact way remains, a prefix filter: with frequent
+shingles last, two sets can only be similar enough if they share one of their first shingles, 15 % of each set. No bin is capped.
 
 A comparison estimates the similarity from the registers, less what chance collisions add. Pairs
 over six standard errors below the threshold end there; the others are confirmed on the full sets.
@@ -25,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tessaline.llm.common import settle
+from tessaline.llm.common import settle, small
 from tessaline.llm.components import connected_components
 
 BUCKETS, BAND = 192, 6
@@ -47,27 +49,28 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+class WordHashes(dict):
+    """Hash of each word, computed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """Hashes of the distinct shingles of texts. Keeps word hashes, at most ``keep`` of them."""
+    """Hashes of the distinct shingles of texts. Keeps word hashes, about ``keep`` of them."""
 
     def __init__(self, width: int, keep: int = 600_000):
-        self.width, self.keep, self.known = width, keep, {}
+        self.width, self.keep, self.known = width, keep, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower changes A-Z only, bytes.split cuts at ASCII white space only
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.keep:
-                known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.keep:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n, k = len(h), min(self.width, len(h))
         s = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
@@ -134,7 +137,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     percent: int = 85,
     width: int = 5,
-    grow: int = 32,
+    turns: int = 3,
 ) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
 
@@ -196,9 +199,8 @@ def near_duplicates(
     banded = nodes.select("node", "n", "whole", "dealt").mapInArrow(bands, "key long, node long, n long")
     banded = settle(banded, "dup-bands")
     bins = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    place = F.pmod(F.xxhash64("node", "key"), F.col("members"))
     shared = settle(
-        banded.join(bins, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "members", place.alias("place")),
+        banded.join(bins, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "members"),
         "dup-bins",
     )
 
@@ -242,14 +244,20 @@ def near_duplicates(
             at = pa.array(np.flatnonzero(best >= least))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
 
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that the sketches don't rule out."""
+        of = lambda s: sets.select(F.col("node").alias(s), F.col("whole").alias(f"w{s}"), F.col("dealt").alias(f"d{s}"))
+        close = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "da", "wb", "db").mapInArrow(likely, "a long, b long")
+        return close.distinct()
+
     def links(pairs: DataFrame) -> DataFrame:
-        """Confirmed ones of ``pairs(a, b)``."""
-        of = lambda s, x, *more: sets.select(F.col("node").alias(s), F.col("whole").alias(f"w{s}"), F.col("dealt").alias(f"d{s}"))
-        passed = pairs.join(of("a", "a"), "a").join(of("b", "b"), "b").select("a", "b", "wa", "da", "wb", "db").mapInArrow(likely, "a long, b long").distinct()
+        """Those of ``pairs(a, b)`` that the full sets confirm."""
+        passed = settle(pairs, "dup-passed")
         full = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"s{s}"))
         return (
-            passed.join(full("a"), "a")
-            .join(full("b"), "b")
+            small(passed)
+            .join(full("a"), "a")
+            .join(full("b").join(small(settle(passed.select("b").distinct(), "dup-b")), "b", "left_semi"), "b")
             .withColumn("common", F.size(F.array_intersect("sa", "sb")))
             .filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
             .select("a", "b")
@@ -259,10 +267,10 @@ def near_duplicates(
         alike = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
         return df.filter((F.col(x) != F.col(y)) & alike).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    found = settle(links(pairs_of(shared, "lead", "lead_n", "node", "n")), "dup-links")
+    found = settle(links(likely_pairs(pairs_of(shared, "lead", "lead_n", "node", "n"))), "dup-links")
     roots = settle(connected_components(found), "dup-roots")
-    done = 0
-    while True:
+    def open_bins(roots: DataFrame, had: DataFrame | None) -> DataFrame:
+        """Members of the bins that hold documents outside the leader's component which had no turn yet."""
         placed = (
             shared.filter("members > 2")
             .join(roots, "node", "left")
@@ -270,24 +278,60 @@ def near_duplicates(
             .join(roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
             .withColumn("lead_root", F.coalesce("lead_root", "lead"))
         )
-        split = placed.groupBy("key").agg(
-            F.sum(F.when((F.col("root") != F.col("lead_root")) & (F.col("place") >= done), 1).otherwise(0)).alias("outside")
-        )
-        open_ = settle(placed.join(split.filter("outside > 0").select("key"), "key", "left_semi"), "dup-open")
-        if open_.isEmpty():
-            break
-        upto = done + grow
-        x = open_.filter((F.col("root") != F.col("lead_root")) & (F.col("place") >= done) & (F.col("place") < upto)).select(
-            "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")
-        )
-        # those outside that had their turn have met x then
-        y = open_.filter(((F.col("place") >= done) | (F.col("root") == F.col("lead_root"))) & (F.col("node") != F.col("lead"))).select(
-            "key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")
-        )
-        more = links(pairs_of(x.join(y, "key").filter("rx <> ry"), "x", "nx", "y", "ny"))
+        placed = placed.withColumn("had", F.lit(False)) if had is None else placed.join(had, ["key", "node"], "left").withColumn("had", F.coalesce("had", F.lit(False)))
+        placed = placed.withColumn("outside", (F.col("root") != F.col("lead_root")) & ~F.col("had"))
+        split = placed.groupBy("key").agg(F.max("outside").alias("any")).filter("any").select("key")
+        return settle(placed.join(split, "key", "left_semi"), "dup-open")
+
+    def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the confirmed ones of ``pairs`` are added."""
         known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = settle(connected_components(known.unionByName(more)), "dup-roots")
-        done, grow = upto, grow * 32
+        return settle(connected_components(known.unionByName(links(pairs))), "dup-roots")
+
+    open_ = open_bins(roots, None)
+    if not open_.isEmpty():
+        # the same hash orders all bins, so that bins of one group choose the same documents and pairs repeat
+        turn = W.partitionBy("key").orderBy(F.xxhash64("node"))
+        x = settle(open_.filter("outside").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns), "dup-turn")
+        chosen = x.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+        y = open_.filter("node <> lead").select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+        roots = merged(roots, likely_pairs(pairs_of(chosen.join(y, "key").filter("rx <> ry"), "x", "nx", "y", "ny")))
+        open_ = open_bins(roots, x.select("key", "node", F.lit(True).alias("had")))
+    if not open_.isEmpty():
+        left = settle(open_.groupBy("node", "n", "root").agg(F.max("outside").alias("outside")), "dup-left")
+        texts = sets.select("node", "n", "shingles").join(small(left.select("node", "root", "outside")), "node")
+        # frequent shingles as a sample of fixed size shows them; any order gives right results, so sampling it loses nothing
+        some = F.broadcast(left.select("node").orderBy(F.xxhash64("node", F.lit(1))).limit(2000))
+        often = sets.select("node", "shingles").join(some, "node").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+        rank = np.array([r["s"] for r in often.orderBy(F.desc("c"), "s").limit(100_000).collect()], np.int64)[::-1]
+        sent = docs.sparkSession.sparkContext.broadcast((np.sort(rank), np.argsort(rank)))
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common, places = sent.value
+            for b in batches:
+                rows, tokens, places_ = [], [], []
+                for i, s in enumerate(b.column("shingles")):
+                    s = s.values.to_numpy()
+                    order = np.full(len(s), -1)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        order = np.where(common[at] == s, places[at], -1)
+                    length = len(s) - -(-percent * len(s) // 100) + 1
+                    tokens.append(s[np.lexsort((s, order))[:length]])
+                    rows.append(np.full(len(tokens[-1]), i))
+                    places_.append(np.arange(len(tokens[-1])))
+                at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                token = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+                place = pa.array(np.concatenate(places_) if places_ else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([token, place] + [b.column(c).take(at) for c in ("node", "n", "root", "outside")], names=["token", "place", "node", "n", "root", "outside"])
+
+        kept = settle(texts.mapInArrow(prefixes, "token long, place long, node long, n long, root long, outside boolean"), "dup-prefixes")
+        # what passes is so close that an estimate would rule out few: it goes to the full sets at once.
+        # before the first common shingle nothing is shared, so what follows must be enough (positional filter)
+        enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+        x = kept.filter("outside").select("token", F.col("place").alias("px"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+        y = kept.select("token", F.col("place").alias("py"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("outside").alias("oy"))
+        roots = merged(roots, pairs_of(x.join(y, "token").filter("rx <> ry and (x < y or not oy)").filter(enough), "x", "nx", "y", "ny"))
     rooted = linked.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     alone = signed.filter("node is null or id is null").select("id", "n", F.col("id").alias("component_id"))
