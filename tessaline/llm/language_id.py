@@ -59,32 +59,29 @@ class KneserNey:
 
     def __init__(self, texts: dict[str, list[str]], discount: float = 0.75):
         self.languages, self.discount = sorted(texts), discount
-        grams: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]
+        count = len(self.languages)
+        unique: list[list] = [[None] * count for _ in range(ORDER + 1)]
         letters: set[int] = set()
-        for language in self.languages:
-            words = [w for t in texts[language] for token in t.split() for w in runs_of_letters(token)]
-            codes, first = flat_codes(words or [""])
-            real = np.zeros(len(codes), bool)
-            real[np.concatenate([np.arange(a, a + len(w) + 1) for a, w in zip(first, words or [""], strict=True)])] = True
+        for i, language in enumerate(self.languages):  # one at a time: only distinct n-grams stay in memory
+            words = [w for t in texts[language] for token in t.split() for w in runs_of_letters(token)] or [""]
+            codes, first = flat_codes(words)
+            real = np.zeros(len(codes) + 1, np.int8)
+            np.add.at(real, first, 1)
+            np.add.at(real, first + np.array([len(w) + 1 for w in words]), -1)
+            real = np.cumsum(real[:-1], dtype=np.int8).astype(bool)
             letters.update(np.unique(codes[real]).tolist())
             real = real[ORDER - 1 :]
             hashes = gram_hashes(codes)
-            before = [np.r_[np.uint64(0), h[:-1]] for h in hashes]
-            # (n-gram, its context, its tail) of each place
             for n in range(1, ORDER + 1):
-                tail = hashes[n - 1] if n > 1 else np.zeros(len(real), np.uint64)
-                context = before[n - 1] if n > 1 else np.zeros(len(real), np.uint64)
-                grams[n].append(np.stack([hashes[n][real], context[real], tail[real]]))
+                keys, at, number = np.unique(hashes[n][real], return_index=True, return_counts=True)
+                place = np.flatnonzero(real)[at]
+                # context: the n-gram's beginning, which ends one place earlier; tail: all but its first character
+                context = hashes[n - 1][place - 1] if n > 1 else np.zeros(len(keys), np.uint64)
+                tail = hashes[n - 1][place] if n > 1 else np.zeros(len(keys), np.uint64)
+                unique[n][i] = (keys, context, tail, number.astype(np.float64))
         self.size = len(letters) + 1
-        count = len(self.languages)
         self.keys, self.counts = [None] * (ORDER + 1), [None] * (ORDER + 1)
         self.contexts, self.totals, self.kinds = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
-        weights = []
-        unique = [[None] * count for _ in range(ORDER + 1)]
-        for n in range(1, ORDER + 1):
-            for i in range(count):
-                keys, at, number = np.unique(grams[n][i][0], return_index=True, return_counts=True)
-                unique[n][i] = (keys, grams[n][i][1][at], grams[n][i][2][at], number.astype(np.float64))
         for n in range(1, ORDER + 1):
             rows = []
             for i in range(count):
@@ -105,7 +102,6 @@ class KneserNey:
                 at = np.searchsorted(self.contexts[n], context)
                 np.add.at(self.totals[n][:, i], at, number)
                 np.add.at(self.kinds[n][:, i], at, number > 0)
-        del weights
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of P(character | the three before), from place ORDER - 1 on."""
