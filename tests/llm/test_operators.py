@@ -113,6 +113,51 @@ def test_leaks(spark, documents, prose):
     assert decontaminate.find_leaks(documents(rows), bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items, sure=0.75, likely=0.6):
+    """(document, item) -> overlap: every item against every stretch of every text."""
+    out = {}
+    for (i, text), (j, item) in itertools.product(docs, items):
+        a, words, answer = decontaminate.words_of(item), decontaminate.words_of(text), decontaminate.answer_of(item)
+        if not a:
+            continue
+        size, best, found = len(a) + max(2, len(a) // 4), 0, False
+        for k in range(len(words)):
+            n = decontaminate.lcs(a, words[k : k + size])
+            best = max(best, n)
+            found = found or bool(n >= likely * len(a) and answer and decontaminate.lcs(answer, words[k : k + size]) >= 0.8 * len(answer))
+        if best == len(a) or len(a) >= 5 and (best >= sure * len(a) or best >= likely * len(a) and found):
+            out[i, j] = best / len(a)
+    return out
+
+
+def test_leaks_equal_brute_force(spark, documents, prose, rng):
+    often = "the of and to in is that with as it".split()
+
+    def passage(n):
+        words = [rng.choice(often) if rng.random() < 0.5 else prose(1) for _ in range(n)]
+        return " ".join(words[: n - n // 4]) + ". " + " ".join(words[n - n // 4 :]) + "."
+
+    items = [(k, passage(n)) for k, n in enumerate([3, 4, 5, 6, 8, 9, 11, 14, 18, 24, 33, 40, 58, 75, 140] * 2)]
+    rows = [(k, passage(rng.randint(5, 260))) for k in range(40)]
+    for _, item in items:
+        words = item.split()
+        rare = [k for k, w in enumerate(words) if w.strip(".") not in often]
+        for share in (0.0, 0.2, 0.3, 0.4, 0.45):  # the rare words are replaced first, others after them
+            changed, order = list(words), rare + [k for k in range(len(words)) if k not in rare]
+            for k in order[: int(share * len(words))]:
+                changed[k] = prose(1)
+            for _ in range(rng.choice([0, 0, len(words) // 6])):
+                changed.insert(rng.randrange(len(changed)), prose(1))
+            rows.append((len(rows), passage(rng.randint(5, 90)) + " " + " ".join(changed) + " " + passage(rng.randint(5, 90))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(documents([(i, t, "en", "a") for i, t in rows]), bench, fit_docs=200).collect()}
+    want = brute_leaks(rows, items)
+    assert {k: r["overlap"] for k, r in got.items()} == want and len(want) > 80
+    for (i, j), r in got.items():
+        a, words = decontaminate.words_of(items[j][1]), decontaminate.words_of(rows[i][1])[r["first_word"] :]
+        assert decontaminate.lcs(a, words[: len(a) + max(2, len(a) // 4)]) == round(r["overlap"] * len(a))
+
+
 def test_lcs_equals_table(rng):
     for _ in range(50):
         a, b = [rng.randint(0, 5) for _ in range(rng.randint(1, 12))], [rng.randint(0, 5) for _ in range(rng.randint(0, 20))]
