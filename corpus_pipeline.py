@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that with the smallest id."""
-    judged = near_dup.near_duplicates(docs, percent=85, width=5)
+    judged = near_dup.near_duplicates(docs, percent=80, width=5)
     gone = judged.filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

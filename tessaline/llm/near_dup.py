@@ -6,12 +6,12 @@ the 10 bits after the first one. Sets of 1,024 shingles and more are dealt over
 buckets; smaller ones would leave many empty, so there every bucket sees the whole set under a hash of its own.
 Sizes from which a partner may lie on the other side get both sketches.
 
-Six registers make a band; documents that agree in one of 32 bands meet in a bin. At a similarity of 0.85 the
-chance to meet in no bin is 3e-7. Within a bin, documents are compared with one of them, the leader; where some
+Some registers make a band, 6 at a similarity of 0.85 and 5 at 0.8; documents that agree in one of the 32 or 38 bands meet
+in a bin. At the least similarity that links, the chance to meet in no bin is 3e-7. Within a bin, documents are compared with one of them, the leader; where some
 end up in another component, a few of these lead in their turn. So a large group of copies
 costs comparisons in proportion to its size. What is then still outside its leader's component is mostly unlike all
 others of the bin, as texts that share one passage. For these an exact way remains, a prefix filter: with frequent
-shingles last, two sets can only be similar enough if they share one of their first shingles, 15 % of each set. No bin is capped.
+shingles last, two sets can only be similar enough if they share one of their first shingles, 15 or 20 % of each set. No bin is capped.
 
 A comparison estimates the similarity from the registers, less what chance collisions add. Pairs
 over six standard errors below the threshold end there; the others are confirmed on the full sets.
@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 from tessaline.llm.common import settle, small
 from tessaline.llm.components import connected_components
 
-BUCKETS, BAND = 192, 6
-BANDS = BUCKETS // BAND
+BUCKETS = 192
+MISS = 3e-7  # fixed value: the most that the chance to meet in no bin may be
 MANTISSA = 10
 EMPTY = 0xFFFF
 DEALT_FROM = 1024
@@ -40,7 +40,17 @@ U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(3))
 FLIP = _rng.integers(0, 1 << 63, (BUCKETS, 1), dtype=np.uint64)
 ODD = _rng.integers(0, 1 << 63, (BUCKETS, 1), dtype=np.uint64) * U(2) + U(1)
-BAND_ODD = _rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * U(2) + U(1)
+BAND_ODD = _rng.integers(0, 1 << 63, 6, dtype=np.uint64) * U(2) + U(1)
+
+
+def miss(threshold: float, band: int) -> float:
+    """Chance that documents of a similarity of ``threshold`` agree in no band of ``band`` registers."""
+    return (1 - threshold**band) ** (BUCKETS // band)
+
+
+def band_of(threshold: float) -> int:
+    """Registers of a band: as many as keep the chance of a miss within ``MISS``, 6 at most."""
+    return max(k for k in range(1, len(BAND_ODD) + 1) if k == 1 or miss(threshold, k) <= MISS)
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -152,6 +162,8 @@ def near_duplicates(
     ids and band hashes; texts only to fetch the sets of documents that share a bin.
     """
     threshold = percent / 100
+    band = band_of(threshold)
+    n_bands = BUCKETS // band
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -188,8 +200,8 @@ def near_duplicates(
                 if not len(has):
                     continue
                 raw = b"".join(b.column(name).take(pa.array(has)).to_pylist())
-                r = np.frombuffer(raw, np.uint16).reshape(len(has), BANDS, BAND)
-                key = scramble(((r.astype(np.uint64) + U(1)) * BAND_ODD).sum(2) + (np.arange(BANDS, dtype=np.uint64) * U(2) + U(family)) * U(0x9E3779B97F4A7C15))
+                r = np.frombuffer(raw, np.uint16).reshape(len(has), BUCKETS)[:, : n_bands * band].reshape(len(has), n_bands, band)
+                key = scramble(((r.astype(np.uint64) + U(1)) * BAND_ODD[:band]).sum(2) + (np.arange(n_bands, dtype=np.uint64) * U(2) + U(family)) * U(0x9E3779B97F4A7C15))
                 use = (r != EMPTY).any(2)
                 at, _ = np.nonzero(use)
                 yield pa.RecordBatch.from_arrays(

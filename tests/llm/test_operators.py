@@ -80,6 +80,26 @@ def test_near_duplicates_equal_brute_force(spark, documents, prose, rng):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_bands_miss_few():
+    assert [near_dup.band_of(t) for t in (0.8, 0.85)] == [5, 6]
+    assert all(near_dup.miss(p / 100, near_dup.band_of(p / 100)) <= near_dup.MISS for p in range(80, 101))
+
+
+def test_stage_links_from_80_percent(spark, documents, prose):
+    import corpus_pipeline
+
+    rows = []
+    for k in range(30):  # 104 words are 100 shingles; of a changed word and its neighbours 5 are lost: 90 of 110 are shared
+        words = prose(104).split()
+        changed = list(words)
+        changed[30], changed[70] = prose(1), prose(1)
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(changed), "en", "s")]
+    want, _ = brute_components(rows := [(i, t) for i, t, *_ in rows], percent=80)
+    assert len(set(want.values())) == 30 and len(set(brute_components(rows)[0].values())) == 60
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents([(i, t, "en", "s") for i, t in rows]), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
 def test_near_duplicates_odd_rows(documents):
     got = near_dup.near_duplicates(documents(EDGES)).collect()
     assert len(got) == 6 and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} >= {(903, 903, True), (None, None, True), (901, 901, True)}
