@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.sources.shared import settle, shared_dir
+from tessaline.sources.shared import Scratch, settle, shared_dir
 
-__all__ = ["ascii_lower", "settle", "shared_dir", "small", "table"]
+__all__ = ["Scratch", "ascii_lower", "fitted", "settle", "shared_dir", "small", "table"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most: int = 300_000) -> DataFrame:
-    """Marks a settled table of a few fixed-width columns for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, *columns: str, most: int = 300_000) -> DataFrame:
+    """A settled table of a few fixed-width columns, or these of its columns, marked for broadcast if it has at most ``most`` rows."""
+    few = df.count() <= most
+    df = df.select(*columns) if columns else df
+    return F.broadcast(df) if few else df
+
+
+def fitted(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more tasks than they need, 8 at least; a table of many rows stays as it is dealt."""
+    return df.coalesce(max(8, -(-rows // rows_per_task)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessaline.llm.common import settle, small
+from tessaline.llm.common import Scratch, fitted, small
 from tessaline.llm.components import connected_components
 
 BUCKETS = 192
@@ -183,14 +183,13 @@ def near_duplicates(
                 names=["id", "n", "node", "whole", "dealt"],
             )
 
-    signed = settle(rows.mapInArrow(digest, f"id {id_type}, n long, node long, whole binary, dealt binary"), "dup-signed")
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    settle = scratch.settle
+    signed = settle(rows.mapInArrow(digest, f"id {id_type}, n long, node long, whole binary, dealt binary"), "signed")
     linked = signed.filter("node is not null and id is not null")
-    nodes = settle(
-        linked.groupBy("node")
-        .agg(F.min(F.struct("id", "n", "whole", "dealt")).alias("x"))
-        .select("node", F.col("x.id").alias("rep"), "x.n", "x.whole", "x.dealt"),
-        "dup-nodes",
-    )
+    nodes = linked.groupBy("node").agg(F.min(F.struct("id", "n", "whole", "dealt")).alias("x"))
+    nodes = nodes.select("node", F.col("x.id").alias("rep"), "x.n", "x.whole", "x.dealt")
+    nodes = settle(fitted(nodes, signed.count(), 5_000), "nodes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,12 +208,12 @@ def near_duplicates(
                 )
 
     banded = nodes.select("node", "n", "whole", "dealt").mapInArrow(bands, "key long, node long, n long")
-    banded = settle(banded, "dup-bands")
+    banded = settle(banded, "bands")
+    members = banded.count()
     bins = banded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    shared = settle(
-        banded.join(bins, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "members"),
-        "dup-bins",
-    )
+    shared = banded.join(bins, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "members")
+    shared = settle(fitted(shared, members), "bins")
+    met = shared.count()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
@@ -232,14 +231,10 @@ def near_duplicates(
                     )
                     keep, sets = [], []
 
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    sets = settle(
-        rows.filter("text is not null")
-        .join(wanted, rows["id"] == wanted["rep"])
-        .select("text", "node", "n", "whole", "dealt")
-        .mapInArrow(shingles, "node long, n long, whole binary, dealt binary, shingles array<long>"),
-        "dup-sets",
-    )
+    in_bins = settle(fitted(shared.select("node").distinct(), met), "in-bins")
+    wanted = nodes.join(small(in_bins), "node", "left_semi")
+    texts = rows.filter("text is not null").join(wanted, rows["id"] == wanted["rep"]).select("text", "node", "n", "whole", "dealt")
+    sets = settle(fitted(texts, in_bins.count(), 2_000).mapInArrow(shingles, "node long, n long, whole binary, dealt binary, shingles array<long>"), "sets")
     least = threshold - 6 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,20 +251,20 @@ def near_duplicates(
             at = pa.array(np.flatnonzero(best >= least))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
 
-    def likely_pairs(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` that the sketches don't rule out."""
+    def likely_pairs(pairs: DataFrame, most: int) -> DataFrame:
+        """Those of ``pairs(a, b)``, at most about ``most``, that the sketches don't rule out."""
         of = lambda s: sets.select(F.col("node").alias(s), F.col("whole").alias(f"w{s}"), F.col("dealt").alias(f"d{s}"))
-        close = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "da", "wb", "db").mapInArrow(likely, "a long, b long")
-        return close.distinct()
+        pairs = settle(fitted(pairs, most), "pairs")
+        close = small(pairs).join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "da", "wb", "db")
+        return fitted(close, pairs.count(), 10_000).mapInArrow(likely, "a long, b long")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` that the full sets confirm."""
-        passed = settle(pairs, "dup-passed")
+    def links(pairs: DataFrame, most: int) -> DataFrame:
+        """Those of ``pairs(a, b)``, at most about ``most``, that the full sets confirm."""
+        passed = settle(fitted(pairs, most), "passed")
         full = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"s{s}"))
+        both = small(passed).join(full("a"), "a").join(full("b").join(small(passed, "b"), "b", "left_semi"), "b")
         return (
-            small(passed)
-            .join(full("a"), "a")
-            .join(full("b").join(small(settle(passed.select("b").distinct(), "dup-b")), "b", "left_semi"), "b")
+            fitted(both, passed.count(), 2_000)
             .withColumn("common", F.size(F.array_intersect("sa", "sb")))
             .filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
             .select("a", "b")
@@ -279,38 +274,40 @@ def near_duplicates(
         alike = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
         return df.filter((F.col(x) != F.col(y)) & alike).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    found = settle(links(likely_pairs(pairs_of(shared, "lead", "lead_n", "node", "n"))), "dup-links")
-    roots = settle(connected_components(found), "dup-roots")
-    def open_bins(roots: DataFrame, had: DataFrame | None) -> DataFrame:
-        """Members of the bins that hold documents outside the leader's component which had no turn yet."""
-        placed = (
-            shared.filter("members > 2")
-            .join(roots, "node", "left")
-            .withColumn("root", F.coalesce("root", "node"))
-            .join(roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
-            .withColumn("lead_root", F.coalesce("lead_root", "lead"))
+    roots = settle(connected_components(links(likely_pairs(pairs_of(shared, "lead", "lead_n", "node", "n"), met), met), settle=settle), "roots")
+
+    def open_bins(members: DataFrame, roots: DataFrame, had: DataFrame | None) -> DataFrame:
+        """Those of ``members`` whose bin holds documents outside the leader's component which had no turn yet."""
+        placed = members.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("had", F.lit(False))
+        if had is not None:
+            placed = placed.drop("had").join(small(had), ["key", "node"], "left").withColumn("had", F.coalesce("had", F.lit(False)))
+        split = placed.groupBy("key").agg(
+            F.max(F.when(F.col("node") == F.col("lead"), F.col("root"))).alias("lead_root"),
+            F.min(F.when(~F.col("had"), F.col("root"))).alias("low"),
+            F.max(F.when(~F.col("had"), F.col("root"))).alias("high"),
         )
-        placed = placed.withColumn("had", F.lit(False)) if had is None else placed.join(had, ["key", "node"], "left").withColumn("had", F.coalesce("had", F.lit(False)))
-        placed = placed.withColumn("outside", (F.col("root") != F.col("lead_root")) & ~F.col("had"))
-        split = placed.groupBy("key").agg(F.max("outside").alias("any")).filter("any").select("key")
-        return settle(placed.join(split, "key", "left_semi"), "dup-open")
+        split = split.filter("low <> lead_root or high <> lead_root").select("key", "lead_root")
+        return settle(placed.join(small(settle(fitted(split, met), "split")), "key").withColumn("outside", (F.col("root") != F.col("lead_root")) & ~F.col("had")).drop("lead_root", "had"), "open")
 
-    def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Components after the confirmed ones of ``pairs`` are added."""
+    def merged(roots: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+        """Components after the confirmed ones of ``pairs``, at most about ``most``, are added."""
         known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        return settle(connected_components(known.unionByName(links(pairs))), "dup-roots")
+        return settle(connected_components(known.unionByName(links(pairs, most)), settle=settle), "roots")
 
-    open_ = open_bins(roots, None)
+    open_ = open_bins(shared.filter("members > 2").drop("lead_n", "members"), roots, None)
+    scratch.keep(signed, sets, roots, open_)
     if not open_.isEmpty():
         # the same hash orders all bins, so that bins of one group choose the same documents and pairs repeat
         turn = W.partitionBy("key").orderBy(F.xxhash64("node"))
-        x = settle(open_.filter("outside").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns), "dup-turn")
+        most = open_.count()
+        x = open_.filter("outside").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= turns)
+        x = settle(fitted(x, most), "turn")
         chosen = x.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
         y = open_.filter("node <> lead").select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-        roots = merged(roots, likely_pairs(pairs_of(chosen.join(y, "key").filter("rx <> ry"), "x", "nx", "y", "ny")))
-        open_ = open_bins(roots, x.select("key", "node", F.lit(True).alias("had")))
+        roots = merged(roots, likely_pairs(pairs_of(small(chosen).join(y, "key").filter("rx <> ry"), "x", "nx", "y", "ny"), turns * most), turns * most)
+        open_ = open_bins(open_.drop("root", "outside"), roots, x.select("key", "node", F.lit(True).alias("had")))
     if not open_.isEmpty():
-        left = settle(open_.groupBy("node", "n", "root").agg(F.max("outside").alias("outside")), "dup-left")
+        left = settle(fitted(open_.groupBy("node", "n", "root").agg(F.max("outside").alias("outside")), open_.count()), "left")
         texts = sets.select("node", "n", "shingles").join(small(left.select("node", "root", "outside")), "node")
         # frequent shingles as a sample of fixed size shows them; any order gives right results, so sampling it loses nothing
         some = F.broadcast(left.select("node").orderBy(F.xxhash64("node", F.lit(1))).limit(2000))
@@ -337,14 +334,16 @@ def near_duplicates(
                 place = pa.array(np.concatenate(places_) if places_ else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([token, place] + [b.column(c).take(at) for c in ("node", "n", "root", "outside")], names=["token", "place", "node", "n", "root", "outside"])
 
-        kept = settle(texts.mapInArrow(prefixes, "token long, place long, node long, n long, root long, outside boolean"), "dup-prefixes")
+        kept = settle(texts.mapInArrow(prefixes, "token long, place long, node long, n long, root long, outside boolean"), "prefixes")
         # what passes is so close that an estimate would rule out few: it goes to the full sets at once.
         # before the first common shingle nothing is shared, so what follows must be enough (positional filter)
         enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
         x = kept.filter("outside").select("token", F.col("place").alias("px"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
         y = kept.select("token", F.col("place").alias("py"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("outside").alias("oy"))
-        roots = merged(roots, pairs_of(x.join(y, "token").filter("rx <> ry and (x < y or not oy)").filter(enough), "x", "nx", "y", "ny"))
-    rooted = linked.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = fitted(x.join(y, "token").filter("rx <> ry and (x < y or not oy)").filter(enough), kept.count())
+        roots = merged(roots, pairs_of(found, "x", "nx", "y", "ny"), kept.count())
+    scratch.keep(signed, roots)
+    rooted = linked.select("id", "n", "node").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     alone = signed.filter("node is null or id is null").select("id", "n", F.col("id").alias("component_id"))
     return (
