@@ -189,7 +189,8 @@ def near_duplicates(
     linked = signed.filter("node is not null and id is not null")
     nodes = linked.groupBy("node").agg(F.min(F.struct("id", "n", "whole", "dealt")).alias("x"))
     nodes = nodes.select("node", F.col("x.id").alias("rep"), "x.n", "x.whole", "x.dealt")
-    nodes = settle(fitted(nodes, signed.count(), 5_000), "nodes")
+    number = signed.count()
+    nodes = settle(fitted(nodes, number, 5_000), "nodes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,7 +235,7 @@ def near_duplicates(
     in_bins = settle(fitted(shared.select("node").distinct(), met), "in-bins")
     wanted = nodes.join(small(in_bins), "node", "left_semi")
     texts = rows.filter("text is not null").join(wanted, rows["id"] == wanted["rep"]).select("text", "node", "n", "whole", "dealt")
-    sets = settle(fitted(texts, in_bins.count(), 2_000).mapInArrow(shingles, "node long, n long, whole binary, dealt binary, shingles array<long>"), "sets")
+    sets = settle(fitted(texts, number, 5_000).mapInArrow(shingles, "node long, n long, whole binary, dealt binary, shingles array<long>"), "sets")
     least = threshold - 6 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
