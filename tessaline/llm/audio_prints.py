@@ -103,15 +103,7 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, rate: int, decod
     return media.select(id_col, media_col).mapInArrow(compute, f"`{id_col}` {kind}, prints array<int>")
 
 
-def align(
-    prints: DataFrame,
-    id_col: str,
-    is_query: F.Column,
-    most_error: float = 0.1,
-    least_overlap: int = 16,
-    runs: tuple[int, ...] = (1, 8, 32),
-    common: int = 1000,
-) -> DataFrame:
+def align(prints: DataFrame, id_col: str, is_query: F.Column, most_error: float = 0.1, least_overlap: int = 16) -> DataFrame:
     """One row per recording: ``id_col, class_id, is_query, n_matches, matches``.
 
     Recordings with equal prints form a class; class_id is its smallest id, and copies are not paired. matches
@@ -120,37 +112,24 @@ def align(
     ``least_overlap`` integers or half the shorter recording, whichever is less. An empty print is in a class with all other
     empty ones and matches nothing. Null ids get no class and no match. Ties of votes go to the smaller offset.
 
-    An integer that stands in more than ``common`` classes votes only as part of the run of 8 that begins with it,
-    and one such run only as part of 32, so integers of silence don't pair all with all and yet
-    recordings that share longer stretches of them are found. A recording whose runs of 32 are all common
-    is one of more than ``common`` classes with the same stretch; runs of the last length always vote.
+    Every integer votes, however many classes hold it. A stretch of equal integers, as silence gives, votes once, with
+    its first place. Only queries stand on one side of the join, so the votes grow with their number times that of the recordings
+    that share an integer with them; a much shared one is a skewed key of an inner join, whose two sides Spark deals anew.
     """
     rows = settle(prints.select(F.col(id_col).alias("id"), "prints", F.coalesce(is_query, F.lit(False)).alias("q"), F.xxhash64("prints").alias("node")), "audio-prints")
     kind = dict(rows.dtypes)["id"]
     classes = settle(
         rows.filter("id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("q").alias("q"), F.first("prints").alias("prints")), "audio-classes"
     )
-    votes, left = None, None
-    for k, run in enumerate(runs):
-        whole = F.size("prints") >= run
-        starts = F.when(whole, F.sequence(F.lit(0), F.size("prints") - run)).otherwise(F.array().cast("array<int>"))
-        keys = classes.select("node", "q", "prints", F.explode(starts).alias("at")).select("node", "q", "at", F.element_at("prints", F.col("at") + 1).alias("first"), F.xxhash64(F.slice("prints", F.col("at") + 1, run)).alias("key"))
-        if left is not None:
-            keys = keys.join(left, "first", "left_semi")
-        number = keys.select("node", "key", "first").distinct().groupBy("key").agg(F.count("*").alias("n"), F.first("first").alias("first"))
-        number = settle(number.filter("n > 1"), "audio-keys")
-        few = number if k == len(runs) - 1 else number.filter(F.col("n") <= common)
-        voting = keys.join(few.select("key"), "key", "left_semi")
-        other = voting.select("key", F.col("node").alias("other"), F.col("at").alias("at_other"))
-        cast = voting.filter("q").select("key", "node", "at").join(other, "key").filter("node <> other").groupBy("node", "other", (F.col("at_other") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-        votes = cast if votes is None else votes.unionByName(cast)
-        left = number.filter(F.col("n") > common).select("first").distinct()
-        if k < len(runs) - 1 and left.isEmpty():
-            break
+    keys = (
+        classes.select("node", "q", F.posexplode(F.arrays_zip("prints", F.concat(F.array(F.lit(None).cast("int")), F.slice("prints", 1, F.greatest(F.size("prints") - 1, F.lit(0)))).alias("last"))).alias("at", "x"))
+        .filter(F.col("x.last").isNull() | (F.col("x.prints") != F.col("x.last")))
+        .select("node", "q", "at", F.col("x.prints").alias("key"))
+    )
+    other = keys.select("key", F.col("node").alias("other"), F.col("at").alias("at_other"))
+    votes = keys.filter("q").select("key", "node", "at").join(other, "key").filter("node <> other").groupBy("node", "other", (F.col("at_other") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = (
-        votes.groupBy("node", "other", "offset")
-        .agg(F.sum("votes").alias("votes"))
-        .groupBy("node", "other")
+        votes.groupBy("node", "other")
         .agg(F.max(F.struct(F.col("votes"), (-F.col("offset")).alias("back"))).alias("x"))
         .select("node", "other", "x.votes", (-F.col("x.back")).alias("offset"))
     )
@@ -158,8 +137,9 @@ def align(
     pair = best.join(of("node"), "node").join(of("other", F.col("rep").alias("class_id")), "other")
     begin, begin_other = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("p_node") - begin, F.size("p_other") - begin_other)
+    # bit_count takes 64 bits: a negative integer's sign must not count as 32 more
     bits = F.aggregate(
-        F.zip_with(F.slice("p_node", begin + 1, overlap), F.slice("p_other", begin_other + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(F.slice("p_node", begin + 1, overlap), F.slice("p_other", begin_other + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))),
         F.lit(0),
         lambda s, x: s + x,
     )
@@ -196,3 +176,10 @@ def melody(vector: list[float] | None, rate: int = 4000, step: int = 256) -> np.
     hz = np.repeat(440 * 2 ** ((note - 69) / 12), step)
     phase = 2 * np.pi * np.cumsum(hz) / rate
     return 0.5 * np.sin(phase) + 0.2 * np.sin(2 * phase)
+
+
+def excerpt(vector: list[float] | None, rate: int = 4000, step: int = 256, cut: int = 3, noise: float = 0.05) -> np.ndarray:
+    """What a listener records of a vector's melody: ``cut`` hops late, with noise that the vector itself seeds."""
+    samples = melody(vector, rate, step)[cut * HOP :]
+    seed = int(np.abs(np.nan_to_num(np.array([x or 0.0 for x in (() if vector is None else vector)]))).sum() * 1e6) % (1 << 31)
+    return samples + noise * np.random.Generator(np.random.PCG64(seed)).standard_normal(len(samples))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.sources.shared import Scratch, settle, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "fitted", "settle", "shared_dir", "small", "table"]
+__all__ = ["Scratch", "ascii_lower", "fitted", "settle", "shared_dir", "small", "table", "with_row_key"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -35,3 +36,21 @@ def small(df: DataFrame, *columns: str, most: int = 300_000) -> DataFrame:
 def fitted(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
     """``df``, of about ``rows`` rows, in no more tasks than they need, 8 at least; a table of many rows stays as it is dealt."""
     return df.coalesce(max(8, -(-rows // rows_per_task)))
+
+
+def with_row_key(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """``columns`` of ``docs`` and ``row``: a key of each row that is never null and never repeats, in order of the id, null ids last.
+
+    It holds the id and the row's place in its file, so equal rows differ as well and every run gives the same keys. A
+    table that is no file, and so has no places, is first written to the shared folder.
+    """
+    place = F.struct(
+        F.col(id_col).isNull().alias("no_id"),
+        F.coalesce(F.col(id_col), F.lit(0)).alias("id"),
+        F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
+    )
+    try:
+        return docs.select(*columns, place.alias("row"))
+    except AnalysisException:
+        return settle(docs.select(*columns), "rows").select(*columns, place.alias("row"))

@@ -6,7 +6,7 @@ whole batches. A text is read as words of letters, each between a start and an e
 a word's score doesn't depend on its neighbours and is computed once per worker.
 
 The language with the lowest cross-entropy per character wins. A text is rejected if even
-that exceeds what was seen on texts held back from the counts.
+that is far above what pieces of the same length have in texts held back from the counts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 START, END = 2, 3
 UNKNOWN = "und"
-FEW = 50
+ENOUGH = 50  # pieces that a limit is read from, at least
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,7 +55,14 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
 
 
 class KneserNey:
-    """Models of several languages. probabilities() gives one column per language."""
+    """Models of several languages. log_probabilities() gives one column per language."""
+
+    @classmethod
+    def of(cls, parts: dict) -> KneserNey:
+        """The model that has these ``vars()``: lists and arrays only, so they can be sent anywhere."""
+        model = cls.__new__(cls)
+        vars(model).update(parts)
+        return model
 
     def __init__(self, texts: dict[str, list[str]], discount: float = 0.75):
         self.languages, self.discount = sorted(texts), discount
@@ -182,31 +189,72 @@ class Judge:
         odds = np.exp(-(entropy - own[:, None]) * np.minimum(n, 50))
         has = sums[:, -1] > 0
         bits = own / np.log(2)
-        fine = has & ((bits <= self.limits[best]) | (n[:, 0] < FEW)) if self.limits is not None else has
+        fine = has & (bits <= self.limits[length_class(n[:, 0]), best]) if self.limits is not None else has
         names = [self.model.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
         score = np.where(has, 1 / odds.sum(1), 0.0)
         return names, score.tolist(), [b if h else None for b, h in zip(bits.tolist(), has, strict=True)], fine.tolist()
 
 
-def fit(rows: list[tuple[str, str]], order_texts: bool = True) -> tuple[KneserNey, np.ndarray]:
-    """Models and rejection limits from (language, text) rows; every fifth text sets the limits.
+def length_class(chars: np.ndarray) -> np.ndarray:
+    """0 for 1 character, 1 for 2 and 3, 2 for 4 to 7, and so on; 20 at most."""
+    return np.minimum(np.frexp(np.maximum(chars, 1))[1] - 1, 20)
+
+
+def noise_like(text: str, letters: np.ndarray, rng: np.random.Generator) -> str:
+    """``text`` with each letter replaced by one of ``letters``, all as likely."""
+    drawn = iter(letters[rng.integers(0, len(letters), len(text))].tolist())
+    return "".join(next(drawn) if c.isalpha() else c for c in text)
+
+
+def piece_bits(judge: Judge, text: str, language: int) -> list[np.ndarray]:
+    """[length class]: bits per character of the text's pieces of 1, 2, 4, ... tokens."""
+    tokens, found = text.split(), [np.zeros(0)] * 21
+    judge.sums([text])
+    parts, width = judge.table[[judge.place[t] for t in tokens]][:, [language, -1]], 1
+    while width < 2 * len(tokens):
+        sums = np.add.reduceat(parts, np.arange(0, len(parts), width))
+        sums = sums[sums[:, 1] > 0]
+        classes = length_class(sums[:, 1])
+        for k in np.unique(classes):
+            found[k] = np.r_[found[k], -sums[classes == k, 0] / sums[classes == k, 1] / np.log(2)]
+        width *= 2
+    return found
+
+
+def limits_of(judge: Judge, held: dict[str, list[str]], share: float = 0.99) -> np.ndarray:
+    """[length class, language]: largest cross-entropy, in bits per character, that is accepted.
 
-    A limit is 1.75 times the largest cross-entropy that the language's held back texts of 50 or more
-    characters have. Text of another script exceeds it; noise within a text doesn't. Shorter texts are never over it.
+    Two samples are scored in pieces of 1, 2, 4, ... tokens: held back texts, and the same with their letters
+    replaced by random ones of the language. The limit of a length class lies midway between the ``share`` quantile of the former
+    and the 1 - ``share`` quantile of the latter, so an odd text doesn't move it. A class with few
+    pieces takes the limit of the next shorter one, the shortest that of the next longer one.
     """
+    limits = np.full((21, len(judge.model.languages)), np.inf)
+    rng = np.random.Generator(np.random.PCG64(4))
+    for i, language in enumerate(judge.model.languages):
+        texts = held.get(language, [])
+        letters = np.array(sorted({c for t in texts for c in t.lower() if c.isalpha()}) or ["a"])
+        own = [piece_bits(judge, t, i) for t in texts if t.split()]
+        noise = [piece_bits(judge, noise_like(t, letters, rng), i) for t in texts if t.split()]
+        known = np.inf
+        for k in range(21):
+            good, bad = (np.concatenate([x[k] for x in found] or [np.zeros(0)]) for found in (own, noise))
+            if min(len(good), len(bad)) >= ENOUGH:
+                high = float(np.quantile(good, share))
+                known = (high + max(high, float(np.quantile(bad, 1 - share)))) / 2
+            limits[k, i] = known
+        first = int(np.argmin(np.isinf(limits[:, i])))
+        limits[:first, i] = limits[first, i]
+    return limits
+
+
+def fit(rows: list[tuple[str, str]]) -> tuple[KneserNey, np.ndarray]:
+    """Models and rejection limits from (language, text) rows; every fifth text sets the limits."""
     by: dict[str, list[str]] = {}
     for language, text in sorted(rows):
         by.setdefault(language, []).append(text)
     model = KneserNey({k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in by.items()})
-    limits = np.full(len(model.languages), np.inf)
-    judge = Judge(model, None)
-    for i, language in enumerate(model.languages):
-        held = [t for j, t in enumerate(by[language]) if j % 5 == 0]
-        sums = judge.sums(held)
-        long = sums[:, -1] >= FEW
-        if long.any():
-            limits[i] = 1.75 * (-sums[long, i] / sums[long, -1]).max() / np.log(2)
-    return model, limits
+    return model, limits_of(Judge(model, None), {k: v[::5] for k, v in by.items()})
 
 
 def training_rows(labelled: DataFrame, id_col: str, most_docs: int) -> list[tuple[str, str]]:
@@ -235,7 +283,7 @@ def identify_languages(
     the documented bound of the sample that the driver fits the models on. A text that is null or has
     no letter is ``und``, scores 0 and isn't accepted. All else gets the language with the lowest
     cross-entropy per character; ties go to the smaller name. accepted is false where that exceeds
-    the language's limit. With no training row everything is ``und``. Equal texts
+    the language's limit for texts of that length, see ``limits_of``. With no training row everything is ``und``. Equal texts
     get equal results. Columns of the same names are replaced; all others stay.
     """
     rows = training_rows(
@@ -249,12 +297,15 @@ def identify_languages(
         return docs.select(*kept).withColumns(
             {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_char": F.lit(None).cast("double"), "accepted": F.lit(False)}
         )
-    # counts of n-grams: bounded by the sample
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    # counts of n-grams: bounded by the sample; arrays and lists only, so that tasks need no copy of this package
+    model, limits = fit(rows)
+    sent = docs.sparkSession.sparkContext.broadcast((vars(model), limits))
+    del rows, model
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["lang_pred string", "score double", "bits_per_char double", "accepted boolean"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(*sent.value)
+        parts, limits = sent.value
+        judge = Judge(KneserNey.of(parts), limits)
         for b in batches:
             texts = b.column(text_col).to_pylist()
             out, part, chars = ([], [], [], []), [], 0

@@ -38,9 +38,12 @@ def label_weight(labels: DataFrame) -> DataFrame:
     )
 
 
-def uniform(id_: Column, seed: int) -> Column:
-    """Number in (0, 1) from the MD5 digest of seed and id; the same in every run and engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null")))
+def uniform(id_: Column, size: Column, seed: int) -> Column:
+    """Number in (0, 1) from the MD5 digest of seed, id and size; the same in every run and engine.
+
+    The size is in it so that rows without an id, or with one that repeats, don't all get the same key.
+    """
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null")), F.lit(":"), size.cast("string"))
     digits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double")
     return (digits + 0.5) / F.lit(float(1 << 48))
 
@@ -82,22 +85,24 @@ def mix_sources(
     cap: int = 3,
     seed: int = 9,
     bins: int = 4096,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: ``id_col, size, source_size, target, taken``.
+    """One row per document: ``id_col, size, source_size, target, taken``, and the ``carry`` columns as they are.
 
     size: words of the whole text (null: 0). taken: words the mix takes, whole copies only, so at
     most ``cap`` times the size. quality: ``doc_id, weight`` with positive weights, one row per id;
     documents without one weigh 1. The document at which a budget ends is taken if that
-    brings the source nearer to its target. Ties of keys go by id, then size; rows that
+    brings the source nearer to its target. Ties of keys go by id, then size, then the carried columns; rows that
     agree in all of these are interchangeable, and any one of them is taken. Empty texts take nothing; an empty table gives
     an empty result. Null sources are a source of their own. Other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
+    carried = [f"carry_{i}" for i in range(len(carry))]
     if quality is not None:
         narrow = narrow.join(quality.select(F.col("doc_id").alias("id"), "weight"), "id", "left")
     else:
         narrow = narrow.withColumn("weight", F.lit(1.0))
-    u = uniform(F.col("id"), seed)
+    u = uniform(F.col("id"), F.col("size"), seed)
     weight = F.coalesce("weight", F.lit(1.0))
     keyed = narrow.select(
         "id",
@@ -106,6 +111,7 @@ def mix_sources(
         (-F.log(u) / weight).alias("key"),
         # equal keys stay in one bin, and bins follow the order of the keys
         F.least(F.floor((1 - F.exp(F.log(u) / weight)) * bins), F.lit(bins - 1)).cast("int").alias("bin"),
+        *carried,
     )
     rows = settle(keyed, "mix-rows")
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
@@ -139,7 +145,7 @@ def mix_sources(
     side = F.broadcast(per_source) if few else per_source
     joined = rows.alias("s").join(side.alias("t"), same).drop(F.col("t.source"))
     inside = F.col("bin") == F.col("last_bin")
-    order = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source").orderBy("key", "id", "size", *carried).rowsBetween(W.unboundedPreceding, W.currentRow)
     last = joined.filter(inside).withColumn("reach", F.col("words_before") + F.sum("size").over(order))
     nearer = F.col("reach") - F.col("budget") <= F.col("budget") - (F.col("reach") - F.col("size"))
     extra = F.when((F.col("reach") <= F.col("budget")) | nearer, 1).otherwise(0)
@@ -154,5 +160,6 @@ def mix_sources(
             "source_size",
             "target",
             (F.least(F.col("epochs") + F.col("extra"), F.lit(cap)) * F.col("size")).cast("long").alias("taken"),
+            *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
         )
     )

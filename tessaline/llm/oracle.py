@@ -50,9 +50,9 @@ FROM (SELECT page_id, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*
 
 def mix_sql(cap: int = 3, seed: int = 9) -> str:
     return f"""
-WITH d AS (SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(l.weight, 1) AS weight,
-    (('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656e0 AS u
-  FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN max(quality) >= 1 THEN 2.0 ELSE 0.5 END AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) l ON d.doc_id = l.doc_id),
+WITH d AS (SELECT d.doc_id, d.source, d.size, coalesce(l.weight, 1) AS weight,
+    (('0x' || substr(md5('{seed}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || size), 1, 12))::UBIGINT::DOUBLE + 0.5) / 281474976710656e0 AS u
+  FROM (SELECT *, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents) d LEFT JOIN (SELECT doc_id, CASE WHEN max(quality) >= 1 THEN 2.0 ELSE 0.5 END AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id) l ON d.doc_id = l.doc_id),
 s AS (SELECT *, source_size * {cap}::DOUBLE AS most FROM (SELECT source, source_size, [1e0, 2e0, 3e0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source))),
 v AS (SELECT *, row_number() OVER (ORDER BY most / w, source IS NULL, source) AS turn, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM s WINDOW b AS (ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

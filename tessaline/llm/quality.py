@@ -65,20 +65,15 @@ class OrdinalModel:
         return logistic(score[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, texts: list[str], grades: list[int], levels: int, rounds: int = 400, rate: float = 0.05, screen: float = 4.0, least: int = 5) -> OrdinalModel:
-        """Adam on the negative log likelihood; grades weigh by the root of their rarity.
+    def fit(cls, features: list[tuple[np.ndarray, np.ndarray]], grades: list[int], levels: int, rounds: int = 400, rate: float = 0.05, screen: float = 4.0, least: int = 5) -> OrdinalModel:
+        """Adam on the negative log likelihood of texts with these ``Features``; grades weigh by the root of their rarity.
 
         Words get a weight if they stand in ``least`` texts or more and the mean grade of those texts is
         ``screen`` standard errors off the mean of all, or more.
         """
-        feature, rows, cols, shape = Features(), [], [], []
-        for i, text in enumerate(texts):
-            w, s = feature(text)
-            rows.append(np.full(len(w), i))
-            cols.append(w)
-            shape.append(np.sqrt(s / max(1, s.sum())))
-        n, y = len(texts), np.array(grades)
-        row, col, x = np.concatenate(rows), np.concatenate(cols), np.array(shape)
+        n, y = len(features), np.array(grades)
+        row, col = np.repeat(np.arange(n), [len(w) for w, _ in features]), np.concatenate([w for w, _ in features])
+        x = np.array([np.sqrt(s / max(1, s.sum())) for _, s in features], np.float32)
         number = np.bincount(col, minlength=WORDS)
         lean = np.abs(np.bincount(col, (y - y.mean())[row], WORDS))
         used = np.flatnonzero((number >= least) & (lean > screen * max(y.std(), 1e-9) * np.sqrt(number)))
@@ -162,15 +157,29 @@ def rate_quality(
     share = int(min(1.0, most_rated / max(total, 1)) * (1 << 30))
     # at most most_rated rows and a few: small enough to be sent to every task
     picked = F.broadcast(rated.filter(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30)) < share).limit(2 * most_rated))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(picked, "id")
-    rows = sorted((r["id"], r["text"], r["grade"]) for r in sample.limit(4 * most_rated).collect())
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(picked, "id").select("text", "grade")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feature = Features()
+        for b in batches:
+            found = [feature(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("grade").cast(pa.int32()), pa.array([w.astype(np.int32) for w, _ in found], pa.list_(pa.int32())), pa.array([s.astype(np.int32) for _, s in found], pa.list_(pa.int32()))],
+                names=["grade", "words", "shapes"],
+            )
+
+    # the driver gets distinct words as numbers, never texts; in an order of their own, so that the fit is the same in every run
+    rows = sample.mapInArrow(features, "grade int, words array<int>, shapes array<int>").limit(4 * most_rated).toArrow()
+    rows = sorted(zip(*(rows.column(c) for c in ("grade", "words", "shapes")), strict=True), key=lambda r: (r[0].as_py(), r[1].values.to_numpy().tobytes(), r[2].values.to_numpy().tobytes()))
     kind = dict(docs.dtypes)[id_col]
     shape = f"`{id_col}` {kind}, expected_grade double, tails array<double>, grade int, kept boolean"
-    model = OrdinalModel.fit([t for _, t, _ in rows], [int(g) for _, _, g in rows], levels) if rows else None
-    sent = spark.sparkContext.broadcast(model)
+    model = OrdinalModel.fit([(w.values.to_numpy(), s.values.to_numpy()) for _, w, s in rows], [g.as_py() for g, _, _ in rows], levels) if rows else None
+    # arrays only, so that tasks need no copy of this package
+    sent = spark.sparkContext.broadcast(model and (model.words.astype(np.float32), model.shapes, model.thresholds))
+    del rows, model
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent.value is not None else None
+        scorer = Scorer(OrdinalModel(*sent.value)) if sent.value is not None else None
         for b in batches:
             n = b.num_rows
             if scorer is None:

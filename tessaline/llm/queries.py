@@ -20,7 +20,7 @@ from tessaline.llm import (
     token_counts,
     url_filters,
 )
-from tessaline.llm.common import table
+from tessaline.llm.common import settle, table
 
 #: The rules of op7 as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -47,10 +47,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector is played as a melody; the queries are the rows whose id is divisible by 50."""
+    """Every vector is played as a melody. Of each whose id is divisible by 50 a late and noisy excerpt is the query, sought among all melodies.
+
+    One row per vector; matches are those of its excerpt, so a query's own class is among them, three integers late.
+    """
     vectors = table(spark, sf_dir, "embeddings")
-    prints = audio_prints.fingerprints(vectors, "vec_id", "embedding", rate=4000, decode=audio_prints.melody)
-    return audio_prints.align(prints, "vec_id", F.col("vec_id") % 50 == 0)
+    whole = audio_prints.fingerprints(vectors, "vec_id", "embedding", rate=4000, decode=audio_prints.melody)
+    asked = F.col("vec_id") % 50 == 0
+    parts = audio_prints.fingerprints(vectors.filter(asked), "vec_id", "embedding", rate=4000, decode=audio_prints.excerpt)
+    # an excerpt has the number -1 - vec_id
+    parts = parts.withColumn("vec_id", -1 - F.col("vec_id"))
+    aligned = settle(audio_prints.align(whole.unionByName(parts), "vec_id", F.col("vec_id") < 0), "audio-aligned")
+    found = aligned.filter("vec_id < 0").select((-1 - F.col("vec_id")).alias("vec_id"), F.filter("matches", lambda m: m["class_id"] >= 0).alias("found")).dropDuplicates(["vec_id"])
+    every = aligned.filter("vec_id >= 0 or vec_id is null").select("vec_id", F.when(F.col("class_id") < 0, -1 - F.col("class_id")).otherwise(F.col("class_id")).alias("class_id"), "matches")
+    joined = every.join(found, "vec_id", "left").withColumn("matches", F.coalesce("found", "matches"))
+    return joined.select("vec_id", "class_id", F.coalesce(asked, F.lit(False)).alias("is_query"), F.size("matches").alias("n_matches"), "matches")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

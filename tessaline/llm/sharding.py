@@ -93,7 +93,7 @@ def shard_documents(
 
     Texts are read once, into a narrow table in the shared folder. A group may hold any
     share of all rows: sums are pre-aggregated on the map side, and slots are numbered in
-    chunks of a shard dealt by id, then moved by the counts of the chunks before.
+    chunks of a shard dealt by id and digest, then moved by the counts of the chunks before.
     """
     text = F.col(text_col)
     rows = settle(
@@ -117,7 +117,7 @@ def shard_documents(
     most = max((sum(n for _, _, n in sums[a:b]) for a, b in zip(edges, edges[1:], strict=False)), default=0)
     chunks = max(8, -(-most // rows_per_chunk))
     dealt = rows.withColumn("shard", shard.cast("int")).withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
+        "chunk", F.pmod(F.xxhash64("id", "digest"), F.lit(chunks)).cast("int")
     )
     before = (
         dealt.groupBy("shard", "chunk")

@@ -121,6 +121,12 @@ def test_components(spark):
     assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
 
 
+def test_components_of_many_tasks_equal_one(spark, rng):
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 560)], "a long, b long")
+    one, many = (sorted(map(tuple, connected_components(edges, edges_per_task=n).collect())) for n in (10_000, 40))
+    assert one == many and len(one) > 300
+
+
 def test_leaks(spark, documents, prose):
     items = [(k, prose(30 + k) + ". " + prose(6) + ".") for k in range(12)]
     bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
@@ -198,6 +204,8 @@ def test_language_id(documents, rng):
     assert all(got[i]["lang_pred"] == lang for i, _, lang, _ in rows if i >= 80)
     assert got[800]["lang_pred"] == got[900]["lang_pred"] == "und" and got[800]["score"] == 0
     assert not got[801]["accepted"] and all(got[i]["accepted"] for i in range(80, 120)) and all(0 <= r["score"] <= 1 for r in got.values())
+    short = {r["doc_id"]: r["accepted"] for r in language_id.identify_languages(documents([(1, "ΔΩΨ ΘΞΠ", None, "s"), (2, "qzx wkj", None, "s"), (3, "theing", None, "s")]), training).collect()}
+    assert short == {1: False, 2: False, 3: True}
     none = language_id.identify_languages(docs, training.limit(0)).select("lang_pred").distinct().collect()
     assert [r["lang_pred"] for r in none] == ["und"]
 
@@ -234,6 +242,51 @@ def test_audio(spark):
     assert len({(q, m["class_id"]) for q in where for m in got[q]["matches"]} & close) >= 0.9 * len(close)
 
 
+def test_audio_alignment_equals_brute_force(spark):
+    """Over a thousand classes share all their integers but a few; short ones and stretches of silence are among them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 31), 1 << 31, 12, dtype=np.int64)
+    rows = []
+    for i in range(1100):
+        x = base[: rng.integers(4, 13)].copy()
+        x[rng.integers(len(x))] = rng.integers(-(1 << 31), 1 << 31)
+        rows.append((i, [int(v) for v in x]))
+    rows += [(2000, [7] * 40 + [int(v) for v in base]), (2001, [7] * 5 + [int(v) for v in base]), (2002, [7] * 3), (2003, []), (2004, None), (None, [7] * 3)]
+    prints = spark.createDataFrame(rows, "id long, prints array<int>")
+    got = {r["id"]: {m["class_id"] for m in r["matches"]} for r in audio_prints.align(prints, "id", F.col("id") % 500 == 0).collect()}
+    first: dict[tuple, int] = {}
+    for i, x in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        first.setdefault(tuple(x), i)
+    a = {i: np.array(x, np.int64).astype(np.uint32) for x, i in ((x, i) for x, i in first.items())}
+    for q in (0, 500, 1000, 2000):
+        x, want = np.array(dict(rows)[q], np.int64).astype(np.uint32), set()
+        for i, y in a.items():
+            votes = {}
+            for at, v in enumerate(x):
+                for at_other, w in enumerate(y):
+                    if v == w and (at == 0 or x[at - 1] != v) and (at_other == 0 or y[at_other - 1] != w):
+                        votes[at_other - at] = votes.get(at_other - at, 0) + 1
+            if not votes or tuple(dict(rows)[i]) == tuple(dict(rows)[q]):
+                continue
+            o = min(votes, key=lambda o: (-votes[o], o))
+            s, t = x[max(0, -o) :], y[max(0, o) :]
+            n = min(len(s), len(t))
+            if n >= min(16, -(-min(len(x), len(y)) // 2)) and np.bitwise_count(s[:n] ^ t[:n]).sum() / (32 * n) <= 0.1:
+                want.add(i)
+        assert got[q] == want and (q == 2000 or len(want) > 100)
+
+
+def test_audio_query_finds_its_excerpts():
+    """A tenth of the table's queries at least would have to fail for this to fail: recall of 0.9."""
+    rng = np.random.default_rng(8)
+    hits = 0
+    for _ in range(40):
+        v = rng.normal(size=64).tolist()
+        whole, part = (audio_prints.packed(audio_prints.chroma(f(v), 4000)).view(np.uint32) for f in (audio_prints.melody, audio_prints.excerpt))
+        hits += np.bitwise_count(whole[3 : 3 + len(part)] ^ part[: len(whole) - 3]).mean() / 32 <= 0.1
+    assert hits >= 36
+
+
 def test_sharding(documents, prose, rng):
     texts = [prose(rng.randint(1, 60)) for _ in range(200)]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(1000 + i, texts[0], "en", "s") for i in range(60)] + EDGES
