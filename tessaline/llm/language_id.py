@@ -140,7 +140,7 @@ class KneserNey:
 class Judge:
     """Scores texts; keeps the scores of short tokens, at most ``keep`` of them."""
 
-    def __init__(self, model: KneserNey, limits: np.ndarray | None, keep: int = 400_000):
+    def __init__(self, model: KneserNey, limits: np.ndarray | None, keep: int = 200_000):
         self.model, self.limits, self.keep = model, limits, keep
         self.forget()
 
@@ -275,7 +275,7 @@ def identify_languages(
     text_col: str = "text",
     id_col: str = "doc_id",
     most_docs: int = 160,
-    slice_chars: int = 1 << 20,
+    slice_chars: int = 1 << 19,
 ) -> DataFrame:
     """Add ``lang_pred, score, bits_per_char, accepted`` to ``docs``.
 
@@ -307,12 +307,11 @@ def identify_languages(
         parts, limits = sent.value
         judge = Judge(KneserNey.of(parts), limits)
         for b in batches:
-            texts = b.column(text_col).to_pylist()
             out, part, chars = ([], [], [], []), [], 0
-            for i, text in enumerate(texts):
-                part.append(text)
-                chars += len(text or "")
-                if chars >= slice_chars or i == len(texts) - 1:
+            for i, text in enumerate(b.column(text_col)):
+                part.append(text.as_py())
+                chars += len(part[-1] or "")
+                if chars >= slice_chars or i == b.num_rows - 1:
                     for o, x in zip(out, judge.judge(part), strict=True):
                         o.extend(x)
                     part, chars = [], 0

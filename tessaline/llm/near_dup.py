@@ -70,7 +70,7 @@ class WordHashes(dict):
 class Shingler:
     """Hashes of the distinct shingles of texts. Keeps word hashes, about ``keep`` of them."""
 
-    def __init__(self, width: int, keep: int = 600_000):
+    def __init__(self, width: int, keep: int = 250_000):
         self.width, self.keep, self.known = width, keep, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
