@@ -1,14 +1,15 @@
 """License scans: exact phrases, and an exact set-similarity join against license templates.
 
-DataFrame operations only. A text block is a window of consecutive words; every template is
-short enough to lie within one window wherever it stands. A block meets a template if it
+DataFrame operations only. A text block is a window of consecutive words, twice as long as the longest
+template, so every template lies within one window wherever it stands. A block meets a template if it
 holds at least ``threshold`` of the template's distinct words.
 
 Words are ordered by how many documents hold them, counted over the whole corpus, rarest
 first. A block that meets a template must hold one of its first m - need + 1 words (prefix
 filter), enough template words at all (length filter), and enough of them from the first common
-word on (positional filter). Documents are filtered in the same way before they are cut
-into blocks: a block's words are a subset of its document's.
+word on (positional filter). The templates' first words make an index, word -> templates; a document's words are looked up in
+it, and only the templates found there are held against its blocks: a block's words are a subset of its document's.
+The first pass over the texts, for the order, counts words of templates alone.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ TEMPLATES = [
 ]
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, STEP = 64, 32
+BLOCK, STEP = 64, 32  # at least: templates of over STEP words make both longer
 
 
 def words_of(text: Column) -> Column:
@@ -79,16 +80,15 @@ def scan_licenses(
     largest start (null without one). labels adds those of templates found in a block. score is
     1 where a phrase stands, else the largest containment found at or over the
     threshold, else 0. blocks lists (block, label, containment) of all matches. Null and empty texts have no
-    word. Rows are judged one by one, so repeated ids stay apart. Templates of over 32 words
-    don't fit a block, and with under 8 distinct ones common words alone would meet them: both
-    raise ValueError. Other columns are not read.
+    word. Rows are judged one by one, so repeated ids stay apart. Templates may be whole license texts; with under 8 distinct words
+    common words alone would meet one, which raises ValueError. Other columns are not read.
 
     The number of templates is a parameter and bounds all that is sent to the tasks.
     """
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    if any(len(t.split()) > BLOCK - STEP for _, t in templates):
-        raise ValueError(f"templates must not exceed {BLOCK - STEP} words")
+    step = max([STEP, *(len(t.split()) for _, t in templates)])
+    block_words = max(BLOCK, 2 * step)
     if any(len(set(t.split())) < 8 for _, t in templates):
         raise ValueError("templates must have 8 distinct words at least")
     vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p in phrases for w in p.split()})
@@ -103,14 +103,16 @@ def scan_licenses(
     base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).withColumn(
         "held", F.array_intersect("words", strings(sorted(rank, key=rank.__getitem__)))
     )
-    may_be = lambda held: F.array_compact(
-        F.array(
-            *[
-                F.when(F.arrays_overlap(held, strings(ws[: len(ws) - need + 1])) & (F.size(F.array_intersect(held, strings(ws))) >= need), F.lit(i))
-                for i, (_, ws, need) in enumerate(plan)
-            ]
-        )
-    )
+    index: dict[str, list[int]] = {}
+    for i, (_, ws, need) in enumerate(plan):
+        for w in ws[: len(ws) - need + 1]:
+            index.setdefault(w, []).append(i)
+    looked_up = F.create_map(*[x for w, ids in index.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in ids]))]) if index else F.create_map().cast("map<string,array<int>>")
+    listed = F.array(*[F.struct(F.lit(label).alias("label"), strings(ws).alias("words"), strings(ws[: len(ws) - need + 1]).alias("prefix"), F.lit(need).alias("need")) for label, ws, need in plan])
+    template = lambda i: F.get(listed, i)
+    enough = lambda i, words: F.size(F.array_intersect(template(i)["words"], words)) >= template(i)["need"]
+    found = F.array_distinct(F.flatten(F.transform(F.filter("held", lambda w: F.map_contains_key(looked_up, w)), lambda w: F.element_at(looked_up, w))))
+    may_be = F.filter(found, lambda i: enough(i, F.col("held"))) if plan else F.array().cast("array<int>")
     places = [
         F.when(F.size(F.array_intersect("held", strings(sorted(set(p.split()))))) == len(set(p.split())), phrase_starts(F.col("words"), p)).otherwise(
             F.array().cast("array<int>")
@@ -119,28 +121,28 @@ def scan_licenses(
     ]
     number = F.size("words")
     windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil((number - BLOCK) / STEP), F.lit(0)).cast("int")),
-        lambda i: F.slice(F.col("words"), i * STEP + 1, BLOCK),
+        F.sequence(F.lit(0), F.greatest(F.ceil((number - block_words) / step), F.lit(0)).cast("int")),
+        lambda i: F.struct(i.alias("block"), F.slice(F.col("words"), i * step + 1, block_words).alias("words")),
     )
 
-    def matched(block: Column, i: Column) -> Column:
-        found = []
-        for label, ws, need in plan:
-            common = F.array_intersect(strings(ws), block)
-            # the place of the first common word leaves too few words from there on
-            place = F.array_position(strings(ws), F.element_at(common, 1))
-            passes = F.arrays_overlap(strings(ws[: len(ws) - need + 1]), block) & (len(ws) - place + 1 >= need)
-            share = F.size(common) / float(len(ws))
-            hit = F.struct(i.alias("block"), F.lit(label).alias("label"), share.cast("double").alias("containment"))
-            found.append(F.when(passes & (F.size(common) >= need), hit))
-        return F.array_compact(F.array(*found))
+    def met(window: Column, i: Column) -> Column:
+        words, common = template(i)["words"], F.array_intersect(template(i)["words"], window["words"])
+        # the place of the first common word must leave enough words from there on
+        late = F.size(words) - F.array_position(words, F.element_at(common, 1)) + 1
+        return F.arrays_overlap(template(i)["prefix"], window["words"]) & (F.size(common) >= template(i)["need"]) & (late >= template(i)["need"])
+
+    def matched(window: Column) -> Column:
+        share = lambda i: F.size(F.array_intersect(template(i)["words"], window["words"])) / F.size(template(i)["words"]).cast("double")
+        return F.transform(
+            F.array_sort(F.filter("candidates", lambda i: met(window, i))),
+            lambda i: F.struct(window["block"].alias("block"), template(i)["label"].alias("label"), share(i).alias("containment")),
+        )
 
     empty = "array<struct<block:int,label:string,containment:double>>"
-    blocks = F.when(
-        F.size("candidates") > 0, F.flatten(F.transform(windows, matched)).cast(empty)
-    ).otherwise(F.array().cast(empty))
+    none = F.array().cast(empty)
+    blocks = F.when(F.size("candidates") > 0, F.flatten(F.transform(windows, matched)).cast(empty)).otherwise(none) if plan else none
     judged = (
-        base.withColumn("candidates", may_be(F.col("held")))
+        base.withColumn("candidates", may_be)
         .select("id", number.cast("long").alias("n_words"), *[p.alias(f"p{i}") for i, p in enumerate(places)], blocks.alias("blocks"))
     )
     starts = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])

@@ -37,6 +37,30 @@ def test_licenses_equal_plain_containment(documents, rng):
         assert got[i] == want
 
 
+def test_licenses_whole_texts_as_templates(documents, prose, rng):
+    """Templates of several lengths up to 170 words, some absent, in texts around a block's length and far longer; null, empty and repeated rows."""
+    long = [prose(n).split() for n in (170, 90, 33, 12)]
+    templates = [(f"t{i}", " ".join(ws)) for i, ws in enumerate(long)]
+    rows = []
+    for i, ws in enumerate(long):
+        for keep in (1.0, 0.85, 0.7):
+            kept = [w if rng.random() < keep else prose(1) for w in ws]
+            rows.append((len(rows), prose(rng.randint(0, 400)) + " " + " ".join(kept) + " " + prose(rng.randint(0, 400)), "en", "a"))
+    rows.append((99, prose(30_000) + " " + " ".join(long[1]), "en", "a"))
+    got = licenses.scan_licenses(documents([*rows, rows[0], *EDGES]), phrases={"a b": "x"}, templates=templates).collect()
+    by = {r["doc_id"]: {(m["block"], m["label"], m["containment"]) for m in r["blocks"]} for r in got}
+    for i, text, *_ in rows:
+        w, want = text.split(), set()
+        for b in range(max(0, -(-(len(w) - 340) // 170)) + 1):
+            for label, t in templates:
+                share = len(set(t.split()) & set(w[b * 170 : b * 170 + 340])) / len(set(t.split()))
+                if share >= 0.8:
+                    want.add((b, label, share))
+        assert by[i] == want
+    assert len(got) == len(rows) + 1 + len(EDGES) and by[99] and not by[901] and by[None] == set()
+    assert licenses.scan_licenses(documents([])).count() == 0 and licenses.scan_licenses(documents(EDGES), templates=[]).filter("size(blocks) > 0").count() == 0
+
+
 TEMPLATE = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 
 
