@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tessaline.config import ALL23, HEART_RATE, LOG1P
+from tessaline.config import ALL23, FAMILIES, LOG1P
+from tessaline.plans.study import CONFIGURATIONS
 
 LONG = lambda src, ids, feats: " UNION ALL ".join(
     f"SELECT {ids}, '{f}' AS Feature, " + (f"CASE WHEN {f} >= 0 THEN ln(1 + {f}) END" if f in LOG1P else f) + f" AS value FROM {src}" for f in feats
@@ -66,7 +67,6 @@ SELECT *, WindowFailureReason = '' AS WindowValid FROM (
   FROM (SELECT s.*, WindowLength_sec, unnest(range(0, floor((360 - WindowLength_sec) / 5e0)::INT + 1))::INT AS WindowIndex
         FROM (SELECT DISTINCT Subject, Session, ConditionCode FROM samples) s, lengths) g
   LEFT JOIN feats2 f ON g.Subject = f.Subject AND g.Session = f.Session AND g.WindowLength_sec = f.WindowLength_sec AND g.WindowIndex = f.WindowIndex)"""
-CTES["quality"] = f"SELECT * FROM master WHERE WindowValid AND RR_CorrectedPercent <= 20 AND {WHOLE}"
 CTES["sessions"] = "SELECT Subject, Session, min(ConditionCode) AS ConditionCode, min(SessionDuration_sec) AS SessionDuration_sec FROM master GROUP BY ALL"
 CTES["inventory"] = """
 SELECT a.Subject, a.Session AS PreSession, b.Session AS PostSession, a.ConditionCode AS PreConditionCode, b.ConditionCode AS PostConditionCode,
@@ -136,15 +136,6 @@ SELECT NormKey, WindowLength_sec, NormSource, Feature, n, centre, CASE WHEN md >
   CASE WHEN md > 1e-12 THEN 'MAD' WHEN iq > 1e-12 THEN 'IQR' WHEN sd > 1e-12 THEN 'SD' ELSE 'constant_fallback' END AS method
 FROM (SELECT NormKey, WindowLength_sec, NormSource, Feature, count(*) AS n, median(value) AS centre, 1.4826 * mad(value) AS md, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS iq, stddev_samp(value) AS sd
   FROM ({LONG(f"sample_{kind}", "NormKey, WindowLength_sec, NormSource", ALL23)}) WHERE value IS NOT NULL GROUP BY ALL)"""
-CTES["long_real"] = f"""
-SELECT l.BoundaryID, l.Subject, l.TransitionType, l.BoundaryOrder, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
-FROM ({LONG("obs", "BoundaryID, Subject, TransitionType, BoundaryOrder, RelativeCenter_sec, WindowLength_sec", HEART_RATE)}) l
-JOIN norm_real p ON p.NormKey = l.BoundaryID AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature
-JOIN elig e ON e.BoundaryID = l.BoundaryID AND e.WindowLength_sec = l.WindowLength_sec AND e.Eligible WHERE l.value IS NOT NULL"""
-CTES["long_pseudo"] = f"""
-SELECT l.CandidateID, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
-FROM ({LONG("pobs", "CandidateID, Subject || '_S' || Session AS NormKey, RelativeCenter_sec, WindowLength_sec", HEART_RATE)}) l
-JOIN norm_pseudo p ON p.NormKey = l.NormKey AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature WHERE l.value IS NOT NULL"""
 SEARCHES = "(SELECT 'post_only' AS SearchWindow, 0e0 AS sa, 60e0 AS sb UNION ALL SELECT 'anticipatory', -30e0, 60e0)"
 for kind, key in (("real", "BoundaryID"), ("pseudo", "CandidateID")):
     s = f"{key}, WindowLength_sec"
@@ -218,19 +209,45 @@ SELECT r.*, p.* EXCLUDE ({PAIR}) FROM (SELECT {PAIR}, avg(Detected::INT) AS Real
 JOIN (SELECT {PAIR}, PseudoCondition, avg(Detected::INT) AS PseudoDetected, avg(Score) AS PseudoScore, avg(Latency_sec) AS PseudoLatency, count(DISTINCT CandidateBlockID) AS PseudoControls FROM results WHERE BoundaryKind = 'Pseudo' GROUP BY ALL) p USING ({PAIR})"""
 
 
-def sql(select: str, doubles: str = "") -> str:
+def configured(corrected: float, space: str) -> dict[str, str]:
+    """The expressions that hang on a configuration."""
+    return {
+        "quality": f"SELECT * FROM master WHERE WindowValid AND RR_CorrectedPercent <= {corrected:g} AND {WHOLE}",
+        "long_real": f"""
+SELECT l.BoundaryID, l.Subject, l.TransitionType, l.BoundaryOrder, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
+FROM ({LONG("obs", "BoundaryID, Subject, TransitionType, BoundaryOrder, RelativeCenter_sec, WindowLength_sec", FAMILIES[space])}) l
+JOIN norm_real p ON p.NormKey = l.BoundaryID AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature
+JOIN elig e ON e.BoundaryID = l.BoundaryID AND e.WindowLength_sec = l.WindowLength_sec AND e.Eligible WHERE l.value IS NOT NULL""",
+        "long_pseudo": f"""
+SELECT l.CandidateID, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
+FROM ({LONG("pobs", "CandidateID, Subject || '_S' || Session AS NormKey, RelativeCenter_sec, WindowLength_sec", FAMILIES[space])}) l
+JOIN norm_pseudo p ON p.NormKey = l.NormKey AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature WHERE l.value IS NOT NULL""",
+    }
+
+
+CTES |= configured(20, "heart_rate_rr")
+
+
+def grid_sql(select: str, doubles: str = "") -> str:
+    """``select`` in every configuration."""
+    return " UNION ALL ".join(f"SELECT *, {c:g}e0 AS RRThreshold, '{space}' AS Representation FROM ({sql(select, doubles, c, space)})" for c, space in CONFIGURATIONS)
+
+
+def sql(select: str, doubles: str = "", corrected: float = 20, space: str = "heart_rate_rr") -> str:
     """``select`` with the expressions that it needs in front; the columns named in ``doubles`` are rounded."""
     needed: list[str] = []
+    known = CTES | configured(corrected, space)
 
     def visit(text: str, own: str = "") -> None:
         for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN|,)\s+\(?([a-z_0-9]+)\b", text)):
-            if word in CTES and word != own and word not in needed:
-                visit(CTES[word], word)
+            if word in known and word != own and word not in needed:
+                visit(known[word], word)
                 needed.append(word)
 
     visit(select)
     body = select
     if doubles:
-        body = f"SELECT * REPLACE ({', '.join(f'CASE WHEN abs({c}) < 1000 THEN round({c} * 1.0000000007e0, 6) ELSE round({c} * 1.0000000007e0, 3) END + 0 AS {c}' for c in doubles.split())}) FROM ({select})"
-    with_ = ", ".join(f"{n} AS {'' if n == 'thin' else 'MATERIALIZED '}({CTES[n]})" for n in needed)
+        short = lambda c: f"CASE WHEN abs({c}) < 1000 THEN round(try_cast({c} AS DECIMAL(38,9)), 6)::DOUBLE ELSE round(try_cast({c} AS DECIMAL(38,9)), 3)::DOUBLE END AS {c}"
+        body = f"SELECT * REPLACE ({', '.join(map(short, doubles.split()))}) FROM ({select})"
+    with_ = ", ".join(f"{n} AS {'' if n == 'thin' else 'MATERIALIZED '}({known[n]})" for n in needed)
     return f"WITH RECURSIVE {with_} {body}" if needed else body

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessaline.checks.queries import query
-from tessaline.config import ALL23, HEART_RATE, REDUCED_CANDIDATES
+from tessaline.checks.ctes import WHOLE
+from tessaline.checks.queries import COMPARED, EFFECTS, query
+from tessaline.config import ALL23, FREQUENCY, HEART_RATE, LOG1P, NONLINEAR, PELT_MULTIPLIERS, REDUCED_CANDIDATES
 from tessaline.functions import scalars as S
 from tessaline.operators import calibration as C
 from tessaline.operators import gee, lopo, matrix, reports, signal, simulation, timing
 from tessaline.operators import inference as I
+from tessaline.operators.detectors import boundary_magnitude, pelt_base_penalty
 from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.plans.study import THRESHOLD, Study
@@ -76,7 +78,7 @@ query(
     .select("doc_id", "Subject", "Session", "ConditionCode", "LabelMismatch")
 )
 query("cp10_pelt_penalty", "SELECT p_partkey, (p_size + 1) * ln(p_partkey + 1) AS penalty FROM part", "penalty")(
-    lambda spark, d: SRC.read(spark, d, "part").select("p_partkey", ((F.col("p_size") + 1) * F.log((F.col("p_partkey") + 1).cast("double"))).alias("penalty"))
+    lambda spark, d: SRC.read(spark, d, "part").select("p_partkey", pelt_base_penalty(F.col("p_size"), (F.col("p_partkey") + 1).cast("double"), "l2").alias("penalty"))
 )
 query(
     "win11_lag1_correlation",
@@ -90,47 +92,49 @@ query(
 # ---- matrix detectors; no SQL for these
 
 
-def representations(s: Study):
-    """Fitted once per study, on a balanced sample of bounded size."""
-    if "representations" not in s.made:
-        stable = Q.stable_rows(s.master, THRESHOLD, 60.0).filter("WindowLength_sec = 30")
-        scaled = settle(stable.select("Subject", "ConditionCode", "WindowID", *[S.log_feature(c, c).alias(c) for c in ALL23]), "study-stable")
-        sample = matrix.balanced_rows(scaled, ALL23).toPandas().sort_values("WindowID")
-        x = sample[ALL23]
-        sample[ALL23] = (x - x.median()) / x.std().replace(0, 1)
-        s.made["representations"] = matrix.fit_representations(sample, REDUCED_CANDIDATES, {"heart_rate_rr": HEART_RATE})
-    return s.made["representations"]
+BALANCED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY ('0x' || substr(sha256('42|' || WindowID), 1, 16))::UBIGINT, WindowID) AS turn FROM quality WHERE StartTime_sec >= 60 AND EndTime_sec <= SessionDuration_sec - 60) WHERE turn <= 40"
+_LOGGED = ", ".join(f"ln(1 + {c}) AS {c}" if c in LOG1P else c for c in ALL23)
+STANDARD = f"SELECT WindowID, WindowLength_sec, {', '.join(f'({c} - median({c}) OVER w) / CASE WHEN stddev_samp({c}) OVER w > 0 THEN stddev_samp({c}) OVER w ELSE 1 END AS {c}' for c in ALL23)} FROM (SELECT WindowID, WindowLength_sec, {_LOGGED} FROM ({BALANCED})) WINDOW w AS (PARTITION BY WindowLength_sec)"
 
+query("rep2_pruning")(lambda s: s.spark.createDataFrame(s.fits()[1], "WindowLength_sec int, Feature string, Kept boolean, Representative string, AbsRho double"))
+_RANKED = ", ".join(f"rank() OVER (PARTITION BY WindowLength_sec ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY WindowLength_sec, round({c}, 9)) - 1) / 2e0 AS {c}" for c in REDUCED_CANDIDATES)
+_RHO = " UNION ALL ".join(f"SELECT WindowLength_sec, '{a}' AS A, '{b}' AS B, corr({a}, {b}) AS Rho FROM ranked GROUP BY ALL" for i, a in enumerate(REDUCED_CANDIDATES) for b in REDUCED_CANDIDATES[i + 1 :])
+query("rep2_rank_correlations", f"SELECT * FROM (WITH ranked AS MATERIALIZED (SELECT WindowLength_sec, {_RANKED} FROM ({STANDARD})) {_RHO})", "Rho")(lambda s: matrix.rank_correlations(s.standard, REDUCED_CANDIDATES, "WindowLength_sec"))
 
-def heart_rate_space(s: Study):
-    return next(r for r in representations(s)[0] if r.name == "heart_rate_rr")
-
-
-@query("rep2_pruning")
-def pruning(s: Study):
-    return s.spark.createDataFrame(representations(s)[1], "Feature string, Kept boolean, Representative string, AbsRho double")
 
-
-@query("rep3_covariances")
+@query(
+    "rep3_covariances",
+    f"""SELECT WindowLength_sec, i::INT AS i, j::INT AS j, (1 - share) * c + CASE WHEN i = j THEN share * mu ELSE 0 END AS value FROM (
+      SELECT *, CASE WHEN spread > 0 THEN greatest(0, least(spread, (fourth - square) / (5 * n))) / spread ELSE 0 END AS share FROM (
+        SELECT *, sum(c * c) OVER w AS square, sum(CASE WHEN i = j THEN c END) OVER w / 5 AS mu, (sum(c * c) OVER w - 5 * (sum(CASE WHEN i = j THEN c END) OVER w / 5) ** 2) / 5 AS spread
+        FROM (SELECT * FROM (SELECT a.WindowLength_sec, a.k AS i, b.k AS j, covar_pop(a.v, b.v) AS c, count(*) AS n FROM five a JOIN five b ON a.WindowID = b.WindowID AND a.WindowLength_sec = b.WindowLength_sec GROUP BY ALL)
+          JOIN (SELECT WindowLength_sec, avg(l * l) AS fourth FROM (SELECT WindowLength_sec, WindowID, sum(d * d) AS l FROM (SELECT *, v - avg(v) OVER (PARTITION BY WindowLength_sec, k) AS d FROM five) GROUP BY ALL) GROUP BY ALL) USING (WindowLength_sec))
+        WINDOW w AS (PARTITION BY WindowLength_sec)))""".replace("five", "(" + " UNION ALL ".join(f"SELECT WindowID, WindowLength_sec, {k} AS k, {c} AS v FROM ({STANDARD})" for k, c in enumerate(HEART_RATE)) + ")"),
+    "value",
+)
 def covariances(s: Study):
-    rows = [(r.name, i, j, float(v)) for r in representations(s)[0] for i, row in enumerate(r.covariance) for j, v in enumerate(row)]
-    return s.spark.createDataFrame(rows, "Representation string, i int, j int, value double")
-
-
-def real_series(s: Study):
-    return matrix.wide_series(s.long_real, ["BoundaryID", "WindowLength_sec"], HEART_RATE)
-
-
-query("cp3_cp5_matrix_scores")(lambda s: matrix.score_matrix(real_series(s), ["BoundaryID", "WindowLength_sec"], [heart_rate_space(s)]))
-query("cp13_pelt_grid")(lambda s: matrix.score_pelt(real_series(s).filter("WindowLength_sec = 30"), ["BoundaryID", "WindowLength_sec"], (0.5, 1.0, 2.0)))
+    """Of the heart rate space; the others are fitted by the same sums."""
+    rows = [(length, i, j, float(v)) for length, spaces in s.fits()[0].items() for r in spaces if r.name == "heart_rate_rr" for i, row in enumerate(r.covariance) for j, v in enumerate(row)]
+    return s.spark.createDataFrame(rows, "WindowLength_sec int, i int, j int, value double")
 
 
-@query("cal4_pelt_penalty")
-def pelt_penalty(s: Study):
-    series = matrix.wide_series(s.long_pseudo, ["CandidateID", "WindowLength_sec"], HEART_RATE).filter("WindowLength_sec = 60")
-    scored = matrix.score_pelt(series, ["CandidateID", "WindowLength_sec"], (0.5, 1.0, 2.0, 4.0), models=("l2",))
-    rates = scored.groupBy("WindowLength_sec", "Model", "SearchWindow", "Multiplier").agg(F.avg(F.col("Detected").cast("double")).alias("FPR"))
-    return C.choose_multiplier(rates, ["WindowLength_sec", "Model", "SearchWindow"])
+query("rep4_spaces")(
+    lambda s: s.spark.createDataFrame(
+        [(length, r.name, list(r.columns), float(r.rho), len(r.covariance), float(r.covariance.trace())) for length, spaces in s.fits()[0].items() for r in spaces],
+        "WindowLength_sec int, Representation string, Columns array<string>, Rho double, Dimensions int, Trace double",
+    )
+)
+query("cp3_cp5_matrix_scores")(lambda s: s.matrix_real_scores.select("BoundaryID", "WindowLength_sec", "Representation", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec"))
+query("cal2_matrix_thresholds")(lambda s: s.matrix_thresholds)
+query("cal3_matrix_results")(lambda s: s.matrix_results)
+query("flt10_primary_slice")(lambda s: reports.primary(s.matrix_rates.withColumn("RRThreshold", F.lit(20.0)), "CovIC_crossfit", "post_only", 20.0, "reduced"))
+query("cp13_pelt_grid")(lambda s: s.pelt_real)
+query("agg13_pelt_rates")(
+    lambda s: s.pelt_expanded.groupBy(*C.PELT_GROUP, "Multiplier").agg(F.avg(F.col("Detected").cast("double")).alias("FPR"), F.countDistinct("CandidateBlockID").alias("Blocks"))
+)
+query("cal4_pelt_penalty")(lambda s: s.pelt_multipliers)
+query("cal4_pelt_results")(lambda s: C.apply_multipliers(s.pelt_real, s.pelt_expanded, s.pelt_multipliers, PELT_MULTIPLIERS))
+query("lopo2_held_out_penalty")(lambda s: lopo.held_out_penalty(s.pelt_expanded.filter("Model = 'l2'"), C.PELT_GROUP))
 
 
 # ---- timing
@@ -155,29 +159,61 @@ query(
 )(lambda s: timing.participant_weights(trajectory(s), ["TransitionType", "WindowLength_sec"]).select("TransitionType", "WindowLength_sec", "Subject", "RelativeCenter_sec", "weight"))
 KEYS = ["TransitionType", "WindowLength_sec"]
 query("tim2_group_fits")(lambda s: timing.group_fits(trajectory(s), KEYS))
-query("tim6_bootstrap_fits")(lambda s: timing.resampled_fits(trajectory(s).filter("WindowLength_sec = 60"), KEYS, 20))
-query("tim9_leave_one_out")(lambda s: timing.resampled_fits(trajectory(s).filter("WindowLength_sec = 60"), KEYS, 10, "leave_one_out", least_participants=9))
+query("tim6_bootstrap_fits")(lambda s: timing.resampled_fits(trajectory(s), KEYS, 200))
+query("tim9_leave_one_out")(lambda s: leave_one_out(s))
+
+
+def null_draws(s: Study, condition: str, draws: int = 100):
+    name = f"null_{condition}_{draws}"
+    if name not in s.made:
+        own = s.long_pseudo.join(s.candidates.select("CandidateID", "Subject").distinct(), "CandidateID")
+        values = timing.departure(own, ["CandidateID", "WindowLength_sec"]).drop("Subject")
+        s.made[name] = settle(timing.pseudo_draws(values, s.matches.filter(F.col("PseudoCondition") == condition), KEYS, draws), f"study-{name}")
+    return s.made[name]
+
+
+def null_fits(s: Study, condition: str):
+    return timing.group_fits(null_draws(s, condition), [*KEYS, "rep"])
+
+
+def dual(s: Study):
+    return timing.dual_status(timing.group_fits(trajectory(s), KEYS), null_fits(s, "A"), null_fits(s, "NA"), [*KEYS, "SearchWindow"])
 
 
-def null_fits(s: Study, condition: str, draws: int = 20):
-    own = s.long_pseudo.join(s.candidates.select("CandidateID", "Subject").distinct(), "CandidateID")
-    values = timing.departure(own, ["CandidateID", "WindowLength_sec"]).drop("Subject").filter("WindowLength_sec = 60")
-    return timing.pseudo_draw_fits(values, s.matches.filter((F.col("PseudoCondition") == condition) & (F.col("WindowLength_sec") == 60)), KEYS, draws)
+def leave_one_out(s: Study):
+    """As many replicates as there are participants."""
+    many = s.master.agg(F.countDistinct("Subject")).first()[0]
+    return timing.resampled_fits(trajectory(s), KEYS, many, "leave_one_out", least_participants=9)
 
 
 query("tim5_pseudo_draws")(lambda s: null_fits(s, "A"))
-query("tim7_dual_null")(lambda s: timing.dual_status(timing.group_fits(trajectory(s).filter("WindowLength_sec = 60"), KEYS), null_fits(s, "A"), null_fits(s, "NA"), [*KEYS, "SearchWindow"]))
+query("tim7_dual_null")(lambda s: dual(s))
+query("tim8_null_bands")(lambda s: timing.null_bands(timing.group_profiles(null_draws(s, "A"), [*KEYS, "rep"]), [*KEYS, "SearchWindow"]))
+query("tim10_paired_difference")(lambda s: timing.paired_differences(timing.resampled_fits(trajectory(s), KEYS, 200), ["WindowLength_sec"]))
+query("tim11_timing_power")(lambda s: timing.timing_power(null_draws(s, "A", 20), dual(s), KEYS, [0.0, 1.0, 2.0], [10.0, 30.0]))
+query("agg24_lopo_timing")(lambda s: leave_one_out(s).groupBy(*KEYS, "SearchWindow").agg(F.min("CandidateTime_sec").alias("Earliest"), F.median("CandidateTime_sec").alias("Median"), F.max("CandidateTime_sec").alias("Latest"), F.count("*").alias("Fits")))
+query("rpt9_timing_profiles")(
+    lambda s: timing.group_profiles(trajectory(s), KEYS).join(timing.null_bands(timing.group_profiles(null_draws(s, "A"), [*KEYS, "rep"]), [*KEYS, "SearchWindow"]), [*KEYS, "SearchWindow", "CandidateTime_sec"], "left")
+)
+query("rpt10_timing_across_windows")(lambda s: timing.group_fits(trajectory(s), KEYS).groupBy("TransitionType", "SearchWindow").pivot("WindowLength_sec", [30, 45, 60]).agg(F.first("CandidateTime_sec")))
+query("rpt15_dual_timing_tests")(lambda s: reports.dual_timing_tests(dual(s)))
 
 # ---- simulation and leave-one-participant-out
 
-query("sim4_null_thresholds")(lambda s: simulation.null_thresholds(simulation.simulate(s.spark, heart_rate_space(s), 40)))
+def heart_rate_space(s: Study):
+    return next(r for r in s.fits()[0][30] if r.name == "heart_rate_rr")
 
 
-@query("sim4_power")
-def sim_power(s: Study):
+def sim_power(s: Study, replicates: int = 20):
+    """All cells: shapes, sizes, shares of changed features, starts."""
     rep = heart_rate_space(s)
-    cells = [("abrupt", size, 1.0, 20.0) for size in (0.0, 1.0, 2.0)]
-    return simulation.power(simulation.simulate(s.spark, rep, 20, cells), simulation.null_thresholds(simulation.simulate(s.spark, rep, 40)))
+    cells = [(k, size, share, start) for k in simulation.SHAPES for size in simulation.SIZES for share in simulation.SHARES for start in simulation.STARTS]
+    return simulation.power(simulation.simulate(s.spark, rep, replicates, cells), simulation.null_thresholds(simulation.simulate(s.spark, rep, 400)))
+
+
+query("sim4_null_thresholds")(lambda s: simulation.null_thresholds(simulation.simulate(s.spark, heart_rate_space(s), 400)))
+query("sim4_power")(lambda s: sim_power(s))
+query("rpt4_power_curves")(lambda s: sim_power(s, 5).groupBy("Method", "shape", "size").agg(F.avg("Power").alias("MeanPower"), F.sum("Series").alias("Series")))
 
 
 _LG = "WindowLength_sec, SearchWindow, Method, TransitionType"
@@ -188,15 +224,52 @@ query(
     FROM {_LB} b JOIN (SELECT DISTINCT WindowLength_sec, Subject AS HeldOut FROM expanded) h ON b.WindowLength_sec = h.WindowLength_sec AND b.Subject <> h.HeldOut GROUP BY ALL""",
     "Threshold",
 )(lambda s: lopo.held_out_thresholds(s.expanded))
-query("agg16_lopo_summary")(lambda s: lopo.summary(lopo.apply_held_out(s.real_scores, s.expanded, lopo.held_out_thresholds(s.expanded))))
+_HELD = f"""SELECT b.WindowLength_sec, b.SearchWindow, b.Method, b.TransitionType, h.HeldOut, list_sort(list(b.Score))[ceil(0.95::DOUBLE * (count(b.Score) - 1))::INT + 1] AS T
+    FROM {_LB} b JOIN (SELECT DISTINCT WindowLength_sec, Subject AS HeldOut FROM expanded) h ON b.WindowLength_sec = h.WindowLength_sec AND b.Subject <> h.HeldOut GROUP BY ALL"""
+query(
+    "agg16_lopo_summary",
+    f"""SELECT {_LG}, BoundaryKind, PseudoCondition, count(DISTINCT Subject) AS Participants, count(*) AS Rows, sum((Score >= T)::INT)::BIGINT AS Detections, avg((Score >= T)::INT) AS Rate, median(Score) AS MedianScore FROM (
+      SELECT {_LG}, Subject, 'Real' AS BoundaryKind, NULL::VARCHAR AS PseudoCondition, Score FROM real_scores UNION ALL SELECT {_LG}, Subject, 'Pseudo', PseudoCondition, Score FROM {_LB}) x
+    JOIN (SELECT WindowLength_sec, SearchWindow, Method, TransitionType, HeldOut AS Subject, T FROM ({_HELD})) t USING ({_LG}, Subject) GROUP BY ALL""",
+    "Rate MedianScore",
+)(lambda s: lopo.summary(lopo.apply_held_out(s.real_scores, s.expanded, lopo.held_out_thresholds(s.expanded))))
 
 # ---- regression, signals
 
-query("inf8_gee_detection")(lambda s: gee.boundary_gee(s.results, ["WindowLength_sec", "SearchWindow", "Method"], "Detected", "binomial"))
-query("inf9_gee_features")(lambda s: gee.feature_gee(I.feature_effects(s.observations, HEART_RATE)))
-query("fx8_session_spectra")(lambda s: signal.session_spectra(s.samples))
-query("fx2_r_peaks")(
-    lambda s: signal.detect_peaks(s.samples.select("Subject", "Session", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("i")).distinct().withColumn("x", F.exp(-F.pow((F.col("i") % 100 - 50) / 4.0, F.lit(2.0)))), 100.0)
+def magnitude(s: Study):
+    return boundary_magnitude(s.long_real, ["BoundaryID", "WindowLength_sec"])
+
+
+def sized_results(s: Study):
+    return s.results.join(magnitude(s), ["BoundaryID", "WindowLength_sec"], "left")
+
+
+def feature_fits(s: Study):
+    return gee.feature_gee(I.z_effects(s.configured(20.0, "all23").long_real, ["BoundaryID", "Subject", "TransitionType", "BoundaryOrder"]))
+
+
+query("inf8_gee_boundaries")(lambda s: gee.boundary_gee(sized_results(s), ["WindowLength_sec", "SearchWindow", "Method"]))
+query("inf9_gee_features")(lambda s: feature_fits(s))
+query("fx8_window_spectra")(lambda s: s.master.select("WindowID", *FREQUENCY, "FrequencyFeaturesComputed", "DFA_alpha1", "DFAFeatureComputed"))
+_PAIRS = lambda k: " AND ".join(f"abs(a.v{j} - b.v{j}) <= 0.2 * a.sd" for j in range(k))
+query(
+    "fx10_sample_entropy",
+    f"""SELECT WindowID, SampEn, SampEn IS NOT NULL AS EntropyFeatureComputed FROM (SELECT m.WindowID, CASE WHEN e.A > 0 AND e.B > 0 THEN -ln(e.A / e.B::DOUBLE) END AS SampEn FROM master m LEFT JOIN (
+      SELECT a.Subject, a.Session, a.WindowLength_sec, a.WindowIndex, count(*) FILTER ({_PAIRS(2)}) AS B, count(*) FILTER ({_PAIRS(3)}) AS A
+      FROM three a JOIN three b ON a.Subject = b.Subject AND a.Session = b.Session AND a.WindowLength_sec = b.WindowLength_sec AND a.WindowIndex = b.WindowIndex AND a.i < b.i GROUP BY ALL) e USING (Subject, Session, WindowLength_sec, WindowIndex))""".replace(
+        "three",
+        "(SELECT * FROM (SELECT *, nn AS v0, lead(nn) OVER w AS v1, lead(nn, 2) OVER w AS v2, count(*) OVER g AS n, stddev_pop(nn) OVER g AS sd FROM rr_clean WHERE nn IS NOT NULL WINDOW w AS (PARTITION BY Subject, Session, WindowLength_sec, WindowIndex ORDER BY i), g AS (PARTITION BY Subject, Session, WindowLength_sec, WindowIndex)) WHERE n >= 20 AND v2 IS NOT NULL)",
+    ),
+    "SampEn",
+)(lambda s: s.master.select("WindowID", "SampEn", "EntropyFeatureComputed"))
+query(
+    "jn16_peaks_in_windows",
+    """SELECT Subject, Session, WindowLength_sec, WindowIndex, count(*) AS peaks, sum(p - WindowIndex * 500)::BIGINT AS places FROM (SELECT *, unnest(range(greatest(0, floor((p / 100e0 - WindowLength_sec) / 5e0)::INT + 1), least(floor(p / 500e0), floor((360 - WindowLength_sec) / 5e0))::INT + 1))::INT AS WindowIndex
+    FROM (SELECT Subject, Session, floor(t * 100)::BIGINT AS p FROM samples) CROSS JOIN lengths) GROUP BY ALL""",
+)(
+    lambda s: signal.windowed_peaks(s.samples.select("Subject", "Session", F.floor(F.col("t") * 100).cast("long").alias("peak_idx")), 100.0, (30, 45, 60), 5, 360.0)
+    .groupBy("Subject", "Session", "WindowLength_sec", "WindowIndex")
+    .agg(F.count("*").alias("peaks"), F.sum("peak_in_window").alias("places"))
 )
 
 # ---- reports
@@ -204,15 +277,26 @@ query("fx2_r_peaks")(
 _RATES = "SELECT WindowLength_sec, SearchWindow, Method, BoundaryKind, TransitionType, PseudoCondition, DetectionRate FROM rates"
 query("rpt1_rates_by_window", f"SELECT WindowLength_sec, BoundaryKind, TransitionType, PseudoCondition, DetectionRate FROM ({_RATES}) WHERE Method = 'BinSeg_L2_crossfit' AND SearchWindow = 'post_only'", "DetectionRate")(lambda s: reports.rates_by_window(I.detection_rates(s.results)))
 query("rpt2_method_comparison", f"SELECT Method, SearchWindow, avg(DetectionRate) AS MeanRate, max(DetectionRate) AS MaxRate FROM ({_RATES}) WHERE BoundaryKind = 'Real' GROUP BY ALL", "MeanRate MaxRate")(lambda s: reports.method_comparison(I.detection_rates(s.results)))
-query("rpt3_risk_differences")(lambda s: I.compare_real_pseudo(s.results).select("PseudoCondition", "WindowLength_sec", "SearchWindow", "Method", "RiskDifference", "RiskDifference_Lower", "RiskDifference_Upper"))
-query("rpt7_top_features")(lambda s: reports.top_features(I.feature_effect_summary(I.feature_effects(s.observations, ALL23))))
+query("rpt3_risk_differences", f"SELECT PseudoCondition, WindowLength_sec, SearchWindow, Method, RiskDifference, RiskDifference_Lower, RiskDifference_Upper FROM ({COMPARED})", "RiskDifference RiskDifference_Lower RiskDifference_Upper")(lambda s: I.compare_real_pseudo(s.results).select("PseudoCondition", "WindowLength_sec", "SearchWindow", "Method", "RiskDifference", "RiskDifference_Lower", "RiskDifference_Upper"))
+query(
+    "rpt7_top_features",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec ORDER BY Largest DESC, Feature)::INT AS place FROM (
+      SELECT WindowLength_sec, Feature, max(MedianAbsChange) AS Largest, max(MedianChange) FILTER (TransitionType = 'A_to_NA') AS A_to_NA, max(MedianChange) FILTER (TransitionType = 'NA_to_A') AS NA_to_A
+      FROM (SELECT WindowLength_sec, TransitionType, Feature, median(Change) AS MedianChange, median(AbsChange) AS MedianAbsChange FROM ({EFFECTS}) GROUP BY ALL) GROUP BY ALL)) WHERE place <= 10""",
+    "Largest A_to_NA NA_to_A",
+)(lambda s: reports.top_features(I.feature_effect_summary(I.feature_effects(s.observations, ALL23))))
 query("rpt8_p_histogram", "SELECT Method, PseudoCondition, least(floor(EmpiricalPValue * 10), 9)::INT AS bin, count(*) AS n FROM p_values WHERE EmpiricalPValue IS NOT NULL GROUP BY ALL")(lambda s: reports.p_histogram(s.p_values))
 query(
     "rpt12_study_inventory",
     "SELECT 'participants' AS item, count(DISTINCT Subject) AS value FROM master UNION ALL SELECT 'sessions', count(DISTINCT (Subject, Session)) FROM master UNION ALL SELECT 'windows', count(*) FROM master UNION ALL SELECT 'boundaries', count(*) FROM inventory UNION ALL SELECT 'pseudo_blocks', count(DISTINCT CandidateBlockID) FROM cand",
 )(lambda s: reports.study_inventory(s.master, s.inventory, s.candidates))
-query("rpt12_quality_retention")(lambda s: reports.quality_retention(Q.quality_by_threshold(s.master, (5.0, 10.0, 20.0)), s.eligibility))
-query("rpt17_feature_directions")(lambda s: reports.feature_directions(None, I.feature_effects(s.observations, ALL23)))
+query(
+    "rpt12_quality_retention",
+    f"""SELECT q.*, e.boundaries, e.eligible, 100e0 * passed / windows AS retained_percent FROM (SELECT WindowLength_sec, t AS RRThreshold, count(*) AS windows, sum(coalesce(WindowValid AND RR_CorrectedPercent <= t AND {WHOLE}, false)::INT)::BIGINT AS passed FROM master, (SELECT unnest([5e0, 10e0, 20e0]) AS t) GROUP BY ALL) q
+    LEFT JOIN (SELECT WindowLength_sec, count(*) AS boundaries, sum(Eligible::INT)::BIGINT AS eligible FROM elig GROUP BY ALL) e USING (WindowLength_sec)""",
+    "retained_percent",
+)(lambda s: reports.quality_retention(Q.quality_by_threshold(s.master, (5.0, 10.0, 20.0)), s.eligibility))
+query("rpt17_feature_directions")(lambda s: reports.feature_directions(feature_fits(s)))
 
 # ---- streaming operator on a batch
 

@@ -27,10 +27,10 @@ ORACLE: dict[str, str] = {}
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to 6 digits, and to 3 from 1,000 on, so that sums taken in another order compare equal.
 
-    A relative 7e-10 keeps exact halves of the last digit, which data of two decimals have often, off the edge of rounding.
+    Decimals do it, half up: first to 9 digits, where the last bits of a double no longer tell, then to the wanted ones.
     """
-    short = lambda c: F.when(F.abs(c) < 1000, F.round(F.col(c) * 1.0000000007, 6)).otherwise(F.round(F.col(c) * 1.0000000007, 3)) + F.lit(0.0)
-    return df.select(*[short(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    short = lambda c: F.expr(f"cast(CASE WHEN abs({c}) < 1000 THEN round(try_cast({c} AS DECIMAL(38,9)), 6) ELSE round(try_cast({c} AS DECIMAL(38,9)), 3) END AS DOUBLE)")
+    return df.select(*[short(f"`{c}`").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, select: str | None = None, doubles: str = ""):
@@ -155,7 +155,7 @@ query("agg28_duplicate_keys", "SELECT Subject, Session, WindowLength_sec, Window
 query("flt1_quality_mask", "SELECT WindowID FROM quality")(lambda s: Q.quality_rows(s.master, THRESHOLD).select("WindowID"))
 query("flt2_stable_rows", "SELECT WindowID FROM quality WHERE StartTime_sec >= 60 AND EndTime_sec <= SessionDuration_sec - 60")(lambda s: Q.stable_rows(s.master, THRESHOLD, 60.0).select("WindowID"))
 query("flt3_configuration_slice", "SELECT WindowID FROM master WHERE WindowLength_sec = 30 AND StepSize_sec = 5")(lambda s: s.master.filter("WindowLength_sec = 30 and StepSize_sec = 5").select("WindowID"))
-query("flt4_thinned_windows", "SELECT WindowID FROM quality WHERE WindowIndex % ceil(WindowLength_sec / StepSize_sec) = 0")(lambda s: Q.thinned(Q.quality_rows(s.master, THRESHOLD)).select("WindowID"))
+query("flt4_thinned_windows", "SELECT WindowID FROM (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY WindowLength_sec) >= 100 AS enough FROM (SELECT *, WindowIndex % ceil(WindowLength_sec / StepSize_sec) = 0 AS apart FROM quality)) WHERE apart OR NOT enough")(lambda s: Q.thinned(Q.quality_rows(s.master, THRESHOLD)).select("WindowID"))
 query("flt5_complete_cases", "SELECT WindowID FROM master WHERE SDNN IS NOT NULL AND CVI IS NOT NULL")(lambda s: s.master.dropna(subset=["SDNN", "CVI"]).select("WindowID"))
 query("flt11_valid_only", "SELECT WindowID FROM master WHERE WindowValid")(lambda s: s.master.filter("WindowValid").select("WindowID"))
 query("prj2_overlap_times", "SELECT WindowID, OverlapPercent, CenterTime_sec FROM master", "OverlapPercent CenterTime_sec")(lambda s: s.master.select("WindowID", "OverlapPercent", "CenterTime_sec"))
@@ -274,13 +274,14 @@ query("agg11_boundary_order", "SELECT WindowLength_sec, SearchWindow, Method, Bo
 )
 _EFF = " UNION ALL ".join(f"SELECT BoundaryID, Subject, TransitionType, BoundaryOrder, WindowLength_sec, '{c}' AS Feature, median({c}) FILTER (Side = 'pre') AS PreMedian, median({c}) FILTER (Side = 'post') AS PostMedian FROM obs GROUP BY ALL" for c in ALL23)
 _EFF2 = f"SELECT *, PostMedian - PreMedian AS Change, abs(PostMedian - PreMedian) AS AbsChange, CASE WHEN PostMedian - PreMedian IS NULL THEN 'undefined' WHEN PostMedian > PreMedian THEN 'increase' WHEN PostMedian < PreMedian THEN 'decrease' ELSE 'no_change' END AS Direction FROM ({_EFF})"
+EFFECTS = _EFF2
 query("agg7_feature_effects", _EFF2, "PreMedian PostMedian Change AbsChange")(lambda s: I.feature_effects(s.observations, ALL23))
 query(
     "agg12_feature_effect_summary",
     f"SELECT WindowLength_sec, TransitionType, Feature, count(*) AS Boundaries, avg(Change) AS MeanChange, median(Change) AS MedianChange, median(AbsChange) AS MedianAbsChange, 100 * avg((Direction = 'increase')::INT) AS IncreasePercent, 100 * avg((Direction = 'decrease')::INT) AS DecreasePercent FROM ({_EFF2}) GROUP BY ALL",
     "MeanChange MedianChange MedianAbsChange IncreasePercent DecreasePercent",
 )(lambda s: I.feature_effect_summary(I.feature_effects(s.observations, ALL23)))
-_U = lambda stream, n: f"(SELECT rep, slot, ('0x' || substr(sha256('42|{stream}|' || rep || '|' || slot), 1, 16))::UBIGINT AS u FROM (SELECT unnest(range(0, {n})) AS rep), (SELECT unnest(range(0, 64)) AS slot))"
+_U = lambda stream, n: f"(SELECT rep, slot, ('0x' || substr(sha256('42|{stream}|' || rep || '|' || slot), 1, 16))::UBIGINT AS u FROM (SELECT unnest(range(0, {n})) AS rep), (SELECT unnest(range(0, (SELECT count(DISTINCT Subject) FROM results))) AS slot))"
 _PER = f"SELECT {KINDKEYS}, Subject, sum(Detected::INT) AS s, count(*) AS c FROM dedup GROUP BY ALL"
 query(
     "inf4_detection_summary",
@@ -301,8 +302,51 @@ query(
     JOIN (SELECT {_FK}, avg(d) AS MeanDifference, count(*) AS Participants FROM (SELECT {_FK}, Subject, avg(RealScore - PseudoScore) AS d FROM pairs GROUP BY ALL) GROUP BY ALL) USING ({_FK}) GROUP BY ALL""",
     "MeanDifference PermutationP",
 )(lambda s: SRC.sign_flip_of_scores(s.results))
-query("inf6_real_v_pseudo")(lambda s: I.compare_real_pseudo(s.results))
-query("inf7_direction_contrast")(lambda s: I.direction_contrast(s.results))
+
+
+def boot_sql(per: str, keys: list[str], stream: str, value: str, names: dict[str, str]) -> str:
+    """Quantiles of ``names`` (name -> expression over sums in ``n``) over 200 replicates; ``per`` has keys, Subject and what is summed."""
+    k = ", ".join(keys)
+    same = " AND ".join(f"k.{c} IS NOT DISTINCT FROM n.{c}" for c in keys)
+    ends = ", ".join(f"quantile_cont({n}, 0.025) AS {n}_Lower, quantile_cont({n}, 0.975) AS {n}_Upper" for n in names)
+    return f"""SELECT {k}, {ends} FROM (SELECT {k}, rep, {', '.join(f'{e} AS {n}' for n, e in names.items())} FROM (SELECT {', '.join(f'k.{c}' for c in keys)}, k.rep, {value} FROM (
+      SELECT {', '.join(f'x.{c}' for c in keys)}, u.rep, u.slot AS pos, (u.u % x.m)::INT AS slot FROM (SELECT {k}, count(*) AS m FROM ({per}) GROUP BY ALL) x JOIN {_U(stream, 200)} u ON u.slot < x.m) k
+      JOIN (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY Subject) - 1 AS slot FROM ({per})) n ON {same} AND k.slot = n.slot GROUP BY ALL)) GROUP BY ALL"""
+
+
+def flip_sql(per: str, keys: list[str], stream: str, name: str = "MeanDifference", p: str = "PermutationP", more: str = ", Participants") -> str:
+    """Mean of ``d`` over subjects and its sign-flip p value from 500 replicates."""
+    k = ", ".join(keys)
+    return f"""SELECT {k}, mean AS {name}, (1 + count(*) FILTER (abs(perm) >= abs(mean) * (1 - 1e-9) - 1e-12)) / 501e0 AS {p}{more} FROM (
+      SELECT {k}, rep, avg(CASE WHEN u % 2 = 1 THEN d ELSE -d END) AS perm FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY Subject) - 1 AS slot FROM ({per}) WHERE d IS NOT NULL) v JOIN {_U(stream, 500)} u USING (slot) GROUP BY ALL)
+    JOIN (SELECT {k}, avg(d) AS mean, count(d) AS Participants FROM ({per}) WHERE d IS NOT NULL GROUP BY ALL) USING ({k}) GROUP BY {k}, mean, Participants"""
+
+
+_FKEYS = [c.strip() for c in _FK.split(",")]
+_SUMS = f"SELECT {_FK}, Subject, sum(RealDetected) AS rs, sum(PseudoDetected) AS ps, count(*)::DOUBLE AS c FROM pairs GROUP BY ALL"
+_EFFECT = {"RiskDifference": "rs / c - ps / c", "RiskRatio": "(rs / c + 0.5 / c) / (ps / c + 0.5 / c)", "OddsRatio": "((rs / c + 0.5 / c) / (1 - rs / c + 0.5 / c)) / ((ps / c + 0.5 / c) / (1 - ps / c + 0.5 / c))"}
+_DIFF = lambda n: f"SELECT {_FK}, Subject, avg(Real{n} - Pseudo{n}) AS d FROM pairs GROUP BY ALL"
+COMPARED = f"""SELECT * FROM (SELECT {_FK}, rs / c AS RealRate, ps / c AS PseudoRate, {', '.join(f'{e} AS {n}' for n, e in _EFFECT.items())} FROM (SELECT {_FK}, sum(rs) AS rs, sum(ps) AS ps, sum(c) AS c FROM ({_SUMS}) GROUP BY ALL))
+  JOIN ({boot_sql(_SUMS, _FKEYS, 'pairs', 'sum(n.rs) AS rs, sum(n.ps) AS ps, sum(n.c) AS c', _EFFECT)}) USING ({_FK})
+  {' '.join(f"LEFT JOIN ({flip_sql(_DIFF(n), _FKEYS, 'flip', n + 'Difference', n + '_P', '')}) USING ({_FK})" for n in ('Detected', 'Score', 'Latency'))}"""
+_SHOWN = "RealRate PseudoRate " + " ".join(f"{n}{e}" for n in _EFFECT for e in ("", "_Lower", "_Upper")) + " " + " ".join(f"{n}Difference {n}_P" for n in ("Detected", "Score", "Latency"))
+query("inf6_real_v_pseudo", COMPARED, _SHOWN)(lambda s: I.compare_real_pseudo(s.results))
+query("inf5_paired_effects", f"SELECT {_FK}, RealRate, PseudoRate, {', '.join(f'{n}, {n}_Lower, {n}_Upper' for n in _EFFECT)} FROM ({COMPARED})", _SHOWN.split(" DetectedDifference")[0])(
+    lambda s: I.compare_real_pseudo(s.results).select(*_FKEYS, "RealRate", "PseudoRate", *[f"{n}{e}" for n in _EFFECT for e in ("", "_Lower", "_Upper")])
+)
+_MAGNITUDE = """SELECT BoundaryID, WindowLength_sec, sqrt(sum(d * d)) AS MahalanobisMagnitude, avg(abs(d)) AS MeanAbsChange FROM
+    (SELECT BoundaryID, WindowLength_sec, Feature, avg(z) FILTER (RelativeCenter_sec >= 0) - avg(z) FILTER (RelativeCenter_sec < 0) AS d FROM long_real GROUP BY ALL) GROUP BY ALL"""
+_DK = ["WindowLength_sec", "SearchWindow", "Method", "Outcome"]
+_OUT = {"hit": "Detected::INT::DOUBLE", "Score": "Score", "Latency_sec": "Latency_sec", "MahalanobisMagnitude": "MahalanobisMagnitude", "MeanAbsChange": "MeanAbsChange"}
+_SIZED = f"(SELECT * FROM results LEFT JOIN ({_MAGNITUDE}) g USING (BoundaryID, WindowLength_sec) WHERE BoundaryKind = 'Real')"
+_CON = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT WindowLength_sec, SearchWindow, Method, '{n}' AS Outcome, Subject, avg({e}) FILTER (TransitionType = 'A_to_NA') - avg({e}) FILTER (TransitionType = 'NA_to_A') AS d FROM {_SIZED} GROUP BY ALL" for n, e in _OUT.items()
+) + ") WHERE d IS NOT NULL"
+query(
+    "inf7_direction_contrast",
+    f"SELECT {', '.join(_DK)}, MeanDifference, Participants, PermutationP, e_Lower AS CI_Lower, e_Upper AS CI_Upper FROM ({flip_sql(_CON, _DK, 'direction')}) LEFT JOIN ({boot_sql(_CON, _DK, 'contrast', 'sum(n.d) AS s, count(n.d) AS c', {'e': 's / c'})}) USING ({', '.join(_DK)})",
+    "MeanDifference PermutationP CI_Lower CI_Upper",
+)(lambda s: I.direction_contrast(s.results, D.boundary_magnitude(s.long_real, ["BoundaryID", "WindowLength_sec"])))
 query(
     "agg25_method_specificity",
     """SELECT *, RealRate - greatest(PseudoA, PseudoNA) AS Specificity FROM (SELECT WindowLength_sec, SearchWindow, Method, TransitionType, max(DetectionRate) FILTER (BoundaryKind = 'Real') AS RealRate,

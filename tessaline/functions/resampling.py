@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.functions.scalars import hash64
 
 
-def draw_table(spark: SparkSession, replicates: int, slots: int, stream: str, seed: int = 42) -> DataFrame:
-    """``rep, slot, u``: replicates x slots numbers of 64 bits; the size is set by the parameters alone."""
-    return (
-        spark.range(replicates)
-        .select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-        .withColumn("u", hash64(F.concat_ws("|", F.lit(stream), F.col("rep").cast("string"), F.col("slot").cast("string")), seed))
-    )
+def with_draws(numbered: DataFrame, replicates: int, stream: str, seed: int = 42) -> DataFrame:
+    """Each row of ``numbered`` (with its ``slot``) once per replicate: ``rep``, and ``u``, 64 bits that hang on replicate and slot alone."""
+    drawn = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.withColumn("u", hash64(F.concat_ws("|", F.lit(stream), F.col("rep").cast("string"), F.col("slot").cast("string")), seed))
 
 
-def pick(u, n):
+def pick(u: str, n: str) -> Column:
     """Index from 0 to n - 1."""
     return (F.col(u) % F.col(n).cast("decimal(20,0)")).cast("int")

@@ -122,3 +122,31 @@ def nearest_grid_value(wanted: DataFrame, keys: list[str], grid: list[float], va
     steps = F.array(*[F.lit(float(g)) for g in grid])
     ranked = F.array_sort(F.transform(steps, lambda g: F.struct(F.abs(g - F.col(value)).alias("off"), g.alias("g"))))
     return wanted.select(*keys, F.get(ranked, 0)["g"].alias("Multiplier"))
+
+
+PELT_GROUP = ["WindowLength_sec", "SearchWindow", "Model", "TransitionType"]
+
+
+def crossfit_multipliers(pseudo: DataFrame, target: float = 0.05) -> DataFrame:
+    """For each fold the multiplier that all other folds choose, their rate at it, and the rate on the fold itself.
+
+    pseudo: PELT_GROUP, CandidateBlockID, PseudoCondition, PseudoFold, MatchScore, MatchRank, PseudoMatchID, Multiplier, Detected.
+    """
+    one = one_per_block(pseudo, [*PELT_GROUP, "PseudoFold", "Multiplier"]).withColumn("hit", F.col("Detected").cast("double"))
+    folds = one.select(*PELT_GROUP, F.col("PseudoFold").alias("CalibrationFold")).distinct()
+    keys = [*PELT_GROUP, "CalibrationFold"]
+    rates = folds.join(one, PELT_GROUP).filter("PseudoFold <> CalibrationFold").groupBy(*keys, "Multiplier").agg(F.avg("hit").alias("FPR"), F.countDistinct("CandidateBlockID").alias("CalibrationBlocks"))
+    chosen = choose_multiplier(rates, keys, target).join(rates.withColumnRenamed("FPR", "CalibrationFPR"), [*keys, "Multiplier"])
+    held = one.withColumnRenamed("PseudoFold", "CalibrationFold").groupBy(*keys, "Multiplier").agg(F.avg("hit").alias("HeldoutFPR"), F.countDistinct("CandidateBlockID").alias("HeldoutBlocks"))
+    return chosen.join(held, [*keys, "Multiplier"], "left")
+
+
+def apply_multipliers(real: DataFrame, pseudo: DataFrame, chosen: DataFrame, grid: tuple[float, ...]) -> DataFrame:
+    """Detections: pseudo rows at their own fold's multiplier, real ones at the grid value nearest to the median over the folds."""
+    columns = [*PELT_GROUP, "Method", "BoundaryKind", "BoundaryID", "Subject", "PseudoCondition", "Multiplier", "Detected", "Latency_sec"]
+    method = F.format_string("PELT_%s_crossfit", F.upper("Model"))
+    medians = chosen.groupBy(*PELT_GROUP).agg(F.median("Multiplier").alias("wanted"))
+    of_real = real.join(nearest_grid_value(medians, PELT_GROUP, list(grid)), [*PELT_GROUP, "Multiplier"]).withColumns({"BoundaryKind": F.lit("Real"), "PseudoCondition": F.lit(None).cast("string")})
+    one = one_per_block(pseudo, [*PELT_GROUP, "PseudoFold", "Multiplier"]).withColumn("CalibrationFold", F.col("PseudoFold"))
+    of_pseudo = one.join(chosen.select(*PELT_GROUP, "CalibrationFold", "Multiplier"), [*PELT_GROUP, "CalibrationFold", "Multiplier"]).withColumns({"BoundaryKind": F.lit("Pseudo"), "BoundaryID": F.col("PseudoMatchID")})
+    return of_real.withColumn("Method", method).select(*columns).unionByName(of_pseudo.withColumn("Method", method).select(*columns))

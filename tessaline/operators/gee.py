@@ -55,32 +55,54 @@ def fit_gee(y: np.ndarray, x: np.ndarray, who: np.ndarray, family: str = "gaussi
     return beta, np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0)), alpha
 
 
-def boundary_gee(results: DataFrame, keys: list[str], outcome: str, family: str) -> DataFrame:
-    """Per group the effect of direction and boundary order on an outcome of the real boundaries, clustered by participant.
+TERMS = ("Intercept", "A_to_NA", "BoundaryOrder")
+SHAPE = "Outcome string, Term string, Estimate double, SE double, CI_Lower double, CI_Upper double, P double, Alpha double, N int, Participants int, Reason string"
 
-    A group that can't be fitted keeps a row with its reason. q values are by term.
+
+def _model(data: pd.DataFrame, outcome: str, family: str) -> list[tuple]:
+    """Rows of one model. The boundary's order is taken less the group's mean. What can't be fitted gives one row with its reason."""
+    many = data["Subject"].nunique()
+    failed = lambda term, why: [(outcome, term, *[None] * 6, len(data), many, why[:80])]
+    if family == "binomial":
+        events = data.groupby("TransitionType")["y"].agg(["sum", "count"])
+        if data["y"].nunique() < 2 or ((events["sum"] == 0) | (events["sum"] == events["count"])).any():
+            return failed("not_estimable", "a direction has no event, or nothing else")
+    order = data["BoundaryOrder"].astype(float)
+    x = np.column_stack([np.ones(len(data)), (data["TransitionType"] == "A_to_NA").astype(float), order - order.mean()]) if len(data) else np.zeros((0, 3))
+    try:
+        b, se, alpha = fit_gee(data["y"].to_numpy(float), x, data["Subject"].to_numpy(), family)
+    except (ValueError, np.linalg.LinAlgError) as e:
+        return failed("failed", str(e))
+    p = [erfc(abs(bi / s) / sqrt(2)) if s > 0 else None for bi, s in zip(b, se, strict=True)]
+    return [(outcome, t, bi, s, bi - NORMAL_975 * s, bi + NORMAL_975 * s, pi, alpha, len(data), many, None) for t, bi, s, pi in zip(TERMS, b, se, p, strict=True)]
+
+
+def boundary_gee(results: DataFrame, keys: list[str], least_detected: int = 20) -> DataFrame:
+    """Per group the effect of direction and boundary order on the real boundaries, clustered by participant: on detection (binomial), on
+    ``MahalanobisMagnitude`` and, with ``least_detected`` detected ones in both directions, on their latency. q values are by outcome and term.
     """
     kinds = dict(results.dtypes)
-    shape = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["Outcome string, Term string, Estimate double, SE double, CI_Lower double, CI_Upper double, P double, Alpha double, Participants int, Reason string"])
+    shape = ", ".join([f"{k} {kinds[k]}" for k in keys] + [SHAPE])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        data = frame.dropna(subset=["y"])
-        x = np.column_stack([np.ones(len(data)), (data["TransitionType"] == "A_to_NA").astype(float), data["BoundaryOrder"].astype(float) - 5]) if len(data) else np.zeros((0, 3))
-        try:
-            b, se, alpha = fit_gee(data["y"].to_numpy(float), x, data["Subject"].to_numpy(), family)
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame([(*key, outcome, None, *[None] * 6, data["Subject"].nunique(), str(e)[:80])], columns=[c.split()[0] for c in shape.split(", ")])
-        rows = []
-        for t, bi, s in zip(("Intercept", "A_to_NA", "BoundaryOrder"), b, se, strict=True):
-            p = erfc(abs(bi / s) / sqrt(2)) if s > 0 else None
-            rows.append((*key, outcome, t, bi, s, bi - NORMAL_975 * s, bi + NORMAL_975 * s, p, alpha, data["Subject"].nunique(), None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
-
-    real = results.filter("BoundaryKind = 'Real'").withColumn("y", F.col(outcome).cast("double")).select(*keys, "Subject", "TransitionType", "BoundaryOrder", "y")
+        rows = _model(frame.assign(y=frame["Detected"].astype(float)), "Detected", "binomial")
+        rows += _model(frame.assign(y=frame["MahalanobisMagnitude"]).dropna(subset=["y"]), "MahalanobisMagnitude", "gaussian")
+        hit = frame[frame["Detected"].astype(bool)].assign(y=frame["Latency_sec"]).dropna(subset=["y"])
+        if len(hit) >= least_detected and hit["TransitionType"].nunique() == 2:
+            rows += _model(hit, "Latency_sec", "gaussian")
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[c.split()[0] for c in shape.split(", ")])
+
+    real = results.filter("BoundaryKind = 'Real'").select(*keys, "Subject", "TransitionType", "BoundaryOrder", "Detected", "MahalanobisMagnitude", "Latency_sec")
     return with_bh(real.groupBy(*keys).applyInPandas(run, shape), "P", ["Outcome", "Term"], "Q")
 
 
 def feature_gee(effects: DataFrame) -> DataFrame:
-    """Per window length and feature the effect of direction on the change at a boundary."""
-    one = effects.withColumn("BoundaryKind", F.lit("Real"))
-    return boundary_gee(one, ["WindowLength_sec", "Feature"], "Change", "gaussian")
+    """Per window length and feature the effect of direction on the change at a boundary (``ZChange``); q values by length and term."""
+    keys = ["WindowLength_sec", "Feature"]
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = _model(frame.assign(y=frame["ZChange"]).dropna(subset=["y"]), "ZChange", "gaussian")
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*keys, *[c.split()[0] for c in SHAPE.split(", ")]])
+
+    fitted = effects.groupBy(*keys).applyInPandas(run, f"WindowLength_sec int, Feature string, {SHAPE}")
+    return with_bh(fitted, "P", ["WindowLength_sec", "Term"], "Q")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessaline.config import PELT_MODELS, SEARCH_WINDOWS
 
-FLOOR = 1e-6
+FLOOR = 1e-6  # fixed value: the least eigenvalue of a whitened space
 
 
 @dataclass(frozen=True)
@@ -42,44 +42,70 @@ class Representation:
         return ((x - self.centre) / self.scale) @ self.components.T
 
 
-def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shrunk covariance of rows and the shrinkage."""
-    x = x - x.mean(0)
-    n, p = x.shape
-    s = x.T @ x / n
-    mu = np.trace(s) / p
-    delta = ((s**2).sum() - p * mu**2) / p
-    beta = min(delta, ((x**2).sum(1) ** 2).sum() / n / (p * n) - (s**2).sum() / (p * n))
-    shrink = max(0.0, beta) / delta if delta > 0 else 0.0
-    return (1 - shrink) * s + shrink * mu * np.eye(p), shrink
+def shrunk(covariance: np.ndarray, fourth: float, n: int) -> np.ndarray:
+    """Covariance pulled towards a multiple of the identity, as far as its own error asks for. ``fourth``: mean of the squared squared lengths of centred rows."""
+    p = len(covariance)
+    mu, square = np.trace(covariance) / p, float((covariance**2).sum())
+    spread = (square - p * mu**2) / p
+    error = min(spread, (fourth - square) / (p * n))
+    share = max(0.0, error) / spread if spread > 0 else 0.0
+    return (1 - share) * covariance + share * mu * np.eye(p)
 
 
-def spearman(x: np.ndarray) -> np.ndarray:
-    ranks = pd.DataFrame(x).rank().to_numpy()
-    return np.corrcoef(ranks, rowvar=False)
+def moments(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """One row per value of ``by``: ``n``, means ``m0, ...``, population covariances ``c0_0, c0_1, ...`` and ``fourth``. Sums only, combined before the shuffle."""
+    centre = rows.groupBy(by).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
+    length = sum(((F.col(c) - F.col(f"m{i}")) * (F.col(c) - F.col(f"m{i}")) for i, c in enumerate(columns)), F.lit(0.0))
+    pairs = [F.covar_pop(a, b).alias(f"c{i}_{i + j}") for i, a in enumerate(columns) for j, b in enumerate(columns[i:])]
+    means = [F.first(f"m{i}").alias(f"m{i}") for i in range(len(columns))]
+    return rows.join(F.broadcast(centre), by).withColumn("length", length).groupBy(by).agg(F.count("*").alias("n"), *means, *pairs, F.avg(F.col("length") * F.col("length")).alias("fourth"))
 
 
-def prune_by_rank_correlation(x: np.ndarray, names: list[str], limit: float = 0.90) -> tuple[list[str], list[dict]]:
+def covariance_of(row, p: int) -> np.ndarray:
+    out = np.empty((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            out[i, j] = out[j, i] = row[f"c{i}_{j}"]
+    return out
+
+
+def rank_correlations(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """``by, A, B, Rho`` of all pairs of columns: correlation of ranks, equal values sharing the mean of theirs."""
+    from pyspark.sql import Window as W
+
+    long = rows.select("WindowID", by, *columns).unpivot(["WindowID", by], columns, "Feature", "value")
+    long = long.withColumn("value", F.round("value", 9))  # values that differ in their last bits alone are equal
+    place = W.partitionBy(by, "Feature").orderBy("value")
+    rank = F.rank().over(place) + (F.count("*").over(W.partitionBy(by, "Feature", "value")) - 1) / 2.0
+    wide = long.withColumn("r", rank).groupBy("WindowID", by).pivot("Feature", columns).agg(F.first("r"))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    found = wide.groupBy(by).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    return found.unpivot(by, [f"`{a}|{b}`" for a, b in pairs], "pair", "Rho").select(by, F.split("pair", r"\|")[0].alias("A"), F.split("pair", r"\|")[1].alias("B"), "Rho")
+
+
+def prune_by_rank_correlation(rho: dict[tuple[str, str], float], names: list[str], limit: float = 0.90) -> tuple[list[str], list[dict]]:
     """Keeps a candidate if no kept one has an absolute rank correlation of ``limit`` or more with it; and an audit."""
-    r, kept, audit = np.nan_to_num(spearman(x)), [], []
-    for i, name in enumerate(names):
-        near = max(kept, key=lambda k: abs(r[i, k]), default=None)
-        if near is None or abs(r[i, near]) < limit:
-            kept.append(i)
-            audit.append({"Feature": name, "Kept": True, "Representative": name, "AbsRho": 0.0 if near is None else abs(float(r[i, near]))})
-        else:
-            audit.append({"Feature": name, "Kept": False, "Representative": names[near], "AbsRho": abs(float(r[i, near]))})
-    return [names[i] for i in kept], audit
-
-
-def pca(x: np.ndarray, share: float = 0.80, least: int = 3) -> dict:
-    """Standardised principal components up to ``share`` of the variance, ``least`` at least."""
-    centre, scale = x.mean(0), x.std(0)
+    kept, audit = [], []
+    for name in names:
+        size = lambda k: abs(rho.get((k, name), rho.get((name, k), 0.0)) or 0.0)  # noqa: B023, E731
+        near = max(kept, key=size, default=None)
+        keep = near is None or size(near) < limit
+        audit.append({"Feature": name, "Kept": keep, "Representative": name if keep else near, "AbsRho": 0.0 if near is None else size(near)})
+        if keep:
+            kept.append(name)
+    return kept, audit
+
+
+def components_of(covariance: np.ndarray, share: float = 0.80, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scale, principal components of the standardised columns up to ``share`` of the variance, ``least`` at least, and their shares."""
+    scale = np.sqrt(np.diag(covariance))
     scale = np.where(scale > 1e-12, scale, 1.0)
-    _, s, vt = np.linalg.svd((x - centre) / scale, full_matrices=False)
-    ratio = s**2 / (s**2).sum()
-    k = min(len(s), max(least, int(np.searchsorted(np.cumsum(ratio), share) + 1)))
-    return {"centre": centre, "scale": scale, "components": vt[:k], "ratio": ratio[:k], "variance": s[:k] ** 2 / (len(x) - 1)}
+    values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
+    ratio = values / max(values.sum(), 1e-300)
+    k = min(len(values), max(least, int(np.searchsorted(np.cumsum(ratio), share) + 1)))
+    sign = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])  # an eigenvector's sign is free: its largest part is positive
+    return scale, (vectors * sign[:, None])[:k], ratio[:k]
 
 
 def effective_size(n: int, rho: float) -> float:
@@ -177,8 +203,8 @@ def wide_series(long: DataFrame, series: list[str], features: list[str]) -> Data
     return whole.groupBy(*series).agg(points.alias("p")).select(*series, F.transform("p", lambda v: v["t"]).alias("t"), F.transform("p", lambda v: v["x"]).alias("x"))
 
 
-def score_matrix(series: DataFrame, keys: list[str], reps: list[Representation], least: int = 5) -> DataFrame:
-    """CovIC and SegmentedTrend of every series (``keys, t, x`` with one row each) in every representation."""
+def score_matrix(series: DataFrame, keys: list[str], features: list[str], spaces: dict[int, list[Representation]], least: int = 5) -> DataFrame:
+    """CovIC and SegmentedTrend of every series (``keys, t, x``, one row each, x in the order of ``features``) in the spaces fitted for its window length."""
     kinds = dict(series.dtypes)
     shape = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["Representation string", "SearchWindow string", "Method string", "Score double", "SplitIndex int", "CandidateLatency_sec double"])
 
@@ -187,32 +213,40 @@ def score_matrix(series: DataFrame, keys: list[str], reps: list[Representation],
             rows = []
             for r in b.itertuples(index=False):
                 t, x = np.array(r.t), np.array([np.array(v) for v in r.x])
-                for rep in reps:
-                    y = rep.transform(x)
+                for space in spaces.get(r.WindowLength_sec, []):
+                    y = space.transform(x[:, [features.index(c) for c in space.columns]])
                     for name, search in SEARCH_WINDOWS.items():
                         for method, fn in (("CovIC", cov_ic), ("SegmentedTrend", segmented_trend)):
-                            s, k = fn(t, y, rep, least, search)
-                            rows.append((*[getattr(r, c) for c in keys], rep.name, name, method, None if np.isnan(s) else s, k, t[k] if k >= 0 else None))
+                            s, k = fn(t, y, space, least, search)
+                            if k >= 0:
+                                rows.append((*[getattr(r, c) for c in keys], space.name, name, method, round(s, 9), k, t[k]))
             yield pd.DataFrame(rows, columns=[*keys, "Representation", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec"])
 
     return series.mapInPandas(score, shape)
 
 
-def score_pelt(series: DataFrame, keys: list[str], multipliers: tuple[float, ...], rho: float = 0.0, least: int = 5, models: tuple[str, ...] = tuple(PELT_MODELS)) -> DataFrame:
-    """Detections of every series over the grid of cost models and penalty multipliers; costs are computed once per model."""
+def score_pelt(
+    series: DataFrame, keys: list[str], features: list[str], spaces: dict[int, list[Representation]], multipliers: tuple[float, ...], space: str = "reduced", least: int = 5, models: tuple[str, ...] = tuple(PELT_MODELS)
+) -> DataFrame:
+    """Detections of every series in one space over the grid of cost models and penalty multipliers; costs are computed once per model."""
     kinds = dict(series.dtypes)
     shape = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["Model string", "Multiplier double", "SearchWindow string", "Detected boolean", "Latency_sec double"])
+    chosen = {length: next(s for s in found if s.name == space) for length, found in spaces.items()}
 
     def score(batches):
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
+                rep = chosen.get(r.WindowLength_sec)
+                if rep is None:
+                    continue
                 t, x = np.array(r.t), np.array([np.array(v) for v in r.x])
+                x = rep.transform(x[:, [features.index(c) for c in rep.columns]]) @ rep.whitening
                 for model in models:
                     costs = segment_costs(x, model)
                     for m in multipliers:
                         for name, search in SEARCH_WINDOWS.items():
-                            hit, late = pelt(t, x, costs, model, m, rho, least, search)
+                            hit, late = pelt(t, x, costs, model, m, rep.rho, least, search)
                             rows.append((*[getattr(r, c) for c in keys], model, m, name, hit, late if hit else None))
             yield pd.DataFrame(rows, columns=[*keys, "Model", "Multiplier", "SearchWindow", "Detected", "Latency_sec"])
 
@@ -220,23 +254,62 @@ def score_pelt(series: DataFrame, keys: list[str], multipliers: tuple[float, ...
 
 
 def balanced_rows(stable: DataFrame, features: list[str], most: int = 40, seed: int = 42) -> DataFrame:
-    """At most ``most`` complete rows of each subject and condition, picked by a hash: bounds what fits are made on."""
+    """At most ``most`` complete rows of each window length, subject and condition, picked by a hash: bounds what fits are made on."""
     from pyspark.sql import Window as W
 
     from tessaline.functions.scalars import hash64
 
-    order = W.partitionBy("Subject", "ConditionCode").orderBy(hash64(F.col("WindowID"), seed), "WindowID")
+    order = W.partitionBy("WindowLength_sec", "Subject", "ConditionCode").orderBy(hash64(F.col("WindowID"), seed), "WindowID")
     # one opaque condition: as many single ones the optimizer would combine endlessly
     whole = F.size(F.array_compact(F.array(*features))) == len(features)
     return stable.filter(whole).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).drop("turn")
 
 
-def fit_representations(sample: pd.DataFrame, candidates: list[str], families: dict[str, list[str]], rho: float = 0.0, limit: float = 0.90, share: float = 0.80) -> tuple[list[Representation], list[dict]]:
-    """Family spaces, the pruned space and principal components of a balanced sample of standardised rows."""
-    kept, audit = prune_by_rank_correlation(sample[candidates].to_numpy(float), candidates, limit)
-    reps = [Representation(name, tuple(cols), ledoit_wolf(sample[cols].to_numpy(float))[0], rho) for name, cols in [*families.items(), ("reduced", kept)]]
-    x = sample[kept].to_numpy(float)
-    p = pca(x, share)
-    scores = ((x - p["centre"]) / p["scale"]) @ p["components"].T
-    reps.append(Representation("independent_pca", tuple(kept), ledoit_wolf(scores)[0], rho, p["centre"], p["scale"], p["components"]))
-    return reps, audit
+def standardised(sample: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """Columns less their median, over their standard deviation, within each value of ``by``.
+
+    In long form, as the optimizer would combine so many columns that are made of their like-named selves endlessly.
+    """
+    long = sample.unpivot(["WindowID", by], columns, "Feature", "value")
+    of = long.groupBy(by, "Feature").agg(F.median("value").alias("middle"), F.stddev_samp("value").alias("sd"))
+    z = (F.col("value") - F.col("middle")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
+    # one row per length and column is sent to the tasks
+    scaled = long.join(F.broadcast(of), [by, "Feature"]).withColumn("z", z)
+    return scaled.groupBy("WindowID", by).pivot("Feature", columns).agg(F.first("z"))
+
+
+def fit_representations(
+    rows: DataFrame, candidates: list[str], families: dict[str, list[str]], rho: dict[tuple[int, str], float], by: str = "WindowLength_sec", limit: float = 0.90, share: float = 0.80
+) -> tuple[dict[int, list[Representation]], list[dict]]:
+    """For each window length the family spaces, the pruned space and principal components of standardised rows; and the audit of the pruning.
+
+    Spark makes all sums; the driver gets one row of moments per length and space, and solves matrices of at most 23 columns.
+    rho: lag-1 correlation by length and feature; a space has the median of its columns'.
+    """
+    def fitted(table: DataFrame, columns: list[str]) -> dict[int, tuple]:
+        found = {}
+        for r in moments(table, columns, by).collect():
+            c = covariance_of(r, len(columns))
+            found[r[by]] = (c, shrunk(c, r["fourth"], r["n"]), np.array([r[f"m{i}"] for i in range(len(columns))]))
+        return found
+
+    mid = lambda length, columns: float(np.median([rho.get((length, c), 0.0) for c in columns]))
+    out: dict[int, list[Representation]] = {}
+    for name, columns in families.items():
+        for length, (_, c, _) in fitted(rows, columns).items():
+            out.setdefault(length, []).append(Representation(name, tuple(columns), c, mid(length, columns)))
+    pairs: dict[int, dict] = {}
+    for r in rank_correlations(rows, candidates, by).collect():
+        pairs.setdefault(r[by], {})[r["A"], r["B"]] = r["Rho"]
+    audit = []
+    for length in sorted(out):
+        kept, rows_of_audit = prune_by_rank_correlation(pairs.get(length, {}), candidates, limit)
+        audit += [{by: length, **a} for a in rows_of_audit]
+        own = rows.filter(F.col(by) == length)
+        plain, c, centre = fitted(own, kept)[length]
+        out[length].append(Representation("reduced", tuple(kept), c, mid(length, kept)))
+        scale, parts, _ = components_of(plain, share)
+        scores = [sum(((F.col(f) - float(m)) * float(w / s) for f, m, w, s in zip(kept, centre, part, scale, strict=True)), F.lit(0.0)).alias(f"score{i}") for i, part in enumerate(parts)]
+        _, c, _ = fitted(own.select(by, *scores), [f"score{i}" for i in range(len(parts))])[length]
+        out[length].append(Representation("independent_pca", tuple(kept), c, mid(length, kept), centre, scale, parts))
+    return out, audit

@@ -27,10 +27,12 @@ def stable_rows(master: DataFrame, threshold: float, edge: float) -> DataFrame:
 
 
 def thinned(rows: DataFrame, least: int = 100) -> DataFrame:
-    """Windows that don't overlap; all of them where fewer than ``least`` would be left."""
+    """Windows that don't overlap; of a window length for which fewer than ``least`` would be left, all."""
     every = F.ceil(F.col("WindowLength_sec") / F.col("StepSize_sec"))
-    apart = rows.filter(F.pmod(F.col("WindowIndex"), every) == 0)
-    return apart if apart.count() >= least else rows
+    marked = rows.withColumn("apart", F.pmod(F.col("WindowIndex"), every) == 0)
+    # one row per window length
+    enough = marked.groupBy("WindowLength_sec").agg((F.count_if("apart") >= least).alias("enough"))
+    return marked.join(F.broadcast(enough), "WindowLength_sec").filter("apart or not enough").select(*rows.columns)
 
 
 def feature_summary(master: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,8 +11,12 @@ from pyspark.sql import Window as W
 from tessaline.operators.calibration import with_bh, with_holm
 
 
-def primary(rates: DataFrame, method: str = "BinSeg_L2_crossfit", search: str = "post_only") -> DataFrame:
-    return rates.filter((F.col("Method") == method) & (F.col("SearchWindow") == search))
+def primary(rates: DataFrame, method: str = "BinSeg_L2_crossfit", search: str = "post_only", corrected: float = 20.0, space: str = "heart_rate_rr") -> DataFrame:
+    """The slice that is reported first. Tables of one configuration have no columns of it."""
+    slice_ = (F.col("Method") == method) & (F.col("SearchWindow") == search)
+    if "RRThreshold" in rates.columns:
+        slice_ = slice_ & (F.col("RRThreshold") == corrected) & (F.col("Representation") == space)
+    return rates.filter(slice_)
 
 
 def rates_by_window(rates: DataFrame) -> DataFrame:
@@ -62,13 +68,54 @@ def holm_over_windows(tests: DataFrame, p: str, family: list[str]) -> DataFrame:
     return with_holm(tests, p, family, "P_Holm")
 
 
-def feature_directions(summary: DataFrame, effects: DataFrame) -> DataFrame:
-    """Sign test of each feature's direction (normal approximation) with q values over all features and lengths."""
-    counts = effects.groupBy("WindowLength_sec", "Feature").agg(F.count_if(F.col("Direction") == "increase").alias("up"), F.count_if(F.col("Direction") == "decrease").alias("down"))
-    z = F.abs(F.col("up") - F.col("down")) / F.sqrt((F.col("up") + F.col("down")).cast("double"))
-    # logistic approximation of the normal tail, accurate to about 0.0002
-    p = F.when(F.col("up") + F.col("down") > 0, F.least(F.lit(1.0), 2 / (1 + F.exp(1.5976 * z + 0.070565988 * z * z * z))))
-    return with_bh(counts.withColumn("P", p).withColumn("family", F.lit("features")), "P", ["family"], "Q").drop("family")
+def quality_sensitivity(rates: DataFrame) -> DataFrame:
+    """Mean real detection rate by limit of corrected intervals and window length, of rates over several configurations."""
+    return rates.filter("BoundaryKind = 'Real'").groupBy("RRThreshold", "Representation", "WindowLength_sec").agg(F.avg("DetectionRate").alias("MeanRate"), F.sum("Boundaries").alias("Boundaries"))
+
+
+def magnitude_points(magnitude: DataFrame) -> DataFrame:
+    """One point per participant, direction and length: means over its boundaries."""
+    return magnitude.groupBy("WindowLength_sec", "TransitionType", "Subject").agg(F.avg("MahalanobisMagnitude").alias("MeanMagnitude"), F.avg("MeanAbsChange").alias("MeanAbsChange"), F.count("*").alias("Boundaries"))
+
+
+def dual_timing_tests(timing: DataFrame) -> DataFrame:
+    """Timing tests by their larger p value, adjusted over all of them."""
+    return with_holm(timing.withColumn("family", F.lit("timing")), "p_dual", ["family"], "P_Holm").drop("family")
+
+
+def in_method_order(table: DataFrame, methods: list[str]) -> DataFrame:
+    """``table`` with ``MethodPlace``: the method's place in a list, 0 first; methods outside come after all others, by name."""
+    order = F.array(*[F.lit(m) for m in methods])
+    place = F.array_position(order, F.regexp_replace("Method", "_(crossfit|fixed6)$", ""))
+    return table.withColumn("MethodPlace", F.when(place > 0, place - 1).otherwise(len(methods)).cast("int"))
+
+
+def feature_directions(fits: DataFrame, limit: float = 0.05) -> DataFrame:
+    """The direction term of every feature's regression, with q values over all features and lengths together."""
+    own = fits.filter("Term = 'A_to_NA'").withColumn("family", F.lit("features"))
+    return with_bh(own, "P", ["family"], "Q_Global").drop("family").withColumn("Supported", F.coalesce(F.col("Q_Global") < limit, F.lit(False)))
+
+
+def legacy_false_positives(rates: DataFrame) -> DataFrame:
+    """Rates of the score with the fixed threshold on pseudo-boundaries."""
+    return rates.filter("BoundaryKind = 'Pseudo' and Method = 'LegacyBIC_fixed6'").select("WindowLength_sec", "SearchWindow", "TransitionType", "PseudoCondition", "Boundaries", F.col("DetectionRate").alias("FalsePositiveRate"))
+
+
+def text_summary(rates: DataFrame) -> DataFrame:
+    """One sentence per row of the primary slice, in order."""
+    named = primary(rates).withColumn("Condition", F.coalesce("PseudoCondition", F.lit("-")))
+    line = F.format_string("%d s, %s, %s (%s): %d of %d detected (%.1f %%)", "WindowLength_sec", "TransitionType", "BoundaryKind", "Condition", "Detections", "Boundaries", F.round(100.0 * F.col("DetectionRate"), 1))
+    return named.select("WindowLength_sec", "TransitionType", "BoundaryKind", "Condition", line.alias("Line"))
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """Name, rows, columns and a digest of each table: which files a report was made from, and whether they are the same again."""
+    parts = []
+    for name, df in sorted(tables.items()):
+        flat = F.xxhash64(*[F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
+        digest = F.coalesce(F.bit_xor(flat), F.lit(0)).alias("digest")
+        parts.append(df.agg(F.count("*").alias("rows"), digest).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"), "digest"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def paper_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:

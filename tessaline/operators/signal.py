@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessaline.config import FREQUENCY
 
 # Frequency bands in Hz, lower end included.
 BANDS = {"VLF": (0.0033, 0.04), "LF": (0.04, 0.15), "HF": (0.15, 0.40)}
@@ -47,36 +50,45 @@ def band_power(f: np.ndarray, p: np.ndarray, low: float, high: float) -> float:
     return float(np.trapezoid(p[use], f[use])) if use.sum() >= 2 else np.nan
 
 
-def frequency_features(rr: np.ndarray, duration: float, rate: float = 4.0) -> dict[str, float]:
-    """Band powers of the interval series, resampled evenly; NaN below 60 s or 30 intervals."""
-    names = [*BANDS, "Total", "LF_HF", "LFnu", "HFnu"]
-    if duration < 60 or len(rr) < 30:
-        return dict.fromkeys(names, np.nan)
+def frequency_features(rr: np.ndarray, duration: float, rate: float = 4.0, least_seconds: float = 60.0, least_intervals: int = 30) -> dict[str, float]:
+    """Band powers of cleaned intervals in ms, resampled evenly from each interval's start to half a step past the last one; NaN where too short."""
+    out = dict.fromkeys(FREQUENCY, np.nan)
     at = np.r_[0.0, np.cumsum(rr)[:-1]] / 1000
-    grid = np.arange(at[0], at[-1], 1 / rate)
+    if duration < least_seconds or len(rr) < least_intervals or at[-1] <= 0:
+        return out
+    grid = np.arange(0.0, at[-1] + 0.5 / rate, 1 / rate)
+    if len(grid) < 8:
+        return out
     even = np.interp(grid, at, rr)
     f, p = welch(even - even.mean(), rate)
-    out = {k: band_power(f, p, *b) for k, b in BANDS.items()}
+    out |= {k: band_power(f, p, *b) for k, b in BANDS.items()}
     lf, hf = out["LF"], out["HF"]
-    out["Total"] = band_power(f, p, BANDS["VLF"][0], BANDS["HF"][1])
-    out["LF_HF"] = lf / hf if hf > 0 else np.nan
-    out["LFnu"], out["HFnu"] = (100 * lf / (lf + hf), 100 * hf / (lf + hf)) if lf + hf > 0 else (np.nan, np.nan)
+    out["TotalPower"] = band_power(f, p, BANDS["VLF"][0], BANDS["HF"][1])
+    if np.isfinite(lf) and np.isfinite(hf):
+        out["LFHF"] = lf / hf if hf > 0 else np.nan
+        out["LFnu"], out["HFnu"] = (100 * lf / (lf + hf), 100 * hf / (lf + hf)) if lf + hf > 0 else (np.nan, np.nan)
     return out
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """-log of the share of pairs of m close values that stay close for one more; NaN under 20 values or without such pairs."""
-    if len(x) < 20 or x.std() == 0:
-        return np.nan
-    tolerance = r * x.std()
-
-    def pairs(k: int) -> int:
-        v = np.lib.stride_tricks.sliding_window_view(x, k)[: len(x) - m]
-        close = np.abs(v[:, None] - v[None]).max(2) <= tolerance
-        return int(close.sum() - len(v)) // 2
+def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, least: int = 20, at_once: int = 512) -> float:
+    """-log of the share of pairs of m close values that stay close for one more; NaN under ``least`` values or without such pairs.
 
-    a, b = pairs(m + 1), pairs(m)
-    return float(-np.log(a / b)) if a and b else np.nan
+    Pairs are counted in blocks of rows, so memory grows with the length and not with its square.
+    """
+    if len(x) < least or x.std() == 0:
+        return np.nan
+    tolerance, n = r * x.std(), len(x) - m
+    counts = np.zeros(2, np.int64)
+    for a in range(0, n, at_once):
+        rows = np.arange(a, min(a + at_once, n))
+        later = np.arange(n)[None, :] > rows[:, None]
+        near = later & (np.abs(x[rows][:, None] - x[:n][None, :]) <= tolerance)
+        for k in range(1, m + 1):
+            if k == m:
+                counts[0] += near.sum()
+            near &= np.abs(x[rows + k][:, None] - x[k : n + k][None, :]) <= tolerance
+        counts[1] += near.sum()
+    return float(-np.log(counts[1] / counts[0])) if counts.all() else np.nan
 
 
 def dfa_alpha1(x: np.ndarray, scales: range = range(4, 17), least: int = 160) -> float:
@@ -92,18 +104,11 @@ def dfa_alpha1(x: np.ndarray, scales: range = range(4, 17), least: int = 160) ->
     return float(np.polyfit(*np.array(points).T, 1)[0])
 
 
-def session_spectra(samples: DataFrame) -> DataFrame:
-    """Frequency, entropy and scaling features of every session's interval series (``Subject, Session, t, rr``)."""
-    names = [*BANDS, "Total", "LF_HF", "LFnu", "HFnu", "SampEn", "DFA_alpha1"]
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "rr"])
-        rr = frame["rr"].to_numpy(float)
-        rr = rr[(rr >= 300) & (rr <= 2000)]
-        found = frequency_features(rr, float(rr.sum()) / 1000) | {"SampEn": sample_entropy(rr), "DFA_alpha1": dfa_alpha1(rr)}
-        return pd.DataFrame([(*key, len(rr), *[None if np.isnan(found[k]) else found[k] for k in names])], columns=["Subject", "Session", "n", *names])
-
-    return samples.groupBy("Subject", "Session").applyInPandas(run, "Subject string, Session int, n int, " + ", ".join(f"{k} double" for k in names))
+def interval_features(nn: np.ndarray, duration: float) -> list[float]:
+    """Frequency, entropy and scaling features of one window's cleaned intervals, in the order of FREQUENCY and NONLINEAR."""
+    nn = nn[np.isfinite(nn) & (nn > 0)]
+    found = frequency_features(nn, duration) if len(nn) else dict.fromkeys(FREQUENCY, np.nan)
+    return [*found.values(), sample_entropy(nn), dfa_alpha1(nn)]
 
 
 def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:
@@ -115,3 +120,23 @@ def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:
         return pd.DataFrame({"Subject": [key[0]] * len(p), "Session": [key[1]] * len(p), "peak_idx": p})
 
     return samples.groupBy("Subject", "Session").applyInPandas(run, "Subject string, Session int, peak_idx long")
+
+
+def windowed_peaks(peaks: DataFrame, rate: float, lengths: tuple[int, ...], step: int, duration: float) -> DataFrame:
+    """Each peak with every window that holds it (start <= peak < end): ``peak_in_window`` counts samples from the window's start.
+
+    Windows are found by arithmetic, so no range join is needed.
+    """
+    from tessaline.operators.windows import assign_windows
+
+    timed = peaks.withColumn("t", F.col("peak_idx") / float(rate))
+    return assign_windows(timed, lengths, step, duration).withColumn("peak_in_window", F.col("peak_idx") - F.round(F.col("WindowIndex") * step * float(rate)).cast("long")).drop("t")
+
+
+def window_intervals(windowed: DataFrame, rate: float) -> DataFrame:
+    """Intervals in ms between neighbouring peaks of a window, at the time of the later one: ``..., t, rr``."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("Subject", "Session", "WindowLength_sec", "WindowIndex").orderBy("peak_idx")
+    step = (F.col("peak_idx") - F.lag("peak_idx").over(order)) / float(rate) * 1000.0
+    return windowed.withColumn("rr", step).withColumn("t", F.col("peak_idx") / float(rate)).filter("rr is not null")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessaline.functions.arrays import quantile_higher
+
 
 def number(*parts: object, seed: int = 42) -> int:
     """The first 64 bits of sha256('seed|a|b|...')."""
@@ -133,8 +135,8 @@ def resampled_fits(trajectory: DataFrame, keys: list[str], replicates: int, how:
     return dealt.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "rep int", "SearchWindow string", FIT]))
 
 
-def pseudo_draw_fits(pseudo: DataFrame, matches: DataFrame, keys: list[str], draws: int, least_participants: int = 10) -> DataFrame:
-    """Null fits: in every draw each real boundary takes one matched pseudo trajectory, and no block twice.
+def pseudo_draws(pseudo: DataFrame, matches: DataFrame, keys: list[str], draws: int) -> DataFrame:
+    """Null trajectories by ``keys, rep``: in every draw each real boundary takes one matched pseudo trajectory, and no block twice.
 
     pseudo: ``CandidateID, WindowLength_sec, RelativeCenter_sec, value``. Per draw, a subject's boundaries choose in an order and among
     candidates that hashes give; a boundary whose blocks are all taken is skipped. One subject's boundaries and candidates make a group.
@@ -160,21 +162,80 @@ def pseudo_draw_fits(pseudo: DataFrame, matches: DataFrame, keys: list[str], dra
             yield pd.DataFrame(out, columns=[*keys, "rep", "Subject", "BoundaryID", "CandidateID"])
 
     drawn = dealt.mapInPandas(draw, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "rep int, Subject string, BoundaryID string, CandidateID string"]))
-    values = drawn.join(pseudo, ["CandidateID", "WindowLength_sec"])
-    return group_fits(participant_trajectory(values, [*keys, "rep"]), [*keys, "rep"], least_participants)
+    return participant_trajectory(drawn.join(pseudo, ["CandidateID", "WindowLength_sec"]), [*keys, "rep"])
+
+
+def pseudo_draw_fits(pseudo: DataFrame, matches: DataFrame, keys: list[str], draws: int, least_participants: int = 10) -> DataFrame:
+    """Null fits, see ``pseudo_draws``."""
+    return group_fits(pseudo_draws(pseudo, matches, keys, draws), [*keys, "rep"], least_participants)
 
 
 def dual_status(real: DataFrame, null_a: DataFrame, null_na: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """p values of the real score against both nulls, the larger of the two, and a label."""
+    """p values of the real score against both nulls, the larger of the two, the nulls' thresholds (and the larger one), and a label."""
     out = real
     for name, null in (("A", null_a), ("NA", null_na)):
         n = null.select(*keys, F.col("Score").alias(f"null_{name}"))
         out = out.join(n, keys, "left").groupBy(*real.columns, *[c for c in out.columns if c not in real.columns]).agg(
-            ((1 + F.count_if(F.col(f"null_{name}") >= F.col("Score"))) / (F.count(f"null_{name}") + 1)).alias(f"p_{name}")
+            ((1 + F.count_if(F.col(f"null_{name}") >= F.col("Score"))) / (F.count(f"null_{name}") + 1)).alias(f"p_{name}"),
+            quantile_higher(F.col(f"null_{name}"), 1 - alpha).alias(f"Threshold_{name}"),
         )
     low_a, low_na = F.col("p_A") < alpha, F.col("p_NA") < alpha
     status = F.when(low_a & low_na, "above_both").when(low_a, "above_A_only").when(low_na, "above_NA_only").otherwise("descriptive_only")
-    return out.withColumn("p_dual", F.greatest("p_A", "p_NA")).withColumn("Status", status)
+    return out.withColumn("p_dual", F.greatest("p_A", "p_NA")).withColumn("DualThreshold", F.greatest("Threshold_A", "Threshold_NA")).withColumn("Status", status)
+
+
+def null_bands(profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and 95 % quantile of the null scores at each candidate time."""
+    return profiles.groupBy(*keys, "CandidateTime_sec").agg(F.median("Score").alias("NullMedian"), quantile_higher(F.col("Score"), 0.95).alias("NullQ95"), F.count("*").alias("Draws"))
+
+
+def group_profiles(trajectory: DataFrame, keys: list[str], least_participants: int = 10) -> DataFrame:
+    """The score of every candidate time of each group of trajectories."""
+    kinds = dict(trajectory.dtypes)
+    columns = ["CandidateTime_sec", "Score", "Level", "Slope", "Participants"]
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        who, names = pd.factorize(frame["Subject"], sort=True)
+        found = []
+        if len(names) >= least_participants:
+            for name, search in SEARCH.items():
+                found += [(*key, name, *[r[c] for c in columns]) for r in profile(who, frame["RelativeCenter_sec"].to_numpy(float), frame[["value"]].to_numpy(float), search)]
+        return pd.DataFrame(found, columns=[*keys, "SearchWindow", *columns])
+
+    shape = [*(f"{k} {kinds[k]}" for k in keys), "SearchWindow string, CandidateTime_sec double, Score double, Level double, Slope double, Participants int"]
+    return trajectory.groupBy(*keys).applyInPandas(run, ", ".join(shape))
+
+
+def paired_differences(fits: DataFrame, keys: list[str], direction: str = "TransitionType") -> DataFrame:
+    """Difference of the two directions' times, replicate by replicate, and its interval; replicates draw the same participants in both."""
+    wide = fits.groupBy(*keys, "SearchWindow", "rep").pivot(direction, ["A_to_NA", "NA_to_A"]).agg(F.first("CandidateTime_sec"))
+    d = wide.withColumn("d", F.col("A_to_NA") - F.col("NA_to_A")).filter("d is not null")
+    return d.groupBy(*keys, "SearchWindow").agg(
+        F.median("d").alias("MedianDifference"), F.percentile("d", 0.025).alias("CI_Lower"), F.percentile("d", 0.975).alias("CI_Upper"), F.avg((F.col("d") > 0).cast("double")).alias("ShareLater"), F.count("*").alias("Replicates")
+    )
+
+
+def with_known_change(trajectory: DataFrame, sizes: list[float], starts: list[float], shapes: tuple[str, ...] = ("abrupt", "ramp")) -> DataFrame:
+    """Each trajectory once per cell of the grid, with a change of ``size`` standard deviations of its group added from ``start`` on."""
+    cells = trajectory.sparkSession.createDataFrame([(k, z, t) for k in shapes for z in sizes for t in starts], "shape string, size double, start double")
+    since = F.col("RelativeCenter_sec") - F.col("start")
+    grow = F.when(F.col("shape") == "abrupt", (since >= 0).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), since / 30.0)))
+    # the grid is a parameter: a few dozen rows
+    return trajectory.join(F.broadcast(cells)).withColumn("value", F.col("value") + F.col("size") * F.col("sd") * grow)
+
+
+def timing_power(null: DataFrame, thresholds: DataFrame, keys: list[str], sizes: list[float], starts: list[float], near: float = 10.0) -> DataFrame:
+    """Share of null trajectories (``keys, rep``) in which an added change passes the threshold, and in which its time is found within ``near`` seconds.
+
+    thresholds: ``keys, SearchWindow, DualThreshold``.
+    """
+    spread = null.groupBy(*keys).agg(F.stddev_samp("value").alias("sd"))
+    changed = with_known_change(null.join(spread, keys), sizes, starts)
+    cell = [*keys, "shape", "size", "start"]
+    fits = group_fits(changed, [*cell, "rep"]).join(thresholds.select(*keys, "SearchWindow", "DualThreshold"), [*keys, "SearchWindow"])
+    hit = (F.col("Score") > F.col("DualThreshold")).cast("double")
+    close = (F.abs(F.col("CandidateTime_sec") - F.col("start")) <= near).cast("double")
+    return fits.groupBy(*cell, "SearchWindow").agg(F.avg(hit).alias("Power"), F.avg(hit * close).alias("LocatedPower"), F.count("*").alias("Series"))
 
 
 def inject(values: np.ndarray, t: np.ndarray, at: float, size: float, shape: str, ramp: float = 30.0) -> np.ndarray:

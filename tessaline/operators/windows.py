@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.config import ALL23
+from tessaline.config import ALL23, ALL32, FREQUENCY, NONLINEAR
 from tessaline.functions import arrays as A
 from tessaline.functions import ragged as R
+from tessaline.operators.signal import interval_features
 
 SHORTEST_RR, LONGEST_RR = 300.0, 2000.0
 KEYS = ["Subject", "Session", "WindowLength_sec", "WindowIndex"]
@@ -69,7 +70,7 @@ def clean_rr(rr: Column) -> dict[str, Column]:
 
 COUNTS = ["n", "Num_RR_Clean", "RR_Invalid", "RR_HampelOutliers", "RR_Corrected"]
 FEATURE_SCHEMA = ", ".join(
-    ["Subject string", "Session int", "WindowLength_sec int", "WindowIndex int", *(f"{c} int" for c in COUNTS), "RR_CorrectedPercent double", *(f"{c} double" for c in ALL23)]
+    ["Subject string", "Session int", "WindowLength_sec int", "WindowIndex int", *(f"{c} int" for c in COUNTS), "RR_CorrectedPercent double", *(f"{c} double" for c in ALL32)]
 )
 
 
@@ -83,15 +84,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nn, k = cleaned[known], R.sums(known.astype(float), n).astype(np.int64)
         times = R.time_features(nn, k)
         found = R.amplitude_features(x, n) | R.rate_features(nn, k) | times | R.poincare_features(times["SDNN"], times["SDSD"], k)
+        ends = np.cumsum(k)
+        series = [nn[e - m : e] for e, m in zip(ends, k, strict=True)]
+        more = np.array([interval_features(v, float(d)) for v, d in zip(series, b.column("WindowLength_sec").to_pylist(), strict=True)]).reshape(len(n), -1)
+        found |= dict(zip(FREQUENCY + NONLINEAR, more.T, strict=True))
         counts = [n, k, invalid, odd, invalid + odd]
         percent = R.ratio(100.0 * (invalid + odd), n.astype(float))
-        values = [pa.array(v, pa.float64(), from_pandas=True) for v in (percent, *(found[c] for c in ALL23))]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in KEYS] + [pa.array(v.astype(np.int32)) for v in counts] + values, names=[*KEYS, *COUNTS, "RR_CorrectedPercent", *ALL23])
+        values = [pa.array(v, pa.float64(), from_pandas=True) for v in (percent, *(found[c] for c in ALL32))]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in KEYS] + [pa.array(v.astype(np.int32)) for v in counts] + values, names=[*KEYS, *COUNTS, "RR_CorrectedPercent", *ALL32])
 
 
 def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60), step: int = 5, duration: float = 360.0, least_samples: int = 4, most_corrected: float = 20.0) -> DataFrame:
-    """The master table: one row per window with quality columns and 23 features.
+    """The master table: one row per window with quality columns and 32 features.
 
+    Frequency features need windows of 60 s and 30 intervals, entropy 20 and scaling 160 intervals; flags say which were computed.
     A window without samples keeps its row with null features. WindowFailureReason lists what is
     wrong, joined by ';'; WindowValid means nothing is. Windows are gathered natively; the cleaning and the
     features run on whole Arrow batches, as nested higher-order functions took ten times as long.
@@ -117,7 +123,10 @@ def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60),
         .withColumn("Condition", F.when(F.col("ConditionCode") == "A", "Anxiety").otherwise("Non_Anxiety"))
         .withColumn("Overlap_sec", F.greatest(F.lit(0), F.col("WindowLength_sec") - F.col("StepSize_sec")))
         .withColumn("OverlapPercent", 100.0 * F.col("Overlap_sec") / F.col("WindowLength_sec"))
+        .withColumn("FrequencyFeaturesComputed", F.col("TotalPower").isNotNull())
+        .withColumn("EntropyFeatureComputed", F.col("SampEn").isNotNull())
+        .withColumn("DFAFeatureComputed", F.col("DFA_alpha1").isNotNull())
         .drop("n")
     )
     front = ["WindowID", "Subject", "Session", "ConditionCode", "Condition", "WindowLength_sec", "StepSize_sec", "Overlap_sec", "OverlapPercent", "WindowIndex", "StartTime_sec", "EndTime_sec", "CenterTime_sec", "SessionDuration_sec", "Num_Samples", "Num_RR_Clean", "RR_Invalid", "RR_HampelOutliers", "RR_Corrected", "RR_CorrectedPercent", "WindowValid", "WindowFailureReason"]
-    return master.select(*front, *ALL23)
+    return master.select(*front, *ALL32, "FrequencyFeaturesComputed", "EntropyFeatureComputed", "DFAFeatureComputed")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.config import ALL23, HEART_RATE
+from tessaline.config import ALL23, ALLOWED_WINDOWS, FAMILIES, PELT_MULTIPLIERS, REDUCED_CANDIDATES
+from tessaline.functions.scalars import log_feature
 from tessaline.operators import boundaries as B
 from tessaline.operators import calibration as C
 from tessaline.operators import detectors as D
+from tessaline.operators import inference as I
+from tessaline.operators import matrix as M
 from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.operators.windows import window_features
@@ -18,22 +22,45 @@ from tessaline.sources.adapter import samples_from_events
 from tessaline.sources.shared import settle
 
 THRESHOLD = 20.0
-LENGTHS = (30, 45, 60)
-SCORED = HEART_RATE
+LENGTHS = ALLOWED_WINDOWS
+#: Configurations of a whole run: the most percent of corrected intervals, and the family of features that is scored.
+CONFIGURATIONS = [(5.0, "heart_rate_rr"), (10.0, "heart_rate_rr"), (20.0, "heart_rate_rr"), (20.0, "hrv"), (20.0, "ecg_morphology"), (20.0, "all23")]
 
 
 class Study:
-    """Tables of the analysis, made on demand. Those that others use are written to the shared folder once, which keeps plans short."""
+    """Tables of the analysis of one configuration, made on demand. Those that others use are written to the shared folder once, which keeps plans short.
+
+    Configurations share what doesn't hang on them: the windows, and with an equal limit of corrected intervals all up to the normalisation.
+    """
 
     LAZY = {"samples", "pseudo_obs"}
+    OF_INPUT = {"samples", "master", "sessions", "inventory"}
+    OF_LIMIT = OF_INPUT | {"observations", "eligibility", "candidates", "matches", "pseudo_obs", "norm_real", "norm_pseudo"}
 
-    def __init__(self, spark: SparkSession, events: DataFrame, subjects: int = 10):
+    def __init__(self, spark: SparkSession, events: DataFrame, subjects: int = 10, corrected: float = THRESHOLD, space: str = "heart_rate_rr", base: Study | None = None):
         self.spark, self.events, self.subjects, self.made = spark, events, subjects, {}
+        self.corrected, self.space, self.base, self.others = corrected, space, base, {}
+
+    def configured(self, corrected: float, space: str) -> Study:
+        """The study of the same input in another configuration."""
+        if (corrected, space) == (self.corrected, self.space):
+            return self
+        if (corrected, space) not in self.others:
+            base = self if space == self.space else self.configured(corrected, self.space)
+            self.others[corrected, space] = Study(self.spark, self.events, self.subjects, corrected, space, base)
+        return self.others[corrected, space]
+
+    def over(self, table: Callable[[Study], DataFrame], configurations: list[tuple[float, str]] = CONFIGURATIONS) -> DataFrame:
+        """``table`` of every configuration, with the columns ``RRThreshold`` and ``Representation``."""
+        parts = [table(self.configured(*c)).withColumns({"RRThreshold": F.lit(c[0]), "Representation": F.lit(c[1])}) for c in configurations]
+        return reduce(DataFrame.unionByName, parts)
 
     def __getattr__(self, name: str) -> DataFrame:
         maker: Callable | None = type(self).__dict__.get(f"_{name}")
         if maker is None:
             raise AttributeError(name)
+        if self.base is not None and name in (self.OF_LIMIT if self.base.corrected == self.corrected else self.OF_INPUT):
+            return getattr(self.base, name)
         if name not in self.made:
             made = maker(self)
             self.made[name] = made if name in self.LAZY else settle(made, f"study-{name}")
@@ -52,34 +79,34 @@ class Study:
         return B.boundary_inventory(self.sessions)
 
     def _observations(self):
-        return B.boundary_observations(self.master, self.inventory, THRESHOLD)
+        return B.boundary_observations(self.master, self.inventory, self.corrected)
 
     def _eligibility(self):
         return B.boundary_eligibility(self.observations, self.inventory, LENGTHS)
 
     def _candidates(self):
-        return B.pseudo_candidates(self.master, THRESHOLD)
+        return B.pseudo_candidates(self.master, self.corrected)
 
     def _matches(self):
         return B.match_controls(self.eligibility, self.inventory, self.candidates)
 
     def _pseudo_obs(self):
-        return B.pseudo_observations(self.master, self.candidates, THRESHOLD)
+        return B.pseudo_observations(self.master, self.candidates, self.corrected)
 
     def _norm_real(self):
-        return N.fit_normalisation(self.master, N.exclusion_keys_of_boundaries(self.inventory), ALL23, THRESHOLD)
+        return N.fit_normalisation(self.master, N.exclusion_keys_of_boundaries(self.inventory), ALL23, self.corrected)
 
     def _norm_pseudo(self):
-        return N.fit_normalisation(self.master, N.exclusion_keys_of_sessions(self.sessions), ALL23, THRESHOLD)
+        return N.fit_normalisation(self.master, N.exclusion_keys_of_sessions(self.sessions), ALL23, self.corrected)
 
     def _long_real(self):
         obs = self.observations.join(self.eligibility.filter("Eligible").select("BoundaryID", "WindowLength_sec"), ["BoundaryID", "WindowLength_sec"], "left_semi")
         ids = ["BoundaryID", "Subject", "TransitionType", "BoundaryOrder", "RelativeCenter_sec"]
-        return N.apply_normalisation(obs, self.norm_real, ids, SCORED, F.col("BoundaryID"))
+        return N.apply_normalisation(obs, self.norm_real, ids, FAMILIES[self.space], F.col("BoundaryID"))
 
     def _long_pseudo(self):
         key = F.concat("Subject", F.lit("_S"), F.col("Session").cast("string"))
-        return N.apply_normalisation(self.pseudo_obs, self.norm_pseudo, ["CandidateID", "RelativeCenter_sec"], SCORED, key)
+        return N.apply_normalisation(self.pseudo_obs, self.norm_pseudo, ["CandidateID", "RelativeCenter_sec"], FAMILIES[self.space], key)
 
     def _real_scores(self):
         scores = D.score_series(self.long_real, ["BoundaryID", "WindowLength_sec"])
@@ -97,6 +124,67 @@ class Study:
     def _results(self):
         return C.apply_thresholds(self.real_scores, self.expanded, self.thresholds)
 
+    def _stable_logged(self):
+        """Stable windows on the detectors' scale. Written as it is: the optimizer would combine these columns with later filters endlessly."""
+        stable = Q.stable_rows(self.master, self.corrected, 60.0)
+        return stable.select("WindowLength_sec", "Subject", "ConditionCode", "WindowID", *[log_feature(c, c).alias(c) for c in ALL23])
+
+    def _matrix_stable(self):
+        """The bounded sample that spaces are fitted on."""
+        return M.balanced_rows(self.stable_logged, ALL23)
+
+    def _standard(self):
+        return M.standardised(self.matrix_stable, ALL23, "WindowLength_sec")
+
+    def fits(self):
+        """Spaces by window length, and the audit of the pruning; fitted once."""
+        if "fits" not in self.made:
+            lagged = N.lag1_correlation(Q.stable_rows(self.master, self.corrected, 60.0), ALL23)
+            rho = {(r["WindowLength_sec"], r["Feature"]): r["lag1_rho"] for r in lagged.collect()}  # lengths x features
+            self.made["fits"] = M.fit_representations(self.standard, REDUCED_CANDIDATES, FAMILIES, rho)
+        return self.made["fits"]
+
+    def _series_real(self):
+        return M.wide_series(self.configured(self.corrected, "all23").long_real, ["BoundaryID", "WindowLength_sec"], ALL23)
+
+    def _series_pseudo(self):
+        return M.wide_series(self.configured(self.corrected, "all23").long_pseudo, ["CandidateID", "WindowLength_sec"], ALL23)
+
+    def _matrix_real_scores(self):
+        scores = M.score_matrix(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits()[0])
+        return scores.join(self.inventory.select("BoundaryID", "Subject", "TransitionType", "BoundaryOrder"), "BoundaryID")
+
+    def _matrix_pseudo_scores(self):
+        return M.score_matrix(self.series_pseudo, ["CandidateID", "WindowLength_sec"], ALL23, self.fits()[0])
+
+    def _in_space(self, make: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """``make(real scores, expanded pseudo scores)`` of every space, with its name."""
+        names = [r.name for r in next(iter(self.fits()[0].values()), [])]
+        one = lambda t, n: t.filter(F.col("Representation") == n).drop("Representation")
+        parts = [make(one(self.matrix_real_scores, n), C.expand_scores(self.matches, one(self.matrix_pseudo_scores, n))).withColumn("Representation", F.lit(n)) for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _matrix_thresholds(self):
+        return self._in_space(lambda real, expanded: C.crossfit_thresholds(expanded))
+
+    def _matrix_results(self):
+        return self._in_space(lambda real, expanded: C.apply_thresholds(real, expanded, C.crossfit_thresholds(expanded)))
+
+    def _matrix_rates(self):
+        names = [r.name for r in next(iter(self.fits()[0].values()), [])]
+        parts = [I.detection_rates(self.matrix_results.filter(F.col("Representation") == n)).withColumn("Representation", F.lit(n)) for n in names]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _pelt_real(self):
+        scored = M.score_pelt(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits()[0], PELT_MULTIPLIERS)
+        return scored.join(self.inventory.select("BoundaryID", "Subject", "TransitionType"), "BoundaryID")
+
+    def _pelt_expanded(self):
+        return self.matches.join(M.score_pelt(self.series_pseudo, ["CandidateID", "WindowLength_sec"], ALL23, self.fits()[0], PELT_MULTIPLIERS), ["CandidateID", "WindowLength_sec"])
+
+    def _pelt_multipliers(self):
+        return C.crossfit_multipliers(self.pelt_expanded)
+
     def _p_values(self):
         return C.empirical_p_values(self.real_scores, self.expanded)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessaline.functions.scalars import natural_key, parse_bool, safe_numeric
+from tessaline.sources.shared import settle
 
 FILE_NAME = r"(?i)^(A\d+)_session(\d+)_(NA|A)$"
 
@@ -101,8 +102,36 @@ def running_sum(name: str) -> Column:
 
 
 def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the place of each row in the order of ``keys``. One row after the other: for exports of bounded size."""
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*keys)))
+    """Adds the place of each row in the order of ``keys``, 1 first.
+
+    Rows are dealt into ranges of the keys, numbered within each, and moved by the counts of the ranges before; equal keys are in one range.
+    """
+    ranged = settle(rows.repartitionByRange(*keys).withColumn("range_", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range_").agg(F.count("*").alias("n"))
+    # one row per range
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = ranged.withColumn("within", F.row_number().over(W.partitionBy("range_").orderBy(*keys)))
+    return within.join(F.broadcast(before), "range_").withColumn("place", (F.col("before") + F.col("within")).cast("int")).drop("range_", "before", "within")
+
+
+def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Those of ``columns`` that a CSV with a header has, in that order; the others aren't parsed."""
+    table = spark.read.option("header", True).csv(path)
+    return table.select(*[c for c in columns if c in table.columns])
+
+
+def read_parts(spark: SparkSession, folder: str, pattern: str, combined: str) -> DataFrame:
+    """All Parquet parts of ``folder`` whose names fit ``pattern``, or the table ``combined`` where there is none."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
+    if parts.isEmpty():
+        return spark.read.parquet(combined)
+    return spark.read.option("mergeSchema", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
+
+
+def read_plain_csv(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
+    """A CSV in which nothing marks a missing value: 'NA' and empty fields stay texts. Columns of ``numbers`` become null where they are no number."""
+    table = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
+    return table.withColumns({c: safe_numeric(c) for c in numbers if c in table.columns})
 
 
 def common_times(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessaline.config import RunConfig
+from tessaline.config import Settings
 from tessaline.functions import arrays as A
 from tessaline.functions import ragged as R
 from tessaline.functions import scalars as S
@@ -52,10 +52,30 @@ def test_quantile_higher_thinning_hash(spark):
     assert (int(h["h"]), h["m"]) == (1485663586330508850, 2)
 
 
-def test_config_is_validated():
-    with pytest.raises(ValueError, match="windows"):
-        RunConfig(windows=(31,))
-    assert RunConfig.build(windows=[60, 30, 30]).windows == (30, 60)
+def test_settings_are_validated():
+    with pytest.raises(ValueError, match="lengths"):
+        Settings(lengths=(31,))
+    with pytest.raises(ValueError, match="no such"):
+        Settings.read({"colour": "red"})
+    assert Settings.read({"lengths": "60, 30,30", "edge": "30", "corrected": ""}) == Settings(lengths=(30, 60), edge=30.0)
+
+
+def test_resampling_takes_all_subjects(spark):
+    """200 subjects in one group, 3 in another: every replicate draws as many as there are, and flips all."""
+    from tessaline.operators import inference as I
+
+    rows = [("a", f"P{i:03d}", float(i)) for i in range(200)] + [("b", f"P{i}", float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, Subject string, v double").withColumn("one", F.lit(1.0))
+    boot = I.bootstrap_sums(df, ["g"], ["one", "v"], 100, "t").groupBy("g").agg(F.min("one").alias("low"), F.max("one").alias("high"), F.avg("v").alias("mean"), F.stddev(F.col("v") / F.col("one")).alias("sd")).collect()
+    got = {r["g"]: r for r in boot}
+    assert (got["a"]["low"], got["a"]["high"], got["b"]["low"], got["b"]["high"]) == (200, 200, 3, 3)
+    # the standard error of a mean of 200 values of 0 to 199 is 57.7 / sqrt(200)
+    assert abs(got["a"]["mean"] / 200 - 99.5) < 3 and 2.7 < got["a"]["sd"] < 5.5
+    signs = I.sign_flip(df.withColumn("v", F.col("v") - 99.5), ["g"], "v", 200).filter("g = 'a'").first()
+    assert signs["Participants"] == 200 and abs(signs["MeanDifference"]) < 1e-9 and signs["PermutationP"] > 0.9
+    mean = I.bootstrap_mean(df, ["g"], "v", 100, "t").filter("g = 'a'").first()
+    some = I.bootstrap_statistic(df, ["g"], F.avg("v"), 100, "t").filter("g = 'a'").first()
+    assert abs(mean["CI_Lower"] - some["CI_Lower"]) < 1e-9 and abs(mean["CI_Upper"] - some["CI_Upper"]) < 1e-9
 
 
 def test_whitened_cost_and_partition():

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from tessaline.checks import more  # noqa: F401
+from tessaline.checks import more, whole  # noqa: F401
 from tessaline.checks.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["agg1_feature_summary", "fx12_master_table", "win5_hampel_native", "bnd2_pseudo_candidates", "bnd5_matches", "nrm4_parameters_real", "cp4_binseg_l2_real", "cal6_benjamini_hochberg", "cal7_holm", "sc11_stable_hash", "src5_file_names", "str1_event_windows"]
+NAMES = ["agg1_feature_summary", "fx12_master_table", "win5_hampel_native", "bnd2_pseudo_candidates", "bnd5_matches", "nrm4_parameters_real", "cp4_binseg_l2_real", "cal6_benjamini_hochberg", "cal7_holm", "sc11_stable_hash", "src5_file_names", "str1_event_windows", "fx10_sample_entropy", "jn16_peaks_in_windows", "src2_natural_sort", "agg28_duplicated_rows", "rep3_covariances"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the sample tables")
 
 

@@ -34,3 +34,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 10
     assert sinks.read_optional(spark, str(tmp_path / "none"), "a int").count() == 0
     assert sinks.file_digests(spark, str(tmp_path / "c")).count() >= 1
+
+
+def test_plain_and_pruned_csv(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("ConditionCode,P,Note\nNA,0.5,\nA,NA,x\n,,y\n")
+    got = sessions.read_plain_csv(spark, str(tmp_path / "t.csv"), ["P", "absent"]).collect()
+    assert [(r["ConditionCode"], r["P"], r["Note"]) for r in got] == [("NA", 0.5, ""), ("A", None, "x"), ("", None, "y")]
+    assert sessions.read_columns(spark, str(tmp_path / "t.csv"), ["Note", "none", "P"]).columns == ["Note", "P"]
+
+
+def test_parts_or_combined(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/all")
+    (tmp_path / "parts").mkdir()
+    assert sessions.read_parts(spark, f"{tmp_path}/parts", "*.parquet", f"{tmp_path}/all").count() == 5
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/parts/w30")
+    assert sessions.read_parts(spark, f"{tmp_path}/parts", "*.parquet", f"{tmp_path}/all").count() == 3
+
+
+def test_places_of_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g"))
+    got = sorted((r["g"], r["k"], r["place"]) for r in sessions.placed(rows.repartition(7), ["g", "k"]).collect())
+    assert [p for _, _, p in got] == list(range(1, 1001)) and sessions.placed(rows.limit(0), ["g"]).count() == 0
