@@ -83,6 +83,7 @@ def filter_urls(
     default: str = "allow",
     rows_per_range: int = 200_000,
     ranges: int | None = None,
+    most_sampled: int = 100_000,
 ) -> DataFrame:
     """One row per page: ``id_col, host, path, rule, verdict``.
 
@@ -92,8 +93,8 @@ def filter_urls(
     the verdict is ``default``. A null url, or one without ``://``, has an empty host and path.
     Repeated pages and ids are judged row by row. Empty pages or rules are fine. Other columns are not read.
 
-    Only bounds of key ranges come to the driver: at most 50 sampled keys a range. The sample
-    decides where ranges end, never what is judged. A range is read as a stream.
+    Only a sample of keys comes to the driver, 50 a range and at most ``most_sampled``; it
+    decides where ranges end, never what is judged. Each range is one task, which reads it as a stream.
     """
     spark = pages.sparkSession
     schema = "rule_host string, rule_path string, rule_verdict string"
@@ -110,7 +111,7 @@ def filter_urls(
         ranges = max(spark.sparkContext.defaultParallelism, -(-pages.count() // rows_per_range))
     salt = F.lpad(F.hex(F.pmod(F.xxhash64("id"), F.lit(1 << 20))), 5, "0")
     sample = (
-        keyed.select("key", salt.alias("salt"), F.xxhash64("id", "key").alias("h")).orderBy("h").limit(50 * ranges).collect()
+        keyed.select("key", salt.alias("salt"), F.xxhash64("id", "key").alias("h")).orderBy("h").limit(min(50 * ranges, most_sampled)).collect()
     )
     points = sorted((r["key"], r["salt"]) for r in sample)
     bounds = sorted({points[i * len(points) // ranges] for i in range(1, ranges)}) if points else []
@@ -178,7 +179,7 @@ def filter_urls(
 
     # within a range the rules come first, then the pages, each in order of keys
     return (
-        both.repartition(ranges, "range")
+        both.repartitionById(ranges, F.col("range"))
         .sortWithinPartitions("range", "kind", "key", "verdict")
         .mapInArrow(sweep, f"id {id_type}, host string, path string, rule string, verdict string")
         .withColumnRenamed("id", id_col)
