@@ -1,4 +1,4 @@
-"""Sliding windows over recordings and their features; one shuffle on (subject, session, length, window)."""
+"""Sliding windows over recordings and their features; one shuffle on (subject, session, block of time)."""
 
 from __future__ import annotations
 
@@ -74,36 +74,67 @@ FEATURE_SCHEMA = ", ".join(
 )
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features of a batch of windows, computed over its flat value arrays."""
-    for b in batches:
-        x, rr = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "rr"))
-        n = np.diff(b.column("x").offsets.to_numpy()).astype(np.int64)
-        cleaned, invalid, odd = R.clean(rr, n)
-        known = ~np.isnan(cleaned)
-        nn, k = cleaned[known], R.sums(known.astype(float), n).astype(np.int64)
-        times = R.time_features(nn, k)
-        found = R.amplitude_features(x, n) | R.rate_features(nn, k) | times | R.poincare_features(times["SDNN"], times["SDSD"], k)
-        ends = np.cumsum(k)
-        series = [nn[e - m : e] for e, m in zip(ends, k, strict=True)]
-        more = np.array([interval_features(v, float(d)) for v, d in zip(series, b.column("WindowLength_sec").to_pylist(), strict=True)]).reshape(len(n), -1)
-        found |= dict(zip(FREQUENCY + NONLINEAR, more.T, strict=True))
-        counts = [n, k, invalid, odd, invalid + odd]
-        percent = R.ratio(100.0 * (invalid + odd), n.astype(float))
-        values = [pa.array(v, pa.float64(), from_pandas=True) for v in (percent, *(found[c] for c in ALL32))]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in KEYS] + [pa.array(v.astype(np.int32)) for v in counts] + values, names=[*KEYS, *COUNTS, "RR_CorrectedPercent", *ALL32])
-
-
-def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60), step: int = 5, duration: float = 360.0, least_samples: int = 4, most_corrected: float = 20.0) -> DataFrame:
+def _described(keys: list[tuple], n: np.ndarray, x: np.ndarray, rr: np.ndarray) -> pa.RecordBatch:
+    """Features of windows given as flat value arrays with the length of each window."""
+    cleaned, invalid, odd = R.clean(rr, n)
+    known = ~np.isnan(cleaned)
+    nn, k = cleaned[known], R.sums(known.astype(float), n).astype(np.int64)
+    times = R.time_features(nn, k)
+    found = R.amplitude_features(x, n) | R.rate_features(nn, k) | times | R.poincare_features(times["SDNN"], times["SDSD"], k)
+    ends = np.cumsum(k)
+    more = np.array([interval_features(nn[e - m : e], float(key[2])) for key, e, m in zip(keys, ends, k, strict=True)]).reshape(len(n), -1)
+    found |= dict(zip(FREQUENCY + NONLINEAR, more.T, strict=True))
+    counts = [n, k, invalid, odd, invalid + odd]
+    percent = R.ratio(100.0 * (invalid + odd), n.astype(float))
+    values = [pa.array(v, pa.float64(), from_pandas=True) for v in (percent, *(found[c] for c in ALL32))]
+    of = [pa.array(v, t) for v, t in zip(zip(*keys, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+    return pa.RecordBatch.from_arrays(of + [pa.array(v.astype(np.int32)) for v in counts] + values, names=[*KEYS, *COUNTS, "RR_CorrectedPercent", *ALL32])
+
+
+def _windows_of_blocks(lengths: tuple[int, ...], step: int, duration: float, block: int, at_once: int = 500_000):
+    """Batches of blocks of samples in order of time -> features of the windows that begin in each block."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ns, xs, rrs, size = [], [], [], [], 0
+        for b in batches:
+            for subject, session, place, s in zip(*(b.column(c) for c in ("Subject", "Session", "block", "s")), strict=True):
+                t, x, rr = (s.values.field(c).to_numpy(zero_copy_only=False) for c in ("t", "x", "rr"))
+                first = place.as_py() * block // step
+                for length in lengths:
+                    index = np.arange(first, min(first + block // step - 1, int((duration - length) // step)) + 1)
+                    low, high = np.searchsorted(t, index * step, "left"), np.searchsorted(t, index * step + length, "left")
+                    n = high - low
+                    index, low, n = index[n > 0], low[n > 0], n[n > 0]
+                    at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+                    keys += [(subject.as_py(), session.as_py(), length, int(i)) for i in index]
+                    ns.append(n)
+                    xs.append(x[at])
+                    rrs.append(rr[at])
+                    size += len(at)
+                if size >= at_once:
+                    yield _described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
+                    keys, ns, xs, rrs, size = [], [], [], [], 0
+        if keys:
+            yield _described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
+
+    return cut
+
+
+def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60), step: int = 5, duration: float = 360.0, least_samples: int = 4, most_corrected: float = 20.0, block_seconds: float = 600.0) -> DataFrame:
     """The master table: one row per window with quality columns and 32 features.
 
     Frequency features need windows of 60 s and 30 intervals, entropy 20 and scaling 160 intervals; flags say which were computed.
     A window without samples keeps its row with null features. WindowFailureReason lists what is
-    wrong, joined by ';'; WindowValid means nothing is. Windows are gathered natively; the cleaning and the
-    features run on whole Arrow batches, as nested higher-order functions took ten times as long.
+    wrong, joined by ';'; WindowValid means nothing is. Samples are shuffled once, in blocks of ``block_seconds`` of a session (and little
+    more, for windows that reach into the next block), not once per window that holds them; a block is what a task holds at least.
+    Windows are cut from the blocks, cleaned and described in numpy over whole batches, as nested higher-order functions took ten times as long.
     """
-    held = assign_windows(samples, lengths, step, duration).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("t", "x", "rr"))).alias("s"))
-    made = held.select(*KEYS, F.transform("s", lambda r: r["x"]).alias("x"), F.transform("s", lambda r: r["rr"]).alias("rr")).mapInArrow(_features, FEATURE_SCHEMA)
+    block = -int(-max(block_seconds, *lengths) // step) * step  # no window reaches further than the next block
+    own = F.floor(F.col("t") / block).cast("int")
+    # windows that begin in a block reach into the next one, so its first seconds go to both
+    reached = F.when((F.col("t") - own * block < max(lengths)) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    held = samples.filter((F.col("t") >= 0) & (F.col("t") < duration)).withColumn("block", F.explode(reached)).groupBy("Subject", "Session", "block").agg(F.array_sort(F.collect_list(F.struct("t", "x", "rr"))).alias("s"))
+    made = held.mapInArrow(_windows_of_blocks(lengths, step, duration, block), FEATURE_SCHEMA)
     reasons = F.concat_ws(
         ";",
         F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, "no_samples"),

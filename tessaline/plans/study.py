@@ -37,7 +37,7 @@ class Study:
     OF_INPUT = {"samples", "master", "sessions", "inventory"}
     OF_LIMIT = OF_INPUT | {"observations", "eligibility", "candidates", "matches", "pseudo_obs", "norm_real", "norm_pseudo"}
 
-    def __init__(self, spark: SparkSession, events: DataFrame, subjects: int = 10, corrected: float = THRESHOLD, space: str = "heart_rate_rr", base: Study | None = None):
+    def __init__(self, spark: SparkSession, events: DataFrame, subjects: int | None = None, corrected: float = THRESHOLD, space: str = "heart_rate_rr", base: Study | None = None):
         self.spark, self.events, self.subjects, self.made = spark, events, subjects, {}
         self.corrected, self.space, self.base, self.others = corrected, space, base, {}
 
@@ -192,7 +192,7 @@ class Study:
 _studies: dict[tuple[str, str], Study] = {}
 
 
-def study(spark: SparkSession, sf_dir: str, subjects: int = 10) -> Study:
+def study(spark: SparkSession, sf_dir: str, subjects: int | None = None) -> Study:
     """The study of a folder of tables; one per Spark application and folder."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}|{subjects}")
     if key not in _studies:

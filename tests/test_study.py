@@ -145,3 +145,17 @@ def test_windows_of_a_stream(spark, tmp_path):
     got = {(r["user_id"], r["start"]): r["n"] for r in spark.table("windows_of_a_stream").collect()}
     batch = {(r["user_id"], r["start"]): r["n"] for r in stream_windows(spark.createDataFrame([x for p in parts[:3] for x in p], shape)).collect()}
     assert {k: v for k, v in got.items() if k[0] == 1} == {k: v for k, v in batch.items() if k[0] == 1} and (2, at(600)) in got
+
+
+def test_windows_cut_from_blocks_of_any_length(spark, rng):
+    """Blocks as short as the longest window and of 600 s give the same features, also where samples lie on the borders of windows."""
+    from tessaline.operators.windows import assign_windows, window_features
+
+    t = np.sort(np.r_[rng.uniform(0, 360, 300), np.arange(0, 360, 5.0)])
+    frame = pd.DataFrame({"Subject": "P1", "Session": 1, "ConditionCode": "A", "t": t, "x": rng.normal(size=len(t)), "rr": rng.normal(800, 50, len(t))})
+    samples = spark.createDataFrame(frame).withColumn("Session", F.col("Session").cast("int"))
+    long, short = ({r["WindowID"]: r for r in window_features(samples, block_seconds=b).collect()} for b in (600.0, 1.0))
+    close = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    assert long.keys() == short.keys() and all(close(x, y) for k in long for x, y in zip(long[k], short[k], strict=True)) and len(long) == sum((360 - n) // 5 + 1 for n in (30, 45, 60))
+    counts = {(r["WindowLength_sec"], r["WindowIndex"]): r["count"] for r in assign_windows(samples, (30, 45, 60), 5, 360.0).groupBy("WindowLength_sec", "WindowIndex").count().collect()}
+    assert {(r["WindowLength_sec"], r["WindowIndex"]): r["Num_Samples"] for r in long.values()} == counts
