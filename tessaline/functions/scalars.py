@@ -101,3 +101,8 @@ def close_to(a: Column, b: Column) -> Column:
 
 def calibrated_name(method: Column) -> Column:
     return F.when(method == "LegacyBIC_fixed6", "LegacyBIC_crossfit").otherwise(F.concat(method, F.lit("_crossfit")))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Aggregate: correlation of two columns without nulls; null where one of them doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.config import PELT_MODELS, SEARCH_WINDOWS
+from tessaline.functions.scalars import correlation
 
 FLOOR = 1e-6  # fixed value: the least eigenvalue of a whitened space
 
@@ -79,7 +80,7 @@ def rank_correlations(rows: DataFrame, columns: list[str], by: str) -> DataFrame
     rank = F.rank().over(place) + (F.count("*").over(W.partitionBy(by, "Feature", "value")) - 1) / 2.0
     wide = long.withColumn("r", rank).groupBy("WindowID", by).pivot("Feature", columns).agg(F.first("r"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = wide.groupBy(by).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    found = wide.groupBy(by).agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return found.unpivot(by, [f"`{a}|{b}`" for a, b in pairs], "pair", "Rho").select(by, F.split("pair", r"\|")[0].alias("A"), F.split("pair", r"\|")[1].alias("B"), "Rho")
 
 

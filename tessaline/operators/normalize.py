@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessaline.functions.scalars import hash64, log_feature
+from tessaline.functions.scalars import correlation, hash64, log_feature
 from tessaline.operators.quality import quality_rows
 
 TINY = 1e-12
@@ -109,7 +109,7 @@ def lag1_correlation(stable: DataFrame, features: list[str]) -> DataFrame:
     order = W.partitionBy("Subject", "Session", "WindowLength_sec", "Feature").orderBy("WindowIndex")
     pairs = long.withColumn("before", F.lag("value").over(order)).filter("before is not null")
     own = pairs.groupBy("Subject", "Session", "WindowLength_sec", "Feature").agg(
-        F.when((F.count("*") >= 3) & (F.stddev_pop("value") > TINY) & (F.stddev_pop("before") > TINY), F.corr("value", "before")).alias("r")
+        F.when((F.count("*") >= 3) & (F.stddev_pop("value") > TINY) & (F.stddev_pop("before") > TINY), correlation("value", "before")).alias("r")
     )
     return own.filter("r is not null").groupBy("WindowLength_sec", "Feature").agg(
         F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.median("r"))).alias("lag1_rho"), F.count("*").alias("sessions")
