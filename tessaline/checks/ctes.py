@@ -15,7 +15,7 @@ GROUP = "WindowLength_sec, SearchWindow, Method, TransitionType"
 
 CTES: dict[str, str] = {}
 CTES["samples"] = """
-SELECT printf('P%02d', (user_id % (SELECT greatest(10, count(DISTINCT user_id) // 15) FROM events))::INT) AS Subject, (us // 259200000000 + 1)::INT AS Session,
+SELECT printf('P%02d', (user_id % (SELECT greatest(10, count(DISTINCT user_id) // 50) FROM events))::INT) AS Subject, (us // 259200000000 + 1)::INT AS Session,
   CASE WHEN (us // 259200000000 + 1) % 2 = 1 THEN 'A' ELSE 'NA' END AS ConditionCode,
   (us % 259200000000)::DOUBLE / 720e6 AS t, value AS x, 600 + 4 * value AS rr
 FROM (SELECT *, epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)"""

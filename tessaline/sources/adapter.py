@@ -1,6 +1,6 @@
 """Turns an event table into session recordings.
 
-About 15 users make a subject, stretches of three days a session, and a session's time axis is scaled to
+About 50 users make a subject, stretches of three days a session, and a session's time axis is scaled to
 360 seconds. With more users there are more subjects, not longer sessions, so no group of the analysis grows with the table. Values are amplitudes, and 600 + 4 * value is an interval between beats in milliseconds.
 """
 
@@ -14,7 +14,7 @@ MICROS_PER_SECOND = 720_000_000
 DURATION = 360.0
 
 
-def subject_count(events: DataFrame, least: int = 10, users_each: int = 15) -> int:
+def subject_count(events: DataFrame, least: int = 10, users_each: int = 50) -> int:
     """How many subjects the users make up."""
     return max(least, events.agg(F.countDistinct("user_id")).first()[0] // users_each)
 
