@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessaline.sources.shared import Scratch, settle, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "fitted", "settle", "shared_dir", "small", "table", "with_row_key"]
+__all__ = ["Scratch", "ascii_lower", "fitted", "join_by_key", "settle", "shared_dir", "small", "table", "with_row_key"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -38,6 +38,18 @@ def fitted(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(8, -(-rows // rows_per_task)))
 
 
+def join_by_key(rows: DataFrame, values: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row per ``key`` and in ``n`` the number of rows that hold it.
+
+    A key that holds a thousandth of all rows or more may make one task as large. There are ``most`` such keys at most,
+    so their values are broadcast; all others are joined by a shuffle. Both tables are settled ones; this ``n`` goes.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(values.filter(F.col("n") * most >= total).drop("n"))
+    others = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(small(values.drop("n")), key))
+
+
 def with_row_key(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """``columns`` of ``docs`` and ``row``: a key of each row that is never null and never repeats, in order of the id, null ids last.
 

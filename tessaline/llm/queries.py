@@ -17,6 +17,7 @@ from tessaline.llm import (
     oracle,
     quality,
     sharding,
+    simhash,
     token_counts,
     url_filters,
 )
@@ -98,6 +99,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_quality": op10_quality,
+    "op11_simhash": op11_simhash,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": oracle.license_sql(),
