@@ -61,3 +61,17 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE
 r AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget, sum(d.size) OVER (PARTITION BY e.source ORDER BY -ln(d.u) / d.weight, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (least(epochs + CASE WHEN reach <= budget OR reach - budget <= budget - (reach - size) THEN 1 ELSE 0 END, {cap}) * size)::BIGINT AS taken FROM r"""
+
+
+def middle_sql(percent: int = 100, spm_percent: int = 50, seed: int = 7) -> str:
+    draw = lambda k: f"('0x' || substr(h, {8 * k - 7}, 8))::BIGINT"
+    joined = lambda x: f"coalesce(array_to_string({x}, ''), '')"
+    marked = " OR ".join(f"contains(t, '{m}')" for m in ("<P>", "<S>", "<M>"))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS l, sha256('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+c AS (SELECT *, len(l)::BIGINT AS n, least({draw(1)} % (len(l) + 1), {draw(2)} % (len(l) + 1)) AS a, greatest({draw(1)} % (len(l) + 1), {draw(2)} % (len(l) + 1)) AS b,
+  CASE WHEN t = '' OR {marked} OR {draw(3)} % 100 >= {percent} THEN 'plain' WHEN {draw(4)} % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, {joined("l[1:a]")} AS prefix, {joined("l[a + 1:b]")} AS middle, {joined("l[b + 1:n]")} AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""

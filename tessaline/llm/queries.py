@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessaline.llm import (
     audio_prints,
     decontaminate,
+    fill_middle,
     language_id,
     licenses,
     mixing,
@@ -103,6 +104,12 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -115,9 +122,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_quality": op10_quality,
     "op11_simhash": op11_simhash,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": oracle.license_sql(),
     "op7_url_filter": oracle.url_sql(URL_RULES),
     "op9_source_mix": oracle.mix_sql(),
+    "op12_fill_in_middle": oracle.middle_sql(),
 }
