@@ -22,15 +22,28 @@ MARK = "\x01"
 BEYOND = "\U0010ffff"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one. No pattern: some of Java's recurse once a character and end the executor on a very long url."""
+    text = F.coalesce(url, F.lit(""))
+    at = F.instr(text, "://")
+    return F.when(at > 0, F.substring(text, at + 3, F.length(text))).otherwise("")
+
+
+def _upto(text: Column, marks: str) -> Column:
+    for mark in marks:
+        text = F.substring_index(text, mark, 1)
+    return text
+
+
 def host_of(url: Column) -> Column:
     """From the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(_upto(_after_scheme(url), "/?#"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end; else empty."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A(?:(?!://).)*://[^/?#]*([^?#]*)", 1)
+    rest = _after_scheme(url)
+    return _upto(F.substring(rest, F.length(_upto(rest, "/?#")) + 1, F.length(rest)), "?#")
 
 
 def key_of(host: Column) -> Column:
@@ -90,7 +103,7 @@ def filter_urls(
     rules: (host, path, verdict), as a list or a DataFrame with these columns. A rule fits its
     host and all subdomains where the path begins with the rule's path; the longest rule (host
     and path together) wins, then the longer host, then the smaller verdict. Where none fits, rule is null and
-    the verdict is ``default``. A null url, or one without ``://``, has an empty host and path.
+    the verdict is ``default``. A null url, or one without ``://``, has an empty host and path. Urls may be of any length.
     Repeated pages and ids are judged row by row. Empty pages or rules are fine. Other columns are not read.
 
     Only a sample of keys comes to the driver, 50 a range and at most ``most_sampled``; it

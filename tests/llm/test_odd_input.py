@@ -118,6 +118,16 @@ def test_quality_gradient(rng):
     assert model.words[60] < model.words[61] < model.words[62]
 
 
+@pytest.mark.parametrize("part", ["scheme", "host", "path", "none"])
+def test_very_long_urls(spark, part):
+    """Characters of one and two code units in turn, a million of them, wherever they stand."""
+    long = "a\U0001f600" * 500_000
+    url = {"scheme": f"{long}://Sub.Net/x?q", "host": f"http://{long}.net/x?q", "path": f"http://sub.net/{long}?q", "none": long}[part]
+    got = url_filters.filter_urls(spark.createDataFrame([(1, url)], "page_id long, url string"), [("net", "/", "block")], ranges=2).first()
+    host, path = {"scheme": ("sub.net", "/x"), "host": (f"{long}.net", "/x"), "path": ("sub.net", f"/{long}"), "none": ("", "")}[part]
+    assert (got["host"], got["path"], got["rule"]) == (host, path, None if part == "none" else "net/")
+
+
 def test_urls(spark):
     rows = [(1, "http://a.net/" + "x" * 50_000), (1, "http://a.net/" + "x" * 50_000), (None, "http://b.com/de/"), (2, None), (3, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("key", "salt", "range", "kind", "name", "verdict", "id", "h", "rule_host")})
