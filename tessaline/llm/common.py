@@ -54,11 +54,11 @@ def with_row_key(docs: DataFrame, columns: list[str], id_col: str = "doc_id") ->
     """``columns`` of ``docs`` and ``row``: a key of each row that is never null and never repeats, in order of the id, null ids last.
 
     It holds the id and the row's place in its file, so equal rows differ as well and every run gives the same keys. A
-    table that is no file, and so has no places, is first written to the shared folder.
+    table that is no file, and so has no places, is first written to the shared folder. Ids may be numbers or text.
     """
     place = F.struct(
         F.col(id_col).isNull().alias("no_id"),
-        F.coalesce(F.col(id_col), F.lit(0)).alias("id"),
+        F.coalesce(F.col(id_col), F.lit(0).cast(dict(docs.dtypes)[id_col])).alias("id"),
         F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("at"),
     )

@@ -1,23 +1,22 @@
 """License scans: exact phrases, and an exact set-similarity join against license templates.
 
-DataFrame operations only. A text block is a window of consecutive words, twice as long as the longest
-template, so every template lies within one window wherever it stands. A block meets a template if it
-holds at least ``threshold`` of the template's distinct words.
+DataFrame operations only. Templates are a table. A text block is a window of consecutive words, twice as long as the
+template it is held against, so the template lies within one window wherever it stands, and what one template finds
+doesn't hang on the others. A block meets a template if it holds at least ``threshold`` of the template's distinct words.
 
 Words are ordered by how many documents hold them, counted over the whole corpus, rarest
 first. A block that meets a template must hold one of its first m - need + 1 words (prefix
 filter), enough template words at all (length filter), and enough of them from the first common
-word on (positional filter). The templates' first words make an index, word -> templates; a document's words are looked up in
-it, and only the templates found there are held against its blocks: a block's words are a subset of its document's.
-The first pass over the texts, for the order, counts words of templates alone.
+word on (positional filter). The templates' first words make an index, word -> templates, that documents' words are joined
+with; only documents found by it are held against those templates: a block's words are a subset of its document's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm.common import ascii_lower, settle
+from tessaline.llm.common import Scratch, ascii_lower, small, with_row_key
 
 #: Phrases and the label each one gives.
 PHRASES = {
@@ -39,7 +38,7 @@ TEMPLATES = [
 ]
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BLOCK, STEP = 64, 32  # at least: templates of over STEP words make both longer
+BLOCK, STEP = 64, 32  # at least: for a template of over STEP words its own length and twice that
 
 
 def words_of(text: Column) -> Column:
@@ -66,10 +65,25 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<int>"))
 
 
+def as_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """``label, text`` of a list; the plan holds it as one string, however long the list is."""
+    lines = [f"{label}\t{' '.join(text.split())}" for label, text in templates]
+    parts = F.split("line", "\t")
+    rows = spark.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line")).filter("line <> ''")
+    return rows.select(parts[0].alias("label"), parts[1].alias("text"))
+
+
+def numbered(templates: DataFrame) -> DataFrame:
+    """``template, label, words, number`` of templates: distinct words, and how many words the text has. Equal templates are one."""
+    words = words_of(F.col("text"))
+    key = F.xxhash64("label", "text", F.length("text"))
+    return templates.select("label", "text").distinct().select(key.alias("template"), "label", F.array_distinct(words).alias("words"), F.size(words).alias("number"))
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: dict[str, str] | None = None,
-    templates: list[tuple[str, str]] | None = None,
+    templates: list[tuple[str, str]] | DataFrame | None = None,
     threshold: float = 0.8,
     text_col: str = "text",
     id_col: str = "doc_id",
@@ -79,76 +93,76 @@ def scan_licenses(
     n_base counts all places of the phrases, first_word and last_word are the smallest and
     largest start (null without one). labels adds those of templates found in a block. score is
     1 where a phrase stands, else the largest containment found at or over the
-    threshold, else 0. blocks lists (block, label, containment) of all matches. Null and empty texts have no
-    word. Rows are judged one by one, so repeated ids stay apart. Templates may be whole license texts; with under 8 distinct words
-    common words alone would meet one, which raises ValueError. Other columns are not read.
+    threshold, else 0. blocks lists (block, label, containment) of all matches; block k begins at word k times the template's step. Null and empty texts have no
+    word. Rows are judged one by one, so repeated and null ids stay apart. No rows give none. Other columns are not read.
 
-    The number of templates is a parameter and bounds all that is sent to the tasks.
+    templates: (label, text), a list or a DataFrame with these columns. They may be whole license texts, hundreds of them, and none is fine; with under
+    8 distinct words common words alone would meet one, which raises ValueError. A block's length and step are the template's own.
+
+    The texts are read three times: for words of templates, for the documents these point at, and for the phrases.
     """
+    spark = docs.sparkSession
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    step = max([STEP, *(len(t.split()) for _, t in templates)])
-    block_words = max(BLOCK, 2 * step)
-    if any(len(set(t.split())) < 8 for _, t in templates):
+    if not isinstance(templates, DataFrame):
+        templates = as_table(spark, templates)
+    scratch = Scratch(spark, "licenses")
+    listed = scratch.settle(numbered(templates), "templates")
+    if not listed.filter(F.size("words") < 8).isEmpty():
         raise ValueError("templates must have 8 distinct words at least")
-    vocabulary = sorted({w for _, t in templates for w in t.split()} | {w for p in phrases for w in p.split()})
-    tokens = F.array_intersect(words_of(F.col(text_col)), strings(vocabulary))
-    counted = {
-        r["w"]: r["n"] for r in docs.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
-    }
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
-    ordered = [(label, sorted(set(t.split()), key=rank.__getitem__)) for label, t in templates]
-    plan = [(label, ws, needed(len(ws), threshold)) for label, ws in ordered]
-
-    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).withColumn(
-        "held", F.array_intersect("words", strings(sorted(rank, key=rank.__getitem__)))
+    keyed = with_row_key(docs, [id_col, text_col], id_col).select("row", F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+
+    # words of templates in documents, and how many documents hold each
+    vocabulary = scratch.settle(listed.select(F.explode("words").alias("w")).distinct(), "vocabulary")
+    held = keyed.select("row", F.explode(F.array_distinct("words")).alias("w")).join(small(vocabulary), "w")
+    held = scratch.settle(held, "held")
+    counts = held.groupBy("w").agg(F.count("*").alias("n"))
+    ordered = listed.select("template", "label", "number", F.explode("words").alias("w")).join(counts, "w", "left")
+    ordered = ordered.groupBy("template", "label", "number").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("x"))
+    size = F.size("words")
+    step = F.greatest(F.lit(STEP), F.col("number"))
+    ready = (
+        ordered.withColumn("words", F.transform("x", lambda x: x["w"]))
+        .withColumn("need", F.ceil(threshold * size - F.lit(1e-9)).cast("int"))
+        .select("template", "label", "words", "need", F.slice("words", F.lit(1), size - F.col("need") + 1).alias("prefix"), step.alias("step"), F.greatest(F.lit(BLOCK), 2 * step).alias("length"))
     )
-    index: dict[str, list[int]] = {}
-    for i, (_, ws, need) in enumerate(plan):
-        for w in ws[: len(ws) - need + 1]:
-            index.setdefault(w, []).append(i)
-    looked_up = F.create_map(*[x for w, ids in index.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in ids]))]) if index else F.create_map().cast("map<string,array<int>>")
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), strings(ws).alias("words"), strings(ws[: len(ws) - need + 1]).alias("prefix"), F.lit(need).alias("need")) for label, ws, need in plan])
-    template = lambda i: F.get(listed, i)
-    enough = lambda i, words: F.size(F.array_intersect(template(i)["words"], words)) >= template(i)["need"]
-    found = F.array_distinct(F.flatten(F.transform(F.filter("held", lambda w: F.map_contains_key(looked_up, w)), lambda w: F.element_at(looked_up, w))))
-    may_be = F.filter(found, lambda i: enough(i, F.col("held"))) if plan else F.array().cast("array<int>")
-    places = [
-        F.when(F.size(F.array_intersect("held", strings(sorted(set(p.split()))))) == len(set(p.split())), phrase_starts(F.col("words"), p)).otherwise(
-            F.array().cast("array<int>")
-        )
-        for p in phrases
-    ]
-    number = F.size("words")
+    ready = scratch.settle(ready, "ready")
+    index = scratch.settle(ready.select("template", F.explode("prefix").alias("w")), "index")
+    candidates = held.join(small(index), "w").select("row", "template").distinct()
+    pointed = scratch.settle(candidates.groupBy("row").agg(F.collect_set("template").alias("templates")), "candidates")
+
+    texts = keyed.select("row", "words").join(small(pointed.select("row")), "row", "left_semi").join(pointed, "row")
+    pairs = texts.select("row", "words", F.explode("templates").alias("template")).join(ready.withColumnRenamed("words", "own"), "template")
+    pairs = pairs.filter(F.size(F.array_intersect("own", "words")) >= F.col("need"))
     windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil((number - block_words) / step), F.lit(0)).cast("int")),
-        lambda i: F.struct(i.alias("block"), F.slice(F.col("words"), i * step + 1, block_words).alias("words")),
+        F.sequence(F.lit(0), F.greatest(F.ceil((F.size("words") - F.col("length")) / F.col("step")), F.lit(0)).cast("int")),
+        lambda i: F.struct(i.alias("block"), F.array_intersect("own", F.slice(F.col("words"), i * F.col("step") + 1, F.col("length"))).alias("common")),
     )
 
-    def met(window: Column, i: Column) -> Column:
-        words, common = template(i)["words"], F.array_intersect(template(i)["words"], window["words"])
+    def met(window: Column) -> Column:
+        common = window["common"]
         # the place of the first common word must leave enough words from there on
-        late = F.size(words) - F.array_position(words, F.element_at(common, 1)) + 1
-        return F.arrays_overlap(template(i)["prefix"], window["words"]) & (F.size(common) >= template(i)["need"]) & (late >= template(i)["need"])
-
-    def matched(window: Column) -> Column:
-        share = lambda i: F.size(F.array_intersect(template(i)["words"], window["words"])) / F.size(template(i)["words"]).cast("double")
-        return F.transform(
-            F.array_sort(F.filter("candidates", lambda i: met(window, i))),
-            lambda i: F.struct(window["block"].alias("block"), template(i)["label"].alias("label"), share(i).alias("containment")),
-        )
-
-    empty = "array<struct<block:int,label:string,containment:double>>"
-    none = F.array().cast(empty)
-    blocks = F.when(F.size("candidates") > 0, F.flatten(F.transform(windows, matched)).cast(empty)).otherwise(none) if plan else none
-    judged = (
-        base.withColumn("candidates", may_be)
-        .select("id", number.cast("long").alias("n_words"), *[p.alias(f"p{i}") for i, p in enumerate(places)], blocks.alias("blocks"))
+        late = F.size("own") - F.array_position("own", F.element_at(common, 1)) + 1
+        return (F.size(common) >= F.col("need")) & F.arrays_overlap("prefix", common) & (late >= F.col("need"))
+
+    found = F.transform(
+        F.filter(windows, met), lambda w: F.struct(w["block"].alias("block"), F.col("label").alias("label"), (F.size(w["common"]) / F.size("own").cast("double")).alias("containment"))
     )
-    starts = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))])
-    own = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]))
+    blocks = pairs.select("row", F.explode(found).alias("block")).groupBy("row").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    blocks = scratch.settle(blocks, "blocks")
+    scratch.keep(blocks)
+
+    none = F.array().cast("array<int>")
+    places = [
+        F.when(F.forall(F.array(*[F.lit(w) for w in sorted(set(p.split()))]), lambda w: F.array_contains("words", w)), phrase_starts(F.col("words"), p)).otherwise(none)
+        for p in phrases
+    ]
+    base = keyed.select("row", "id", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{i}") for i, p in enumerate(places)])
+    starts = F.concat(*[F.col(f"p{i}") for i in range(len(phrases))]) if phrases else none
+    own = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]).cast("array<string>"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return judged.select(
+    listed_blocks = F.coalesce("blocks", F.array().cast("array<struct<block:int,label:string,containment:double>>"))
+    return base.join(blocks, "row", "left").withColumn("blocks", listed_blocks).select(
         F.col("id").alias(id_col),
         "n_words",
         F.size(starts).cast("long").alias("n_base"),

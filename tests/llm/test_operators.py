@@ -37,6 +37,18 @@ def test_licenses_equal_plain_containment(documents, rng):
         assert got[i] == want
 
 
+def test_a_template_finds_the_same_beside_others(documents, prose, rng):
+    """A short notice scattered over a long text is no match, whatever else is sought; 600 whole licenses at once."""
+    notice = prose(12)
+    scattered = " ".join(f"{w} {prose(160)}" for w in notice.split())
+    many = [(f"m{i}", prose(rng.randint(100, 3000))) for i in range(600)]
+    rows = [(1, scattered, "en", "a"), (2, f"{prose(300)} {notice} {prose(300)}", "en", "a"), (3, f"{prose(200)} {many[17][1]}", "en", "a")]
+    read = lambda templates: {r["doc_id"]: [b for b in r["blocks"] if b["label"] == "notice"] for r in licenses.scan_licenses(documents(rows), templates=templates).collect()}
+    alone = read([("notice", notice)])
+    assert alone[1] == [] and len(alone[2]) >= 1 and read([("notice", notice), *many]) == alone
+    assert "m17" in {r["doc_id"]: r for r in licenses.scan_licenses(documents(rows), templates=many).collect()}[3]["labels"].split(",")
+
+
 def test_licenses_whole_texts_as_templates(documents, prose, rng):
     """Templates of several lengths up to 170 words, some absent, in texts around a block's length and far longer; null, empty and repeated rows."""
     long = [prose(n).split() for n in (170, 90, 33, 12)]
@@ -51,13 +63,17 @@ def test_licenses_whole_texts_as_templates(documents, prose, rng):
     by = {r["doc_id"]: {(m["block"], m["label"], m["containment"]) for m in r["blocks"]} for r in got}
     for i, text, *_ in rows:
         w, want = text.split(), set()
-        for b in range(max(0, -(-(len(w) - 340) // 170)) + 1):
-            for label, t in templates:
-                share = len(set(t.split()) & set(w[b * 170 : b * 170 + 340])) / len(set(t.split()))
+        for label, t in templates:
+            step = max(32, len(t.split()))  # each template has blocks of its own
+            for b in range(max(0, -(-(len(w) - 2 * step) // step)) + 1):
+                share = len(set(t.split()) & set(w[b * step : b * step + 2 * step])) / len(set(t.split()))
                 if share >= 0.8:
                     want.add((b, label, share))
         assert by[i] == want
     assert len(got) == len(rows) + 1 + len(EDGES) and by[99] and not by[901] and by[None] == set()
+    # equal templates are one, and a table of them does the same as a list
+    again = licenses.scan_licenses(documents(rows), phrases={"a b": "x"}, templates=documents([]).sparkSession.createDataFrame(templates * 2, "label string, text string")).collect()
+    assert {r["doc_id"]: {(m["block"], m["label"], m["containment"]) for m in r["blocks"]} for r in again} == {i: by[i] for i, *_ in rows}
     assert licenses.scan_licenses(documents([])).count() == 0 and licenses.scan_licenses(documents(EDGES), templates=[]).filter("size(blocks) > 0").count() == 0
 
 
