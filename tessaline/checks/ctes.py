@@ -136,6 +136,40 @@ SELECT NormKey, WindowLength_sec, NormSource, Feature, n, centre, CASE WHEN md >
   CASE WHEN md > 1e-12 THEN 'MAD' WHEN iq > 1e-12 THEN 'IQR' WHEN sd > 1e-12 THEN 'SD' ELSE 'constant_fallback' END AS method
 FROM (SELECT NormKey, WindowLength_sec, NormSource, Feature, count(*) AS n, median(value) AS centre, 1.4826 * mad(value) AS md, (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349 AS iq, stddev_samp(value) AS sd
   FROM ({LONG(f"sample_{kind}", "NormKey, WindowLength_sec, NormSource", ALL23)}) WHERE value IS NOT NULL GROUP BY ALL)"""
+# stable windows on the series' scale, and from them covariances, their shrinkage, and by elimination a root of their inverse
+HASHED = "('0x' || substr(sha256('42|' || WindowID), 1, 16))::UBIGINT"
+CTES["stable"] = "SELECT * FROM quality WHERE StartTime_sec >= 60 AND EndTime_sec <= SessionDuration_sec - 60"
+CTES["crossfit"] = f"""
+SELECT l.WindowID, l.Subject, l.Session, l.ConditionCode, l.WindowIndex, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
+FROM ({LONG("stable", "WindowID, Subject, Session, ConditionCode, WindowIndex, WindowLength_sec", ALL23)}) l
+JOIN norm_pseudo p ON p.NormKey = l.Subject || '_S' || l.Session AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature WHERE l.value IS NOT NULL"""
+CTES["cross_ids"] = f"SELECT WindowID, Subject, ConditionCode, WindowIndex, WindowLength_sec FROM crossfit GROUP BY ALL HAVING count(*) = {len(ALL23)}"
+CTES["fit_ids"] = f"""
+SELECT WindowID, WindowLength_sec FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY {HASHED}, WindowID) AS turn FROM (
+  SELECT *, count(*) FILTER (apart) OVER (PARTITION BY WindowLength_sec) >= 100 AS enough FROM (SELECT *, WindowIndex % ceil(WindowLength_sec / 5e0) = 0 AS apart FROM cross_ids)) WHERE apart OR NOT enough) WHERE turn <= 40"""
+CTES["rank_ids"] = f"SELECT WindowID, WindowLength_sec FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY {HASHED}, WindowID) AS turn FROM cross_ids WHERE WindowLength_sec = 30) WHERE turn <= 50"
+CTES["lags"] = """
+SELECT Subject, Session, WindowLength_sec, Feature, r FROM (
+  SELECT Subject, Session, WindowLength_sec, Feature, CASE WHEN count(*) >= 4 AND stddev_pop(z) > 1e-12 AND stddev_pop(before) > 1e-12 THEN corr(z, before) END AS r FROM (
+    SELECT *, lag(z) OVER (PARTITION BY Subject, Session, WindowLength_sec, Feature ORDER BY WindowIndex) AS before FROM crossfit c JOIN cross_ids USING (WindowID, WindowLength_sec, Subject, ConditionCode, WindowIndex))
+  WHERE before IS NOT NULL GROUP BY ALL) WHERE r IS NOT NULL"""
+CTES["rho"] = "SELECT WindowLength_sec, greatest(0, least(0.98, median(r))) AS lag1_rho FROM lags JOIN columns USING (Feature) GROUP BY ALL"
+CTES["fitted"] = "SELECT c.WindowLength_sec, c.WindowID, k, p, z AS v FROM crossfit c JOIN fit_ids f ON f.WindowID = c.WindowID AND f.WindowLength_sec = c.WindowLength_sec JOIN columns USING (Feature)"
+CTES["shrunk"] = """
+SELECT WindowLength_sec, p, i, j, (1 - share) * c + CASE WHEN i = j THEN share * mu ELSE 0 END AS value FROM (
+  SELECT *, CASE WHEN spread > 0 THEN greatest(0, least(spread, (fourth - square) / (p * n))) / spread ELSE 0 END AS share FROM (
+    SELECT *, sum(c * c) OVER w AS square, sum(CASE WHEN i = j THEN c END) OVER w / p AS mu, (sum(c * c) OVER w - p * (sum(CASE WHEN i = j THEN c END) OVER w / p) ** 2) / p AS spread
+    FROM (SELECT a.WindowLength_sec, a.p, a.k AS i, b.k AS j, covar_pop(a.v, b.v) AS c, count(*) AS n FROM fitted a JOIN fitted b ON a.WindowID = b.WindowID AND a.WindowLength_sec = b.WindowLength_sec GROUP BY ALL)
+      JOIN (SELECT WindowLength_sec, avg(l * l) AS fourth FROM (SELECT WindowLength_sec, WindowID, sum(d * d) AS l FROM (SELECT *, v - avg(v) OVER (PARTITION BY WindowLength_sec, k) AS d FROM fitted) GROUP BY ALL) GROUP BY ALL) USING (WindowLength_sec)
+    WINDOW w AS (PARTITION BY WindowLength_sec)))"""
+CTES["elim"] = """
+SELECT WindowLength_sec, p, 0 AS k, i, j, value AS v FROM shrunk UNION ALL SELECT WindowLength_sec, p, 0, i, j + p, CASE WHEN i = j THEN 1e0 ELSE 0e0 END FROM shrunk
+UNION ALL
+SELECT WindowLength_sec, p, k + 1, i, j, CASE WHEN i > k THEN v - own / top * above ELSE v END FROM (
+  SELECT *, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY WindowLength_sec, i) AS own, max(CASE WHEN i = k THEN v END) OVER (PARTITION BY WindowLength_sec, j) AS above,
+    max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY WindowLength_sec) AS top FROM elim WHERE k < p - 1)"""
+CTES["whitening"] = """
+SELECT WindowLength_sec, i AS dim, Feature, m.v / sqrt(top) AS w FROM (SELECT *, max(CASE WHEN i = j THEN v END) OVER (PARTITION BY WindowLength_sec, i) AS top FROM elim e WHERE e.k = e.p - 1) m JOIN columns c ON m.j = c.k + c.p"""
 SEARCHES = "(SELECT 'post_only' AS SearchWindow, 0e0 AS sa, 60e0 AS sb UNION ALL SELECT 'anticipatory', -30e0, 60e0)"
 for kind, key in (("real", "BoundaryID"), ("pseudo", "CandidateID")):
     s = f"{key}, WindowLength_sec"
@@ -147,15 +181,22 @@ LEFT JOIN (SELECT {s}, Feature, median(z) AS m, 1.4826 * mad(z) AS md, stddev_sa
 SELECT {s}, SearchWindow, idx, t, n, sum(qq - sz * sz / n) AS sse0, sum(l * l / idx + (sz - l) * (sz - l) / (n - idx) - sz * sz / n) AS gain, count(*) AS d
 FROM (SELECT *, sum(z) OVER w AS sz, sum(z * z) OVER w AS qq, sum(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
   FROM std_{kind} WINDOW w AS (PARTITION BY {s}, Feature)), {SEARCHES} WHERE idx >= 5 AND idx <= n - 5 AND t >= sa AND t <= sb GROUP BY {s}, SearchWindow, idx, t, n"""
+    CTES[f"white_{kind}"] = f"""
+SELECT *, row_number() OVER (PARTITION BY {s}, Feature ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY {s}, Feature) AS n FROM (
+  SELECT l.{key}, l.WindowLength_sec, w.dim AS Feature, l.RelativeCenter_sec AS t, sum(l.z * w.w) AS z FROM long_{kind} l JOIN whitening w ON w.WindowLength_sec = l.WindowLength_sec AND w.Feature = l.Feature GROUP BY ALL)"""
+    CTES[f"ic_{kind}"] = f"""
+SELECT {s}, SearchWindow, idx, t, sum(l * l / idx + (sz - l) * (sz - l) / (n - idx) - sz * sz / n) - (count(*) + 1) * ln(greatest(2e0, least(n, n * (1 - lag1_rho) / (1 + lag1_rho)))) AS score
+FROM (SELECT *, sum(z) OVER w AS sz, sum(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+  FROM white_{kind} JOIN rho USING (WindowLength_sec) WINDOW w AS (PARTITION BY {s}, Feature)), {SEARCHES} WHERE idx >= 5 AND idx <= n - 5 AND t >= sa AND t <= sb GROUP BY {s}, SearchWindow, idx, t, n, lag1_rho"""
     CTES[f"bridge_{kind}"] = f"""
 SELECT {s}, SearchWindow, idx, t, sqrt(sum(v * v)) AS score FROM (
   SELECT *, (lc - idx / n::DOUBLE * ac) / sqrt(idx * (n - idx) / n::DOUBLE) AS v FROM (
     SELECT *, sum(c) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lc, sum(c) OVER (PARTITION BY {s}, Feature) AS ac FROM (
-      SELECT *, z - coalesce(avg(CASE WHEN t < 0 THEN z END) OVER w, avg(z) OVER w) AS c FROM idx_{kind} WINDOW w AS (PARTITION BY {s}, Feature))) WHERE idx > 0), {SEARCHES}
+      SELECT *, z - coalesce(avg(CASE WHEN t < 0 THEN z END) OVER w, avg(z) OVER w) AS c FROM white_{kind} WINDOW w AS (PARTITION BY {s}, Feature))) WHERE idx > 0), {SEARCHES}
 WHERE idx >= 5 AND idx <= n - 5 AND t >= sa AND t <= sb GROUP BY {s}, SearchWindow, idx, t"""
     CTES[f"moving_{kind}"] = f"""
 SELECT {s}, SearchWindow, idx, t, sqrt(2.5e0) * sqrt(sum(v * v)) AS score FROM (
-  SELECT *, avg(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) - avg(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS v FROM idx_{kind}), {SEARCHES}
+  SELECT *, avg(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) - avg(z) OVER (PARTITION BY {s}, Feature ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS v FROM white_{kind}), {SEARCHES}
 WHERE idx >= 5 AND idx <= n - 5 AND t >= sa AND t <= sb GROUP BY {s}, SearchWindow, idx, t"""
     bic = lambda e, k: f"(n * d * ln(greatest({e}, 2.2250738585072014e-308) / (n * d)) + {k} * ln(n * d))"
     CTES[f"scores_{kind}"] = f"""
@@ -163,6 +204,7 @@ SELECT {s}, SearchWindow, Method, Score, idx::INT AS SplitIndex, t AS CandidateL
   SELECT *, row_number() OVER (PARTITION BY {s}, SearchWindow, Method ORDER BY Score DESC, idx) AS turn FROM (
     SELECT {s}, SearchWindow, idx, t, 'BinSeg_L2' AS Method, round(gain, 9) AS Score FROM cost_{kind}
     UNION ALL SELECT {s}, SearchWindow, idx, t, 'LegacyBIC_fixed6', round({bic("sse0", "d")} - {bic("sse0 - gain", "(2 * d + 1)")}, 9) FROM cost_{kind}
+    UNION ALL SELECT {s}, SearchWindow, idx, t, 'CovIC', round(score, 9) FROM ic_{kind}
     UNION ALL SELECT {s}, SearchWindow, idx, t, 'CUSUM', round(score, 9) FROM bridge_{kind}
     UNION ALL SELECT {s}, SearchWindow, idx, t, 'MOSUM', round(score, 9) FROM moving_{kind})) WHERE turn = 1"""
 CTES["real_scores"] = "SELECT s.*, i.Subject, i.TransitionType, i.BoundaryOrder FROM scores_real s JOIN inventory i USING (BoundaryID)"
@@ -213,6 +255,7 @@ def configured(corrected: float, space: str) -> dict[str, str]:
     """The expressions that hang on a configuration."""
     return {
         "quality": f"SELECT * FROM master WHERE WindowValid AND RR_CorrectedPercent <= {corrected:g} AND {WHOLE}",
+        "columns": " UNION ALL ".join(f"SELECT '{f}' AS Feature, {k} AS k, {len(FAMILIES[space])} AS p" for k, f in enumerate(FAMILIES[space])),
         "long_real": f"""
 SELECT l.BoundaryID, l.Subject, l.TransitionType, l.BoundaryOrder, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
 FROM ({LONG("obs", "BoundaryID, Subject, TransitionType, BoundaryOrder, RelativeCenter_sec, WindowLength_sec", FAMILIES[space])}) l
@@ -249,5 +292,5 @@ def sql(select: str, doubles: str = "", corrected: float = 20, space: str = "hea
     if doubles:
         short = lambda c: f"CASE WHEN abs({c}) < 1000 THEN round(try_cast({c} AS DECIMAL(38,9)), 6)::DOUBLE ELSE round(try_cast({c} AS DECIMAL(38,9)), 3)::DOUBLE END AS {c}"
         body = f"SELECT * REPLACE ({', '.join(map(short, doubles.split()))}) FROM ({select})"
-    with_ = ", ".join(f"{n} AS {'' if n == 'thin' else 'MATERIALIZED '}({known[n]})" for n in needed)
+    with_ = ", ".join(f"{n} AS {'' if n in ('thin', 'elim') else 'MATERIALIZED '}({known[n]})" for n in needed)
     return f"WITH RECURSIVE {with_} {body}" if needed else body

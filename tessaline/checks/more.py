@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.checks.ctes import WHOLE
-from tessaline.checks.queries import COMPARED, EFFECTS, query
-from tessaline.config import ALL23, FREQUENCY, HEART_RATE, LOG1P, NONLINEAR, PELT_MULTIPLIERS, REDUCED_CANDIDATES
+from tessaline.checks.ctes import WHOLE, sql
+from tessaline.checks.queries import COMPARED, EFFECTS, ORACLE, query
+from tessaline.config import ALL23, FAMILIES, FREQUENCY, NONLINEAR, PELT_MULTIPLIERS, REDUCED_CANDIDATES
 from tessaline.functions import scalars as S
 from tessaline.operators import calibration as C
 from tessaline.operators import gee, lopo, matrix, reports, signal, simulation, timing
 from tessaline.operators import inference as I
-from tessaline.operators.detectors import boundary_magnitude, pelt_base_penalty
+from tessaline.operators.detectors import pelt_base_penalty
 from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
-from tessaline.plans.study import THRESHOLD, Study
+from tessaline.plans.study import Study
 from tessaline.sources import sessions as SRC
 from tessaline.sources.shared import settle
 from tessaline.streaming.windows import stream_windows
@@ -82,45 +85,34 @@ query("cp10_pelt_penalty", "SELECT p_partkey, (p_size + 1) * ln(p_partkey + 1) A
 )
 query(
     "win11_lag1_correlation",
-    f"""SELECT WindowLength_sec, Feature, greatest(0, least(0.98, median(r))) AS lag1_rho, count(*) AS sessions FROM (
-    SELECT Subject, Session, WindowLength_sec, Feature, CASE WHEN count(*) >= 3 AND stddev_pop(value) > 1e-12 AND stddev_pop(before) > 1e-12 THEN corr(value, before) END AS r FROM (
-      SELECT *, lag(value) OVER (PARTITION BY Subject, Session, WindowLength_sec, Feature ORDER BY WindowIndex) AS before FROM ({' UNION ALL '.join(f"SELECT Subject, Session, WindowLength_sec, WindowIndex, '{c}' AS Feature, " + (f'ln(1 + {c})' if c == 'StdHR' else c) + ' AS value FROM quality WHERE StartTime_sec >= 60 AND EndTime_sec <= SessionDuration_sec - 60' for c in HEART_RATE)}))
-    WHERE before IS NOT NULL GROUP BY ALL) WHERE r IS NOT NULL GROUP BY ALL""",
+    "SELECT WindowLength_sec, Feature, greatest(0, least(0.98, median(r))) AS lag1_rho, count(*) AS sessions FROM lags GROUP BY ALL",
     "lag1_rho",
-)(lambda s: N.lag1_correlation(Q.stable_rows(s.master, THRESHOLD, 60.0), HEART_RATE))
-
-# ---- matrix detectors; no SQL for these
-
+)(lambda s: N.pooled_correlation(s.session_lags, ["WindowLength_sec", "Feature"]))
+query("nrm6_stable_z", "SELECT WindowID, Feature, z FROM crossfit JOIN cross_ids USING (WindowID, WindowLength_sec)", "z")(lambda s: s.crossfit.unpivot(["WindowID"], ALL23, "Feature", "z"))
 
-BALANCED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY ('0x' || substr(sha256('42|' || WindowID), 1, 16))::UBIGINT, WindowID) AS turn FROM quality WHERE StartTime_sec >= 60 AND EndTime_sec <= SessionDuration_sec - 60) WHERE turn <= 40"
-_LOGGED = ", ".join(f"ln(1 + {c}) AS {c}" if c in LOG1P else c for c in ALL23)
-STANDARD = f"SELECT WindowID, WindowLength_sec, {', '.join(f'({c} - median({c}) OVER w) / CASE WHEN stddev_samp({c}) OVER w > 0 THEN stddev_samp({c}) OVER w ELSE 1 END AS {c}' for c in ALL23)} FROM (SELECT WindowID, WindowLength_sec, {_LOGGED} FROM ({BALANCED})) WINDOW w AS (PARTITION BY WindowLength_sec)"
+# ---- matrix detectors
 
-query("rep2_pruning")(lambda s: s.spark.createDataFrame(s.fits()[1], "WindowLength_sec int, Feature string, Kept boolean, Representative string, AbsRho double"))
+query("rep2_pruning")(lambda s: s.spark.createDataFrame(s.reduced()[1], "WindowLength_sec int, Feature string, Kept boolean, Representative string, AbsRho double"))
 _RANKED = ", ".join(f"rank() OVER (PARTITION BY WindowLength_sec ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY WindowLength_sec, round({c}, 9)) - 1) / 2e0 AS {c}" for c in REDUCED_CANDIDATES)
 _RHO = " UNION ALL ".join(f"SELECT WindowLength_sec, '{a}' AS A, '{b}' AS B, corr({a}, {b}) AS Rho FROM ranked GROUP BY ALL" for i, a in enumerate(REDUCED_CANDIDATES) for b in REDUCED_CANDIDATES[i + 1 :])
-query("rep2_rank_correlations", f"SELECT * FROM (WITH ranked AS MATERIALIZED (SELECT WindowLength_sec, {_RANKED} FROM ({STANDARD})) {_RHO})", "Rho")(lambda s: matrix.rank_correlations(s.standard, REDUCED_CANDIDATES, "WindowLength_sec"))
-
-
-@query(
-    "rep3_covariances",
-    f"""SELECT WindowLength_sec, i::INT AS i, j::INT AS j, (1 - share) * c + CASE WHEN i = j THEN share * mu ELSE 0 END AS value FROM (
-      SELECT *, CASE WHEN spread > 0 THEN greatest(0, least(spread, (fourth - square) / (5 * n))) / spread ELSE 0 END AS share FROM (
-        SELECT *, sum(c * c) OVER w AS square, sum(CASE WHEN i = j THEN c END) OVER w / 5 AS mu, (sum(c * c) OVER w - 5 * (sum(CASE WHEN i = j THEN c END) OVER w / 5) ** 2) / 5 AS spread
-        FROM (SELECT * FROM (SELECT a.WindowLength_sec, a.k AS i, b.k AS j, covar_pop(a.v, b.v) AS c, count(*) AS n FROM five a JOIN five b ON a.WindowID = b.WindowID AND a.WindowLength_sec = b.WindowLength_sec GROUP BY ALL)
-          JOIN (SELECT WindowLength_sec, avg(l * l) AS fourth FROM (SELECT WindowLength_sec, WindowID, sum(d * d) AS l FROM (SELECT *, v - avg(v) OVER (PARTITION BY WindowLength_sec, k) AS d FROM five) GROUP BY ALL) GROUP BY ALL) USING (WindowLength_sec))
-        WINDOW w AS (PARTITION BY WindowLength_sec)))""".replace("five", "(" + " UNION ALL ".join(f"SELECT WindowID, WindowLength_sec, {k} AS k, {c} AS v FROM ({STANDARD})" for k, c in enumerate(HEART_RATE)) + ")"),
-    "value",
+_WIDE = ", ".join(f"max(z) FILTER (Feature = '{c}') AS {c}" for c in REDUCED_CANDIDATES)
+query("rep2_rank_correlations", f"SELECT * FROM (WITH ranked AS MATERIALIZED (SELECT WindowLength_sec, {_RANKED} FROM (SELECT WindowID, WindowLength_sec, {_WIDE} FROM crossfit JOIN rank_ids USING (WindowID, WindowLength_sec) GROUP BY ALL)) {_RHO})", "Rho")(
+    lambda s: matrix.rank_correlations(s.rank_rows, REDUCED_CANDIDATES, "WindowLength_sec")
 )
-def covariances(s: Study):
-    """Of the heart rate space; the others are fitted by the same sums."""
-    rows = [(length, i, j, float(v)) for length, spaces in s.fits()[0].items() for r in spaces if r.name == "heart_rate_rr" for i, row in enumerate(r.covariance) for j, v in enumerate(row)]
+query("rep3_covariances", "SELECT WindowLength_sec, i::INT AS i, j::INT AS j, value FROM shrunk", "value")(lambda s: covariances(s, "heart_rate_rr"))
+ORACLE["rep3_covariances_of_families"] = " UNION ALL ".join(f"SELECT *, '{f}' AS Representation FROM ({sql('SELECT WindowLength_sec, i::INT AS i, j::INT AS j, value FROM shrunk', 'value', 20, f)})" for f in FAMILIES)
+query("rep3_covariances_of_families")(lambda s: reduce(DataFrame.unionByName, [covariances(s, f).withColumn("Representation", F.lit(f)) for f in FAMILIES]))
+
+
+def covariances(s: Study, space: str):
+    """Shrunk covariances of a space by window length."""
+    rows = [(length, i, j, float(v)) for length, spaces in s.fits().items() for r in spaces if r.name == space for i, row in enumerate(r.covariance) for j, v in enumerate(row)]
     return s.spark.createDataFrame(rows, "WindowLength_sec int, i int, j int, value double")
 
 
 query("rep4_spaces")(
     lambda s: s.spark.createDataFrame(
-        [(length, r.name, list(r.columns), float(r.rho), len(r.covariance), float(r.covariance.trace())) for length, spaces in s.fits()[0].items() for r in spaces],
+        [(length, r.name, list(r.columns), float(r.rho), len(r.covariance), float(r.covariance.trace())) for length, spaces in s.fits().items() for r in spaces],
         "WindowLength_sec int, Representation string, Columns array<string>, Rho double, Dimensions int, Trace double",
     )
 )
@@ -201,7 +193,7 @@ query("rpt15_dual_timing_tests")(lambda s: reports.dual_timing_tests(dual(s)))
 # ---- simulation and leave-one-participant-out
 
 def heart_rate_space(s: Study):
-    return next(r for r in s.fits()[0][30] if r.name == "heart_rate_rr")
+    return next(r for r in s.fits()[30] if r.name == "heart_rate_rr")
 
 
 def sim_power(s: Study, replicates: int = 20):
@@ -237,7 +229,7 @@ query(
 # ---- regression, signals
 
 def magnitude(s: Study):
-    return boundary_magnitude(s.long_real, ["BoundaryID", "WindowLength_sec"])
+    return s.magnitude
 
 
 def sized_results(s: Study):

@@ -228,12 +228,15 @@ query("cp1_pre_standardise", "SELECT BoundaryID, WindowLength_sec, Feature, idx:
 query("flt6_candidate_splits", "SELECT BoundaryID, WindowLength_sec, SearchWindow, count(*) AS splits FROM cost_real GROUP BY ALL")(
     lambda s: D.candidate_splits(D.index_series(s.long_real, ["BoundaryID", "WindowLength_sec"]).filter("Feature = 'MeanRR'"), ["BoundaryID", "WindowLength_sec"], 5).groupBy("BoundaryID", "WindowLength_sec", "SearchWindow").agg(F.count("*").alias("splits"))
 )
-query(
-    "rep7_boundary_magnitude",
-    """SELECT BoundaryID, WindowLength_sec, sqrt(sum(d * d)) AS MahalanobisMagnitude, avg(abs(d)) AS MeanAbsChange, arg_min(d, Feature) AS FirstChange FROM
-    (SELECT BoundaryID, WindowLength_sec, Feature, avg(z) FILTER (RelativeCenter_sec >= 0) - avg(z) FILTER (RelativeCenter_sec < 0) AS d FROM long_real GROUP BY ALL) GROUP BY ALL""",
-    "MahalanobisMagnitude MeanAbsChange FirstChange",
-)(lambda s: D.boundary_magnitude(s.long_real, ["BoundaryID", "WindowLength_sec"]))
+_SIZE = """SELECT BoundaryID, WindowLength_sec, sqrt(sum(d * d)) AS MahalanobisMagnitude FROM
+    (SELECT BoundaryID, WindowLength_sec, Feature, avg(z) FILTER (t >= 0) - avg(z) FILTER (t < 0) AS d FROM white_real GROUP BY ALL) GROUP BY ALL"""
+_SHIFT = """SELECT BoundaryID, WindowLength_sec, avg(abs(d)) AS MeanAbsChange, max(d) FILTER (k = 0) AS FirstChange FROM
+    (SELECT BoundaryID, WindowLength_sec, k, avg(z) FILTER (RelativeCenter_sec >= 0) - avg(z) FILTER (RelativeCenter_sec < 0) AS d FROM long_real JOIN columns USING (Feature) GROUP BY ALL) GROUP BY ALL"""
+query("rep7_boundary_magnitude", f"SELECT * FROM ({_SIZE}) JOIN ({_SHIFT}) USING (BoundaryID, WindowLength_sec)", "MahalanobisMagnitude MeanAbsChange FirstChange")(lambda s: s.magnitude)
+for _kind, _key in (("real", "BoundaryID"), ("pseudo", "CandidateID")):
+    query(f"cp3_cov_ic_{_kind}", f"SELECT {_key}, WindowLength_sec, SearchWindow, Method, Score, SplitIndex, CandidateLatency_sec FROM scores_{_kind} WHERE Method = 'CovIC'", "Score CandidateLatency_sec")(
+        lambda s, t=f"{_kind}_scores", k=_key: getattr(s, t).filter("Method = 'CovIC'").select(k, "WindowLength_sec", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec")
+    )
 
 # ---- calibration
 
@@ -334,8 +337,7 @@ query("inf6_real_v_pseudo", COMPARED, _SHOWN)(lambda s: I.compare_real_pseudo(s.
 query("inf5_paired_effects", f"SELECT {_FK}, RealRate, PseudoRate, {', '.join(f'{n}, {n}_Lower, {n}_Upper' for n in _EFFECT)} FROM ({COMPARED})", _SHOWN.split(" DetectedDifference")[0])(
     lambda s: I.compare_real_pseudo(s.results).select(*_FKEYS, "RealRate", "PseudoRate", *[f"{n}{e}" for n in _EFFECT for e in ("", "_Lower", "_Upper")])
 )
-_MAGNITUDE = """SELECT BoundaryID, WindowLength_sec, sqrt(sum(d * d)) AS MahalanobisMagnitude, avg(abs(d)) AS MeanAbsChange FROM
-    (SELECT BoundaryID, WindowLength_sec, Feature, avg(z) FILTER (RelativeCenter_sec >= 0) - avg(z) FILTER (RelativeCenter_sec < 0) AS d FROM long_real GROUP BY ALL) GROUP BY ALL"""
+_MAGNITUDE = f"SELECT BoundaryID, WindowLength_sec, MahalanobisMagnitude, MeanAbsChange FROM ({_SIZE}) JOIN ({_SHIFT}) USING (BoundaryID, WindowLength_sec)"
 _DK = ["WindowLength_sec", "SearchWindow", "Method", "Outcome"]
 _OUT = {"hit": "Detected::INT::DOUBLE", "Score": "Score", "Latency_sec": "Latency_sec", "MahalanobisMagnitude": "MahalanobisMagnitude", "MeanAbsChange": "MeanAbsChange"}
 _SIZED = f"(SELECT * FROM results LEFT JOIN ({_MAGNITUDE}) g USING (BoundaryID, WindowLength_sec) WHERE BoundaryKind = 'Real')"
@@ -346,7 +348,7 @@ query(
     "inf7_direction_contrast",
     f"SELECT {', '.join(_DK)}, MeanDifference, Participants, PermutationP, e_Lower AS CI_Lower, e_Upper AS CI_Upper FROM ({flip_sql(_CON, _DK, 'direction')}) LEFT JOIN ({boot_sql(_CON, _DK, 'contrast', 'sum(n.d) AS s, count(n.d) AS c', {'e': 's / c'})}) USING ({', '.join(_DK)})",
     "MeanDifference PermutationP CI_Lower CI_Upper",
-)(lambda s: I.direction_contrast(s.results, D.boundary_magnitude(s.long_real, ["BoundaryID", "WindowLength_sec"])))
+)(lambda s: I.direction_contrast(s.results, s.magnitude))
 query(
     "agg25_method_specificity",
     """SELECT *, RealRate - greatest(PseudoA, PseudoNA) AS Specificity FROM (SELECT WindowLength_sec, SearchWindow, Method, TransitionType, max(DetectionRate) FILTER (BoundaryKind = 'Real') AS RealRate,

@@ -12,9 +12,9 @@ from tessaline.functions.scalars import calibrated_name
 GROUP = ["WindowLength_sec", "SearchWindow", "Method", "TransitionType"]
 
 
-def expand_scores(matches: DataFrame, pseudo_scores: DataFrame) -> DataFrame:
-    """Every match with all scores of its candidate; the match's own columns win."""
-    scores = pseudo_scores.select("CandidateID", "WindowLength_sec", "SearchWindow", "Method", "Score", "CandidateLatency_sec")
+def expand_scores(matches: DataFrame, pseudo_scores: DataFrame, group: list[str] = GROUP) -> DataFrame:
+    """Every match with all scores of its candidate; the match's own columns win. ``group`` may have further keys than ``GROUP``, as in all of this module."""
+    scores = pseudo_scores.select("CandidateID", *[c for c in group if c != "TransitionType"], "Score", "CandidateLatency_sec")
     return matches.join(scores, ["CandidateID", "WindowLength_sec"])
 
 
@@ -24,22 +24,22 @@ def one_per_block(expanded: DataFrame, keys: list[str]) -> DataFrame:
     return expanded.withColumn("turn", F.row_number().over(order)).filter("turn = 1").drop("turn")
 
 
-def crossfit_thresholds(expanded: DataFrame, fpr: float = 0.05) -> DataFrame:
+def crossfit_thresholds(expanded: DataFrame, fpr: float = 0.05, group: list[str] = GROUP) -> DataFrame:
     """For each fold the threshold from all other folds (both conditions together) and its false-positive rate on the fold."""
-    pseudo = one_per_block(expanded, [*GROUP, "PseudoFold"])
-    folds = pseudo.select(*GROUP, F.col("PseudoFold").alias("CalibrationFold")).distinct()
-    both = folds.join(pseudo, GROUP)
+    pseudo = one_per_block(expanded, [*group, "PseudoFold"])
+    folds = pseudo.select(*group, F.col("PseudoFold").alias("CalibrationFold")).distinct()
+    both = folds.join(pseudo, group)
     other = F.when(F.col("PseudoFold") != F.col("CalibrationFold"), F.col("Score"))
-    fitted = both.groupBy(*GROUP, "CalibrationFold").agg(
+    fitted = both.groupBy(*group, "CalibrationFold").agg(
         quantile_higher(other, 1 - fpr).alias("Threshold"),
         F.countDistinct(F.when(F.col("PseudoFold") != F.col("CalibrationFold"), F.col("CandidateBlockID"))).alias("CalibrationBlocks"),
     )
-    held = fitted.join(pseudo.withColumnRenamed("PseudoFold", "CalibrationFold"), [*GROUP, "CalibrationFold"])
-    rate = held.groupBy(*GROUP, "CalibrationFold").agg(
+    held = fitted.join(pseudo.withColumnRenamed("PseudoFold", "CalibrationFold"), [*group, "CalibrationFold"])
+    rate = held.groupBy(*group, "CalibrationFold").agg(
         F.countDistinct("CandidateBlockID").alias("HeldoutBlocks"),
         F.avg(F.coalesce((F.col("Score") >= F.col("Threshold")).cast("double"), F.lit(0.0))).alias("HeldoutFPR"),
     )
-    return fitted.join(rate, [*GROUP, "CalibrationFold"], "left")
+    return fitted.join(rate, [*group, "CalibrationFold"], "left")
 
 
 def _detected(df: DataFrame, threshold: Column) -> DataFrame:
@@ -53,7 +53,7 @@ RESULT = [
 ]
 
 
-def apply_thresholds(real: DataFrame, expanded: DataFrame, thresholds: DataFrame, fixed: float = 6.0) -> DataFrame:
+def apply_thresholds(real: DataFrame, expanded: DataFrame, thresholds: DataFrame, fixed: float = 6.0, group: list[str] = GROUP) -> DataFrame:
     """Detections: real boundaries by the median of the folds' thresholds, pseudo ones by their own fold's, and the legacy score by a fixed one."""
     none = lambda kind: F.lit(None).cast(kind)
     real_ = (
@@ -65,12 +65,12 @@ def apply_thresholds(real: DataFrame, expanded: DataFrame, thresholds: DataFrame
         .withColumn("MatchScore", none("double"))
     )
     pseudo = expanded.withColumn("BoundaryKind", F.lit("Pseudo")).withColumn("BoundaryID", F.col("PseudoMatchID"))
-    medians = thresholds.groupBy(*GROUP).agg(F.median("Threshold").alias("T"))
-    own = thresholds.select(*GROUP, F.col("CalibrationFold").alias("PseudoFold"), F.col("Threshold").alias("T"))
-    named = lambda df, name: df.withColumn("SourceMethod", F.col("Method")).withColumn("Method", name).select(*RESULT)
+    medians = thresholds.groupBy(*group).agg(F.median("Threshold").alias("T"))
+    own = thresholds.select(*group, F.col("CalibrationFold").alias("PseudoFold"), F.col("Threshold").alias("T"))
+    named = lambda df, name: df.withColumn("SourceMethod", F.col("Method")).withColumn("Method", name).select(*RESULT, *[k for k in group if k not in RESULT])
     legacy = lambda df: named(_detected(df.filter(F.col("Method") == "LegacyBIC_fixed6"), F.lit(fixed)), F.lit("LegacyBIC_fixed6"))
-    by_group = named(_detected(real_.join(medians, GROUP), F.col("T")), calibrated_name(F.col("Method")))
-    by_fold = named(_detected(pseudo.join(own, [*GROUP, "PseudoFold"]), F.col("T")), calibrated_name(F.col("Method")))
+    by_group = named(_detected(real_.join(medians, group), F.col("T")), calibrated_name(F.col("Method")))
+    by_fold = named(_detected(pseudo.join(own, [*group, "PseudoFold"]), F.col("T")), calibrated_name(F.col("Method")))
     return by_group.unionByName(by_fold).unionByName(legacy(real_)).unionByName(legacy(pseudo))
 
 

@@ -1,5 +1,8 @@
 """Change-point scores as window expressions over long series ``series keys, idx, t, Feature, z``.
 
+``project`` brings series of all features into the coordinates of linear spaces, plain or whitened: a product of each vector with
+a matrix that a table holds by window length and space. All detectors then run over all spaces at once.
+
 Shared contract: one row per series and search window with Score, SplitIndex and CandidateLatency_sec; a series
 without a legal split has none of the three, and of equal scores the earliest split counts.
 """
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessaline.config import SEARCH_WINDOWS
-from tessaline.functions.scalars import bic
+from tessaline.functions.scalars import bic, effective_size
 
 TINY = 1e-12
 
@@ -104,23 +107,52 @@ def mosum(indexed: DataFrame, series: list[str], least: int) -> DataFrame:
     return best_split(norm, series, "MOSUM")
 
 
-def score_series(long: DataFrame, series: list[str], least: int = 5) -> DataFrame:
-    """All scores that need no covariance, for every series."""
-    indexed = index_series(long, series)
-    costs = split_costs(pre_standardised(indexed, series), series, least)
-    parts = [legacy_bic(costs, series), binseg_l2(costs, series), cusum(indexed, series, least), mosum(indexed, series, least)]
+def project(series: DataFrame, keys: list[str], spaces: DataFrame, matrix: str) -> DataFrame:
+    """``keys, t, x`` (one row per series, times in order) -> ``keys, Representation, rho, idx, n, t, Feature, z`` in each space's coordinates.
+
+    spaces: ``WindowLength_sec, Representation, rho`` and, as ``matrix`` and ``matrix_offset``, rows to multiply each vector with and what is then taken off.
+    A few rows per window length, broadcast. Feature is the coordinate's number.
+    """
+    product = lambda row, v: F.aggregate(F.zip_with(row, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    moved = lambda v: F.transform(F.col(matrix), lambda row, i: product(row, v) - F.get(F.col(f"{matrix}_offset"), i))
+    both = series.join(F.broadcast(spaces.select("WindowLength_sec", "Representation", "rho", matrix, f"{matrix}_offset")), "WindowLength_sec")
+    own = [*keys, "Representation", "rho"]
+    points = both.select(*own, F.size("t").cast("long").alias("n"), F.posexplode(F.zip_with("t", F.transform("x", moved), lambda t, y: F.struct(t.alias("t"), y.alias("y")))).alias("idx", "p"))
+    return points.select(*own, "idx", "n", F.col("p.t").alias("t"), F.posexplode("p.y").alias("Feature", "z"))
+
+
+def cov_ic(costs: DataFrame, series: list[str]) -> DataFrame:
+    """Gain of one mean change on whitened rows, less (d + 1) log n_eff; ``series`` holds ``rho``."""
+    size = effective_size(F.col("n"), F.col("rho"))
+    return best_split(costs.withColumn("score", F.col("gain") - (F.col("d") + 1) * F.log(size)), series, "CovIC")
+
+
+def score_spaces(series: DataFrame, keys: list[str], spaces: DataFrame, least: int = 5) -> DataFrame:
+    """``keys, Representation, SearchWindow, Method, Score, SplitIndex, CandidateLatency_sec`` of every series in every space.
+
+    BinSeg and the legacy score take plain coordinates, standardised by the time before the boundary; CovIC, CUSUM and MOSUM whitened ones.
+    """
+    own = [*keys, "Representation", "rho"]
+    plain, white = (project(series, keys, spaces, m) for m in ("plain", "white"))
+    costs = split_costs(pre_standardised(plain, own), own, least)
+    parts = [legacy_bic(costs, own), binseg_l2(costs, own), cov_ic(split_costs(white, own, least), own), cusum(white, own, least), mosum(white, own, least)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.drop("rho")
 
 
-def boundary_magnitude(long: DataFrame, series: list[str], time: str = "RelativeCenter_sec") -> DataFrame:
-    """Norm, mean absolute size and first component of (mean after - mean before), features in order of name."""
-    diff = long.groupBy(*series, "Feature").agg((F.avg(F.when(F.col(time) >= 0, F.col("z"))) - F.avg(F.when(F.col(time) < 0, F.col("z")))).alias("d"))
-    return diff.groupBy(*series).agg(
-        F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("MahalanobisMagnitude"), F.avg(F.abs("d")).alias("MeanAbsChange"), F.min_by("d", "Feature").alias("FirstChange")
-    )
+def boundary_magnitude(series: DataFrame, keys: list[str], spaces: DataFrame) -> DataFrame:
+    """Of (mean after - mean before) in every space: the Mahalanobis distance, the mean absolute size and the first coordinate."""
+    own = [*keys, "Representation"]
+
+    def change(matrix: str) -> DataFrame:
+        mean = lambda side: F.avg(F.when(side, F.col("z")))
+        return project(series, keys, spaces, matrix).groupBy(*own, "Feature").agg((mean(F.col("t") >= 0) - mean(F.col("t") < 0)).alias("d"))
+
+    far = change("white").groupBy(*own).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("MahalanobisMagnitude"))
+    plain = change("plain").groupBy(*own).agg(F.avg(F.abs("d")).alias("MeanAbsChange"), F.min_by("d", "Feature").alias("FirstChange"))
+    return far.join(plain, own)
 
 
 def pelt_base_penalty(d: Column, n_eff: Column, model: str) -> Column:

@@ -17,16 +17,16 @@ RATE_KEYS = ["WindowLength_sec", "SearchWindow", "Method", "BoundaryKind", "Tran
 PAIR_KEYS = ["MatchedRealBoundaryID", "Subject", "TransitionType", "BoundaryOrder", "WindowLength_sec", "SearchWindow", "Method"]
 
 
-def dedupe_for_rate(results: DataFrame) -> DataFrame:
+def dedupe_for_rate(results: DataFrame, keys: list[str] = RATE_KEYS) -> DataFrame:
     """Real rows once per boundary; pseudo rows once per block of a group, lowest MatchScore first."""
     unit = F.when(F.col("BoundaryKind") == "Real", F.col("BoundaryID")).otherwise(F.col("CandidateBlockID"))
-    order = W.partitionBy(*RATE_KEYS, unit).orderBy(F.col("MatchScore").asc_nulls_first(), "BoundaryID")
+    order = W.partitionBy(*keys, unit).orderBy(F.col("MatchScore").asc_nulls_first(), "BoundaryID")
     return results.withColumn("turn", F.row_number().over(order)).filter("turn = 1").drop("turn")
 
 
-def detection_rates(results: DataFrame) -> DataFrame:
-    """Rates, latencies and scores of each group; groups without a condition keep their null key."""
-    return dedupe_for_rate(results).groupBy(*RATE_KEYS).agg(
+def detection_rates(results: DataFrame, keys: list[str] = RATE_KEYS) -> DataFrame:
+    """Rates, latencies and scores of each group; groups without a condition keep their null key. ``keys`` may have further ones."""
+    return dedupe_for_rate(results, keys).groupBy(*keys).agg(
         F.countDistinct("Subject").alias("Participants"),
         F.count("*").alias("Boundaries"),
         F.sum(F.col("Detected").cast("long")).alias("Detections"),

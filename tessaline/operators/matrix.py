@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -205,7 +205,7 @@ def wide_series(long: DataFrame, series: list[str], features: list[str]) -> Data
 
 
 def score_matrix(series: DataFrame, keys: list[str], features: list[str], spaces: dict[int, list[Representation]], least: int = 5) -> DataFrame:
-    """CovIC and SegmentedTrend of every series (``keys, t, x``, one row each, x in the order of ``features``) in the spaces fitted for its window length."""
+    """SegmentedTrend of every series (``keys, t, x``, one row each, x in the order of ``features``) in the spaces fitted for its window length."""
     kinds = dict(series.dtypes)
     shape = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["Representation string", "SearchWindow string", "Method string", "Score double", "SplitIndex int", "CandidateLatency_sec double"])
 
@@ -217,10 +217,9 @@ def score_matrix(series: DataFrame, keys: list[str], features: list[str], spaces
                 for space in spaces.get(r.WindowLength_sec, []):
                     y = space.transform(x[:, [features.index(c) for c in space.columns]])
                     for name, search in SEARCH_WINDOWS.items():
-                        for method, fn in (("CovIC", cov_ic), ("SegmentedTrend", segmented_trend)):
-                            s, k = fn(t, y, space, least, search)
-                            if k >= 0:
-                                rows.append((*[getattr(r, c) for c in keys], space.name, name, method, round(s, 9), k, t[k]))
+                        s, k = segmented_trend(t, y, space, least, search)
+                        if k >= 0:
+                            rows.append((*[getattr(r, c) for c in keys], space.name, name, "SegmentedTrend", round(s, 9), k, t[k]))
             yield pd.DataFrame(rows, columns=[*keys, "Representation", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec"])
 
     return series.mapInPandas(score, shape)
@@ -266,27 +265,46 @@ def balanced_rows(stable: DataFrame, features: list[str], most: int = 40, seed:
     return stable.filter(whole).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most).drop("turn")
 
 
-def standardised(sample: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """Columns less their median, over their standard deviation, within each value of ``by``.
+def components_scores(long: DataFrame, loadings: DataFrame) -> DataFrame:
+    """Long z scores -> the same with components for features; ``loadings(WindowLength_sec, Feature, Component, centre, weight)`` are a few hundred rows a length."""
+    ids = [c for c in long.columns if c not in ("Feature", "z")]
+    both = long.join(F.broadcast(loadings), ["WindowLength_sec", "Feature"])
+    return both.groupBy(*ids, "Component").agg(F.sum((F.col("z") - F.col("centre")) * F.col("weight")).alias("z")).withColumnRenamed("Component", "Feature")
 
-    In long form, as the optimizer would combine so many columns that are made of their like-named selves endlessly.
-    """
-    long = sample.unpivot(["WindowID", by], columns, "Feature", "value")
-    of = long.groupBy(by, "Feature").agg(F.median("value").alias("middle"), F.stddev_samp("value").alias("sd"))
-    z = (F.col("value") - F.col("middle")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    # one row per length and column is sent to the tasks
-    scaled = long.join(F.broadcast(of), [by, "Feature"]).withColumn("z", z)
-    return scaled.groupBy("WindowID", by).pivot("Feature", columns).agg(F.first("z"))
+
+def pruned(rows: DataFrame, candidates: list[str], by: str, limit: float = 0.90) -> dict[int, tuple[list[str], list[dict]]]:
+    """By value of ``by``, which candidates stay, and the audit."""
+    pairs: dict[int, dict] = {r[by]: {} for r in rows.select(by).distinct().collect()}
+    for r in rank_correlations(rows, candidates, by).collect():
+        pairs[r[by]][r["A"], r["B"]] = r["Rho"]
+    out = {}
+    for key, found in sorted(pairs.items()):
+        kept, audit = prune_by_rank_correlation(found, candidates, limit)
+        out[key] = kept, [{by: key, **a} for a in audit]
+    return out
 
 
 def fit_representations(
-    rows: DataFrame, candidates: list[str], families: dict[str, list[str]], rho: dict[tuple[int, str], float], by: str = "WindowLength_sec", limit: float = 0.90, share: float = 0.80
+    rows: DataFrame,
+    candidates: list[str],
+    families: dict[str, list[str]],
+    rho: dict[tuple[int, str], float],
+    by: str = "WindowLength_sec",
+    limit: float = 0.90,
+    share: float = 0.80,
+    reduced: list[str] | None = None,
+    whole: list[str] | None = None,
 ) -> tuple[dict[int, list[Representation]], list[dict]]:
-    """For each window length the family spaces, the pruned space and principal components of standardised rows; and the audit of the pruning.
+    """For each window length the family spaces, the pruned space and principal components; and the audit of the pruning.
 
-    Spark makes all sums; the driver gets one row of moments per length and space, and solves matrices of at most 23 columns.
-    rho: lag-1 correlation by length and feature; a space has the median of its columns'.
+    rows: z scores of windows that don't overlap. Spark makes all sums; the driver gets one row of moments per length and space, and solves
+    matrices of at most 23 columns. reduced: the columns of the pruned space, for all lengths; without them each length's rows are pruned. whole: the columns that
+    components are made of, those of the largest family if not named. rho: lag-1 correlation by length and feature, whose median a space has until
+    ``with_rho`` gives it the one of its own columns.
     """
+    whole = whole or max(families.values(), key=len)
+    own = {} if reduced is not None else pruned(rows, candidates, by, limit)
+
     def fitted(table: DataFrame, columns: list[str]) -> dict[int, tuple]:
         found = {}
         for r in moments(table, columns, by).collect():
@@ -299,18 +317,42 @@ def fit_representations(
     for name, columns in families.items():
         for length, (_, c, _) in fitted(rows, columns).items():
             out.setdefault(length, []).append(Representation(name, tuple(columns), c, mid(length, columns)))
-    pairs: dict[int, dict] = {}
-    for r in rank_correlations(rows, candidates, by).collect():
-        pairs.setdefault(r[by], {})[r["A"], r["B"]] = r["Rho"]
-    audit = []
+    at_once = fitted(rows, reduced) if reduced is not None else {}
+    basis = fitted(rows, whole)
     for length in sorted(out):
-        kept, rows_of_audit = prune_by_rank_correlation(pairs.get(length, {}), candidates, limit)
-        audit += [{by: length, **a} for a in rows_of_audit]
-        own = rows.filter(F.col(by) == length)
-        plain, c, centre = fitted(own, kept)[length]
+        kept = reduced if reduced is not None else own[length][0]
+        _, c, _ = at_once[length] if reduced is not None else fitted(rows.filter(F.col(by) == length), kept)[length]
         out[length].append(Representation("reduced", tuple(kept), c, mid(length, kept)))
+        plain, _, centre = basis[length]
         scale, parts, _ = components_of(plain, share)
-        scores = [sum(((F.col(f) - float(m)) * float(w / s) for f, m, w, s in zip(kept, centre, part, scale, strict=True)), F.lit(0.0)).alias(f"score{i}") for i, part in enumerate(parts)]
-        _, c, _ = fitted(own.select(by, *scores), [f"score{i}" for i in range(len(parts))])[length]
-        out[length].append(Representation("independent_pca", tuple(kept), c, mid(length, kept), centre, scale, parts))
-    return out, audit
+        scores = [sum(((F.col(f) - float(m)) * float(w / s) for f, m, w, s in zip(whole, centre, part, scale, strict=True)), F.lit(0.0)).alias(f"score{i}") for i, part in enumerate(parts)]
+        _, c, _ = fitted(rows.filter(F.col(by) == length).select(by, *scores), [f"score{i}" for i in range(len(parts))])[length]
+        out[length].append(Representation("independent_pca", tuple(whole), c, mid(length, whole), centre, scale, parts))
+    return out, [a for _, audit in own.values() for a in audit]
+
+
+def loadings_of(spaces: dict[int, list[Representation]]) -> list[tuple]:
+    """Rows for ``components_scores``, of the spaces that have components."""
+    return [
+        (length, f, k, float(r.centre[j]), float(row[j] / r.scale[j])) for length, found in spaces.items() for r in found if r.components is not None for k, row in enumerate(r.components) for j, f in enumerate(r.columns)
+    ]
+
+
+def with_rho(spaces: dict[int, list[Representation]], rho: dict[tuple[int, str], float]) -> dict[int, list[Representation]]:
+    """Spaces with their own lag-1 correlations, by length and name; 0 where none is known."""
+    return {length: [replace(r, rho=rho.get((length, r.name), 0.0)) for r in found] for length, found in spaces.items()}
+
+
+def space_table(spark, spaces: dict[int, list[Representation]], features: list[str]) -> DataFrame:
+    """Spaces as rows for ``detectors.project``, over vectors of all ``features`` in their order."""
+    rows = []
+    for length, found in spaces.items():
+        for r in found:
+            plain, place = np.zeros((len(r.covariance), len(features))), [features.index(c) for c in r.columns]
+            plain[:, place] = np.eye(len(place)) if r.components is None else r.components / r.scale
+            offset = np.zeros(len(plain)) if r.components is None else (r.components / r.scale) @ r.centre
+            white = r.whitening
+            rows.append((length, r.name, float(r.rho), len(r.covariance), plain.tolist(), offset.tolist(), (white @ plain).tolist(), (white @ offset).tolist()))
+    return spark.createDataFrame(
+        rows, "WindowLength_sec int, Representation string, rho double, Dimensions int, plain array<array<double>>, plain_offset array<double>, white array<array<double>>, white_offset array<double>"
+    )

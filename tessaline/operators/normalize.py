@@ -103,15 +103,25 @@ def apply_normalisation(observations: DataFrame, parameters: DataFrame, ids: lis
     )
 
 
-def lag1_correlation(stable: DataFrame, features: list[str]) -> DataFrame:
-    """Median over sessions of each feature's lag-1 autocorrelation, within 0 and 0.98."""
-    long = unpivot(stable, ["Subject", "Session", "WindowLength_sec", "WindowIndex"], features)
-    order = W.partitionBy("Subject", "Session", "WindowLength_sec", "Feature").orderBy("WindowIndex")
-    pairs = long.withColumn("before", F.lag("value").over(order)).filter("before is not null")
-    own = pairs.groupBy("Subject", "Session", "WindowLength_sec", "Feature").agg(
-        F.when((F.count("*") >= 3) & (F.stddev_pop("value") > TINY) & (F.stddev_pop("before") > TINY), correlation("value", "before")).alias("r")
-    )
-    return own.filter("r is not null").groupBy("WindowLength_sec", "Feature").agg(
-        F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.median("r"))).alias("lag1_rho"), F.count("*").alias("sessions")
-    )
+def crossfit_stable(stable: DataFrame, parameters: DataFrame, features: list[str]) -> DataFrame:
+    """Stable windows with their features as z scores by the subject's other sessions. A window without parameters goes.
+
+    parameters: those of pseudo-boundaries, each of which leaves out its own session.
+    """
+    ids = ["WindowID", "Subject", "Session", "ConditionCode", "WindowIndex", "StepSize_sec"]
+    key = F.concat("Subject", F.lit("_S"), F.col("Session").cast("string"))
+    z = apply_normalisation(stable, parameters, ids, features, key)
+    return z.groupBy(*ids, "WindowLength_sec").pivot("Feature", features).agg(F.first("z")).na.drop(subset=features)
+
+
+def session_correlations(long: DataFrame, value: str = "z") -> DataFrame:
+    """``Subject, Session, WindowLength_sec, Feature, r``: lag-1 autocorrelation within each session, of 5 windows and 4 pairs at least."""
+    of = ["Subject", "Session", "WindowLength_sec", "Feature"]
+    pairs = long.withColumn("before", F.lag(value).over(W.partitionBy(*of).orderBy("WindowIndex"))).filter("before is not null")
+    own = pairs.groupBy(*of).agg(F.when((F.count("*") >= 4) & (F.stddev_pop(value) > TINY) & (F.stddev_pop("before") > TINY), correlation(value, "before")).alias("r"))
+    return own.filter("r is not null")
+
 
+def pooled_correlation(correlations: DataFrame, keys: list[str]) -> DataFrame:
+    """Median of all sessions' and columns' correlations of each key together, within 0 and 0.98."""
+    return correlations.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(0.98), F.median("r"))).alias("lag1_rho"), F.countDistinct("Subject", "Session").alias("sessions"))

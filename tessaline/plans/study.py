@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.config import ALL23, ALLOWED_WINDOWS, FAMILIES, PELT_MULTIPLIERS, REDUCED_CANDIDATES
-from tessaline.functions.scalars import log_feature
 from tessaline.operators import boundaries as B
 from tessaline.operators import calibration as C
 from tessaline.operators import detectors as D
@@ -27,19 +26,27 @@ LENGTHS = ALLOWED_WINDOWS
 CONFIGURATIONS = [(5.0, "heart_rate_rr"), (10.0, "heart_rate_rr"), (20.0, "heart_rate_rr"), (20.0, "hrv"), (20.0, "ecg_morphology"), (20.0, "all23")]
 
 
+#: The window length that decides which features the pruned space has; the spaces that are fitted beyond the families; group keys of scores in several spaces.
+REDUCED_FROM, FITTED, IN_SPACE = 30, ("reduced", "independent_pca"), [*C.GROUP, "Representation"]
+
+
 class Study:
     """Tables of the analysis of one configuration, made on demand. Those that others use are written to the shared folder once, which keeps plans short.
 
     Configurations share what doesn't hang on them: the windows, and with an equal limit of corrected intervals all up to the normalisation.
     """
 
-    LAZY = {"samples", "pseudo_obs"}
+    LAZY = {"samples", "pseudo_obs", "real_scores", "pseudo_scores", "magnitude"}
     OF_INPUT = {"samples", "master", "sessions", "inventory"}
-    OF_LIMIT = OF_INPUT | {"observations", "eligibility", "candidates", "matches", "pseudo_obs", "norm_real", "norm_pseudo"}
+    OF_LIMIT = OF_INPUT | {
+        "observations", "eligibility", "candidates", "matches", "pseudo_obs", "norm_real", "norm_pseudo", "crossfit", "fit_rows", "rank_rows", "session_lags", "space_lags",
+        "spaces", "series_real", "series_pseudo", "space_real", "space_pseudo", "matrix_real_scores", "matrix_pseudo_scores", "magnitudes",
+    }
 
     def __init__(self, spark: SparkSession, events: DataFrame, subjects: int | None = None, corrected: float = THRESHOLD, space: str = "heart_rate_rr", base: Study | None = None):
         self.spark, self.events, self.subjects, self.made = spark, events, subjects, {}
         self.corrected, self.space, self.base, self.others = corrected, space, base, {}
+        self.root = self if base is None else base.root
 
     def configured(self, corrected: float, space: str) -> Study:
         """The study of the same input in another configuration."""
@@ -99,88 +106,136 @@ class Study:
     def _norm_pseudo(self):
         return N.fit_normalisation(self.master, N.exclusion_keys_of_sessions(self.sessions), ALL23, self.corrected)
 
-    def _long_real(self):
+    def _real_z(self, features: list[str]) -> DataFrame:
         obs = self.observations.join(self.eligibility.filter("Eligible").select("BoundaryID", "WindowLength_sec"), ["BoundaryID", "WindowLength_sec"], "left_semi")
         ids = ["BoundaryID", "Subject", "TransitionType", "BoundaryOrder", "RelativeCenter_sec"]
-        return N.apply_normalisation(obs, self.norm_real, ids, FAMILIES[self.space], F.col("BoundaryID"))
+        return N.apply_normalisation(obs, self.norm_real, ids, features, F.col("BoundaryID"))
 
-    def _long_pseudo(self):
+    def _pseudo_z(self, features: list[str]) -> DataFrame:
         key = F.concat("Subject", F.lit("_S"), F.col("Session").cast("string"))
-        return N.apply_normalisation(self.pseudo_obs, self.norm_pseudo, ["CandidateID", "RelativeCenter_sec"], FAMILIES[self.space], key)
+        return N.apply_normalisation(self.pseudo_obs, self.norm_pseudo, ["CandidateID", "RelativeCenter_sec"], features, key)
 
-    def _real_scores(self):
-        scores = D.score_series(self.long_real, ["BoundaryID", "WindowLength_sec"])
-        return scores.join(self.inventory.select("BoundaryID", "Subject", "TransitionType", "BoundaryOrder"), "BoundaryID")
+    def _long_real(self):
+        return self._real_z(FAMILIES[self.space])
 
-    def _pseudo_scores(self):
-        return D.score_series(self.long_pseudo, ["CandidateID", "WindowLength_sec"])
+    def _long_pseudo(self):
+        return self._pseudo_z(FAMILIES[self.space])
 
-    def _expanded(self):
-        return C.expand_scores(self.matches, self.pseudo_scores)
+    # ---- linear spaces: fitted on cross-fitted stable windows, the scale that series have
 
-    def _thresholds(self):
-        return C.crossfit_thresholds(self.expanded)
+    def _crossfit(self):
+        return N.crossfit_stable(Q.stable_rows(self.master, self.corrected, 60.0), self.norm_pseudo, ALL23)
 
-    def _results(self):
-        return C.apply_thresholds(self.real_scores, self.expanded, self.thresholds)
+    def _fit_rows(self):
+        """What covariances and components are fitted on: windows that don't overlap, as many of each subject and condition."""
+        return M.balanced_rows(Q.thinned(self.crossfit), ALL23)
 
-    def _stable_logged(self):
-        """Stable windows on the detectors' scale. Written as it is: the optimizer would combine these columns with later filters endlessly."""
-        stable = Q.stable_rows(self.master, self.corrected, 60.0)
-        return stable.select("WindowLength_sec", "Subject", "ConditionCode", "WindowID", *[log_feature(c, c).alias(c) for c in ALL23])
+    def _rank_rows(self):
+        """What the pruning is made on."""
+        return M.balanced_rows(self.crossfit.filter(F.col("WindowLength_sec") == REDUCED_FROM), REDUCED_CANDIDATES, 50)
 
-    def _matrix_stable(self):
-        """The bounded sample that spaces are fitted on."""
-        return M.balanced_rows(self.stable_logged, ALL23)
+    def crossfit_long(self) -> DataFrame:
+        ids = ["Subject", "Session", "WindowLength_sec", "WindowIndex"]
+        return self.crossfit.unpivot(ids, ALL23, "Feature", "z")
 
-    def _standard(self):
-        return M.standardised(self.matrix_stable, ALL23, "WindowLength_sec")
+    def _session_lags(self):
+        return N.session_correlations(self.crossfit_long())
 
-    def fits(self):
-        """Spaces by window length, and the audit of the pruning; fitted once."""
+    def reduced(self) -> tuple[list[str], list[dict]]:
+        """The pruned features and their audit: decided once, on the shortest windows of the widest limit, for all configurations."""
+        first = self.root if self.root.corrected == THRESHOLD else self.root.configured(THRESHOLD, self.root.space)
+        if "reduced" not in first.made:
+            first.made["reduced"] = M.pruned(first.rank_rows, REDUCED_CANDIDATES, "WindowLength_sec").get(REDUCED_FROM, (REDUCED_CANDIDATES, []))
+        return first.made["reduced"]
+
+    def fits(self) -> dict[int, list[M.Representation]]:
+        """Spaces by window length; fitted once for each limit of corrected intervals."""
+        if self.base is not None and self.base.corrected == self.corrected:
+            return self.base.fits()
         if "fits" not in self.made:
-            lagged = N.lag1_correlation(Q.stable_rows(self.master, self.corrected, 60.0), ALL23)
-            rho = {(r["WindowLength_sec"], r["Feature"]): r["lag1_rho"] for r in lagged.collect()}  # lengths x features
-            self.made["fits"] = M.fit_representations(self.standard, REDUCED_CANDIDATES, FAMILIES, rho)
+            kept = self.reduced()[0]
+            found, _ = M.fit_representations(self.fit_rows, REDUCED_CANDIDATES, FAMILIES, {}, reduced=kept, whole=ALL23)
+            loadings = self.spark.createDataFrame(M.loadings_of(found), "WindowLength_sec int, Feature string, Component int, centre double, weight double")
+            of = self.spark.createDataFrame([(r.name, c) for r in next(iter(found.values()), []) if r.components is None for c in r.columns], "Representation string, Feature string")
+            direct = N.pooled_correlation(self.session_lags.join(F.broadcast(of), "Feature"), ["WindowLength_sec", "Representation"])
+            parts = N.session_correlations(M.components_scores(self.crossfit_long(), loadings))
+            turned = N.pooled_correlation(parts.withColumn("Representation", F.lit("independent_pca")), ["WindowLength_sec", "Representation"])
+            rho = {(r["WindowLength_sec"], r["Representation"]): r["lag1_rho"] for r in direct.unionByName(turned).collect()}  # lengths x spaces
+            self.made["fits"] = M.with_rho(found, rho)
         return self.made["fits"]
 
+    def _spaces(self):
+        return M.space_table(self.spark, self.fits(), ALL23)
+
     def _series_real(self):
-        return M.wide_series(self.configured(self.corrected, "all23").long_real, ["BoundaryID", "WindowLength_sec"], ALL23)
+        return M.wide_series(self._real_z(ALL23), ["BoundaryID", "WindowLength_sec"], ALL23)
 
     def _series_pseudo(self):
-        return M.wide_series(self.configured(self.corrected, "all23").long_pseudo, ["CandidateID", "WindowLength_sec"], ALL23)
+        return M.wide_series(self._pseudo_z(ALL23), ["CandidateID", "WindowLength_sec"], ALL23)
 
-    def _matrix_real_scores(self):
-        scores = M.score_matrix(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits()[0])
+    def _space_real(self):
+        """Native scores of all real boundaries in all spaces, in one pass."""
+        scores = D.score_spaces(self.series_real, ["BoundaryID", "WindowLength_sec"], self.spaces)
         return scores.join(self.inventory.select("BoundaryID", "Subject", "TransitionType", "BoundaryOrder"), "BoundaryID")
 
+    def _space_pseudo(self):
+        return D.score_spaces(self.series_pseudo, ["CandidateID", "WindowLength_sec"], self.spaces)
+
+    def _magnitudes(self):
+        return D.boundary_magnitude(self.series_real, ["BoundaryID", "WindowLength_sec"], self.spaces)
+
+    def _magnitude(self):
+        return self.magnitudes.filter(F.col("Representation") == self.space).drop("Representation")
+
+    def _real_scores(self):
+        return self.space_real.filter(F.col("Representation") == self.space).drop("Representation")
+
+    def _pseudo_scores(self):
+        return self.space_pseudo.filter(F.col("Representation") == self.space).drop("Representation")
+
+    def _expanded(self):
+        return C.expand_scores(self.matches, self.pseudo_scores)
+
+    def _thresholds(self):
+        return C.crossfit_thresholds(self.expanded)
+
+    def _results(self):
+        return C.apply_thresholds(self.real_scores, self.expanded, self.thresholds)
+
+    def _trends(self, series: DataFrame, key: str) -> DataFrame:
+        fitted = {length: [r for r in found if r.name in FITTED] for length, found in self.fits().items()}
+        return M.score_matrix(series, [key, "WindowLength_sec"], ALL23, fitted)
+
+    def _matrix_real_scores(self):
+        """All methods in the fitted spaces, and in the family spaces those that need no line."""
+        trends = self._trends(self.series_real, "BoundaryID").join(self.inventory.select("BoundaryID", "Subject", "TransitionType", "BoundaryOrder"), "BoundaryID")
+        return self.space_real.unionByName(trends)
+
     def _matrix_pseudo_scores(self):
-        return M.score_matrix(self.series_pseudo, ["CandidateID", "WindowLength_sec"], ALL23, self.fits()[0])
+        return self.space_pseudo.unionByName(self._trends(self.series_pseudo, "CandidateID"))
 
-    def _in_space(self, make: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        """``make(real scores, expanded pseudo scores)`` of every space, with its name."""
-        names = [r.name for r in next(iter(self.fits()[0].values()), [])]
-        one = lambda t, n: t.filter(F.col("Representation") == n).drop("Representation")
-        parts = [make(one(self.matrix_real_scores, n), C.expand_scores(self.matches, one(self.matrix_pseudo_scores, n))).withColumn("Representation", F.lit(n)) for n in names]
-        return reduce(DataFrame.unionByName, parts)
+    def _matrix_expanded(self):
+        return C.expand_scores(self.matches, self.matrix_pseudo_scores, IN_SPACE)
 
     def _matrix_thresholds(self):
-        return self._in_space(lambda real, expanded: C.crossfit_thresholds(expanded))
+        return C.crossfit_thresholds(self.matrix_expanded, group=IN_SPACE)
 
     def _matrix_results(self):
-        return self._in_space(lambda real, expanded: C.apply_thresholds(real, expanded, C.crossfit_thresholds(expanded)))
+        return C.apply_thresholds(self.matrix_real_scores, self.matrix_expanded, self.matrix_thresholds, group=IN_SPACE)
 
     def _matrix_rates(self):
-        names = [r.name for r in next(iter(self.fits()[0].values()), [])]
-        parts = [I.detection_rates(self.matrix_results.filter(F.col("Representation") == n)).withColumn("Representation", F.lit(n)) for n in names]
-        return reduce(DataFrame.unionByName, parts)
+        return I.detection_rates(self.matrix_results, [*I.RATE_KEYS, "Representation"])
+
+    def primary_results(self) -> DataFrame:
+        """Results in the pruned space, which reports show first."""
+        return self.matrix_results.filter("Representation = 'reduced'").drop("Representation")
 
     def _pelt_real(self):
-        scored = M.score_pelt(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits()[0], PELT_MULTIPLIERS)
+        scored = M.score_pelt(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits(), PELT_MULTIPLIERS)
         return scored.join(self.inventory.select("BoundaryID", "Subject", "TransitionType"), "BoundaryID")
 
     def _pelt_expanded(self):
-        return self.matches.join(M.score_pelt(self.series_pseudo, ["CandidateID", "WindowLength_sec"], ALL23, self.fits()[0], PELT_MULTIPLIERS), ["CandidateID", "WindowLength_sec"])
+        return self.matches.join(M.score_pelt(self.series_pseudo, ["CandidateID", "WindowLength_sec"], ALL23, self.fits(), PELT_MULTIPLIERS), ["CandidateID", "WindowLength_sec"])
 
     def _pelt_multipliers(self):
         return C.crossfit_multipliers(self.pelt_expanded)
