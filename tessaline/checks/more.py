@@ -12,7 +12,7 @@ from tessaline.checks.queries import COMPARED, EFFECTS, ORACLE, query
 from tessaline.config import ALL23, FAMILIES, FREQUENCY, NONLINEAR, PELT_MULTIPLIERS, REDUCED_CANDIDATES
 from tessaline.functions import scalars as S
 from tessaline.operators import calibration as C
-from tessaline.operators import gee, lopo, matrix, reports, signal, simulation, timing
+from tessaline.operators import gee, lopo, matrix, refit, reports, signal, simulation, timing
 from tessaline.operators import inference as I
 from tessaline.operators.detectors import pelt_base_penalty
 from tessaline.operators import normalize as N
@@ -226,6 +226,12 @@ query(
     "Rate MedianScore",
 )(lambda s: lopo.summary(lopo.apply_held_out(s.real_scores, s.expanded, lopo.held_out_thresholds(s.expanded))))
 
+query("lopo3_folds")(lambda s: s.fold_spaces.select("WindowLength_sec", "HeldOut", "Representation", F.concat_ws(";", "Features").alias("Features"), "Dimensions", "rho", "TrainingRows", "TrainingParticipants"))
+query("lopo3_thresholds")(lambda s: s.fold_thresholds)
+query("lopo3_penalties")(lambda s: s.fold_penalties)
+query("lopo3_detections")(lambda s: s.fold_detections)
+query("lopo3_summary")(lambda s: refit.held_out_summary(s.fold_detections))
+
 # ---- regression, signals
 
 def magnitude(s: Study):

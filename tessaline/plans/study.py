@@ -16,6 +16,7 @@ from tessaline.operators import inference as I
 from tessaline.operators import matrix as M
 from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
+from tessaline.operators import refit as R
 from tessaline.operators.windows import window_features
 from tessaline.sources.adapter import samples_from_events
 from tessaline.sources.shared import settle
@@ -230,6 +231,30 @@ class Study:
         """Results in the pruned space, which reports show first."""
         return self.matrix_results.filter("Representation = 'reduced'").drop("Representation")
 
+    # ---- leave-one-participant-out, with everything fitted anew
+
+    def _fold_spaces(self):
+        return R.fit_folds(self.crossfit, ALL23, REDUCED_CANDIDATES)
+
+    def _fold_real(self):
+        scores = R.score_folds(self.series_real, ["BoundaryID", "WindowLength_sec"], self.fold_spaces, PELT_MULTIPLIERS)
+        return scores.join(self.inventory.select("BoundaryID", "Subject", "TransitionType"), "BoundaryID").filter("Subject = HeldOut")
+
+    def _fold_pseudo(self):
+        """Matches, up to 20 a boundary and condition, with the scores of their candidates in every fold."""
+        scores = R.score_folds(self.series_pseudo, ["CandidateID", "WindowLength_sec"], self.fold_spaces, PELT_MULTIPLIERS)
+        matches = self.matches.filter("MatchRank <= 20").select("CandidateID", "WindowLength_sec", "PseudoMatchID", "Subject", "TransitionType", "PseudoCondition", "CandidateBlockID", "MatchScore", "MatchRank")
+        return matches.join(scores, ["CandidateID", "WindowLength_sec"])
+
+    def _fold_thresholds(self):
+        return R.training_thresholds(self.fold_pseudo.filter("Multiplier is null"))
+
+    def _fold_penalties(self):
+        return R.training_penalties(self.fold_pseudo.filter("Multiplier is not null"))
+
+    def _fold_detections(self):
+        return R.held_out_detections(self.fold_real, self.fold_pseudo, self.fold_thresholds, self.fold_penalties)
+
     def _pelt_real(self):
         scored = M.score_pelt(self.series_real, ["BoundaryID", "WindowLength_sec"], ALL23, self.fits(), PELT_MULTIPLIERS)
         return scored.join(self.inventory.select("BoundaryID", "Subject", "TransitionType"), "BoundaryID")
