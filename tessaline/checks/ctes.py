@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessaline.config import ALL23, FAMILIES, LOG1P
+from tessaline.config import ALL23, FAMILIES, LOG1P, REDUCED_CANDIDATES
 from tessaline.plans.study import CONFIGURATIONS
 
 LONG = lambda src, ids, feats: " UNION ALL ".join(
@@ -148,6 +148,16 @@ CTES["fit_ids"] = f"""
 SELECT WindowID, WindowLength_sec FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY {HASHED}, WindowID) AS turn FROM (
   SELECT *, count(*) FILTER (apart) OVER (PARTITION BY WindowLength_sec) >= 100 AS enough FROM (SELECT *, WindowIndex % ceil(WindowLength_sec / 5e0) = 0 AS apart FROM cross_ids)) WHERE apart OR NOT enough) WHERE turn <= 40"""
 CTES["rank_ids"] = f"SELECT WindowID, WindowLength_sec FROM (SELECT *, row_number() OVER (PARTITION BY WindowLength_sec, Subject, ConditionCode ORDER BY {HASHED}, WindowID) AS turn FROM cross_ids WHERE WindowLength_sec = 30) WHERE turn <= 50"
+# the pruned space: candidates in order, each kept if no kept one has an absolute rank correlation of 0.9 or more with it
+CTES["wanted"] = f"SELECT unnest({REDUCED_CANDIDATES}) AS Feature, unnest(range({len(REDUCED_CANDIDATES)}))::INT AS k"
+CTES["rank_long"] = """
+SELECT WindowID, k, Feature, rank() OVER (PARTITION BY Feature ORDER BY round(z, 9)) + (count(*) OVER (PARTITION BY Feature, round(z, 9)) - 1) / 2e0 AS r
+FROM crossfit JOIN rank_ids USING (WindowID, WindowLength_sec) JOIN wanted USING (Feature)"""
+CTES["rank_rho"] = "SELECT a.Feature AS A, b.Feature AS B, b.k, corr(a.r, b.r) AS Rho FROM rank_long a JOIN rank_long b ON a.WindowID = b.WindowID AND a.k < b.k GROUP BY ALL"
+CTES["conflicts"] = "SELECT w.k, w.Feature, coalesce(list(q.A) FILTER (abs(q.Rho) >= 0.9), []) AS bad FROM wanted w LEFT JOIN rank_rho q ON q.B = w.Feature GROUP BY ALL"
+CTES["keep"] = """
+SELECT 0 AS k, []::VARCHAR[] AS kept UNION ALL
+SELECT n.k + 1, CASE WHEN len(list_intersect(n.kept, c.bad)) = 0 THEN list_append(n.kept, c.Feature) ELSE n.kept END FROM keep n JOIN conflicts c ON c.k = n.k"""
 CTES["lags"] = """
 SELECT Subject, Session, WindowLength_sec, Feature, r FROM (
   SELECT Subject, Session, WindowLength_sec, Feature, CASE WHEN count(*) >= 4 AND stddev_pop(z) > 1e-12 AND stddev_pop(before) > 1e-12 THEN corr(z, before) END AS r FROM (
@@ -252,18 +262,21 @@ JOIN (SELECT {PAIR}, PseudoCondition, avg(Detected::INT) AS PseudoDetected, avg(
 
 
 def configured(corrected: float, space: str) -> dict[str, str]:
-    """The expressions that hang on a configuration."""
+    """The expressions that hang on a configuration. The pruned space's columns are those that SQL keeps itself."""
+    pruned, features = space == "reduced", REDUCED_CANDIDATES if space == "reduced" else FAMILIES[space]
+    kept = "JOIN columns USING (Feature)" if pruned else ""
+    named = " UNION ALL ".join(f"SELECT '{f}' AS Feature, {k} AS k, {len(features)} AS p" for k, f in enumerate(features))
     return {
         "quality": f"SELECT * FROM master WHERE WindowValid AND RR_CorrectedPercent <= {corrected:g} AND {WHOLE}",
-        "columns": " UNION ALL ".join(f"SELECT '{f}' AS Feature, {k} AS k, {len(FAMILIES[space])} AS p" for k, f in enumerate(FAMILIES[space])),
+        "columns": f"SELECT unnest(kept) AS Feature, unnest(range(len(kept)))::INT AS k, len(kept)::INT AS p FROM keep n WHERE n.k = {len(features)}" if pruned else named,
         "long_real": f"""
 SELECT l.BoundaryID, l.Subject, l.TransitionType, l.BoundaryOrder, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
-FROM ({LONG("obs", "BoundaryID, Subject, TransitionType, BoundaryOrder, RelativeCenter_sec, WindowLength_sec", FAMILIES[space])}) l
+FROM ({LONG("obs", "BoundaryID, Subject, TransitionType, BoundaryOrder, RelativeCenter_sec, WindowLength_sec", features)}) l {kept}
 JOIN norm_real p ON p.NormKey = l.BoundaryID AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature
 JOIN elig e ON e.BoundaryID = l.BoundaryID AND e.WindowLength_sec = l.WindowLength_sec AND e.Eligible WHERE l.value IS NOT NULL""",
         "long_pseudo": f"""
 SELECT l.CandidateID, l.RelativeCenter_sec, l.WindowLength_sec, l.Feature, (l.value - p.centre) / p.scale AS z
-FROM ({LONG("pobs", "CandidateID, Subject || '_S' || Session AS NormKey, RelativeCenter_sec, WindowLength_sec", FAMILIES[space])}) l
+FROM ({LONG("pobs", "CandidateID, Subject || '_S' || Session AS NormKey, RelativeCenter_sec, WindowLength_sec", features)}) l {kept}
 JOIN norm_pseudo p ON p.NormKey = l.NormKey AND p.WindowLength_sec = l.WindowLength_sec AND p.Feature = l.Feature WHERE l.value IS NOT NULL""",
     }
 
@@ -292,5 +305,5 @@ def sql(select: str, doubles: str = "", corrected: float = 20, space: str = "hea
     if doubles:
         short = lambda c: f"CASE WHEN abs({c}) < 1000 THEN round(try_cast({c} AS DECIMAL(38,9)), 6)::DOUBLE ELSE round(try_cast({c} AS DECIMAL(38,9)), 3)::DOUBLE END AS {c}"
         body = f"SELECT * REPLACE ({', '.join(map(short, doubles.split()))}) FROM ({select})"
-    with_ = ", ".join(f"{n} AS {'' if n in ('thin', 'elim') else 'MATERIALIZED '}({known[n]})" for n in needed)
+    with_ = ", ".join(f"{n} AS {'' if n in ('thin', 'elim', 'keep') else 'MATERIALIZED '}({known[n]})" for n in needed)
     return f"WITH RECURSIVE {with_} {body}" if needed else body

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.checks.ctes import WHOLE, sql
+from tessaline.checks.ctes import KINDKEYS, WHOLE, sql
 from tessaline.checks.queries import COMPARED, EFFECTS, ORACLE, query
 from tessaline.config import ALL23, FAMILIES, FREQUENCY, NONLINEAR, PELT_MULTIPLIERS, REDUCED_CANDIDATES
 from tessaline.functions import scalars as S
@@ -119,7 +119,14 @@ query("rep4_spaces")(
 query("cp3_cp5_matrix_scores")(lambda s: s.matrix_real_scores.select("BoundaryID", "WindowLength_sec", "Representation", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec"))
 query("cal2_matrix_thresholds")(lambda s: s.matrix_thresholds)
 query("cal3_matrix_results")(lambda s: s.matrix_results)
-query("flt10_primary_slice")(lambda s: reports.primary(s.matrix_rates.withColumn("RRThreshold", F.lit(20.0)), "CovIC_crossfit", "post_only", 20.0, "reduced"))
+query("flt10_primary_slice", f"SELECT {KINDKEYS}, Participants, Boundaries, Detections, DetectionRate, MedianLatency, Q1Latency, Q3Latency, MedianScore, 'reduced' AS Representation, 20e0 AS RRThreshold FROM rates WHERE Method = 'CovIC_crossfit' AND SearchWindow = 'post_only'", "DetectionRate MedianLatency Q1Latency Q3Latency MedianScore", primary=True)(
+    lambda s: reports.primary(s.matrix_rates.withColumn("RRThreshold", F.lit(20.0)))
+)
+query("rep2_reduced_space", "SELECT Feature, k AS Place FROM columns", primary=True)(lambda s: s.spark.createDataFrame(list(zip(s.reduced()[0], range(100))), "Feature string, Place int"))
+query("rep3_reduced_covariances", "SELECT WindowLength_sec, i::INT AS i, j::INT AS j, value FROM shrunk", "value", primary=True)(lambda s: covariances(s, "reduced"))
+query("cp3_cp7_reduced_scores", "SELECT BoundaryID, WindowLength_sec, SearchWindow, Method, Score, SplitIndex, CandidateLatency_sec FROM scores_real", "Score CandidateLatency_sec", primary=True)(
+    lambda s: s.real_scores.select("BoundaryID", "WindowLength_sec", "SearchWindow", "Method", "Score", "SplitIndex", "CandidateLatency_sec")
+)
 query("cp13_pelt_grid")(lambda s: s.pelt_real)
 query("agg13_pelt_rates")(
     lambda s: s.pelt_expanded.groupBy(*C.PELT_GROUP, "Multiplier").agg(F.avg(F.col("Detected").cast("double")).alias("FPR"), F.countDistinct("CandidateBlockID").alias("Blocks"))
@@ -273,7 +280,7 @@ query(
 # ---- reports
 
 _RATES = "SELECT WindowLength_sec, SearchWindow, Method, BoundaryKind, TransitionType, PseudoCondition, DetectionRate FROM rates"
-query("rpt1_rates_by_window", f"SELECT WindowLength_sec, BoundaryKind, TransitionType, PseudoCondition, DetectionRate FROM ({_RATES}) WHERE Method = 'BinSeg_L2_crossfit' AND SearchWindow = 'post_only'", "DetectionRate")(lambda s: reports.rates_by_window(I.detection_rates(s.results)))
+query("rpt1_rates_by_window", f"SELECT WindowLength_sec, BoundaryKind, TransitionType, PseudoCondition, DetectionRate FROM ({_RATES}) WHERE Method = 'CovIC_crossfit' AND SearchWindow = 'post_only'", "DetectionRate", primary=True)(lambda s: reports.rates_by_window(I.detection_rates(s.results)))
 query("rpt2_method_comparison", f"SELECT Method, SearchWindow, avg(DetectionRate) AS MeanRate, max(DetectionRate) AS MaxRate FROM ({_RATES}) WHERE BoundaryKind = 'Real' GROUP BY ALL", "MeanRate MaxRate")(lambda s: reports.method_comparison(I.detection_rates(s.results)))
 query("rpt3_risk_differences", f"SELECT PseudoCondition, WindowLength_sec, SearchWindow, Method, RiskDifference, RiskDifference_Lower, RiskDifference_Upper FROM ({COMPARED})", "RiskDifference RiskDifference_Lower RiskDifference_Upper")(lambda s: I.compare_real_pseudo(s.results).select("PseudoCondition", "WindowLength_sec", "SearchWindow", "Method", "RiskDifference", "RiskDifference_Lower", "RiskDifference_Upper"))
 query(

@@ -17,7 +17,7 @@ from tessaline.operators import inference as I
 from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.operators import windows as WN
-from tessaline.plans.study import THRESHOLD, Study, study
+from tessaline.plans.study import PRIMARY, THRESHOLD, Study, study
 from tessaline.sources import sessions as SRC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,14 +33,15 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[short(f"`{c}`").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, select: str | None = None, doubles: str = ""):
-    """Registers a function of the study (or of the session and the folder) and its SQL."""
+def query(name: str, select: str | None = None, doubles: str = "", primary: bool = False):
+    """Registers a function of the study (or of the session and the folder) and its SQL; ``primary``: of the study's configuration that is reported first."""
 
     def register(fn: Callable) -> Callable:
         wants_study = fn.__code__.co_varnames[:1] == ("s",)
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(study(spark, sf_dir)) if wants_study else fn(spark, sf_dir))
+        of = lambda s: s.primary() if primary else s
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(of(study(spark, sf_dir))) if wants_study else fn(spark, sf_dir))
         if select is not None:
-            ORACLE[name] = sql(select, doubles)
+            ORACLE[name] = sql(select, doubles, *PRIMARY) if primary else sql(select, doubles)
         return fn
 
     return register

@@ -74,23 +74,24 @@ query("jn17_common_subjects", "SELECT WindowLength_sec, Subject FROM long_real W
     lambda s: s.long_real.filter("TransitionType = 'A_to_NA'").select("WindowLength_sec", "Subject").intersect(s.long_real.filter("TransitionType = 'NA_to_A'").select("WindowLength_sec", "Subject"))
 )
 _POINTS = f"SELECT WindowLength_sec, TransitionType, Subject, avg(MahalanobisMagnitude) AS MeanMagnitude, avg(MeanAbsChange) AS MeanAbsChange, count(*) AS Boundaries FROM ({_MAGNITUDE}) JOIN inventory USING (BoundaryID) GROUP BY ALL"
-query("agg21_magnitude_points", _POINTS, "MeanMagnitude MeanAbsChange")(lambda s: reports.magnitude_points(magnitude(s).join(s.inventory.select("BoundaryID", "TransitionType", "Subject"), "BoundaryID")))
+query("agg21_magnitude_points", _POINTS, "MeanMagnitude MeanAbsChange", primary=True)(lambda s: reports.magnitude_points(magnitude(s).join(s.inventory.select("BoundaryID", "TransitionType", "Subject"), "BoundaryID")))
 
 # ---- reports
 
-_MTEST = f"SELECT WindowLength_sec, Outcome, MeanDifference, PermutationP FROM ({flip_sql(_CON, _DK, 'direction')}) WHERE Method = 'BinSeg_L2_crossfit' AND SearchWindow = 'post_only' AND Outcome IN ('MahalanobisMagnitude', 'MeanAbsChange')"
+_MTEST = f"SELECT WindowLength_sec, Outcome, MeanDifference, PermutationP FROM ({flip_sql(_CON, _DK, 'direction')}) WHERE Method = 'CovIC_crossfit' AND SearchWindow = 'post_only' AND Outcome IN ('MahalanobisMagnitude', 'MeanAbsChange')"
 query(
     "rpt13_magnitude_tests",
     f"""SELECT WindowLength_sec, Outcome, MeanDifference, PermutationP, least(1, max((m - r + 1) * PermutationP) OVER (PARTITION BY Outcome ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS P_Holm
     FROM (SELECT *, row_number() OVER (PARTITION BY Outcome ORDER BY PermutationP) AS r, count(*) OVER (PARTITION BY Outcome) AS m FROM ({_MTEST}))""",
     "MeanDifference PermutationP P_Holm",
+    primary=True,
 )(
     lambda s: reports.holm_over_windows(
         reports.primary(I.direction_contrast(s.results, magnitude(s)).filter("Outcome in ('MahalanobisMagnitude', 'MeanAbsChange')")).select("WindowLength_sec", "Outcome", "MeanDifference", "PermutationP"), "PermutationP", ["Outcome"]
     )
 )
 _EFFECT_COLUMNS = [*[c.strip() for c in _FK.split(",")], "RealRate", "PseudoRate", "RiskDifference", "Detected_P"]
-query("rpt14_effect_table", f"SELECT {cols(*_EFFECT_COLUMNS)} FROM ({COMPARED}) WHERE Method = 'BinSeg_L2_crossfit' AND SearchWindow = 'post_only'", "RealRate PseudoRate RiskDifference Detected_P")(
+query("rpt14_effect_table", f"SELECT {cols(*_EFFECT_COLUMNS)} FROM ({COMPARED}) WHERE Method = 'CovIC_crossfit' AND SearchWindow = 'post_only'", "RealRate PseudoRate RiskDifference Detected_P", primary=True)(
     lambda s: reports.primary(I.compare_real_pseudo(s.results)).select(*_EFFECT_COLUMNS)
 )
 _ORDER = " ".join(f"WHEN '{m.replace('_fixed6', '')}' THEN {i}" for i, m in enumerate(SCORE_METHODS))
@@ -103,7 +104,8 @@ query("rpt18_legacy_false_positives", "SELECT WindowLength_sec, SearchWindow, Tr
 query(
     "snk8_text_summary",
     """SELECT WindowLength_sec, TransitionType, BoundaryKind, c AS Condition, printf('%d s, %s, %s (%s): %d of %d detected (%.1f %%)', WindowLength_sec, TransitionType, BoundaryKind, c, Detections, Boundaries, round(100 * DetectionRate, 1)) AS Line
-    FROM (SELECT *, coalesce(PseudoCondition, '-') AS c FROM rates WHERE Method = 'BinSeg_L2_crossfit' AND SearchWindow = 'post_only')""",
+    FROM (SELECT *, coalesce(PseudoCondition, '-') AS c FROM rates WHERE Method = 'CovIC_crossfit' AND SearchWindow = 'post_only')""",
+    primary=True,
 )(lambda s: reports.text_summary(I.detection_rates(s.results)))
 query("snk9_manifest")(lambda s: reports.manifest({"thresholds": s.thresholds, "results": s.results, "p_values": s.p_values}))
 query(

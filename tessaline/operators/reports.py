@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from tessaline.operators.calibration import with_bh, with_holm
 
 
-def primary(rates: DataFrame, method: str = "BinSeg_L2_crossfit", search: str = "post_only", corrected: float = 20.0, space: str = "heart_rate_rr") -> DataFrame:
+def primary(rates: DataFrame, method: str = "CovIC_crossfit", search: str = "post_only", corrected: float = 20.0, space: str = "reduced") -> DataFrame:
     """The slice that is reported first. Tables of one configuration have no columns of it."""
     slice_ = (F.col("Method") == method) & (F.col("SearchWindow") == search)
     if "RRThreshold" in rates.columns:
@@ -113,7 +113,8 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, df in sorted(tables.items()):
         flat = F.xxhash64(*[F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-        digest = F.coalesce(F.bit_xor(flat), F.lit(0)).alias("digest")
+        # a sum, so that a row that stands twice counts twice
+        digest = F.coalesce(F.sum(flat.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")
         parts.append(df.agg(F.count("*").alias("rows"), digest).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"), "digest"))
     return reduce(DataFrame.unionByName, parts)
 

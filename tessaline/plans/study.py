@@ -28,6 +28,7 @@ CONFIGURATIONS = [(5.0, "heart_rate_rr"), (10.0, "heart_rate_rr"), (20.0, "heart
 
 
 #: The window length that decides which features the pruned space has; the spaces that are fitted beyond the families; group keys of scores in several spaces.
+PRIMARY = (20.0, "reduced")  # fixed value: the configuration that is reported first
 REDUCED_FROM, FITTED, IN_SPACE = 30, ("reduced", "independent_pca"), [*C.GROUP, "Representation"]
 
 
@@ -53,6 +54,8 @@ class Study:
         """The study of the same input in another configuration."""
         if (corrected, space) == (self.corrected, self.space):
             return self
+        if self.base is not None:
+            return self.root.configured(corrected, space)
         if (corrected, space) not in self.others:
             base = self if space == self.space else self.configured(corrected, self.space)
             self.others[corrected, space] = Study(self.spark, self.events, self.subjects, corrected, space, base)
@@ -107,6 +110,14 @@ class Study:
     def _norm_pseudo(self):
         return N.fit_normalisation(self.master, N.exclusion_keys_of_sessions(self.sessions), ALL23, self.corrected)
 
+    def features(self) -> list[str]:
+        """Columns of the configuration's space."""
+        return self.reduced()[0] if self.space == "reduced" else FAMILIES[self.space]
+
+    def primary(self) -> Study:
+        """The configuration that reports show first."""
+        return self.configured(*PRIMARY)
+
     def _real_z(self, features: list[str]) -> DataFrame:
         obs = self.observations.join(self.eligibility.filter("Eligible").select("BoundaryID", "WindowLength_sec"), ["BoundaryID", "WindowLength_sec"], "left_semi")
         ids = ["BoundaryID", "Subject", "TransitionType", "BoundaryOrder", "RelativeCenter_sec"]
@@ -117,10 +128,10 @@ class Study:
         return N.apply_normalisation(self.pseudo_obs, self.norm_pseudo, ["CandidateID", "RelativeCenter_sec"], features, key)
 
     def _long_real(self):
-        return self._real_z(FAMILIES[self.space])
+        return self._real_z(self.features())
 
     def _long_pseudo(self):
-        return self._pseudo_z(FAMILIES[self.space])
+        return self._pseudo_z(self.features())
 
     # ---- linear spaces: fitted on cross-fitted stable windows, the scale that series have
 
@@ -227,10 +238,6 @@ class Study:
     def _matrix_rates(self):
         return I.detection_rates(self.matrix_results, [*I.RATE_KEYS, "Representation"])
 
-    def primary_results(self) -> DataFrame:
-        """Results in the pruned space, which reports show first."""
-        return self.matrix_results.filter("Representation = 'reduced'").drop("Representation")
-
     # ---- leave-one-participant-out, with everything fitted anew
 
     def _fold_spaces(self):
