@@ -19,7 +19,6 @@ from tessaline.operators import normalize as N
 from tessaline.operators import quality as Q
 from tessaline.plans.study import Study
 from tessaline.sources import sessions as SRC
-from tessaline.sources.shared import settle
 from tessaline.streaming.windows import stream_windows
 
 DOCS = lambda spark, d: SRC.read(spark, d, "documents")
@@ -139,63 +138,51 @@ query("lopo2_held_out_penalty")(lambda s: lopo.held_out_penalty(s.pelt_expanded.
 # ---- timing
 
 
-def trajectory(s: Study):
-    return timing.participant_trajectory(timing.departure(s.long_real, ["BoundaryID", "TransitionType", "WindowLength_sec"]), ["TransitionType", "WindowLength_sec"])
-
-
 _DEP = """SELECT BoundaryID, TransitionType, WindowLength_sec, Subject, RelativeCenter_sec, sqrt(sum(off * off)) AS value FROM (
-  SELECT *, z - avg(CASE WHEN RelativeCenter_sec < 0 THEN z END) OVER (PARTITION BY BoundaryID, TransitionType, WindowLength_sec, Feature) AS off FROM long_real) GROUP BY ALL"""
-query(
-    "tim4_participant_trajectory",
-    f"SELECT TransitionType, WindowLength_sec, Subject, RelativeCenter_sec, avg(value) AS value, count(*) AS boundaries FROM (SELECT TransitionType, WindowLength_sec, BoundaryID, Subject, RelativeCenter_sec, avg(value) AS value FROM ({_DEP}) GROUP BY ALL) GROUP BY ALL",
-    "RelativeCenter_sec value",
-)(trajectory)
-query("tim3_departure", _DEP, "RelativeCenter_sec value")(lambda s: timing.departure(s.long_real, ["BoundaryID", "TransitionType", "WindowLength_sec"]))
+  SELECT BoundaryID, TransitionType, WindowLength_sec, Subject, t AS RelativeCenter_sec, z - coalesce(avg(CASE WHEN t < 0 THEN z END) OVER g, avg(z) OVER g) AS off
+  FROM white_real JOIN inventory USING (BoundaryID) WINDOW g AS (PARTITION BY BoundaryID, WindowLength_sec, Feature)) GROUP BY ALL"""
+_TRACK = f"SELECT TransitionType, WindowLength_sec, Subject, RelativeCenter_sec, avg(value) AS value, count(*) AS boundaries FROM ({_DEP}) GROUP BY ALL"
+KEYS = ["TransitionType", "WindowLength_sec", "Representation"]
+REDUCED = lambda df: df.filter("Representation = 'reduced'").drop("Representation", "Coordinate")
+# the columns of the SQL are those of the pruned space
+query("tim4_participant_trajectory", _TRACK, "RelativeCenter_sec value", primary=True)(lambda s: REDUCED(s.timing().trajectory))
+query("tim3_departure", _DEP, "RelativeCenter_sec value", primary=True)(lambda s: REDUCED(s.timing().values))
+query("tim3_signed")(lambda s: s.timing("signed").trajectory)
 query(
     "tim1_participant_weights",
     f"SELECT TransitionType, WindowLength_sec, Subject, RelativeCenter_sec, 1e0 / count(*) OVER (PARTITION BY TransitionType, WindowLength_sec, Subject) AS weight FROM (SELECT DISTINCT TransitionType, WindowLength_sec, Subject, RelativeCenter_sec FROM ({_DEP}))",
     "RelativeCenter_sec weight",
-)(lambda s: timing.participant_weights(trajectory(s), ["TransitionType", "WindowLength_sec"]).select("TransitionType", "WindowLength_sec", "Subject", "RelativeCenter_sec", "weight"))
-KEYS = ["TransitionType", "WindowLength_sec"]
-query("tim2_group_fits")(lambda s: timing.group_fits(trajectory(s), KEYS))
-query("tim6_bootstrap_fits")(lambda s: timing.resampled_fits(trajectory(s), KEYS, 200))
-query("tim9_leave_one_out")(lambda s: leave_one_out(s))
-
-
-def null_draws(s: Study, condition: str, draws: int = 100):
-    name = f"null_{condition}_{draws}"
-    if name not in s.made:
-        own = s.long_pseudo.join(s.candidates.select("CandidateID", "Subject").distinct(), "CandidateID")
-        values = timing.departure(own, ["CandidateID", "WindowLength_sec"]).drop("Subject")
-        s.made[name] = settle(timing.pseudo_draws(values, s.matches.filter(F.col("PseudoCondition") == condition), KEYS, draws), f"study-{name}")
-    return s.made[name]
-
-
-def null_fits(s: Study, condition: str):
-    return timing.group_fits(null_draws(s, condition), [*KEYS, "rep"])
-
-
-def dual(s: Study):
-    return timing.dual_status(timing.group_fits(trajectory(s), KEYS), null_fits(s, "A"), null_fits(s, "NA"), [*KEYS, "SearchWindow"])
-
-
-def leave_one_out(s: Study):
-    """As many replicates as there are participants."""
-    many = s.master.agg(F.countDistinct("Subject")).first()[0]
-    return timing.resampled_fits(trajectory(s), KEYS, many, "leave_one_out", least_participants=9)
-
-
-query("tim5_pseudo_draws")(lambda s: null_fits(s, "A"))
-query("tim7_dual_null")(lambda s: dual(s))
-query("tim8_null_bands")(lambda s: timing.null_bands(timing.group_profiles(null_draws(s, "A"), [*KEYS, "rep"]), [*KEYS, "SearchWindow"]))
-query("tim10_paired_difference")(lambda s: timing.paired_differences(timing.resampled_fits(trajectory(s), KEYS, 200), ["WindowLength_sec"]))
-query("tim11_timing_power")(lambda s: timing.timing_power(null_draws(s, "A", 20), dual(s), KEYS, [0.0, 1.0, 2.0], [10.0, 30.0]))
-query("agg24_lopo_timing")(lambda s: leave_one_out(s).groupBy(*KEYS, "SearchWindow").agg(F.min("CandidateTime_sec").alias("Earliest"), F.median("CandidateTime_sec").alias("Median"), F.max("CandidateTime_sec").alias("Latest"), F.count("*").alias("Fits")))
-query("rpt9_timing_profiles")(
-    lambda s: timing.group_profiles(trajectory(s), KEYS).join(timing.null_bands(timing.group_profiles(null_draws(s, "A"), [*KEYS, "rep"]), [*KEYS, "SearchWindow"]), [*KEYS, "SearchWindow", "CandidateTime_sec"], "left")
+    primary=True,
+)(lambda s: timing.participant_weights(REDUCED(s.timing().trajectory), ["TransitionType", "WindowLength_sec"]).select("TransitionType", "WindowLength_sec", "Subject", "RelativeCenter_sec", "weight"))
+# products of trend, step and bend at each candidate time, added up over participants; three equations solved by determinants
+_SUMS = f"""WITH track AS MATERIALIZED ({_TRACK}), mean AS (SELECT *, RelativeCenter_sec / 60 - avg(RelativeCenter_sec / 60) OVER p AS m, value - avg(value) OVER p AS y, count(*) OVER p AS n FROM track WINDOW p AS (PARTITION BY TransitionType, WindowLength_sec, Subject)),
+grid AS (SELECT DISTINCT TransitionType, WindowLength_sec, RelativeCenter_sec AS c FROM track),
+place AS (SELECT *, row_number() OVER (PARTITION BY TransitionType, WindowLength_sec ORDER BY c) - 1 AS before, count(*) OVER (PARTITION BY TransitionType, WindowLength_sec) AS times FROM grid),
+part AS (SELECT r.*, c, before, times, (RelativeCenter_sec >= c)::INT - avg((RelativeCenter_sec >= c)::INT) OVER p AS s, greatest((RelativeCenter_sec - c) / 60, 0) - avg(greatest((RelativeCenter_sec - c) / 60, 0)) OVER p AS h
+  FROM mean r JOIN place g USING (TransitionType, WindowLength_sec) WINDOW p AS (PARTITION BY TransitionType, WindowLength_sec, Subject, c)),
+own AS (SELECT TransitionType, WindowLength_sec, c, before, times, count(DISTINCT Subject) AS people, sum(m * m / n) AS a, sum(m * s / n) AS b, sum(m * h / n) AS d, sum(s * s / n) AS e, sum(s * h / n) AS f, sum(h * h / n) AS g, sum(m * y / n) AS u, sum(s * y / n) AS v, sum(h * y / n) AS w FROM part GROUP BY ALL),
+det AS (SELECT *, a * (e * g - f * f) - b * (b * g - f * d) + d * (b * f - e * d) AS t FROM own)
+SELECT TransitionType, WindowLength_sec, SearchWindow, c AS CandidateTime_sec, people::INT AS Participants,
+  ((u * u * (e * g - f * f) + v * v * (a * g - d * d) + w * w * (a * e - b * b) + 2 * u * v * (d * f - b * g) + 2 * u * w * (b * f - d * e) + 2 * v * w * (b * d - a * f)) / t - u * u / a) / people AS Score
+FROM det, (SELECT 'post_only' AS SearchWindow, 0e0 AS low UNION ALL SELECT 'anticipatory', -30e0) WHERE c >= low AND c <= 60 AND before >= 3 AND times - before >= 3 AND people >= 10 AND abs(t) > 1e-9"""
+query("tim2_group_profiles", f"SELECT * FROM ({_SUMS})", "CandidateTime_sec Score", primary=True)(
+    lambda s: REDUCED(s.timing().profiles).select("TransitionType", "WindowLength_sec", "SearchWindow", "CandidateTime_sec", "Participants", "Score")
 )
-query("rpt10_timing_across_windows")(lambda s: timing.group_fits(trajectory(s), KEYS).groupBy("TransitionType", "SearchWindow").pivot("WindowLength_sec", [30, 45, 60]).agg(F.first("CandidateTime_sec")))
-query("rpt15_dual_timing_tests")(lambda s: reports.dual_timing_tests(dual(s)))
+query("tim2_group_fits")(lambda s: s.timing().fits)
+query("tim2_signed_fits")(lambda s: s.timing("signed").fits)
+query("tim6_bootstrap_fits")(lambda s: s.timing().bootstrap)
+query("tim9_leave_one_out")(lambda s: s.timing().left_out)
+query("tim5_pseudo_draws")(lambda s: s.timing().null_fits)
+query("tim5_scarcity")(lambda s: s.timing().scarcity)
+query("tim7_dual_null")(lambda s: s.timing().summary)
+query("tim7_signed_dual_null")(lambda s: s.timing("signed").summary)
+query("tim8_null_bands")(lambda s: s.timing().bands)
+query("tim10_paired_difference")(lambda s: s.timing().paired)
+query("tim11_timing_power")(lambda s: s.timing().power)
+query("agg24_lopo_timing")(lambda s: s.timing().left_out.groupBy(*KEYS, "SearchWindow").agg(F.min("CandidateTime_sec").alias("Earliest"), F.median("CandidateTime_sec").alias("Median"), F.max("CandidateTime_sec").alias("Latest"), F.count("*").alias("Fits")))
+query("rpt9_timing_profiles")(lambda s: s.timing().profiles.join(s.timing().bands, [*KEYS, "SearchWindow", "CandidateTime_sec"], "left"))
+query("rpt10_timing_across_windows")(lambda s: s.timing().fits.groupBy("TransitionType", "Representation", "SearchWindow").pivot("WindowLength_sec", [30, 45, 60]).agg(F.first("CandidateTime_sec")))
+query("rpt15_dual_timing_tests")(lambda s: reports.dual_timing_tests(s.timing().summary))
 
 # ---- simulation and leave-one-participant-out
 

@@ -79,8 +79,9 @@ def magnitude_points(magnitude: DataFrame) -> DataFrame:
 
 
 def dual_timing_tests(timing: DataFrame) -> DataFrame:
-    """Timing tests by their larger p value, adjusted over all of them."""
-    return with_holm(timing.withColumn("family", F.lit("timing")), "p_dual", ["family"], "P_Holm").drop("family")
+    """Timing tests after the boundary by their larger p value, adjusted over all lengths, directions and spaces together."""
+    after = timing.filter("SearchWindow = 'post_only'")
+    return with_holm(after.withColumn("family", F.lit("timing")), "p_dual", ["family"], "P_Holm").drop("family").withColumn("Supported", F.coalesce(F.col("P_Holm") < 0.05, F.lit(False)))
 
 
 def in_method_order(table: DataFrame, methods: list[str]) -> DataFrame:

@@ -272,6 +272,15 @@ class Study:
     def _pelt_multipliers(self):
         return C.crossfit_multipliers(self.pelt_expanded)
 
+    def timing(self, endpoint: str = "departure"):
+        """The timing stage of an endpoint, see ``plans.timing``."""
+        from tessaline.plans.timing import Timing
+
+        key = f"timing {endpoint}"
+        if key not in self.made:
+            self.made[key] = Timing(self, endpoint)
+        return self.made[key]
+
     def _p_values(self):
         return C.empirical_p_values(self.real_scores, self.expanded)
 
