@@ -328,23 +328,6 @@ def null_bands(profiles: DataFrame, keys: list[str]) -> DataFrame:
     return profiles.groupBy(*keys, "CandidateTime_sec").agg(F.median("Score").alias("NullMedian"), quantile_higher(F.col("Score"), 0.95).alias("NullQ95"), F.count("*").alias("Draws"))
 
 
-def group_profiles(trajectory: DataFrame, keys: list[str], least_participants: int = 10) -> DataFrame:
-    """The score of every candidate time of each group of trajectories."""
-    kinds = dict(trajectory.dtypes)
-    columns = ["CandidateTime_sec", "Score", "Level", "Slope", "Participants"]
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        who, names = pd.factorize(frame["Subject"], sort=True)
-        found = []
-        if len(names) >= least_participants:
-            for name, search in SEARCH.items():
-                found += [(*key, name, *[r[c] for c in columns]) for r in profile(who, frame["RelativeCenter_sec"].to_numpy(float), frame[["value"]].to_numpy(float), search)]
-        return pd.DataFrame(found, columns=[*keys, "SearchWindow", *columns])
-
-    shape = [*(f"{k} {kinds[k]}" for k in keys), "SearchWindow string, CandidateTime_sec double, Score double, Level double, Slope double, Participants int"]
-    return trajectory.groupBy(*keys).applyInPandas(run, ", ".join(shape))
-
-
 def paired_differences(fits: DataFrame, keys: list[str], direction: str = "TransitionType") -> DataFrame:
     """Difference of the two directions' times, replicate by replicate, and its interval; replicates draw the same participants in both."""
     wide = fits.groupBy(*keys, "SearchWindow", "rep").pivot(direction, ["A_to_NA", "NA_to_A"]).agg(F.first("CandidateTime_sec"))
