@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessaline.checks.ctes import GROUP, KINDKEYS, sql
 from tessaline.config import ALL23, HEART_RATE
 from tessaline.functions import arrays as A
+from tessaline.functions.order import group_quantile
 from tessaline.operators import boundaries as B
 from tessaline.operators import calibration as C
 from tessaline.operators import detectors as D
@@ -242,7 +243,7 @@ for _kind, _key in (("real", "BoundaryID"), ("pseudo", "CandidateID")):
 # ---- calibration
 
 query("cal1_quantile_higher", "SELECT event_type, list_sort(list(value))[ceil(0.95::DOUBLE * (count(value) - 1))::INT + 1] AS q95 FROM events GROUP BY ALL", "q95")(
-    lambda spark, d: SRC.read(spark, d, "events").groupBy("event_type").agg(A.quantile_higher(F.col("value"), 0.95).alias("q95"))
+    lambda spark, d: group_quantile(SRC.read(spark, d, "events").select("event_type", "value", "event_id"), ["event_type"], "value", 0.95, ["event_id"], "q95")
 )
 query("cal2_crossfit_thresholds", "SELECT * FROM thresholds", "Threshold HeldoutFPR")(lambda s: s.thresholds)
 RESULT = [c for c in C.RESULT]

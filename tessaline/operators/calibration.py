@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessaline.functions.arrays import quantile_higher
+from tessaline.functions.order import left_out_quantile
 from tessaline.functions.scalars import calibrated_name
 
 GROUP = ["WindowLength_sec", "SearchWindow", "Method", "TransitionType"]
@@ -27,13 +28,11 @@ def one_per_block(expanded: DataFrame, keys: list[str]) -> DataFrame:
 def crossfit_thresholds(expanded: DataFrame, fpr: float = 0.05, group: list[str] = GROUP) -> DataFrame:
     """For each fold the threshold from all other folds (both conditions together) and its false-positive rate on the fold."""
     pseudo = one_per_block(expanded, [*group, "PseudoFold"])
-    folds = pseudo.select(*group, F.col("PseudoFold").alias("CalibrationFold")).distinct()
-    both = folds.join(pseudo, group)
-    other = F.when(F.col("PseudoFold") != F.col("CalibrationFold"), F.col("Score"))
-    fitted = both.groupBy(*group, "CalibrationFold").agg(
-        quantile_higher(other, 1 - fpr).alias("Threshold"),
-        F.countDistinct(F.when(F.col("PseudoFold") != F.col("CalibrationFold"), F.col("CandidateBlockID"))).alias("CalibrationBlocks"),
-    )
+    folds = pseudo.groupBy(*group, "PseudoFold").agg(F.countDistinct("CandidateBlockID").alias("own"))
+    limits = left_out_quantile(pseudo, group, "PseudoFold", "Score", 1 - fpr, ["CandidateBlockID", "PseudoCondition"], folds.select(*group, "PseudoFold"))
+    # a block is in one fold
+    others = F.sum("own").over(W.partitionBy(*group)) - F.col("own")
+    fitted = folds.withColumn("CalibrationBlocks", others).join(limits, [*group, "PseudoFold"]).select(*group, F.col("PseudoFold").alias("CalibrationFold"), "Threshold", "CalibrationBlocks")
     held = fitted.join(pseudo.withColumnRenamed("PseudoFold", "CalibrationFold"), [*group, "CalibrationFold"])
     rate = held.groupBy(*group, "CalibrationFold").agg(
         F.countDistinct("CandidateBlockID").alias("HeldoutBlocks"),

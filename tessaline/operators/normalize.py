@@ -24,13 +24,10 @@ def robust_scale(rows: DataFrame, keys: list[str], value: str = "value") -> Data
         F.median(value).alias("centre"),
         ((F.percentile(value, 0.75) - F.percentile(value, 0.25)) / 1.349).alias("iqr"),
         F.stddev_samp(value).alias("sd"),
-        F.collect_list(value).alias("values"),
         F.count(value).alias("n"),
     )
-    off = F.array_sort(F.transform("values", lambda v: F.abs(v - F.col("centre"))))
-    n = F.size("values")
-    mad = (F.get(off, ((n - 1) / 2).cast("int")) + F.get(off, (n / 2).cast("int"))) / 2
-    spread = first.withColumn("mad", 1.4826 * mad)
+    off = rows.join(first.select(*keys, "centre"), keys).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("centre")))).alias("mad"))
+    spread = first.join(off, keys)
     usable = lambda c: F.coalesce(F.col(c) > TINY, F.lit(False))
     return spread.select(
         *keys,
