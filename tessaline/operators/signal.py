@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessaline.config import FREQUENCY
 
@@ -13,19 +14,26 @@ from tessaline.config import FREQUENCY
 BANDS = {"VLF": (0.0033, 0.04), "LF": (0.04, 0.15), "HF": (0.15, 0.40)}
 
 
-def r_peaks(x: np.ndarray, rate: float, refractory: float = 0.25) -> np.ndarray:
-    """Places of R peaks: local maxima of the signal where its squared slope, averaged over 100 ms, is high for its surroundings.
+REFRACTORY, HALO = 0.25, 1.0  # fixed values, in seconds: the least distance of two peaks; what the detector sees around a sample, 0.05 + 0.75 and the slope's neighbours
 
-    A plain energy detector; it doesn't reproduce any library's peaks exactly. Where peaks are known they can be given instead.
-    """
+
+def high_runs(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs in which the squared slope, averaged over 100 ms, is high for its surroundings of 1.5 s."""
     if len(x) < 3:
-        return np.zeros(0, int)
-    smooth = lambda v, s: np.convolve(v, np.ones(max(1, int(s * rate))) / max(1, int(s * rate)), "same")
+        return np.zeros(0, int), np.zeros(0, int)
+    smooth = lambda v, s: np.convolve(v, np.ones(max(1, int(s * rate))) / max(1, int(s * rate)), "same")[: len(v)]
     energy = smooth(np.gradient(x) ** 2, 0.1)
-    high = energy > 1.5 * smooth(energy, 1.5)
-    edges = np.flatnonzero(np.diff(np.r_[0, high.astype(int), 0]))
+    edges = np.flatnonzero(np.diff(np.r_[0, (energy > 1.5 * smooth(energy, 1.5)).astype(int), 0]))
+    return edges[::2], edges[1::2]
+
+
+def r_peaks(x: np.ndarray, rate: float, refractory: float = REFRACTORY) -> np.ndarray:
+    """Places of R peaks of a whole signal: the maximum of each high run, the larger one of two that are too near.
+
+    A plain energy detector; it doesn't reproduce any library's peaks exactly. Where peaks are known they can be given instead.
+    """
     peaks: list[int] = []
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
+    for a, b in zip(*high_runs(x, rate), strict=True):
         p = a + int(np.argmax(x[a:b]))
         if not peaks or p - peaks[-1] >= refractory * rate:
             peaks.append(p)
@@ -111,15 +119,46 @@ def interval_features(nn: np.ndarray, duration: float) -> list[float]:
     return [*found.values(), sample_entropy(nn), dfa_alpha1(nn)]
 
 
-def detect_peaks(samples: DataFrame, rate: float) -> DataFrame:
-    """``Subject, Session, peak_idx`` of every recording (``Subject, Session, i, x``)."""
+def detect_peaks(samples: DataFrame, rate: float, block_seconds: float = 60.0, refractory: float = REFRACTORY) -> DataFrame:
+    """``Subject, Session, peak_idx`` of recordings (``Subject, Session, i, x``), as ``r_peaks`` finds them in the whole signal, wherever it is cut.
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("i")["x"].to_numpy(float)
-        p = r_peaks(x, rate)
-        return pd.DataFrame({"Subject": [key[0]] * len(p), "Session": [key[1]] * len(p), "peak_idx": p})
+    A recording is dealt in blocks; each has a second more on either side, which is as far as the detector sees. A block gives its part of every high run;
+    parts that meet at a block's edge are one run. Peaks nearer than ``refractory`` seconds form chains, and a chain is settled by itself: after a
+    longer gap nothing before matters. So a task holds a block, and of a session only runs meet, a few for each second.
+    """
+    size, halo = max(1, round(block_seconds * rate)), int(HALO * rate) + 2
+    own = F.floor(F.col("i") / size).cast("long")
+    near = F.array_compact(F.array(own, F.when((F.col("i") - own * size < halo) & (own > 0), own - 1), F.when((own + 1) * size - F.col("i") <= halo, own + 1)))
+    of = ["Subject", "Session"]
+    blocks = samples.select(*of, "i", "x").withColumn("block", F.explode(near))
 
-    return samples.groupBy("Subject", "Session").applyInPandas(run, "Subject string, Session int, peak_idx long")
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        i, x, begin, end = frame["i"].to_numpy(), frame["x"].to_numpy(float), key[2] * size, (key[2] + 1) * size
+        out = []
+        for a, b in zip(*high_runs(x, rate), strict=True):
+            a, b = max(a, int(np.searchsorted(i, begin))), min(b, int(np.searchsorted(i, end)))
+            if a < b:
+                p = a + int(np.argmax(x[a:b]))
+                out.append((*key[:2], int(i[a]), int(i[b - 1]) + 1, int(i[p]), float(x[p])))
+        return pd.DataFrame(out, columns=[*of, "begin", "stop", "p", "x"])
+
+    parts = blocks.groupBy(*of, "block").applyInPandas(run, "Subject string, Session int, begin long, stop long, p long, x double")
+    order = W.partitionBy(*of).orderBy("begin")
+    whole = parts.withColumn("run", F.count_if(~F.coalesce(F.col("begin") == F.lag("stop").over(order), F.lit(False))).over(order))
+    # the earliest of equal maxima
+    tops = whole.groupBy(*of, "run").agg(F.max(F.struct("x", (-F.col("p")).alias("back"))).alias("m")).select(*of, (-F.col("m.back")).alias("p"), F.col("m.x").alias("x"))
+    by_place = W.partitionBy(*of).orderBy("p")
+    chains = tops.withColumn("chain", F.count_if(F.coalesce(F.col("p") - F.lag("p").over(by_place) >= refractory * rate, F.lit(True))).over(by_place))
+    listed = chains.groupBy(*of, "chain").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"))
+    start = F.array().cast("array<struct<p:bigint,x:double>>")
+
+    def add(kept, one):
+        far = (F.size(kept) == 0) | (one["p"] - F.try_element_at(kept, F.lit(-1))["p"] >= refractory * rate)
+        swap = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(one))
+        return F.when(far, F.concat(kept, F.array(one))).when(one["x"] > F.try_element_at(kept, F.lit(-1))["x"], swap).otherwise(kept)
+
+    return listed.select(*of, F.explode(F.aggregate("c", start, add)).alias("k")).select(*of, F.col("k.p").alias("peak_idx"))
 
 
 def windowed_peaks(peaks: DataFrame, rate: float, lengths: tuple[int, ...], step: int, duration: float) -> DataFrame:

@@ -24,18 +24,20 @@ def window_count(samples: Column, rate: float, length: float, step: float) -> Co
     return F.when(samples < size, 0).otherwise(1 + F.floor((samples - size) / hop)).cast("long")
 
 
-def window_grid(sessions: DataFrame, lengths: tuple[int, ...], step: int, duration: float) -> DataFrame:
-    """All complete windows of every session, for each length."""
+def window_grid(sessions: DataFrame, lengths: tuple[int, ...], step: int, duration: float | None) -> DataFrame:
+    """All complete windows of every session, for each length. Without one ``duration`` for all, a session has its own in ``SessionDuration_sec``."""
     sizes = F.explode(F.array(*[F.lit(n) for n in lengths]))
-    last = F.floor((F.lit(duration) - F.col("WindowLength_sec")) / step).cast("int")
+    whole = F.lit(duration) if duration is not None else F.col("SessionDuration_sec")
+    last = F.floor((whole - F.col("WindowLength_sec")) / step + 1e-9).cast("int")
     return (
         sessions.withColumn("WindowLength_sec", sizes)
+        .filter(last >= 0)
         .withColumn("WindowIndex", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("StepSize_sec", F.lit(step))
         .withColumn("StartTime_sec", (F.col("WindowIndex") * step).cast("double"))
         .withColumn("EndTime_sec", F.col("StartTime_sec") + F.col("WindowLength_sec"))
         .withColumn("CenterTime_sec", (F.col("StartTime_sec") + F.col("EndTime_sec")) / 2)
-        .withColumn("SessionDuration_sec", F.lit(duration))
+        .withColumn("SessionDuration_sec", whole)
     )
 
 
@@ -74,25 +76,37 @@ FEATURE_SCHEMA = ", ".join(
 )
 
 
-def _described(keys: list[tuple], n: np.ndarray, x: np.ndarray, rr: np.ndarray) -> pa.RecordBatch:
-    """Features of windows given as flat value arrays with the length of each window."""
-    cleaned, invalid, odd = R.clean(rr, n)
+def _described(keys: list[tuple], n: np.ndarray, x: np.ndarray, rr: np.ndarray, m: np.ndarray | None = None) -> pa.RecordBatch:
+    """Features of windows given as flat value arrays with the length of each window; ``m`` intervals each, where these are fewer than the samples."""
+    m = n if m is None else m
+    cleaned, invalid, odd = R.clean(rr, m)
     known = ~np.isnan(cleaned)
-    nn, k = cleaned[known], R.sums(known.astype(float), n).astype(np.int64)
+    nn, k = cleaned[known], R.sums(known.astype(float), m).astype(np.int64)
     times = R.time_features(nn, k)
     found = R.amplitude_features(x, n) | R.rate_features(nn, k) | times | R.poincare_features(times["SDNN"], times["SDSD"], k)
     ends = np.cumsum(k)
     more = np.array([interval_features(nn[e - m : e], float(key[2])) for key, e, m in zip(keys, ends, k, strict=True)]).reshape(len(n), -1)
     found |= dict(zip(FREQUENCY + NONLINEAR, more.T, strict=True))
     counts = [n, k, invalid, odd, invalid + odd]
-    percent = R.ratio(100.0 * (invalid + odd), n.astype(float))
+    percent = R.ratio(100.0 * (invalid + odd), m.astype(float))
     values = [pa.array(v, pa.float64(), from_pandas=True) for v in (percent, *(found[c] for c in ALL32))]
     of = [pa.array(v, t) for v, t in zip(zip(*keys, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
     return pa.RecordBatch.from_arrays(of + [pa.array(v.astype(np.int32)) for v in counts] + values, names=[*KEYS, *COUNTS, "RR_CorrectedPercent", *ALL32])
 
 
-def _windows_of_blocks(lengths: tuple[int, ...], step: int, duration: float, block: int, at_once: int = 500_000):
-    """Batches of blocks of samples in order of time -> features of the windows that begin in each block."""
+def between_peaks(places: np.ndarray, n: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in ms between neighbouring peaks of each window, and how many each has. places: of samples that are peaks, else NaN, in windows of ``n`` samples."""
+    peak = ~np.isnan(places)
+    owner, at = np.repeat(np.arange(len(n)), n)[peak], places[peak]
+    same = owner[1:] == owner[:-1]
+    return np.diff(at)[same] / rate * 1000.0, np.bincount(owner[1:][same], minlength=len(n))
+
+
+def _windows_of_blocks(lengths: tuple[int, ...], step: int, duration: float, block: int, rate: float | None = None, at_once: int = 500_000):
+    """Batches of blocks of samples in order of time -> features of the windows that begin in each block. With ``rate``, ``rr`` holds the places of samples that are peaks."""
+
+    def described(keys: list[tuple], n: np.ndarray, x: np.ndarray, rr: np.ndarray) -> pa.RecordBatch:
+        return _described(keys, n, x, rr) if rate is None else _described(keys, n, x, *between_peaks(rr, n, rate))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ns, xs, rrs, size = [], [], [], [], 0
@@ -101,7 +115,7 @@ def _windows_of_blocks(lengths: tuple[int, ...], step: int, duration: float, blo
                 t, x, rr = (s.values.field(c).to_numpy(zero_copy_only=False) for c in ("t", "x", "rr"))
                 first = place.as_py() * block // step
                 for length in lengths:
-                    index = np.arange(first, min(first + block // step - 1, int((duration - length) // step)) + 1)
+                    index = np.arange(first, min(first + block // step - 1, (duration - length) // step) + 1).astype(np.int64)
                     low, high = np.searchsorted(t, index * step, "left"), np.searchsorted(t, index * step + length, "left")
                     n = high - low
                     index, low, n = index[n > 0], low[n > 0], n[n > 0]
@@ -112,29 +126,33 @@ def _windows_of_blocks(lengths: tuple[int, ...], step: int, duration: float, blo
                     rrs.append(rr[at])
                     size += len(at)
                 if size >= at_once:
-                    yield _described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
+                    yield described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
                     keys, ns, xs, rrs, size = [], [], [], [], 0
         if keys:
-            yield _described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
+            yield described(keys, np.concatenate(ns), np.concatenate(xs), np.concatenate(rrs))
 
     return cut
 
 
-def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60), step: int = 5, duration: float = 360.0, least_samples: int = 4, most_corrected: float = 20.0, block_seconds: float = 600.0) -> DataFrame:
+def window_features(
+    samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60), step: int = 5, duration: float | None = 360.0, least_samples: int = 4, most_corrected: float = 20.0, block_seconds: float = 600.0, peaks_rate: float | None = None
+) -> DataFrame:
     """The master table: one row per window with quality columns and 32 features.
 
     Frequency features need windows of 60 s and 30 intervals, entropy 20 and scaling 160 intervals; flags say which were computed.
     A window without samples keeps its row with null features. WindowFailureReason lists what is
     wrong, joined by ';'; WindowValid means nothing is. Samples are shuffled once, in blocks of ``block_seconds`` of a session (and little
     more, for windows that reach into the next block), not once per window that holds them; a block is what a task holds at least.
+    With ``peaks_rate``, samples per second, ``rr`` isn't an interval per sample but the place of each sample that is a peak (else null), and a window's intervals are those between its own
+    peaks. Without ``duration``, samples have ``SessionDuration_sec``.
     Windows are cut from the blocks, cleaned and described in numpy over whole batches, as nested higher-order functions took ten times as long.
     """
     block = -int(-max(block_seconds, *lengths) // step) * step  # no window reaches further than the next block
     own = F.floor(F.col("t") / block).cast("int")
     # windows that begin in a block reach into the next one, so its first seconds go to both
     reached = F.when((F.col("t") - own * block < max(lengths)) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    held = samples.filter((F.col("t") >= 0) & (F.col("t") < duration)).withColumn("block", F.explode(reached)).groupBy("Subject", "Session", "block").agg(F.array_sort(F.collect_list(F.struct("t", "x", "rr"))).alias("s"))
-    made = held.mapInArrow(_windows_of_blocks(lengths, step, duration, block), FEATURE_SCHEMA)
+    held = samples.filter((F.col("t") >= 0) & (F.col("t") < (F.lit(duration) if duration is not None else F.col("SessionDuration_sec")))).withColumn("block", F.explode(reached)).groupBy("Subject", "Session", "block").agg(F.array_sort(F.collect_list(F.struct("t", "x", "rr"))).alias("s"))
+    made = held.mapInArrow(_windows_of_blocks(lengths, step, float("inf") if duration is None else duration, block, peaks_rate), FEATURE_SCHEMA)
     reasons = F.concat_ws(
         ";",
         F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, "no_samples"),
@@ -143,7 +161,7 @@ def window_features(samples: DataFrame, lengths: tuple[int, ...] = (30, 45, 60),
         F.when((F.col("n") > 0) & (F.col("Num_RR_Clean") < 3), "few_rr_intervals"),
         F.when(F.col("RR_CorrectedPercent") > most_corrected, "rr_corrected_percent"),
     )
-    sessions = samples.select("Subject", "Session", "ConditionCode").distinct()
+    sessions = samples.select("Subject", "Session", "ConditionCode", *(["SessionDuration_sec"] if duration is None else [])).distinct()
     master = (
         window_grid(sessions, lengths, step, duration)
         .join(made, KEYS, "left")
