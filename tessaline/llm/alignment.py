@@ -4,7 +4,7 @@ A text is encoded by two tokenizers. Byte offsets where tokens of both end cut i
 tokens of either. A group's two id sequences decide all that is inside it, so each distinct group is interned: its links, the pairs of tokens
 whose bytes overlap, are expanded once per task that meets it, and the corpus statistics of its links once over all.
 
-Texts are encoded in one pass. A task writes what a document is made of (keys of its distinct groups with their frequencies), its
+Texts are encoded in one pass, distinct words once a task. A task writes what a document is made of (keys of its distinct groups with their frequencies), its
 dictionary (key, links, number of documents), and for each id pair the number of its documents that hold it linked: a document is within
 one task, so pairs are counted once a document there and added up by Spark. Counts give each distinct group two sums, of its links' counts and of its
 best links. Documents look these up by key: those of the groups in most documents, a fixed number, are broadcast, and all others joined; no key that is
@@ -72,14 +72,18 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def chunks(text: str, most: int) -> list[str]:
-    """``text`` in parts of little over ``most`` characters; each but the first lacks the space before it. Cut only at single spaces between words."""
-    out, at = [], 0
-    place = re.compile(r"(?<=\S) (?=\S)")
-    while len(text) - at > most and (cut := place.search(text, at + most)):
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
+SPACED = re.compile(r"^ | $|\s | \s")
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+def words_of(text: str) -> list[str]:
+    """``text`` cut at its single spaces between other characters; these spaces are in no part."""
+    return BETWEEN.split(text) if SPACED.search(text) else text.split(" ")
+
+
+def spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of ``width`` numbers for each entry, one after the other."""
+    return np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())
 
 
 def overlaps(a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> list[int]:
@@ -117,7 +121,7 @@ class Dictionary:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.check, self.name, self.links = {}, [], [], []
+        self.number, self.key, self.check, self.name, self.links = {}, [], [], [], []
         self.docs = np.zeros(1024, np.int64)
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
@@ -139,6 +143,7 @@ class Dictionary:
             if (n := self.number.get(key)) is None:
                 a, b = groups(i)
                 n = self.number[key] = len(self.name)
+                self.key.append(key)
                 self.name.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
                 self.links.append(np.array(overlaps(a, b, self.size_a, self.size_b), np.int64))
                 self.check.append(int(checks[i]))
@@ -162,67 +167,127 @@ class Dictionary:
 
 
 class Aligner:
-    """Encodes texts, cuts them into groups and counts in a dictionary."""
+    """Encodes texts, cuts them into groups and counts in a dictionary.
 
-    def __init__(self, spec: str, model: bytes, seed: int, chunk: int = 100_000):
-        self.a, self.b, self.chunk = ByteLevel(spec), Pieces(model), chunk
+    No token of either reaches over a single space between two words, and tokens of both end there. So words are encoded
+    one by one, each distinct one once, and a text is the sequence of its words' groups. Where pieces do reach across, a whole text is one word.
+    """
+
+    def __init__(self, spec: str, model: bytes, seed: int, keep: int = 300_000, keep_chars: int = 10_000_000):
+        self.a, self.b, self.keep, self.keep_chars = ByteLevel(spec), Pieces(model), keep, keep_chars
         self.seen = Dictionary(self.a, self.b, seed)
         self.bytes_a, self.bytes_b = np.array(self.seen.size_a), np.array(self.seen.size_b)
         self.clash = False
+        self.clear()
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both for each text, none where the bytes of either differ from those of a space and the text."""
-        parts = [chunks(t, self.chunk) if self.b.ends_at_space else [t] for t in texts]
-        flat = list(itertools.chain.from_iterable(parts))
-        all_a, all_b, out, at = self.a([" " + p for p in flat]), self.b(flat), [], 0
-        for text, own in zip(texts, parts, strict=True):
-            a, b = (list(itertools.chain.from_iterable(x[at : at + len(own)])) for x in (all_a, all_b))
-            at += len(own)
-            want = (" " + text).encode("utf-8", "surrogatepass")
+    def clear(self) -> None:
+        self.seen.clear()
+        self.known, self.names, self.chars = {}, [], 0
+        # of each word: tokens of A and of B, whether both give its bytes back, and where its groups begin and how many they are
+        self.sizes = np.zeros((1024, 5), np.int64)
+        self.groups, self.used = np.zeros(1024, np.int64), 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.names) >= self.keep or len(self.seen.name) >= self.keep or self.chars >= self.keep_chars
+
+    def encode(self, words: list[str], at_once: int = 1000) -> list[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """(first word, word after the last, ids of A, ids of B, whether both give the bytes of a space and each word back) of stretches of ``words``.
+
+        A stretch is one word, or many that are encoded as a line with single spaces between them.
+        """
+        plain = [w == w.strip() != "" for w in words] if self.b.ends_at_space else [False] * len(words)
+        cuts = [0]
+        for i in range(1, len(words) + 1):
+            if i == len(words) or not (plain[i] and plain[i - 1]) or i - cuts[-1] >= at_once:
+                cuts.append(i)
+        return self._encoded(words, cuts)
+
+    def _encoded(self, words: list[str], cuts: list[int]) -> list[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        lines = [" ".join(words[i:k]) for i, k in itertools.pairwise(cuts)]
+        out = []
+        for (i, k), line, a, b in zip(itertools.pairwise(cuts), lines, self.a([" " + x for x in lines]), self.b(lines), strict=True):
+            want = (" " + line).encode("utf-8", "surrogatepass")
             same = all(b"".join(map(known.__getitem__, ids)) == want for known, ids in ((self.a.bytes, a), (self.b.bytes, b)))
-            out.append((np.array(a), np.array(b)) if same else None)
+            if same or k - i == 1:
+                out.append((i, k, np.array(a, np.int64), np.array(b, np.int64), same))
+            else:
+                out += self._encoded(words, list(range(i, k + 1)))
         return out
 
-    def __call__(self, texts: list[str | None]) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, frequencies) of each text."""
-        out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
-        full = [i for i, t in enumerate(texts) if t]
-        coded = [(i, c) for i, c in zip(full, self.encode([texts[i] for i in full]), strict=True) if c is not None]
+    def learn(self, words: list[str]) -> None:
+        """Groups of new words."""
+        first = len(self.names)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.chars += sum(map(len, words))
+        while first + len(words) > len(self.sizes):
+            self.sizes = np.r_[self.sizes, np.zeros_like(self.sizes)]
+        self.names += [""] * len(words)
+        coded = [x for x in self.encode(words) if x[4]]
         if not coded:
-            return out
-        ids = tuple(np.concatenate([c[side] for _, c in coded]) for side in (0, 1))
+            return
+        ids = tuple(np.concatenate([x[side] for x in coded]) for side in (2, 3))
         ends = tuple(np.cumsum(size[x]) for size, x in zip((self.bytes_a, self.bytes_b), ids, strict=True))
-        # texts are as long in either, so each text ends where both end
-        common = np.intersect1d(*ends, assume_unique=True)
+        number = np.concatenate([np.arange(i, k) for i, k, *_ in coded])
+        long = [len(words[i].encode("utf-8", "surrogatepass")) + 1 for i in number.tolist()]
+        # words are as long in either, so each word ends where both end
+        word_end, common = np.cumsum(long), np.intersect1d(*ends, assume_unique=True)
         begins = tuple(np.r_[0, np.searchsorted(e, common)[:-1] + 1] for e in ends)
-        text_end = ends[0][np.cumsum([len(c[0]) for _, c in coded]) - 1]
-        cuts = np.r_[0, np.searchsorted(common, text_end) + 1]
         keys, checks = (self.seen.keys(ids, begins, which) for which in (0, 1))
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
         stop = tuple(np.r_[b[1:], len(x)] for b, x in zip(begins, ids, strict=True))
-        of = lambda i: tuple(tuple(ids[s][begins[s][first[i]] : stop[s][first[i]]].tolist()) for s in (0, 1))
-        numbers = self.seen.intern(distinct, checks[first].view(np.int64), of)
+        of = lambda i: tuple(tuple(ids[s][begins[s][at[i]] : stop[s][at[i]]].tolist()) for s in (0, 1))
+        numbers = self.seen.intern(distinct, checks[at].view(np.int64), of)
         self.clash |= bool((np.array([self.seen.check[n] for n in numbers.tolist()], np.int64)[which] != checks.view(np.int64)).any())
-        # distinct groups of each text, and how often each is there
-        doc = np.repeat(np.arange(len(coded)), np.diff(cuts))
-        held, freq = np.unique(doc * len(distinct) + which, return_counts=True)
-        held_doc, held_group = held // len(distinct), held % len(distinct)
-        self.seen.docs[numbers] += np.bincount(held_group, minlength=len(distinct))
-        links = [self.seen.links[n] for n in numbers.tolist()]
-        many = np.array([len(x) for x in links])
+        groups = numbers[which]
+        while self.used + len(groups) > len(self.groups):
+            self.groups = np.r_[self.groups, np.zeros_like(self.groups)]
+        self.groups[self.used : self.used + len(groups)] = groups
+        edges = np.r_[0, np.searchsorted(common, word_end) + 1]
+        tokens = [np.diff(np.r_[0, np.searchsorted(e, word_end) + 1]) for e in ends]
+        self.sizes[first + number] = np.column_stack([*tokens, np.ones(len(number), np.int64), self.used + edges[:-1], np.diff(edges)])
+        self.used += len(groups)
+        name = [self.seen.name[n] for n in groups.tolist()]
+        for i, begin, end in zip((first + number).tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            self.names[i] = name[begin] if end == begin + 1 else ";".join(name[begin:end])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, keys, frequencies) of each text."""
+        out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        split = [words_of(texts[i]) if self.b.ends_at_space else [texts[i]] for i in some]
+        if new := set().union(*split).difference(self.known):
+            self.learn(sorted(new))
+        get, seen = self.known.__getitem__, self.seen
+        coded = [(i, np.fromiter(map(get, w), np.int64, len(w))) for i, w in zip(some, split, strict=True)]
+        coded = [(i, w) for i, w in coded if self.sizes[w, 2].all()]
+        if not coded:
+            return out
+        # distinct words of each text, then its distinct groups, and how often each is there
+        doc, many = np.repeat(np.arange(len(coded)), [len(w) for _, w in coded]), len(self.names)
+        code, times = np.unique(doc * many + np.concatenate([w for _, w in coded]), return_counts=True)
+        doc, word = code // many, code % many
+        tokens = [np.bincount(doc, times * self.sizes[word, side], len(coded)).astype(np.int64) for side in (0, 1)]
+        start, width = self.sizes[word, 3], self.sizes[word, 4]
+        code, at = np.unique(np.repeat(doc, width) * len(seen.name) + self.groups[spread(start, width)], return_inverse=True)
+        freq = np.bincount(at, np.repeat(times, width)).astype(np.int64)
+        held_doc, group = code // len(seen.name), code % len(seen.name)
+        numbers, at = np.unique(group, return_inverse=True)
+        seen.docs[numbers] += np.bincount(at)
+        links = [seen.links[n] for n in numbers.tolist()]
+        width = np.array(list(map(len, links)))
         # distinct pairs of each text: links of its distinct groups
         codes, pair = np.unique(np.concatenate(links), return_inverse=True)
-        start, width = np.cumsum(many) - many, many[held_group]
-        at = np.repeat(start[held_group] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        pairs = np.unique(np.repeat(held_doc, width) * len(codes) + pair[at]) % len(codes)
-        self.seen.add_pairs(codes, np.bincount(pairs, minlength=len(codes)))
-        names = [self.seen.name[n] for n in numbers.tolist()]
-        n_links = np.bincount(held_doc, many[held_group] * freq, len(coded)).astype(np.int64)
+        place = spread((np.cumsum(width) - width)[at], width[at])
+        pairs = np.unique(np.repeat(held_doc, width[at]) * len(codes) + pair[place]) % len(codes)
+        seen.add_pairs(codes, np.bincount(pairs, minlength=len(codes)))
+        n_groups, n_links = (np.bincount(held_doc, w, len(coded)).astype(np.int64) for w in (freq, width[at] * freq))
+        keys = np.array([seen.key[n] for n in numbers.tolist()], np.uint64)[at]
         edges = np.searchsorted(held_doc, np.arange(len(coded) + 1))
-        for k, (i, (a, b)) in enumerate(coded):
-            groups, own = which[cuts[k] : cuts[k + 1]].tolist(), slice(edges[k], edges[k + 1])
-            sha = hashlib.sha256(";".join(map(names.__getitem__, groups)).encode()).hexdigest()
-            out[i] = (len(a), len(b), len(groups), int(n_links[k]), sha, distinct[held_group[own]].tobytes(), freq[own].astype(np.uint32).tobytes())
+        for k, (i, w) in enumerate(coded):
+            mine = slice(edges[k], edges[k + 1])
+            sha = hashlib.sha256(";".join(map(self.names.__getitem__, w.tolist())).encode()).hexdigest()
+            out[i] = (int(tokens[0][k]), int(tokens[1][k]), int(n_groups[k]), int(n_links[k]), sha, keys[mine].tobytes(), freq[mine].astype(np.uint32).tobytes())
         return out
 
 
@@ -238,7 +303,7 @@ def align_tokens(
     text_col: str = "text",
     id_col: str = "doc_id",
     most_sent: int = 50_000,
-    keep: int = 150_000,
+    keep: int = 300_000,
     slice_chars: int = 500_000,
 ) -> DataFrame:
     """One row per document: ``id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``.
@@ -250,9 +315,9 @@ def align_tokens(
     Null and empty texts, and those that a tokenizer doesn't give back byte by byte, have zeros and the empty string. Rows are
     documents: rows of equal or null ids are counted each for itself. No rows give none. Other columns are not read.
 
-    Bounded: the ``most_sent`` groups in most documents are what is broadcast; a task holds ``keep`` groups or little more before it writes its
-    dictionary down; texts are taken in slices of about ``slice_chars`` characters, and one far longer is encoded in parts, cut at single spaces
-    between words, where no token of either reaches across. Most of the work is done when this is called.
+    Bounded: the ``most_sent`` groups in most documents are what is broadcast; a task holds ``keep`` words or groups or little more before it writes its
+    dictionary down; texts are taken in slices of about ``slice_chars`` characters, and a longer one is encoded word by word like all others. Most
+    of the work is done when this is called.
     """
     spark = docs.sparkSession
     with open(byte_level, encoding="utf-8") as f, open(pieces, "rb") as g:
@@ -308,13 +373,13 @@ def encoder(sent, seed: int, keep: int, slice_chars: int, id_kind):
         from pyspark.sql.pandas.types import to_arrow_type
 
         schema = _arrow_schema(MADE, id=to_arrow_type(id_kind))
-        aligner, row = Aligner(*sent.value, seed), TaskContext.get().partitionId() << 36
+        aligner, row = Aligner(*sent.value, seed, keep), TaskContext.get().partitionId() << 36
         seen = aligner.seen
 
         def written() -> Iterator[pa.RecordBatch]:
             for at in range(0, len(seen.name), 20_000):
                 part = slice(at, at + 20_000)
-                keys = np.fromiter(itertools.islice(seen.number, at, at + 20_000), np.uint64)
+                keys = np.array(seen.key[part], np.uint64)
                 # without a second hash, the run is done again
                 checks = [None if aligner.clash else c for c in seen.check[part]]
                 yield _batch(schema, len(keys), kind=[1] * len(keys), key=keys.view(np.int64), check=checks, docs=seen.docs[: len(seen.name)][part], links=seen.links[part])
@@ -322,7 +387,7 @@ def encoder(sent, seed: int, keep: int, slice_chars: int, id_kind):
             for at in range(0, len(codes), 100_000):
                 part = slice(at, at + 100_000)
                 yield _batch(schema, len(codes[part]), kind=[2] * len(codes[part]), key=codes[part], docs=counts[part])
-            seen.clear()
+            aligner.clear()
 
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -334,7 +399,7 @@ def encoder(sent, seed: int, keep: int, slice_chars: int, id_kind):
                 number = end - begin
                 yield _batch(schema, number, kind=[0] * number, row=np.arange(row, row + number), id=b.column("id").slice(begin, number), **dict(zip(names, found, strict=True)))
                 row += number
-                if len(seen.name) >= keep:
+                if aligner.full:
                     yield from written()
         yield from written()
 

@@ -75,13 +75,17 @@ def test_equals_brute_force(spark, prose, paths):
         assert got == want
 
 
-def test_long_texts_are_cut_where_no_token_reaches(paths):
-    text = "".join(f"w{i % 97} it's,  two\n" + "漢字 " * (i % 3) for i in range(600))
+def test_words_are_encoded_as_in_the_whole_text(paths):
+    """No token reaches over a single space between two words, so the words' ids are the text's."""
+    text = "".join(f"w{i % 97} it's,  two\n" + "漢字 " * (i % 3) + " \t x\u0085 y\u00a0 z " for i in range(300))
     spec, model = open(paths[0], encoding="utf-8").read(), open(paths[1], "rb").read()
-    whole, cut = (alignment.Aligner(spec, model, 0, chunk=c) for c in (10**9, 50))
-    assert len(alignment.chunks(text, 50)) > 50
-    for x, y in zip(whole.encode([text])[0], cut.encode([text])[0], strict=True):
-        assert np.array_equal(x, y)
+    aligner = alignment.Aligner(spec, model, 0)
+    words = alignment.words_of(text)
+    assert len(words) > 300 and " ".join(words) == text and aligner.b.ends_at_space
+    one, parts, single = aligner.encode([text])[0], aligner.encode(words, 7), aligner.encode(words, 1)
+    assert one[4] and len(single) == len(words) > len(parts) > len(words) / 7
+    for side in (2, 3):
+        assert one[side].tolist() == [i for p in parts for i in p[side]] == [i for p in single for i in p[side]]
 
 
 def test_clashing_keys_are_found_and_done_again(spark, prose, paths, monkeypatch):
