@@ -45,6 +45,9 @@ class Study:
         "spaces", "series_real", "series_pseudo", "space_real", "space_pseudo", "matrix_real_scores", "matrix_pseudo_scores", "magnitudes",
     }
 
+    #: Tables that hold several spaces; below the widest limit only those of the configurations are scored.
+    OF_SPACES = {"space_real", "space_pseudo", "matrix_real_scores", "matrix_pseudo_scores", "magnitudes"}
+
     def __init__(self, spark: SparkSession, events: DataFrame, subjects: int | None = None, corrected: float = THRESHOLD, space: str = "heart_rate_rr", base: Study | None = None):
         self.spark, self.events, self.subjects, self.made = spark, events, subjects, {}
         self.corrected, self.space, self.base, self.others = corrected, space, base, {}
@@ -71,7 +74,8 @@ class Study:
         if maker is None:
             raise AttributeError(name)
         if self.base is not None and name in (self.OF_LIMIT if self.base.corrected == self.corrected else self.OF_INPUT):
-            return getattr(self.base, name)
+            if name not in self.OF_SPACES or self.base.scores(self.space):
+                return getattr(self.base, name)
         if name not in self.made:
             made = maker(self)
             self.made[name] = made if name in self.LAZY else settle(made, f"study-{name}")
@@ -185,16 +189,24 @@ class Study:
     def _series_pseudo(self):
         return M.wide_series(self._pseudo_z(ALL23), ["CandidateID", "WindowLength_sec"], ALL23)
 
+    def scores(self, space: str) -> bool:
+        """Whether this study's tables of several spaces hold ``space``."""
+        return self.corrected == THRESHOLD or space == self.space or (self.corrected, space) in CONFIGURATIONS
+
+    def scored_spaces(self) -> DataFrame:
+        names = [r.name for r in next(iter(self.fits().values()), []) if self.scores(r.name)]
+        return self.spaces.filter(F.col("Representation").isin(names))
+
     def _space_real(self):
         """Native scores of all real boundaries in all spaces, in one pass."""
-        scores = D.score_spaces(self.series_real, ["BoundaryID", "WindowLength_sec"], self.spaces)
+        scores = D.score_spaces(self.series_real, ["BoundaryID", "WindowLength_sec"], self.scored_spaces())
         return scores.join(self.inventory.select("BoundaryID", "Subject", "TransitionType", "BoundaryOrder"), "BoundaryID")
 
     def _space_pseudo(self):
-        return D.score_spaces(self.series_pseudo, ["CandidateID", "WindowLength_sec"], self.spaces)
+        return D.score_spaces(self.series_pseudo, ["CandidateID", "WindowLength_sec"], self.scored_spaces())
 
     def _magnitudes(self):
-        return D.boundary_magnitude(self.series_real, ["BoundaryID", "WindowLength_sec"], self.spaces)
+        return D.boundary_magnitude(self.series_real, ["BoundaryID", "WindowLength_sec"], self.scored_spaces())
 
     def _magnitude(self):
         return self.magnitudes.filter(F.col("Representation") == self.space).drop("Representation")
