@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessaline.llm.common import Scratch, fitted, small
+from tessaline.llm.common import Scratch, fitted, join_by_key, small
 from tessaline.llm.components import connected_components
 
 BUCKETS = 192
@@ -70,7 +70,7 @@ class WordHashes(dict):
 class Shingler:
     """Hashes of the distinct shingles of texts. Keeps word hashes, about ``keep`` of them."""
 
-    def __init__(self, width: int, keep: int = 250_000):
+    def __init__(self, width: int, keep: int = 100_000):
         self.width, self.keep, self.known = width, keep, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -344,11 +344,15 @@ def near_duplicates(
         found = fitted(x.join(y, "token").filter("rx <> ry and (x < y or not oy)").filter(enough), kept.count())
         roots = merged(roots, pairs_of(found, "x", "nx", "y", "ny"), kept.count())
     scratch.keep(signed, roots)
-    rooted = linked.select("id", "n", "node").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    # one row per document set, then per component: rows get their component by the set, so that no component's rows meet in one task
+    counted = settle(fitted(linked.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")), number), "counted")
+    rooted = settle(counted.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    groups = settle(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "groups")
+    judged = settle(join_by_key(rooted, groups, "root").select("node", "n", "component_id"), "judged")
+    scratch.keep(signed, judged)
     alone = signed.filter("node is null or id is null").select("id", "n", F.col("id").alias("component_id"))
     return (
-        rooted.join(first, "root")
+        join_by_key(linked.select("id", "n", "node"), judged, "node")
         .select("id", "n", "component_id")
         .unionByName(alone)
         .select(
