@@ -9,25 +9,28 @@ stretch. The count is a bound, not a guess: it rejects no leak.
 A randomised SVD of TF-IDF passages gives every term a short latent vector; each leak is reported with the cosine of
 its stretch and the item. The cosine decides nothing.
 
-The SVD is fitted on a documented, bounded sample of documents together with all items. Document
-frequencies are counted over the whole corpus, and every stretch of every text is searched.
+Vocabulary, document frequencies and the SVD come from all passages of all documents, together with all items. Texts are
+cut into words once and written as chunks of numbers, each with its own list of words; all later passes read these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessaline.llm.common import Scratch, settle
+from tessaline.llm.common import Scratch, fitted, settle
 
 BLOCK = 8  # words that are counted at once
 EDGES = ".,;:!?\"'()[]{}|#*&%$"  # fixed values: what most often stands around a word
+SPAN = 32  # words of a passage
+COMMON = 1000  # a term stands in more than one of so many documents, and in more than two
 CHUNK = 64  # the cosine of longer items is that of their nearest part of this many words
 
 
@@ -65,38 +68,24 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-class Places(dict):
-    """Vocabulary place of each token, found when it is first asked for; -1 outside, -2 for a token without letters and digits."""
+class Numbers(dict):
+    """Number of each token's word, found when it is first asked for; -1 for a token without letters and digits."""
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.words: dict[str, int] = {}
 
     def __missing__(self, token: str) -> int:
         w = normal(token)
-        at = self[token] = self.vocabulary.get(w, -1) if w else -2
+        at = self[token] = self.words.setdefault(w, len(self.words)) if w else -1
         return at
 
 
-class Terms:
-    """Vocabulary places of the words of texts; words outside are -1. Keeps about ``keep`` tokens."""
-
-    def __init__(self, vocabulary: dict[str, int], keep: int = 100_000):
-        self.keep, self.known = keep, Places(vocabulary)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        tokens = text.split() if text else []
-        if len(self.known) > self.keep:
-            self.known.clear()
-        found = np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens))
-        return found[found > -2] if len(found) and found.min() == -2 else found
-
-
 @dataclass
 class Index:
     """Latent vectors of terms (one more, of zeros, for words outside) and the items' own."""
 
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     vectors: np.ndarray
     item_ids: list
     items: list[list[int]]
@@ -106,16 +95,6 @@ class Index:
     item_vectors: np.ndarray
 
 
-def numbers(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Columns of a table whose size the caller has bounded, as arrays."""
-    found = df.select(*columns).toArrow()
-    return [found.column(c).to_numpy() for c in columns]
-
-
-def _passages(ids: np.ndarray, size: int = 32) -> list[np.ndarray]:
-    return [p[p >= 0] for p in (ids[i : i + size] for i in range(0, len(ids), size))]
-
-
 def _step(passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(A' A basis, (A basis)' (A basis)) for the TF-IDF rows A of passages, each of unit length."""
     passages = [p for p in passages if len(p)]
@@ -151,101 +130,168 @@ def orthonormal(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def encode(docs: DataFrame, text_col: str, id_col: str, vocabulary: dict[str, int]) -> tuple[DataFrame, np.ndarray]:
-    """Places of all words of every text, written to the shared folder; and in how many documents each term stands.
+def by_term(places: np.ndarray, terms: int) -> np.ndarray:
+    """Order of ``places`` below ``terms``, equal ones as they stand."""
+    return np.argsort(places.astype(np.uint16) if terms <= 1 << 16 else places, kind="stable")
+
 
-    Counts cover all documents. A task adds its own as one row of the table, so texts are read once.
+def encode(docs: DataFrame, text_col: str, id_col: str, at_once: int = 1 << 18, keep: int = 100_000) -> DataFrame:
+    """All words of every text as numbers, written to the shared folder: a row for about ``at_once`` words of whole documents.
+
+    ids, sizes: of the documents that have words, and how many. places: into ``words``, the row's distinct words; found: in how
+    many of its documents each stands. A task keeps the numbers of about ``keep`` tokens.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = dict(docs.dtypes)[id_col]
 
+    def listed(x: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    def chunk(ids: list[pa.Array], texts: list[np.ndarray], known: Numbers) -> pa.RecordBatch:
+        flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+        terms = np.flatnonzero(np.bincount(flat))
+        number = np.zeros(int(terms[-1]) + 1, np.int32)
+        number[terms] = np.arange(len(terms))
+        flat = number[flat]
+        order = by_term(flat, len(terms))
+        term, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        first = np.r_[True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])]
+        names = list(known.words)
+        columns = [pa.concat_arrays(ids), pa.array(sizes, pa.int32()), pa.array(flat), pa.array([names[t] for t in terms.tolist()], pa.string()), pa.array(np.bincount(term[first]), pa.int64())]
+        return pa.RecordBatch.from_arrays([*map(listed, columns), pa.array([int((-(-sizes // SPAN)).sum())], pa.int64())], names=["ids", "sizes", "places", "words", "found", "passages"])
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total, id_type = Terms(sent.value), np.zeros(len(sent.value) + 1, np.int64), None
+        known, ids, texts, size = Numbers(), [], [], 0
         for b in batches:
-            id_type = b.column(id_col).type
-            at, ids, size = [], [], 0
+            at = []
             for i, text in enumerate(b.column(text_col)):
-                found = terms(text.as_py())
+                tokens = (text.as_py() or "").split()
+                found = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+                if len(found) and found.min() < 0:
+                    found = found[found >= 0]
                 if len(found):
-                    total[np.unique(found)] += 1  # -1 goes to the last place
                     at.append(i)
-                    ids.append(found)
+                    texts.append(found)
                     size += len(found)
-                if size > 1 << 20 or i == b.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                    )
-                    yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(at, pa.int64())), lists, pa.array([False] * len(at))], names=["id", "places", "counts"])
-                    at, ids, size = [], [], 0
-        if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([total[:-1].astype(np.int32)], pa.list_(pa.int32())), pa.array([True])], names=["id", "places", "counts"])
-
-    made = settle(docs.select(id_col, text_col).mapInArrow(places, f"id {kind}, places array<int>, counts boolean"), "leak-places")
-    counted = made.filter("counts").select(F.posexplode("places").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0")
-    out = np.zeros(len(vocabulary), np.int64)
-    terms, n = numbers(counted, "term", "n")
-    out[terms] = n
-    return made.filter("not counts").select("id", "places"), out
-
-
-def fit_index(
-    docs: DataFrame,
-    items: list[tuple[object, str, str | None]],
-    text_col: str,
-    id_col: str,
-    rank: int,
-    fit_docs: int,
-    power: int = 2,
-) -> tuple[DataFrame, Index]:
-    """The encoded documents and the index. Fits on about ``fit_docs`` documents picked by a hash of the id, and all items."""
-    total = docs.count()
-    chosen = F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(1 << 30)) < int(min(1.0, fit_docs / max(total, 1)) * (1 << 30))
-    scratch = Scratch(docs.sparkSession, "leak-fit")
-    sample = scratch.settle(docs.filter(chosen).select(text_col).limit(2 * fit_docs).repartition(4), "sample")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, int] = {}
-            for text in b.column(text_col):
-                for w in set(words_of(text.as_py())):
-                    seen[w] = seen.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["w", "n"])
-
-    common = sample.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 2").select("w").toArrow().column("w").to_pylist()
+                if at and (size > at_once or i == b.num_rows - 1):
+                    ids.append(b.column(id_col).take(pa.array(at, pa.int64())))
+                    at = []
+                if size > at_once:
+                    yield chunk(ids, texts, known)
+                    ids, texts, size = [], [], 0
+                    if len(known) > keep:
+                        known = Numbers()
+        if texts:
+            yield chunk(ids, texts, known)
+
+    made = docs.select(id_col, text_col).mapInArrow(places, f"ids array<{kind}>, sizes array<int>, places array<int>, words array<string>, found array<long>, passages long")
+    return settle(made, "leak-places")
+
+
+def read_chunk(b: pa.RecordBatch, i: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and sizes of a row of ``encode``, and the vocabulary place of each of its words; words outside have the place after the last."""
+    places, sizes, words = (b.column(c)[i].values for c in ("places", "sizes", "words"))
+    return places.to_numpy(), sizes.to_numpy(), pc.fill_null(pc.index_in(words, value_set=vocabulary), len(vocabulary)).to_numpy()
+
+
+def project(places: np.ndarray, sizes: np.ndarray, terms: np.ndarray, idf: np.ndarray, basis: np.ndarray, z: np.ndarray, gram: np.ndarray) -> None:
+    """Adds to ``z`` and ``gram`` what ``_step`` gives for all passages of a chunk; ``terms`` as ``read_chunk`` gives them."""
+    weight = np.r_[idf, 0.0][terms]
+    inside = np.flatnonzero(terms < len(idf))
+    scaled = np.zeros((len(terms) + 1, basis.shape[1]), np.float32)  # the last one, of zeros, fills short passages up
+    scaled[inside] = weight[inside, None] * basis[terms[inside]]
+    parts = -(-sizes // SPAN)
+    place = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.repeat(np.cumsum(parts) - parts, sizes) + place // SPAN
+    n = int(parts.sum())
+    filled = np.full(n * SPAN, len(terms), np.int32)
+    filled[row * SPAN + place % SPAN] = places
+    y, ones = np.empty((n, basis.shape[1]), np.float32), np.ones((1, SPAN), np.float32)
+    for a in range(0, n, 128):
+        y[a : a + 128] = np.matmul(ones, scaled[filled[a * SPAN : (a + 128) * SPAN]].reshape(-1, SPAN, basis.shape[1]))[:, 0]
+    known = np.flatnonzero(terms[places] < len(idf))
+    if not len(known):
+        return
+    known = known[by_term(places[known], len(terms))]
+    term, row = places[known], row[known]
+    changed = term[1:] != term[:-1]
+    cells = np.flatnonzero(np.r_[True, changed | (row[1:] != row[:-1])])
+    times = np.diff(np.r_[cells, len(known)])
+    square = np.bincount(row[cells], (times * weight[term[cells]]) ** 2, n)
+    scale = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-30)), 0.0).astype(np.float32)[:, None]
+    y *= scale
+    wide = y.astype(np.float64)
+    gram += wide.T @ wide
+    # a term's passages are added in groups of 16
+    y = np.r_[y * scale, np.zeros((1, y.shape[1]), np.float32)]
+    heads = np.flatnonzero(np.r_[True, changed])
+    held = np.diff(np.r_[heads, len(known)])
+    groups = -(-held // 16)
+    first = np.cumsum(groups) - groups
+    filled = np.full(int(groups.sum()) * 16, n)
+    filled[np.repeat(first * 16 - heads, held) + np.arange(len(known))] = row
+    some, ones = np.empty((len(filled) // 16, y.shape[1]), np.float32), np.ones((1, 16), np.float32)
+    for a in range(0, len(some), 256):
+        some[a : a + 256] = np.matmul(ones, y[filled[a * 16 : (a + 256) * 16]].reshape(-1, 16, y.shape[1]))[:, 0]
+    z[terms[term[heads]]] += weight[term[heads], None].astype(np.float32) * np.add.reduceat(some, first)
+
+
+def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text_col: str, id_col: str, rank: int, power: int = 2, block: int = 1024) -> tuple[DataFrame, Index]:
+    """The encoded documents and the index, fitted on all passages of all documents and all items.
+
+    The vocabulary holds the words of items and answers, and those that stand in more than two and more than a thousandth of all
+    documents, so its size is bounded by the number of different words of a thousand mean documents. Tasks' sums
+    are added by blocks of ``block`` terms; the driver gets one row of each.
+    """
+    spark, total = docs.sparkSession, docs.count()
+    encoded = encode(docs, text_col, id_col)
     own = [words_of(text) for _, text, _ in items]
-    vocabulary = {w: i for i, w in enumerate(sorted(set(common) | {w for ws in own for w in ws}))}
-    encoded, df = encode(docs, text_col, id_col, vocabulary)
-    idf = np.log((1 + total) / (1 + df)) + 0.1
+    asked = [words_of(a) if a else answer_of(t) for _, t, a in items]
+    listed = sorted({w for ws in [*own, *asked] for w in ws})
+    found = encoded.select(F.explode(F.arrays_zip("words", "found")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.found").alias("n"))
+    named = F.broadcast(spark.createDataFrame(pa.table({"w": pa.array(listed, pa.string()), "own": pa.array([True] * len(listed))})))
+    common = found.join(named, "w", "left").filter((F.col("own") | ((F.col("n") > 2) & (F.col("n") * COMMON > total)))).select("w", "n").toArrow().to_pydict()
+    df = dict.fromkeys(listed, 0) | dict(zip(common["w"], common["n"], strict=True))
+    vocabulary = {w: i for i, w in enumerate(sorted(df))}
+    words = pa.array(list(vocabulary), pa.string())
+    idf = np.log((1 + total) / (1 + np.array([df[w] for w in vocabulary]))) + 0.1
     item_terms = [[vocabulary[w] for w in ws] for ws in own]
-    rng = np.random.Generator(np.random.PCG64(2))
     width = min(rank + 8, len(vocabulary))
-    basis = rng.standard_normal((len(vocabulary), width), np.float32)
-    spark = docs.sparkSession
-    passages = max(1, total and min(total, fit_docs)) * 10
-    weight = passages / max(1, len(items))
-    gram = np.eye(width)
+    basis = np.random.Generator(np.random.PCG64(2)).standard_normal((len(vocabulary), width), np.float32)
+    weight = max(1, encoded.agg(F.sum("passages")).first()[0] or 0) / max(1, len(items))
+    scratch = Scratch(spark, "leak-fit")
+    chunks = fitted(encoded.select("places", "sizes", "words"), total, 10_000)
     for turn in range(power + 1):
-        sent = spark.sparkContext.broadcast((vocabulary, idf, basis))
+        sent = spark.sparkContext.broadcast((words, idf, basis))
 
         def part(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            vocabulary, idf, basis = sent.value
-            terms, z, g = Terms(vocabulary), np.zeros_like(basis), np.zeros((basis.shape[1],) * 2)
+            words, idf, basis = sent.value
+            z, gram = np.zeros_like(basis), np.zeros((basis.shape[1],) * 2)
             for b in batches:
-                more = _step([p for t in b.column(text_col) for p in _passages(terms(t.as_py()))], idf, basis)
-                z += more[0]
-                g += more[1]
-            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()]), pa.array([g.tobytes()])], names=["z", "g"])
+                for i in range(b.num_rows):
+                    project(*read_chunk(b, i, words), idf, basis, z, gram)
+            for k in range(0, len(z), block):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([z[k : k + block].astype(np.float64).tobytes()])], names=["k", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([gram.tobytes()])], names=["k", "sums"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, sums in zip(b.column("k").to_pylist(), b.column("sums"), strict=True):
+                    more = np.frombuffer(sums.as_buffer())
+                    out[k] = out[k] + more if k in out else more.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["k", "sums"])
 
         z, gram = _step([np.array(t, np.int64) for t in item_terms], idf, basis, weight)
-        sums = scratch.settle(sample.mapInArrow(part, "z binary, g binary"), "sums")
-        for r in sums.toLocalIterator():  # the driver holds one task's sums at a time
-            z += np.frombuffer(r["z"], np.float32).reshape(basis.shape)
-            gram += np.frombuffer(r["g"]).reshape(gram.shape)
+        sums = scratch.settle(chunks.mapInArrow(part, "k long, sums binary").repartition("k").mapInArrow(added, "k long, sums binary"), "sums")
+        for r in sums.toLocalIterator():
+            if r["k"] < 0:
+                gram += np.frombuffer(r["sums"]).reshape(gram.shape)
+            else:
+                z[r["k"] : r["k"] + block] += np.frombuffer(r["sums"]).reshape(-1, width).astype(np.float32)
         sent.destroy()
-        scratch.keep(sample)
+        scratch.keep()
         if turn < power:
             basis = orthonormal(z)
-    scratch.keep()
     values, rotation = np.linalg.eigh(gram)
     latent = basis @ rotation[:, np.argsort(-values)[:rank]].astype(np.float32)
     vectors = np.zeros((len(vocabulary) + 1, latent.shape[1]), np.float32)
@@ -253,8 +299,8 @@ def fit_index(
     parts = [(i, t[a : a + CHUNK]) for i, t in enumerate(item_terms) for a in range(0, len(t), CHUNK)]
     sums = np.array([vectors[t].sum(0) for _, t in parts])
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    answers = [[vocabulary.get(w, -1) for w in (words_of(a) if a else answer_of(t))] for _, t, a in items]
-    return encoded, Index(vocabulary, vectors, [i for i, _, _ in items], item_terms, answers, [i for i, _ in parts], np.r_[idf, 0.0].astype(np.float32), sums.astype(np.float32))
+    answers = [[vocabulary[w] for w in ws] for ws in asked]
+    return encoded, Index(words, vectors, [i for i, _, _ in items], item_terms, answers, [i for i, _ in parts], np.r_[idf, 0.0].astype(np.float32), sums.astype(np.float32))
 
 
 @dataclass
@@ -452,7 +498,7 @@ def find_leaks(
     rank: int = 32,
     sure: float = 0.75,
     likely: float = 0.6,
-    fit_docs: int = 2000,
+    fit_docs: int | None = None,
     items_at_once: int = 1000,
 ) -> DataFrame:
     """One row per document and benchmark item that it leaks:
@@ -463,10 +509,11 @@ def find_leaks(
     has an overlap of ``sure``, or of ``likely`` together with the item's answer (``answer_col``, else
     the item's last sentence). Items without a word leak nowhere; those of under 5 words leak where all
     their words stand in order. Null and empty texts leak nothing. Repeated documents and items are reported row by row.
-    No documents or no items give an empty result. Only the named columns are read.
+    No documents or no items give an empty result. Only the named columns are read. ``fit_docs`` bounds nothing any more and is
+    there for callers that still name it: the index is fitted on all documents.
 
     Items are taken in blocks of ``items_at_once``, which bounds what is sent to the tasks; each block is one
-    pass over the texts. Nothing is shuffled but counts of the vocabulary's terms.
+    pass over the texts. Shuffled are counts of words and sums of the fit by terms.
     """
     spark = docs.sparkSession
     columns = [item_col, "text"] + ([answer_col] if answer_col else [])
@@ -484,21 +531,22 @@ def find_leaks(
         )
         if not items or docs.isEmpty():
             continue
-        encoded, index = fit_index(docs, items, text_col, id_col, rank, fit_docs)
-        # arrays and lists only: tasks make the index of them, so they need no copy of this package. Texts are encoded by now: the vocabulary stays here
-        sent = spark.sparkContext.broadcast(tuple(vars(replace(index, vocabulary={})).values()))
+        encoded, index = fit_index(docs, items, text_col, id_col, rank)
+        # arrays and lists only: tasks make the index of them, so they need no copy of this package
+        sent = spark.sparkContext.broadcast(tuple(vars(index).values()))
         kind = to_arrow_type(listed.schema[item_col].dataType)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, kind=kind) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value)
             searcher = Searcher(index, sure, likely)
-            for b in batches:
-                rows = searcher.search([x.values.to_numpy() for x in b.column("places")])
+            for b, i in ((b, i) for b in batches for i in range(b.num_rows)):
+                places, sizes, terms = read_chunk(b, i, index.vocabulary)
+                rows = searcher.search(np.split(terms[places], np.cumsum(sizes)[:-1]))
                 rows = [r for r in rows if len(index.items[r[1]]) >= 5 or r[3] == 1]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("id").take(at),
+                        b.column("ids")[i].values.take(at),
                         pa.array([index.item_ids[r[1]] for r in rows], kind),
                         pa.array([r[2] for r in rows], pa.float64()),
                         pa.array([r[3] for r in rows], pa.float64()),
@@ -508,5 +556,5 @@ def find_leaks(
                     names=[id_col, item_col, "cosine", "overlap", "answer_found", "first_word"],
                 )
 
-        result = result.unionByName(encoded.mapInArrow(search, out))
+        result = result.unionByName(encoded.select("ids", "sizes", "places", "words").mapInArrow(search, out))
     return result

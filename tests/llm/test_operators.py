@@ -1,4 +1,5 @@
 import itertools
+import math
 import re
 
 import numpy as np
@@ -224,6 +225,46 @@ def test_leaks_equal_brute_force(spark, documents, prose, rng):
         assert decontaminate.lcs(a, words[: len(a) + max(2, len(a) // 4)]) == round(r["overlap"] * len(a))
 
 
+def test_leak_cosines_come_from_all_documents(spark, documents):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "iota kappa lambda mu nu xi omicron pi")]
+    # "other" stands in 4 of 64 documents, "often" in all of them
+    rows = [(k, "often " + ("other" if k < 3 else f"only{k}"), "en", "a") for k in range(63)]
+    rows.append((100, "alpha beta gamma delta other often zeta eta theta", "en", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    idf = lambda n: math.log(65 / (1 + n)) + 0.1
+    # fewer terms than latent axes: the cosine is that of the weighted words themselves
+    want = 7 * idf(1) ** 2 / math.sqrt((7 * idf(1) ** 2 + idf(4) ** 2 + idf(64) ** 2) * (7 * idf(1) ** 2 + idf(0) ** 2))
+    for fit_docs in ({}, {"fit_docs": 1}):
+        (got,) = decontaminate.find_leaks(documents(rows), bench, **fit_docs).collect()
+        assert (got["doc_id"], got["item_id"]) == (100, 1) and got["cosine"] == pytest.approx(want, abs=1e-3)
+
+
+def test_rare_answers_are_found(spark, documents, prose):
+    words = prose(20).split()
+    bench = spark.createDataFrame([(1, " ".join(words), "rareanswer")], "item_id long, text string, answer string")
+    # 13 of 20 words in order are enough with the answer only
+    held = [w if k < 13 else "filler" for k, w in enumerate(words)]
+    rows = [(1, " ".join([*held[:18], "rareanswer"]), "en", "a"), (2, " ".join(held), "en", "a")]
+    got = decontaminate.find_leaks(documents(rows), bench, answer_col="answer").collect()
+    assert [(r["doc_id"], r["answer_found"]) for r in got] == [(1, True)]
+
+
+def test_passage_sums_equal_plain_ones(rng):
+    np_rng = np.random.default_rng(5)
+    sizes = np.array([1, 31, 32, 33, 100, 700])
+    places, terms = np_rng.integers(0, 12, sizes.sum()).astype(np.int32), np.array([9, 0, 5, 3, 10, 10, 7, 1, 2, 10, 4, 8])
+    idf, basis = np_rng.random(10) + 0.1, np_rng.standard_normal((10, 4)).astype(np.float32)
+    z, gram = np.zeros_like(basis), np.zeros((4, 4))
+    decontaminate.project(places, sizes, terms, idf, basis, z, gram)
+    a = []
+    for text in np.split(terms[places], np.cumsum(sizes)[:-1]):
+        for k in range(0, len(text), 32):
+            x = np.bincount(text[k : k + 32], minlength=11)[:10] * idf
+            a.append(x / max(np.linalg.norm(x), 1e-30))
+    a = np.array(a)
+    assert np.allclose(z, a.T @ (a @ basis), atol=1e-4) and np.allclose(gram, (a @ basis).T @ (a @ basis), atol=1e-4)
+
+
 def test_lcs_equals_table(rng):
     for _ in range(50):
         a, b = [rng.randint(0, 5) for _ in range(rng.randint(1, 12))], [rng.randint(0, 5) for _ in range(rng.randint(0, 20))]
