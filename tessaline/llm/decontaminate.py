@@ -10,11 +10,13 @@ A randomised SVD of TF-IDF passages gives every term a short latent vector; each
 its stretch and the item. The cosine decides nothing.
 
 Vocabulary, document frequencies and the SVD come from all passages of all documents, together with all items. Texts are
-cut into words once and written as chunks of numbers, each with its own list of words; all later passes read these.
+cut into words once and written as chunks of numbers, each with its own list of words; the first pass of the fit writes
+them as places in the vocabulary, which is all that its second pass and the search read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessaline.llm.common import Scratch, fitted, settle
+from tessaline.llm.common import Scratch, fitted
 
 BLOCK = 8  # words that are counted at once
 EDGES = ".,;:!?\"'()[]{}|#*&%$"  # fixed values: what most often stands around a word
@@ -68,17 +70,45 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-class Numbers(dict):
-    """Number of each token's word, found when it is first asked for; -1 for a token without letters and digits."""
+def listed(x: pa.Array) -> pa.ListArray:
+    """A single list that holds all of ``x``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    def __init__(self):
-        super().__init__()
-        self.words: dict[str, int] = {}
 
-    def __missing__(self, token: str) -> int:
-        w = normal(token)
-        at = self[token] = self.words.setdefault(w, len(self.words)) if w else -1
-        return at
+def normal_all(tokens: pa.Array) -> pa.Array:
+    """``normal`` of each token, none of which holds a line's end."""
+    plain, words = pc.string_is_ascii(tokens), pc.ascii_lower(tokens)
+    odd = pc.and_(plain, pc.invert(pc.ascii_is_alnum(words)))
+    words = pc.replace_with_mask(words, odd, pc.replace_substring_regex(words.filter(odd), "[^0-9a-z]+", ""))
+    other = tokens.filter(pc.invert(plain))
+    if len(other):
+        lower = pc.binary_join(listed(other), "\n")[0].as_py().lower().split("\n")
+        made = [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in lower]
+        words = pc.replace_with_mask(words, pc.invert(plain), pa.array(made, words.type))
+    return words
+
+
+def number_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, as ``words_of`` gives them: how many, their places in the list of distinct words, and that list."""
+    lists = pc.utf8_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    words = normal_all(coded.dictionary).dictionary_encode()
+    real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+    number = np.where(real, np.cumsum(real) - 1, -1).astype(np.int32)
+    flat = number[words.indices.to_numpy()][coded.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    kept = flat >= 0
+    return np.bincount(owner[kept], minlength=len(texts)), flat[kept], words.dictionary.filter(pa.array(real))
+
+
+def packed(numbers: np.ndarray, below: int) -> bytes:
+    return numbers.astype(np.uint16 if below <= 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(numbers: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``packed``."""
+    held = numbers.as_buffer()
+    return np.frombuffer(held, f"u{held.size // n}")
 
 
 @dataclass
@@ -135,115 +165,121 @@ def by_term(places: np.ndarray, terms: int) -> np.ndarray:
     return np.argsort(places.astype(np.uint16) if terms <= 1 << 16 else places, kind="stable")
 
 
-def encode(docs: DataFrame, text_col: str, id_col: str, at_once: int = 1 << 18, keep: int = 100_000) -> DataFrame:
-    """All words of every text as numbers, written to the shared folder: a row for about ``at_once`` words of whole documents.
+def encode(docs: DataFrame, text_col: str, id_col: str, at_once: int = 5 << 18) -> DataFrame:
+    """All words of every text as numbers: a row for about ``at_once`` bytes of whole texts.
 
     ids, sizes: of the documents that have words, and how many. places: into ``words``, the row's distinct words; found: in how
-    many of its documents each stands. A task keeps the numbers of about ``keep`` tokens.
+    many of its documents each stands. Sizes and places are ``packed``.
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def listed(x: pa.Array) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-
-    def chunk(ids: list[pa.Array], texts: list[np.ndarray], known: Numbers) -> pa.RecordBatch:
-        flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
-        terms = np.flatnonzero(np.bincount(flat))
-        number = np.zeros(int(terms[-1]) + 1, np.int32)
-        number[terms] = np.arange(len(terms))
-        flat = number[flat]
-        order = by_term(flat, len(terms))
-        term, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
-        first = np.r_[True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])]
-        names = list(known.words)
-        columns = [pa.concat_arrays(ids), pa.array(sizes, pa.int32()), pa.array(flat), pa.array([names[t] for t in terms.tolist()], pa.string()), pa.array(np.bincount(term[first]), pa.int64())]
-        return pa.RecordBatch.from_arrays([*map(listed, columns), pa.array([int((-(-sizes // SPAN)).sum())], pa.int64())], names=["ids", "sizes", "places", "words", "found", "passages"])
-
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, texts, size = Numbers(), [], [], 0
         for b in batches:
-            at = []
-            for i, text in enumerate(b.column(text_col)):
-                tokens = (text.as_py() or "").split()
-                found = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
-                if len(found) and found.min() < 0:
-                    found = found[found >= 0]
-                if len(found):
-                    at.append(i)
-                    texts.append(found)
-                    size += len(found)
-                if at and (size > at_once or i == b.num_rows - 1):
-                    ids.append(b.column(id_col).take(pa.array(at, pa.int64())))
-                    at = []
-                if size > at_once:
-                    yield chunk(ids, texts, known)
-                    ids, texts, size = [], [], 0
-                    if len(known) > keep:
-                        known = Numbers()
-        if texts:
-            yield chunk(ids, texts, known)
-
-    made = docs.select(id_col, text_col).mapInArrow(places, f"ids array<{kind}>, sizes array<int>, places array<int>, words array<string>, found array<long>, passages long")
-    return settle(made, "leak-places")
-
-
-def read_chunk(b: pa.RecordBatch, i: int, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and sizes of a row of ``encode``, and the vocabulary place of each of its words; words outside have the place after the last."""
-    places, sizes, words = (b.column(c)[i].values for c in ("places", "sizes", "words"))
-    return places.to_numpy(), sizes.to_numpy(), pc.fill_null(pc.index_in(words, value_set=vocabulary), len(vocabulary)).to_numpy()
+            texts = b.column(text_col)
+            piece = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64) // at_once
+            cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), b.num_rows]
+            for low, high in itertools.pairwise(cuts):
+                sizes, flat, words = number_words(texts.slice(low, high - low))
+                if not len(flat):
+                    continue
+                at = np.flatnonzero(sizes)
+                sizes = sizes[at]
+                order = by_term(flat, len(words))
+                term, owner = flat[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+                first = np.r_[True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])]
+                found = np.bincount(term[first], minlength=len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        listed(b.column(id_col).slice(low, high - low).take(pa.array(at))),
+                        pa.array([sizes.astype(np.uint32).tobytes()]),
+                        pa.array([packed(flat, len(words))]),
+                        listed(words.cast(pa.string())),
+                        listed(pa.array(found, pa.int32())),
+                        pa.array([int((-(-sizes // SPAN)).sum())], pa.int64()),
+                    ],
+                    names=["ids", "sizes", "places", "words", "found", "passages"],
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(places, f"ids array<{kind}>, sizes binary, places binary, words array<string>, found array<int>, passages long")
+
+
+def sums_of_rows(rows: np.ndarray, picked: np.ndarray, width: int, at_once: int = 4096) -> np.ndarray:
+    """Sum of each ``width`` successive ones of ``rows[picked]``, and a last row of zeros."""
+    n = len(picked) // width
+    out, ones = np.empty((n + 1, rows.shape[1]), rows.dtype), np.ones((1, width), rows.dtype)
+    out[n] = 0
+    held, step = np.empty((at_once, rows.shape[1]), rows.dtype), at_once // width
+    for a in range(0, n, step):
+        some = picked[a * width : min(a + step, n) * width]
+        np.take(rows, some, 0, out=held[: len(some)], mode="clip")
+        np.matmul(ones, held[: len(some)].reshape(-1, width, rows.shape[1]), out=out[a : min(a + step, n), None])
+    return out
+
+
+def sums_of_runs(rows: np.ndarray, picked: np.ndarray, sizes: np.ndarray, width: int = 8) -> np.ndarray:
+    """Sum of each run of ``rows[picked]``. sizes: of the runs, none of them empty. The last of ``rows`` holds zeros."""
+    groups = -(-sizes // width)
+    first = np.cumsum(groups) - groups
+    slots = np.full(int(groups.sum()) * width, len(rows) - 1, np.int32)
+    slots[np.arange(len(picked)) + np.repeat(first * width - (np.cumsum(sizes) - sizes), sizes)] = picked
+    some = sums_of_rows(rows, slots, width)
+    several = groups > 1
+    out = some[first]
+    if several.any():
+        out[several] = sums_of_runs(some, np.flatnonzero(np.repeat(several, groups)), groups[several], width)
+    return out
 
 
 def project(places: np.ndarray, sizes: np.ndarray, terms: np.ndarray, idf: np.ndarray, basis: np.ndarray, z: np.ndarray, gram: np.ndarray) -> None:
-    """Adds to ``z`` and ``gram`` what ``_step`` gives for all passages of a chunk; ``terms`` as ``read_chunk`` gives them."""
-    weight = np.r_[idf, 0.0][terms]
-    inside = np.flatnonzero(terms < len(idf))
-    scaled = np.zeros((len(terms) + 1, basis.shape[1]), np.float32)  # the last one, of zeros, fills short passages up
-    scaled[inside] = weight[inside, None] * basis[terms[inside]]
-    parts = -(-sizes // SPAN)
-    place = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    row = np.repeat(np.cumsum(parts) - parts, sizes) + place // SPAN
-    n = int(parts.sum())
-    filled = np.full(n * SPAN, len(terms), np.int32)
-    filled[row * SPAN + place % SPAN] = places
-    y, ones = np.empty((n, basis.shape[1]), np.float32), np.ones((1, SPAN), np.float32)
-    for a in range(0, n, 128):
-        y[a : a + 128] = np.matmul(ones, scaled[filled[a * SPAN : (a + 128) * SPAN]].reshape(-1, SPAN, basis.shape[1]))[:, 0]
-    known = np.flatnonzero(terms[places] < len(idf))
-    if not len(known):
+    """Adds to ``z`` and ``gram`` what ``_step`` gives for all passages of documents.
+
+    sizes: their words; places: of these in ``terms``, which holds no place of the vocabulary twice; words outside have the one after the last.
+    """
+    inside = np.flatnonzero((terms < len(idf)) & (np.bincount(places, minlength=len(terms)) > 0))
+    if not len(inside):
         return
-    known = known[by_term(places[known], len(terms))]
-    term, row = places[known], row[known]
-    changed = term[1:] != term[:-1]
-    cells = np.flatnonzero(np.r_[True, changed | (row[1:] != row[:-1])])
-    times = np.diff(np.r_[cells, len(known)])
-    square = np.bincount(row[cells], (times * weight[term[cells]]) ** 2, n)
+    own, none = terms[inside], len(inside)
+    number = np.full(len(terms), none, np.uint16 if none < 1 << 16 else np.int32)
+    number[inside] = np.arange(none)
+    weight = idf[own].astype(np.float32)
+    scaled = np.zeros((none + 1, basis.shape[1]), np.float32)  # the last one, of zeros, fills short passages up
+    np.multiply(basis[own], weight[:, None], out=scaled[:-1])
+    parts = -(-sizes.astype(np.int64) // SPAN)
+    n = int(parts.sum())
+    moved = (np.cumsum(parts) - parts) * SPAN - (np.cumsum(sizes, dtype=np.int64) - sizes)
+    filled = np.full(n * SPAN, none, number.dtype)
+    filled[np.arange(len(places)) + np.repeat(moved, sizes)] = number[places]
+    y = sums_of_rows(scaled, filled, SPAN)
+    # a passage's cells: its distinct words
+    row = np.sort(filled.reshape(n, SPAN), 1)
+    new = np.ones(row.shape, bool)
+    np.not_equal(row[:, 1:], row[:, :-1], out=new[:, 1:])
+    cells = np.flatnonzero(new)
+    times = np.diff(np.r_[cells, row.size])
+    square = np.add.reduceat((times * np.r_[weight, 0.0][row.ravel()[cells]]) ** 2, np.searchsorted(cells, np.arange(n) * SPAN))
     scale = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-30)), 0.0).astype(np.float32)[:, None]
-    y *= scale
+    y[:-1] *= scale
     wide = y.astype(np.float64)
     gram += wide.T @ wide
-    # a term's passages are added in groups of 16
-    y = np.r_[y * scale, np.zeros((1, y.shape[1]), np.float32)]
-    heads = np.flatnonzero(np.r_[True, changed])
-    held = np.diff(np.r_[heads, len(known)])
-    groups = -(-held // 16)
-    first = np.cumsum(groups) - groups
-    filled = np.full(int(groups.sum()) * 16, n)
-    filled[np.repeat(first * 16 - heads, held) + np.arange(len(known))] = row
-    some, ones = np.empty((len(filled) // 16, y.shape[1]), np.float32), np.ones((1, 16), np.float32)
-    for a in range(0, len(some), 256):
-        some[a : a + 256] = np.matmul(ones, y[filled[a * 16 : (a + 256) * 16]].reshape(-1, 16, y.shape[1]))[:, 0]
-    z[terms[term[heads]]] += weight[term[heads], None].astype(np.float32) * np.add.reduceat(some, first)
+    y[:-1] *= scale
+    held = np.bincount(filled, minlength=none + 1)[:none]
+    by = by_term(filled, none + 1)[: held.sum()] // SPAN
+    total = sums_of_runs(y, by, held)
+    total *= weight[:, None]
+    z[own] += total
 
 
 def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text_col: str, id_col: str, rank: int, power: int = 2, block: int = 1024) -> tuple[DataFrame, Index]:
-    """The encoded documents and the index, fitted on all passages of all documents and all items.
+    """The documents (ids, sizes, terms: vocabulary places of all their words) and the index, fitted on all passages of all of them and all items.
 
     The vocabulary holds the words of items and answers, and those that stand in more than two and more than a thousandth of all
-    documents, so its size is bounded by the number of different words of a thousand mean documents. Tasks' sums
-    are added by blocks of ``block`` terms; the driver gets one row of each.
+    documents, so its size is bounded by the number of different words of a thousand mean documents. Each of ``power`` passes
+    over all documents multiplies by A'A, for the TF-IDF rows A of passages. Tasks' sums
+    are added by blocks of ``block`` terms; the driver gets one row of each. The first pass also writes the words as vocabulary places.
     """
     spark, total = docs.sparkSession, docs.count()
-    encoded = encode(docs, text_col, id_col)
+    scratch = Scratch(spark, "leak-fit")
+    encoded = scratch.settle(encode(docs, text_col, id_col), "places")
     own = [words_of(text) for _, text, _ in items]
     asked = [words_of(a) if a else answer_of(t) for _, t, a in items]
     listed = sorted({w for ws in [*own, *asked] for w in ws})
@@ -258,41 +294,62 @@ def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text
     width = min(rank + 8, len(vocabulary))
     basis = np.random.Generator(np.random.PCG64(2)).standard_normal((len(vocabulary), width), np.float32)
     weight = max(1, encoded.agg(F.sum("passages")).first()[0] or 0) / max(1, len(items))
-    scratch = Scratch(spark, "leak-fit")
-    chunks = fitted(encoded.select("places", "sizes", "words"), total, 10_000)
-    for turn in range(power + 1):
+    ids = encoded.schema["ids"].dataType
+    source, chunks = fitted(encoded.select("ids", "sizes", "places", "words"), total, 10_000), None
+    for turn in range(power):
         sent = spark.sparkContext.broadcast((words, idf, basis))
 
-        def part(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def part(batches: Iterator[pa.RecordBatch], sent=sent, kind=to_arrow_type(ids), coded=turn > 0) -> Iterator[pa.RecordBatch]:
             words, idf, basis = sent.value
             z, gram = np.zeros_like(basis), np.zeros((basis.shape[1],) * 2)
-            for b in batches:
-                for i in range(b.num_rows):
-                    project(*read_chunk(b, i, words), idf, basis, z, gram)
+            every = np.arange(len(words) + 1)
+            names = ["k", "sums", "ids", "sizes", "terms"][: 2 if coded else 5]
+
+            def row(k: int | None, sums: np.ndarray | None, *chunk: pa.Array) -> pa.RecordBatch:
+                sums = None if sums is None else sums.tobytes()
+                return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sums], pa.binary()), *(chunk or [pa.nulls(1, t) for t in (kind, pa.binary(), pa.binary())])][: len(names)], names=names)
+
+            for b, i in ((b, i) for b in batches for i in range(b.num_rows)):
+                sizes = np.frombuffer(b.column("sizes")[i].as_buffer(), np.uint32)
+                if coded:
+                    terms = unpacked(b.column("terms")[i], int(sizes.sum()))
+                else:
+                    place = pc.fill_null(pc.index_in(b.column("words")[i].values, value_set=words), len(words)).to_numpy()
+                    terms = place[unpacked(b.column("places")[i], int(sizes.sum()))]
+                    yield row(None, None, b.column("ids").slice(i, 1), b.column("sizes").slice(i, 1), pa.array([packed(terms, len(every))]))
+                project(terms, sizes, every, idf, basis, z, gram)
             for k in range(0, len(z), block):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([z[k : k + block].astype(np.float64).tobytes()])], names=["k", "sums"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([gram.tobytes()])], names=["k", "sums"])
+                yield row(k, z[k : k + block])
+            yield row(-1, gram)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: dict[int, np.ndarray] = {}
             for b in batches:
                 for k, sums in zip(b.column("k").to_pylist(), b.column("sums"), strict=True):
-                    more = np.frombuffer(sums.as_buffer())
-                    out[k] = out[k] + more if k in out else more.copy()
+                    more = np.frombuffer(sums.as_buffer(), np.float64 if k < 0 else np.float32)
+                    out[k] = out[k] + more if k in out else more.astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["k", "sums"])
 
         z, gram = _step([np.array(t, np.int64) for t in item_terms], idf, basis, weight)
-        sums = scratch.settle(chunks.mapInArrow(part, "k long, sums binary").repartition("k").mapInArrow(added, "k long, sums binary"), "sums")
+        if turn:
+            made = chunks.select("sizes", "terms").mapInArrow(part, "k long, sums binary")
+        else:
+            made = scratch.settle(source.mapInArrow(part, f"k long, sums binary, ids {ids.simpleString()}, sizes binary, terms binary"), "terms")
+            numbered, chunks = made, fitted(made.filter("k is null").select("ids", "sizes", "terms"), total, 10_000)
+        sums = scratch.settle(made.filter("k is not null").select("k", "sums").repartition("k").mapInArrow(added, "k long, sums binary"), "sums")
         for r in sums.toLocalIterator():
             if r["k"] < 0:
                 gram += np.frombuffer(r["sums"]).reshape(gram.shape)
             else:
                 z[r["k"] : r["k"] + block] += np.frombuffer(r["sums"]).reshape(-1, width).astype(np.float32)
         sent.destroy()
-        scratch.keep()
-        if turn < power:
-            basis = orthonormal(z)
-    values, rotation = np.linalg.eigh(gram)
+        scratch.keep(numbered)
+        product = z.copy() if turn == power - 1 else None
+        basis = orthonormal(z)
+    # A'A is about Z G+ Z' (Nystrom), for the last pass's Z, which is A'A times its basis, and G, which is gram
+    values, axes = np.linalg.eigh(gram)
+    half = (basis.T.astype(np.float64) @ product) @ (axes / np.sqrt(np.where(values > 1e-9 * max(float(values[-1]), 1e-30), values, np.inf)))
+    values, rotation = np.linalg.eigh(half @ half.T)
     latent = basis @ rotation[:, np.argsort(-values)[:rank]].astype(np.float32)
     vectors = np.zeros((len(vocabulary) + 1, latent.shape[1]), np.float32)
     np.multiply(idf[:, None], latent, out=vectors[:-1], casting="same_kind")
@@ -300,7 +357,7 @@ def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text
     sums = np.array([vectors[t].sum(0) for _, t in parts])
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     answers = [[vocabulary[w] for w in ws] for ws in asked]
-    return encoded, Index(words, vectors, [i for i, _, _ in items], item_terms, answers, [i for i, _ in parts], np.r_[idf, 0.0].astype(np.float32), sums.astype(np.float32))
+    return chunks, Index(words, vectors, [i for i, _, _ in items], item_terms, answers, [i for i, _ in parts], np.r_[idf, 0.0].astype(np.float32), sums.astype(np.float32))
 
 
 @dataclass
@@ -434,7 +491,7 @@ class Searcher:
             if low == high:
                 continue
             items = self.order[low:high]
-            at, j = np.nonzero(held[:, : high - low] >= self.least[items].astype(self.counts))
+            at, j = np.divmod(np.flatnonzero(held[:, : high - low] >= self.least[items].astype(self.counts)), high - low)
             held, low = np.ascontiguousarray(held[:, high - low :]), high
             for a in range(0, len(at), 1 << 13):
                 block, item = at[a : a + (1 << 13)], items[j[a : a + (1 << 13)]]
@@ -531,7 +588,7 @@ def find_leaks(
         )
         if not items or docs.isEmpty():
             continue
-        encoded, index = fit_index(docs, items, text_col, id_col, rank)
+        chunks, index = fit_index(docs, items, text_col, id_col, rank)
         # arrays and lists only: tasks make the index of them, so they need no copy of this package
         sent = spark.sparkContext.broadcast(tuple(vars(index).values()))
         kind = to_arrow_type(listed.schema[item_col].dataType)
@@ -540,8 +597,8 @@ def find_leaks(
             index = Index(*sent.value)
             searcher = Searcher(index, sure, likely)
             for b, i in ((b, i) for b in batches for i in range(b.num_rows)):
-                places, sizes, terms = read_chunk(b, i, index.vocabulary)
-                rows = searcher.search(np.split(terms[places], np.cumsum(sizes)[:-1]))
+                ends = np.cumsum(np.frombuffer(b.column("sizes")[i].as_buffer(), np.uint32), dtype=np.int64)
+                rows = searcher.search(np.split(unpacked(b.column("terms")[i], int(ends[-1])), ends[:-1]))
                 rows = [r for r in rows if len(index.items[r[1]]) >= 5 or r[3] == 1]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -556,5 +613,5 @@ def find_leaks(
                     names=[id_col, item_col, "cosine", "overlap", "answer_found", "first_word"],
                 )
 
-        result = result.unionByName(encoded.select("ids", "sizes", "places", "words").mapInArrow(search, out))
+        result = result.unionByName(chunks.mapInArrow(search, out))
     return result

@@ -3,6 +3,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,41 @@ def test_rare_answers_are_found(spark, documents, prose):
     assert [(r["doc_id"], r["answer_found"]) for r in got] == [(1, True)]
 
 
+def test_words_are_numbered_as_one_by_one():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}B" for c in points] + [f"{c}\u03a3" for c in points] + [None, "", " ", "\u0391\u03a3, _\u0391\u03a3_ x_y \u0130I \x00 a\x00b"]
+    for low, high in [(0, len(texts)), (5, 50), (len(texts) - 4, len(texts) - 1), (0, 0)]:
+        sizes, places, words = decontaminate.number_words(pa.array(texts, pa.string()).slice(low, high - low))
+        got = [words[k].as_py() for k in places.tolist()] if high < 100 else np.array(words.to_pylist())[places].tolist()
+        assert got == [w for t in texts[low:high] for w in decontaminate.words_of(t)] and sizes.tolist() == [len(decontaminate.words_of(t)) for t in texts[low:high]]
+        assert len(set(words.to_pylist())) == len(words)
+
+
+def test_two_passes_fit_all_documents(spark, documents, rng, monkeypatch):
+    """The fit reads the documents as often as it multiplies by A'A, and its axes span what a dense SVD's do."""
+    passes, settle = [], decontaminate.Scratch.settle
+    monkeypatch.setattr(decontaminate.Scratch, "settle", lambda self, df, tag: (passes.append(tag), settle(self, df, tag))[1])
+    topics = [[f"w{t}x{k}" for k in range(12)] for t in range(6)]
+    rows = [(k, " ".join(rng.choice(topics[k % 6]) for _ in range(32)), "en", "a") for k in range(300)]
+    items = [(t, " ".join(topics[t]), None) for t in range(6)]
+    chunks, index = decontaminate.fit_index(documents(rows), items, "text", "doc_id", 6)
+    assert passes.count("sums") == 2
+    kept = {}
+    for r in chunks.collect():
+        sizes = np.frombuffer(r["sizes"], np.uint32)
+        held = np.frombuffer(r["terms"], f"u{len(r['terms']) // int(sizes.sum())}")
+        kept |= dict(zip(r["ids"], np.split(held, np.cumsum(sizes)[:-1]), strict=True))
+    names = index.vocabulary.to_pylist()
+    assert {i: " ".join(names[k] for k in t) for i, t in kept.items()} == {i: t for i, t, _, _ in rows}
+    idf = index.idf[:-1].astype(np.float64)
+    a = np.array([np.bincount(t, minlength=len(names)) * idf for t in kept.values()] + [np.bincount(t, minlength=len(names)) * idf for t in index.items for _ in range(50)])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    axes = np.linalg.svd(a, full_matrices=False)[2][:6]
+    latent = index.vectors[:-1] / idf[:, None]
+    assert np.allclose(latent.T @ latent, np.eye(6), atol=1e-4)
+    assert np.linalg.norm(axes @ latent) ** 2 > 6 - 1e-3
+
+
 def test_passage_sums_equal_plain_ones(rng):
     np_rng = np.random.default_rng(5)
     sizes = np.array([1, 31, 32, 33, 100, 700])
