@@ -33,6 +33,7 @@ BLOCK = 8  # words that are counted at once
 EDGES = ".,;:!?\"'()[]{}|#*&%$"  # fixed values: what most often stands around a word
 SPAN = 32  # words of a passage
 COMMON = 1000  # a term stands in more than one of so many documents, and in more than two
+STORED = {"compression": "zstd"}  # Snappy keeps whole pages outside the heap, and a page holds all of a task's long values
 CHUNK = 64  # the cosine of longer items is that of their nearest part of this many words
 
 
@@ -279,7 +280,7 @@ def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text
     """
     spark, total = docs.sparkSession, docs.count()
     scratch = Scratch(spark, "leak-fit")
-    encoded = scratch.settle(encode(docs, text_col, id_col), "places")
+    encoded = scratch.settle(encode(docs, text_col, id_col), "places", **STORED)
     own = [words_of(text) for _, text, _ in items]
     asked = [words_of(a) if a else answer_of(t) for _, t, a in items]
     listed = sorted({w for ws in [*own, *asked] for w in ws})
@@ -334,9 +335,9 @@ def fit_index(docs: DataFrame, items: list[tuple[object, str, str | None]], text
         if turn:
             made = chunks.select("sizes", "terms").mapInArrow(part, "k long, sums binary")
         else:
-            made = scratch.settle(source.mapInArrow(part, f"k long, sums binary, ids {ids.simpleString()}, sizes binary, terms binary"), "terms")
+            made = scratch.settle(source.mapInArrow(part, f"k long, sums binary, ids {ids.simpleString()}, sizes binary, terms binary"), "terms", **STORED)
             numbered, chunks = made, fitted(made.filter("k is null").select("ids", "sizes", "terms"), total, 10_000)
-        sums = scratch.settle(made.filter("k is not null").select("k", "sums").repartition("k").mapInArrow(added, "k long, sums binary"), "sums")
+        sums = scratch.settle(made.filter("k is not null").select("k", "sums").repartition("k").mapInArrow(added, "k long, sums binary"), "sums", **STORED)
         for r in sums.toLocalIterator():
             if r["k"] < 0:
                 gram += np.frombuffer(r["sums"]).reshape(gram.shape)

@@ -263,7 +263,7 @@ def test_words_are_numbered_as_one_by_one():
 def test_two_passes_fit_all_documents(spark, documents, rng, monkeypatch):
     """The fit reads the documents as often as it multiplies by A'A, and its axes span what a dense SVD's do."""
     passes, settle = [], decontaminate.Scratch.settle
-    monkeypatch.setattr(decontaminate.Scratch, "settle", lambda self, df, tag: (passes.append(tag), settle(self, df, tag))[1])
+    monkeypatch.setattr(decontaminate.Scratch, "settle", lambda self, df, tag, **options: (passes.append(tag), settle(self, df, tag, **options))[1])
     topics = [[f"w{t}x{k}" for k in range(12)] for t in range(6)]
     rows = [(k, " ".join(rng.choice(topics[k % 6]) for _ in range(32)), "en", "a") for k in range(300)]
     items = [(t, " ".join(topics[t]), None) for t in range(6)]
