@@ -68,13 +68,27 @@ def three_deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def crowded_bins(nodes: DataFrame) -> DataFrame:
+    """``key, node, lead, members``: distinct fingerprints under each variant that several have, with the smallest of them.
+
+    Both sides are joined by a shuffle: Spark takes the size of ``nodes`` for the size of its 64 variants each, and would broadcast millions of bins.
+    """
+    signed = nodes.select("node", F.explode(variants(F.col("node"))).alias("key"))
+    bins = signed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).filter("members > 1")
+    return signed.hint("merge").join(bins.hint("merge"), "key")
+
+
+def paired_members(few: DataFrame) -> DataFrame:
+    """``few(key, node, root)`` -> ``a, ra, b, rb``: members of different components that share a variant. Settled rows repeat keys and take little room as Parquet, so they aren't broadcast either."""
+    x, y = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    return x.hint("merge").join(y.hint("merge"), "key").filter("a < b and ra <> rb")
+
+
 def near_prints(nodes: DataFrame, scratch: Scratch, pairs_up_to: int = 256) -> DataFrame:
     """``nodes(node)``, distinct fingerprints as settled rows -> ``node, root`` for those that are linked with another one."""
     settle = scratch.settle
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-    signed = nodes.select("node", F.explode(variants(F.col("node"))).alias("key"))
-    bins = signed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    shared = settle(signed.join(bins, "key"), "bins")
+    shared = settle(crowded_bins(nodes), "bins")
     led = shared.filter((F.col("node") != F.col("lead")) & near("node", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = settle(led.distinct(), "links")
     roots = settle(connected_components(links, settle=settle), "roots")
@@ -85,8 +99,7 @@ def near_prints(nodes: DataFrame, scratch: Scratch, pairs_up_to: int = 256) -> D
     if open_.isEmpty():
         return roots
     few = open_.filter(F.col("members") <= pairs_up_to)
-    x, y = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    paired = x.join(y, "key").filter("a < b and ra <> rb").filter(near("a", "b")).select("a", "b")
+    paired = paired_members(few).filter(near("a", "b")).select("a", "b")
     crowded = settle(open_.filter(F.col("members") > pairs_up_to).select("node").distinct(), "crowded")
     # all fingerprints under one of these variants are linked with each other, eight at most
     alike = crowded.repartition(max(8, -(-crowded.count() // 100))).mapInArrow(three_deleted, "gone int, rest long, node long")

@@ -104,3 +104,12 @@ def test_a_hot_group_of_equal_texts(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text for a third of all rows").otherwise(F.concat(F.lit("own words of "), F.sha2(F.col("id").cast("string"), 256), F.lit(" "), F.sha1(F.col("id").cast("string")))).alias("text"))
     got = simhash.simhash_duplicates(rows)
     assert got.filter("component_id = 0").count() == 1000 and got.filter("kept").count() == got.select("component_id").distinct().count() >= 1990
+
+
+def test_exploded_variants_are_not_broadcast(spark, tmp_path):
+    """A few megabytes of fingerprints have 64 variants each, whose bins don't fit the driver."""
+    spark.createDataFrame([(i * 7,) for i in range(1000)], "node long").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    few = nodes.select((F.col("node") % 3).alias("key"), "node", F.col("node").alias("root"))
+    for df in (simhash.crowded_bins(nodes), simhash.paired_members(few)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
