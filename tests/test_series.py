@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessaline.functions.resampling import with_draws
+from tessaline.functions.scalars import hash64
 from tessaline.operators import detectors as D
+from tessaline.operators import inference as I
 from tessaline.operators import matrix as M
 from tessaline.operators import normalize as N
 from tessaline.operators import signal
@@ -122,3 +125,16 @@ def test_sums_of_images(spark):
         own = x[length - 30 :: 2]
         c = (own - own.mean(0)) @ image.T
         assert n == 30 and np.allclose(mean, own.mean(0)) and np.allclose(covariance, np.cov(own.T, bias=True)) and fourth["two"] == pytest.approx(((c**2).sum(1) ** 2).mean())
+
+
+def test_draws_are_not_broadcast(spark):
+    """Repeated rows look as small as those they were made of."""
+    per = spark.createDataFrame([(g, f"P{i}", float(i), 1.0) for g in ("a", None) for i in range(6)], "g string, Subject string, s double, c double")
+    numbered = I.number_subjects(per, ["g"])
+    drawn = with_draws(numbered, 5, "x")
+    wanted = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("u", hash64(F.concat_ws("|", F.lit("x"), F.col("rep").cast("string"), F.col("slot").cast("string"))))
+    assert sorted(map(tuple, drawn.select(wanted.columns).collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    sums = I.bootstrap_sums(per, ["g"], ["s", "c"], 5, "x")
+    assert "Broadcast" not in plan_of(drawn) + plan_of(sums)
+    got = {(r["g"], r["rep"]): (r["s"], r["c"]) for r in sums.collect()}
+    assert len(got) == 10 and all(c == 6 for _, c in got.values()) and all(got["a", k] == got[None, k] for k in range(5))
